@@ -13,6 +13,17 @@ from pyspark.sql import functions as F
 KEY = ["entity_id", "term_id"]
 
 
+def ordered_sum(col: str | F.Column) -> F.Column:
+    """Sum of a small per-group value set in ascending order.
+
+    Groups here hold one value per model / fold / seed (bounded by the
+    number of members), so sorting them makes the floating-point sum
+    independent of shuffle order: reruns and recomputed partitions give
+    bit-identical scores, and threshold ties cannot flip."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.aggregate(F.array_sort(F.collect_list(c)), F.lit(0.0), lambda a, x: a + x)
+
+
 def row_max_normalise(scores: DataFrame, by: list[str] | None = None, score: str = "score") -> DataFrame:
     """Divide by the per-entity (per ``by``) maximum; a zero maximum counts as 1."""
     by = by or ["entity_id"]
@@ -29,7 +40,7 @@ def ensemble_mean(scores: DataFrame, n_models: int | None = None, model: str = "
     key = key or KEY
     if n_models is None:
         n_models = scores.select(model).distinct().count()
-    return scores.groupBy(*key).agg((F.sum("score") / F.lit(float(n_models))).alias("score"))
+    return scores.groupBy(*key).agg((ordered_sum("score") / F.lit(float(n_models))).alias("score"))
 
 
 def weighted_fusion(scores: DataFrame, weights: dict[str, float], model: str = "model",
@@ -38,7 +49,7 @@ def weighted_fusion(scores: DataFrame, weights: dict[str, float], model: str = "
     key = key or KEY
     wmap = F.create_map(*[x for m, w in weights.items() for x in (F.lit(m), F.lit(float(w)))])
     w = F.coalesce(F.element_at(wmap, F.col(model)), F.lit(0.0))
-    return scores.groupBy(*key).agg(F.sum(w * F.col("score")).alias("score"))
+    return scores.groupBy(*key).agg(ordered_sum(w * F.col("score")).alias("score"))
 
 
 def oof_assemble(fold_scores: DataFrame, fold: str = "fold") -> DataFrame:
@@ -51,12 +62,12 @@ def oof_assemble(fold_scores: DataFrame, fold: str = "fold") -> DataFrame:
 def fold_average(scores: DataFrame, n_folds: int, key: list[str] | None = None) -> DataFrame:
     """A21 (test) / A22: sum over folds (or seeds, TTA repeats) divided by their number."""
     key = key or KEY
-    return scores.groupBy(*key).agg((F.sum("score") / F.lit(float(n_folds))).alias("score"))
+    return scores.groupBy(*key).agg((ordered_sum("score") / F.lit(float(n_folds))).alias("score"))
 
 
 def seed_average_oof(scores: DataFrame, seed: str = "seed") -> DataFrame:
     """A22 (OOF): mean over the seeds that actually produced a value for the pair."""
-    return scores.groupBy(*KEY).agg((F.sum("score") / F.countDistinct(seed)).alias("score"))
+    return scores.groupBy(*KEY).agg((ordered_sum("score") / F.countDistinct(seed)).alias("score"))
 
 
 def aspect_assemble(blocks: DataFrame, contract: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
 """Imports every query module so the registry is complete."""
 
-from annospark.plans import knn_queries, label_queries, ontology_queries  # noqa: F401
+from annospark.plans import knn_queries, label_queries, metric_queries, ontology_queries  # noqa: F401
 from annospark.plans.registry import REGISTRY  # noqa: F401

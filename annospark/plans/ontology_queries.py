@@ -29,7 +29,7 @@ INDUCED_CL = (
     "ianc(child, ancestor) AS (SELECT child, parent FROM ie UNION "
     "SELECT a.child, e.parent FROM ianc a JOIN ie e ON a.ancestor = e.child),\n"
     "icl AS (SELECT child AS term_id, ancestor FROM ianc UNION SELECT term_id, term_id FROM contract),\n"
-    "ens AS (SELECT entity_id, term_id, sum(score) / 3.0 AS score FROM scores GROUP BY 1, 2),\n"
+    "ens AS (SELECT entity_id, term_id, list_reduce(list_sort(list(score)), lambda a, b: a + b) / 3.0 AS score FROM scores GROUP BY 1, 2),\n"
     "sc AS (SELECT * FROM ens WHERE term_id IN (SELECT term_id FROM contract))")
 
 MAXP = "mx AS (SELECT sc.entity_id, cl.ancestor AS term_id, max(sc.score) AS score FROM sc JOIN icl cl " \
@@ -108,7 +108,7 @@ def q_adj(spark, d):
 
 
 @query("graph_smooth", "G7 G6 A19", sql=S.with_("edges", "ann", "ck", "scores", extra=CONTRACT_SQL + ",\n" +
-       ADJ + ",\nsc AS (SELECT entity_id, term_id, sum(score) / 3.0 AS score FROM scores WHERE term_id IN "
+       ADJ + ",\nsc AS (SELECT entity_id, term_id, list_reduce(list_sort(list(score)), lambda a, b: a + b) / 3.0 AS score FROM scores WHERE term_id IN "
        "(SELECT term_id FROM contract) GROUP BY 1, 2)") +
        "SELECT sc.entity_id, a.i AS term_id, round(sum(a.w * sc.score), 6) AS score FROM sc JOIN nadj a "
        "ON sc.term_id = a.j GROUP BY 1, 2")
@@ -151,7 +151,7 @@ def q_violations(spark, d):
        extra=CONTRACT_SQL + ",\n" + FULL_CL + ",\n"
        "pr AS (SELECT DISTINCT x.entity_id, cl.ancestor AS term_id, 1.0 AS prior FROM ext x JOIN cl "
        "ON x.term_id = cl.term_id WHERE x.evidence = 'IEA' AND cl.ancestor IN (SELECT term_id FROM contract)),\n"
-       "ens AS (SELECT entity_id, term_id, sum(score) / 3.0 AS score FROM scores GROUP BY 1, 2)") +
+       "ens AS (SELECT entity_id, term_id, list_reduce(list_sort(list(score)), lambda a, b: a + b) / 3.0 AS score FROM scores GROUP BY 1, 2)") +
        f"SELECT coalesce(e.entity_id, p.entity_id) AS entity_id, coalesce(e.term_id, p.term_id) AS term_id, "
        f"round(greatest(coalesce(e.score, 0.0), coalesce(p.prior * {PRIOR_WEIGHT}, 0.0)), 6) AS score "
        "FROM ens e FULL OUTER JOIN pr p ON e.entity_id = p.entity_id AND e.term_id = p.term_id")

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annospark.operators.ensemble import ordered_sum
+
 KEY = ["entity_id", "term_id"]
 
 
@@ -347,7 +349,7 @@ def subset_scores(scores: DataFrame, subsets: dict[str, list[str]], model: str =
     x = scores.select(*KEY, model, "score", F.explode(
         F.filter(arr, lambda s: F.array_contains(s["ms"], F.col(model)))).alias("s"))
     return x.groupBy(F.col("s.subset").alias("subset"), *KEY).agg(
-        (F.sum("score") / F.first("s.n")).alias("score"))
+        (ordered_sum("score") / F.first("s.n")).alias("score"))
 
 
 def ablation_leave_one_out(scores: DataFrame, truth: DataFrame, terms: DataFrame, ia: DataFrame,

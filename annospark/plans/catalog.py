@@ -1,4 +1,5 @@
 """Imports every query module so the registry is complete."""
 
-from annospark.plans import knn_queries, label_queries, metric_queries, ontology_queries  # noqa: F401
+from annospark.plans import (  # noqa: F401
+    knn_queries, label_queries, metric_queries, ontology_queries, submit_queries)
 from annospark.plans.registry import REGISTRY  # noqa: F401

@@ -48,6 +48,33 @@ def prf_sql(tp: str, p: str, t: str) -> str:
     return f"round({pr}, 6) AS precision, round({rc}, 6) AS recall, round({f1}, 6) AS f1"
 
 
+def model_cells_sql(subsets: dict[str, list[str]] | None = None) -> str:
+    """Per-model (or per-subset mean ensemble) cells ``mcells(model, ...)``."""
+    subsets = subsets or {m: [m] for m in MODELS}
+    blocks = []
+    for name, ms in subsets.items():
+        inl = ", ".join(f"'{m}'" for m in ms)
+        blocks.append(
+            f"SELECT '{name}' AS model, coalesce(e.entity_id, t.entity_id) AS entity_id, coalesce(e.term_id, "
+            "t.term_id) AS term_id, coalesce(e.score, 0.0) AS score, CASE WHEN t.entity_id IS NULL THEN 0 ELSE 1 "
+            "END AS y FROM (SELECT entity_id, term_id, list_reduce(list_sort(list(score)), lambda a, b: a + b) / "
+            f"{float(len(ms))} AS score FROM scores WHERE model IN ({inl}) GROUP BY 1, 2) e FULL OUTER JOIN tr t "
+            "ON e.entity_id = t.entity_id AND e.term_id = t.term_id")
+    return S.with_("scores", "truth", "terms", "ia", extra=(
+        "tr AS (SELECT DISTINCT entity_id, term_id FROM truth),\n"
+        "mc0 AS (" + " UNION ALL ".join(blocks) + "),\n"
+        "mcells AS (SELECT c.*, coalesce(tm.aspect, 'UNK') AS aspect, coalesce(ia.ia, 0.0) AS ia FROM mc0 c "
+        "LEFT JOIN terms tm ON c.term_id = tm.term_id LEFT JOIN ia ON c.term_id = ia.term_id)"))
+
+
+MODEL_BEST_SQL = (
+    ", gr AS (SELECT unnest({grid}) AS thr), cur AS (SELECT model, gr.thr, sum(CASE WHEN score >= thr AND y = 1 "
+    "THEN ia ELSE 0.0 END) AS w_tp, sum(CASE WHEN score >= thr THEN ia ELSE 0.0 END) AS w_pred, sum(CASE WHEN "
+    "y = 1 THEN ia ELSE 0.0 END) AS w_true FROM mcells, gr GROUP BY 1, 2), f AS (SELECT model, thr, {f1} AS f1 "
+    "FROM cur), b AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY f1 DESC, thr) AS rn FROM f), "
+    "best AS (SELECT model, thr AS best_thr, f1 AS best_f1 FROM b WHERE rn = 1) ")
+
+
 @query("ia_f1_pooled", "E1 A19 P8", sql=cells_sql() + (
        ", x AS (SELECT *, score >= coalesce(CASE aspect WHEN 'BP' THEN 0.2 WHEN 'MF' THEN 0.4 WHEN 'CC' THEN 0.4 "
        "END, 0.3) AS pred FROM cells), g AS (SELECT coalesce(aspect, 'ALL') AS aspect, "
@@ -261,14 +288,23 @@ def _model_cells(spark, d, m):
     return _cells(spark, d, scores=s)
 
 
-@query("comparison_report", "E19 E1", sql=None)
+@query("comparison_report", "E19 E1", sql=model_cells_sql() + (
+       ", x AS (SELECT *, score >= coalesce(CASE aspect WHEN 'BP' THEN 0.2 WHEN 'MF' THEN 0.4 WHEN 'CC' THEN 0.4 "
+       "END, 0.3) AS pred FROM mcells), g AS (SELECT model, coalesce(aspect, 'ALL') AS aspect, "
+       "sum(CASE WHEN pred AND y = 1 THEN ia ELSE 0.0 END) AS w_tp, sum(CASE WHEN pred THEN ia ELSE 0.0 END) "
+       "AS w_pred, sum(CASE WHEN y = 1 THEN ia ELSE 0.0 END) AS w_true FROM x GROUP BY GROUPING SETS ((model, "
+       "aspect), (model))), m AS (SELECT model, aspect, " + prf_sql("w_tp", "w_pred", "w_true") + " FROM g) ") +
+       "SELECT model, aspect, 'precision' AS metric, precision AS value FROM m UNION ALL SELECT model, aspect, "
+       "'recall', recall FROM m UNION ALL SELECT model, aspect, 'f1', f1 FROM m")
 def q_report(spark, d):
     res = {m: M.ia_f1_pooled(_model_cells(spark, d, m), THR) for m in MODELS}
     r = M.comparison_report(res, ["precision", "recall", "f1"])
     return r.select("model", "aspect", "metric", F.round("value", 6).alias("value"))
 
 
-@query("individual_model_scores", "E13 E7 E20", sql=None)
+@query("individual_model_scores", "E13 E7 E20", sql=model_cells_sql() + MODEL_BEST_SQL.format(
+       grid=_grid_sql(GRID), f1=_F1) + "SELECT model, best_thr, round(best_f1, 6) AS best_f1, CASE WHEN best_f1 > "
+       "0.05 THEN 'aligned' ELSE 'broken' END AS verdict FROM best")
 def q_individual(spark, d):
     parts = [M.best_threshold(M.threshold_curve(_model_cells(spark, d, m), GRID)).filter(F.col("aspect") == "ALL")
              .select(F.lit(m).alias("model"), "best_thr", "best_f1") for m in MODELS]
@@ -279,7 +315,14 @@ def q_individual(spark, d):
                     M.alignment_verdict(F.col("best_f1")).alias("verdict"))
 
 
-@query("ablation_leave_one_out", "E11 A19", sql=None)
+ABL = {"ALL_MODELS": MODELS, **{f"-{m}": [x for x in MODELS if x != m] for m in MODELS}}
+
+
+@query("ablation_leave_one_out", "E11 A19", sql=model_cells_sql(ABL) + MODEL_BEST_SQL.format(
+       grid=_grid_sql(GRID), f1=_F1) + ", fullf AS (SELECT best_f1 AS ff FROM best WHERE model = 'ALL_MODELS') "
+       "SELECT regexp_replace(model, '^-', '') AS removed, best_thr, round(best_f1, 6) AS best_f1, "
+       "round(best_f1 - ff, 6) AS delta, CASE WHEN model = 'ALL_MODELS' THEN 'full' WHEN best_f1 - ff < -0.001 THEN "
+       "'MVP' WHEN best_f1 - ff > 0.001 THEN 'confuser' ELSE 'neutral' END AS label FROM best, fullf")
 def q_ablation(spark, d):
     r = M.ablation_leave_one_out(S.scores(spark, d), S.truth(spark, d), S.terms(spark, d), S.ia(spark, d), MODELS,
                                  GRID)

@@ -1,5 +1,5 @@
 """Imports every query module so the registry is complete."""
 
 from annospark.plans import (  # noqa: F401
-    knn_queries, label_queries, metric_queries, ontology_queries, submit_queries, text_queries)
+    audit_queries, knn_queries, label_queries, metric_queries, ontology_queries, submit_queries, text_queries)
 from annospark.plans.registry import REGISTRY  # noqa: F401

@@ -1,9 +1,9 @@
 """Ontology graph operators.
 
-The closure is computed once with a semi-naive loop (each round joins only
-the newly found pairs to the edge list and anti-joins what is already
-known), each round cut from its lineage with a reliable checkpoint and
-appended to a closure table in the shared checkpoint folder.  Every
+The closure is computed once with a semi-naive, path-doubling loop (each
+round joins only the newly found pairs with the known pairs and anti-joins
+what is already known), each round appended to a closure table in the
+shared checkpoint folder, which also cuts the lineage.  Every
 propagation afterwards is a single join against the closure followed by a
 ``groupBy(entity, ancestor)`` aggregate — no per-level relaxation sweeps.
 """
@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annospark.session import bounded_broadcast, cut_lineage, ensure_checkpoint_dir
+from annospark.session import bounded_broadcast, ensure_checkpoint_dir
 
 # An ontology edge list is small next to annotation data (tens of thousands
 # of terms); it is broadcast only when its measured size is below this.
@@ -30,28 +30,32 @@ def ancestor_closure(edges: DataFrame, nodes: DataFrame | None = None,
     """
     spark = edges.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/closure-{uuid.uuid4().hex}"
-    e = cut_lineage(edges.select("child", "parent").distinct())
-    eb = bounded_broadcast(e, EDGE_BROADCAST_ROWS)
-    # The closure is a table written to the shared checkpoint folder: each
-    # round appends only the pairs not known yet, so the files are disjoint.
-    e.write.parquet(path)
-    delta = e
-    for _ in range(max_rounds):
+    # The closure is a table in the shared checkpoint folder, one partition
+    # per round.  Each round doubles path lengths (delta o known and
+    # known o delta) and appends only pairs not known yet, so it needs
+    # log2(depth) rounds and every file holds distinct pairs.
+    edges.select("child", "parent").distinct().withColumn("round", F.lit(0)) \
+        .write.partitionBy("round").parquet(path)
+    for k in range(1, max_rounds + 1):
         known = spark.read.parquet(path)
-        step = delta.alias("d").join(eb.alias("e"), F.col("d.parent") == F.col("e.child")) \
-            .select(F.col("d.child").alias("child"), F.col("e.parent").alias("parent")).distinct()
-        new = cut_lineage(step.join(known, ["child", "parent"], "left_anti"))
-        if new.isEmpty():
+        delta = known.filter(F.col("round") == k - 1).select("child", "parent")
+        kn = known.select("child", "parent")
+        a = delta.alias("d").join(kn.alias("r"), F.col("d.parent") == F.col("r.child")) \
+            .select(F.col("d.child").alias("child"), F.col("r.parent").alias("parent"))
+        b = kn.alias("r").join(delta.alias("d"), F.col("r.parent") == F.col("d.child")) \
+            .select(F.col("r.child").alias("child"), F.col("d.parent").alias("parent"))
+        new = a.unionByName(b).distinct().join(kn, ["child", "parent"], "left_anti")
+        new.withColumn("round", F.lit(k)).write.mode("append").partitionBy("round").parquet(path)
+        if spark.read.parquet(path).filter(F.col("round") == k).isEmpty():
             break
-        new.write.mode("append").parquet(path)
-        delta = new
     else:
         raise RuntimeError("ancestor closure did not converge (cycle or too deep)")
+    e = spark.read.parquet(path).filter(F.col("round") == 0)
     ids = e.select(F.explode(F.array("child", "parent")).alias("t"))
     if nodes is not None:
         ids = ids.unionByName(nodes.select(F.col("term_id").alias("t")))
-    ids.distinct().select(F.col("t").alias("child"), F.col("t").alias("parent")) \
-        .write.mode("append").parquet(path)
+    ids.distinct().select(F.col("t").alias("child"), F.col("t").alias("parent"), F.lit(-1).alias("round")) \
+        .write.mode("append").partitionBy("round").parquet(path)
     return spark.read.parquet(path).select(F.col("child").alias("term_id"), F.col("parent").alias("ancestor"))
 
 

@@ -60,7 +60,10 @@ def tfidf(docs: DataFrame, id_col: str, text_col: str, max_features: int, ngram_
     d = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     n_docs = d.agg(F.count("*")).scalar()
     folded = d.select("doc", strip_accents(F.lower("t")).alias("s"))
-    toks = folded.select("doc", F.explode(ngrams(tokens(F.col("s")), ngram_max)).alias("term"))
+    # tokens materialised once per document: the n-gram lambdas then index a
+    # column instead of re-running the tokenizer per position
+    tok = folded.select("doc", tokens(F.col("s")).alias("toks"))
+    toks = tok.select("doc", F.explode(ngrams(F.col("toks"), ngram_max)).alias("term"))
     tf = toks.groupBy("doc", "term").agg(F.count("*").alias("tf"))
     stat = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
     vocab = stat.filter(F.col("df") >= min_df).orderBy(F.col("total").desc(), F.col("term")).limit(max_features)

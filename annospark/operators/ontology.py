@@ -34,10 +34,14 @@ def ancestor_closure(edges: DataFrame, nodes: DataFrame | None = None,
     # per round.  Each round doubles path lengths (delta o known and
     # known o delta) and appends only pairs not known yet, so it needs
     # log2(depth) rounds and every file holds distinct pairs.
-    edges.select("child", "parent").distinct().withColumn("round", F.lit(0)) \
-        .write.partitionBy("round").parquet(path)
+    base = edges.select("child", "parent").distinct().withColumn("round", F.lit(0))
+    schema = base.schema  # explicit: an empty round writes no files to infer from
+    base.write.partitionBy("round").parquet(path)
+
+    def table():
+        return spark.read.schema(schema).parquet(path)
     for k in range(1, max_rounds + 1):
-        known = spark.read.parquet(path)
+        known = table()
         delta = known.filter(F.col("round") == k - 1).select("child", "parent")
         kn = known.select("child", "parent")
         a = delta.alias("d").join(kn.alias("r"), F.col("d.parent") == F.col("r.child")) \
@@ -46,17 +50,17 @@ def ancestor_closure(edges: DataFrame, nodes: DataFrame | None = None,
             .select(F.col("r.child").alias("child"), F.col("d.parent").alias("parent"))
         new = a.unionByName(b).distinct().join(kn, ["child", "parent"], "left_anti")
         new.withColumn("round", F.lit(k)).write.mode("append").partitionBy("round").parquet(path)
-        if spark.read.parquet(path).filter(F.col("round") == k).isEmpty():
+        if table().filter(F.col("round") == k).isEmpty():
             break
     else:
         raise RuntimeError("ancestor closure did not converge (cycle or too deep)")
-    e = spark.read.parquet(path).filter(F.col("round") == 0)
+    e = table().filter(F.col("round") == 0)
     ids = e.select(F.explode(F.array("child", "parent")).alias("t"))
     if nodes is not None:
         ids = ids.unionByName(nodes.select(F.col("term_id").alias("t")))
     ids.distinct().select(F.col("t").alias("child"), F.col("t").alias("parent"), F.lit(-1).alias("round")) \
         .write.mode("append").partitionBy("round").parquet(path)
-    return spark.read.parquet(path).select(F.col("child").alias("term_id"), F.col("parent").alias("ancestor"))
+    return table().select(F.col("child").alias("term_id"), F.col("parent").alias("ancestor"))
 
 
 def induced_edges(edges: DataFrame, terms: DataFrame) -> DataFrame:

@@ -22,20 +22,20 @@ def read_fasta(spark: SparkSession, path: str, with_row_idx: bool = True) -> Dat
     an empty id are skipped.  ``row_idx`` numbers records in file order."""
     raw = spark.read.option("lineSep", "\n>").text(path)
     rec = raw.select(F.regexp_replace("value", "^>", "").alias("r"),
-                     F.monotonically_increasing_id().alias("_mid"))
+                     F.monotonically_increasing_id().alias("_rec"))
     lines = F.split(F.col("r"), "\n", -1)
     header = F.trim(F.regexp_replace(lines.getItem(0), "\r$", ""))
     toks = F.split(header, "[ \t]+", -1)
     body = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
     seq = F.array_join(F.transform(body, lambda x: F.trim(F.regexp_replace(x, "[\r\t]", ""))), "")
     second = F.when(F.size(toks) > 1, toks.getItem(1))
-    out = rec.select("_mid", toks.getItem(0).alias("raw_id"),
+    out = rec.select("_rec", toks.getItem(0).alias("raw_id"),
                      F.coalesce(second.try_cast("int"), F.lit(0)).alias("taxon_id"),
                      header.alias("description"), seq.alias("sequence")) \
         .filter((F.col("raw_id").isNotNull()) & (F.col("raw_id") != ""))
     if with_row_idx:
-        out = stats.group_positions(out.withColumn("_g", F.lit(0)), ["_g"], ["_mid"], out="row_idx").drop("_g")
-    return out.drop("_mid")
+        out = stats.group_positions(out.withColumn("_g", F.lit(0)), ["_g"], ["_rec"], out="row_idx").drop("_g")
+    return out.drop("_rec")
 
 
 def fasta_header_stats(fasta: DataFrame, n: int) -> DataFrame:

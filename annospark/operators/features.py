@@ -126,3 +126,29 @@ def finite_gate(df: DataFrame, vec: str) -> DataFrame:
                      .when(F.col("max_abs") <= 0, F.raise_error(F.lit("feature block is all zeros")))
                      .otherwise(F.lit(True)).alias("ok"))
     return df.filter(bad.select("ok").scalar())
+
+
+def modality_importance(weights: DataFrame, layout: DataFrame) -> DataFrame:
+    """Mean |w| per feature column (over all terms), averaged per
+    modality range of the layout and normalised to percent.  ``weights`` is
+    long ``(term_id, pos, w)``; the layout has one row per modality, so the
+    range lookup is a broadcast of a few rows."""
+    col = weights.groupBy("pos").agg(F.avg(F.abs("w")).alias("mean_abs"))
+    j = col.join(F.broadcast(layout), (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end")))
+    per = j.groupBy("modality").agg(F.avg("mean_abs").alias("importance"))
+    total = per.agg(F.sum("importance")).scalar()
+    return per.withColumn("percent", F.col("importance") / total * 100.0)
+
+
+def length_bucket_order(df: DataFrame, length: F.Column, n_parts: int | None = None) -> DataFrame:
+    """Longest first — range-partition by length (descending) and sort
+    inside partitions, so every batch holds rows of similar length."""
+    n = n_parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = df.withColumn("_len", length)
+    return d.repartitionByRange(n, F.col("_len").desc()).sortWithinPartitions(F.col("_len").desc()) \
+        .withColumnRenamed("_len", "length")
+
+
+def largest_n(listing: DataFrame, n: int, size: str = "bytes") -> DataFrame:
+    """The ``n`` largest entries (size desc, path asc) — a top-n report."""
+    return listing.orderBy(F.col(size).desc(), F.col("path")).limit(n)

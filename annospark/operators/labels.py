@@ -337,3 +337,103 @@ def pairwise_overlap(lists: DataFrame, list_col: str, item_col: str) -> DataFram
 def ordered_dedup(df: DataFrame, key: str, pos: str) -> DataFrame:
     """Keep the first occurrence (lowest ``pos``) of every key."""
     return df.groupBy(key).agg(F.min(pos).alias(pos))
+
+
+# ---------------------------------------------------------------- contract audits
+# Verdict strings of the target-expansion audit.
+VERDICT_OK = "AUDIT VERDICT: STABLE FOR EXPERIMENTATION."
+VERDICT_REJECT = "CRITICAL AUDIT VERDICT: REJECT EXPANSION."
+
+
+def _ranked(counts: DataFrame) -> DataFrame:
+    c = counts.withColumn("_g", F.lit(0))
+    return stats.group_positions(c, ["_g"], [F.col("n").desc(), F.col("term_id")], out="rank0").drop("_g")
+
+
+def head_tail_audit(counts: DataFrame, ia: DataFrame, base_k: int, expanded_k: int, noise_floor: int) -> DataFrame:
+    """Split the frequency ranking (count desc, term asc) into the base
+    block (first ``base_k``) and the tail up to ``expanded_k``; tail count
+    statistics (mean, median, p10, p25 — linear), sums and IA sums of both,
+    the share of tail terms below the noise floor and the verdict (REJECT
+    when more than half of the tail is below the floor)."""
+    r = _ranked(counts).join(ia.select("term_id", F.col("ia").alias("_ia")), "term_id", "left")
+    r = r.withColumn("missing_ia", F.col("_ia").isNull()).withColumn("ia", F.coalesce("_ia", F.lit(0.0)))
+    n_terms = r.agg(F.count("*")).scalar()
+    r = r.withColumn("part", F.when(F.col("rank0") < base_k, "base")
+                     .when(F.col("rank0") < expanded_k, "tail"))
+    b = r.filter(F.col("part") == "base").agg(F.min("n").alias("base_min_count"),
+                                              F.sum("n").cast("double").alias("sum_counts_base"),
+                                              F.sum("ia").alias("ia_sum_base"))
+    tail = r.filter(F.col("part") == "tail")
+    t = tail.agg(F.count("*").alias("tail_k"), F.max("n").alias("tail_max_count"),
+                 F.min("n").alias("tail_min_count"), F.avg("n").alias("tail_mean_count"),
+                 F.sum("n").cast("double").alias("sum_counts_tail"), F.sum("ia").alias("ia_sum_tail"),
+                 F.count_if(F.col("n") < noise_floor).alias("tail_below_noise_n"))
+    q = stats.exact_quantiles(tail.select(F.col("n").cast("double").alias("n")), "n",
+                              {"tail_median_count": 0.5, "tail_p10_count": 0.1, "tail_p25_count": 0.25})
+    miss = r.agg(F.count_if("missing_ia").alias("missing_ia_terms_n"))
+    out = b.select("*", *[t.select(c).scalar().alias(c) for c in t.columns],
+                   *[q.select(c).scalar().alias(c) for c in q.columns], miss.scalar().alias("missing_ia_terms_n"))
+    return out.select(
+        n_terms.alias("total_terms_available"), "*",
+        (F.col("sum_counts_tail") / F.col("sum_counts_base")).alias("sum_counts_tail_over_base"),
+        (F.col("ia_sum_tail") / F.col("ia_sum_base")).alias("ia_tail_over_base"),
+        (F.col("tail_below_noise_n") / F.greatest(F.col("tail_k"), F.lit(1))).alias("tail_below_noise_frac"),
+        F.when(F.col("tail_below_noise_n") > F.col("tail_k") / 2, F.lit(VERDICT_REJECT))
+        .otherwise(F.lit(VERDICT_OK)).alias("verdict"))
+
+
+def elite_breakdown(counts: DataFrame, noise_floor: int, at_rank: int) -> DataFrame:
+    """Per aspect the number of elite (``n >= noise_floor``) and rare
+    terms, their annotation shares, p50 / p90 counts of each group, and the
+    cumulative annotation coverage of the global ranking at ``at_rank``."""
+    r = _ranked(counts)
+    total = r.agg(F.sum("n")).scalar()
+    cover = r.filter(F.col("rank0") < at_rank).agg((F.sum("n") / total).alias("coverage_at_rank")).scalar()
+    g = r.withColumn("group", F.when(F.col("n") >= noise_floor, "elite").otherwise("rare"))
+    agg = g.groupBy("aspect", "group").agg(F.count("*").alias("terms"), F.sum("n").alias("annotations"))
+    q = stats.exact_quantiles(g.select("aspect", "group", F.col("n").cast("double").alias("n")), "n",
+                              {"p50": 0.5, "p90": 0.9}, by=["aspect", "group"])
+    share = F.col("annotations") / F.sum("annotations").over(Window.partitionBy("aspect"))
+    return agg.join(q, ["aspect", "group"]).select("aspect", "group", "terms", "annotations",
+                                                   share.alias("share"), "p50", "p90",
+                                                   cover.alias("coverage_at_rank"))
+
+
+def contract_guards(contract: DataFrame, labels: DataFrame, entities: DataFrame,
+                    expected: dict[str, int]) -> DataFrame:
+    """One row of contract checks — total / per-aspect sizes vs expected,
+    duplicate ids, contiguous per-aspect column blocks, aspects without any
+    label, entities without any in-contract label (warn above 1000) — with
+    ``ok``.  ``raise_if_bad`` turns it into a failing job."""
+    c = contract.select("term_id", "aspect", "col_idx")
+    per = c.groupBy("aspect").agg(F.count("*").alias("n"), F.min("col_idx").alias("lo"),
+                                  F.max("col_idx").alias("hi"))
+    blocks_ok = per.agg(F.bool_and(F.col("hi") - F.col("lo") + 1 == F.col("n"))).scalar()
+    sizes_ok = per.agg(F.bool_and(F.coalesce(F.col("n") == F.element_at(
+        F.create_map(*[x for a, k in expected.items() for x in (F.lit(a), F.lit(k))]), F.col("aspect")),
+        F.lit(False)))).scalar()
+    dups = c.groupBy("term_id").count().agg(F.count_if(F.col("count") > 1)).scalar()
+    in_scope = labels.select("entity_id", "term_id").join(c, "term_id")
+    zero_aspects = per.join(in_scope.select("aspect").distinct(), "aspect", "left_anti").agg(F.count("*")).scalar()
+    zero_entities = entities.select("entity_id").distinct().join(in_scope.select("entity_id").distinct(),
+                                                                 "entity_id", "left_anti").agg(F.count("*")).scalar()
+    out = c.agg(F.count("*").alias("terms")).select(
+        "terms", sizes_ok.alias("sizes_ok"), blocks_ok.alias("blocks_ok"), dups.alias("duplicate_ids"),
+        zero_aspects.alias("zero_label_aspects"), zero_entities.alias("zero_label_entities"))
+    ok = (F.col("terms") > 0) & F.col("sizes_ok") & F.col("blocks_ok") & (F.col("duplicate_ids") == 0) \
+        & (F.col("zero_label_aspects") == 0)
+    return out.withColumn("ok", ok).withColumn("warn_zero_label_entities", F.col("zero_label_entities") > 1000)
+
+
+def raise_if_bad(guards: DataFrame) -> DataFrame:
+    """Fail the job when a guard row is not ``ok``."""
+    return guards.withColumn("ok", F.when(F.col("ok"), F.lit(True))
+                             .otherwise(F.raise_error(F.lit("contract guard failed"))))
+
+
+def random_row_sample(df: DataFrame, n: int, seed: int, id_col: str) -> DataFrame:
+    """``n`` rows without replacement, deterministic for a seed (hash
+    order, not numpy's generator), returned sorted by id.  The limit is the
+    feature; Spark plans it as a per-partition top-n then a final merge."""
+    return df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)).limit(n).orderBy(id_col)

@@ -146,3 +146,25 @@ def contract_from_json_list(spark: SparkSession, doc: str, aspects: dict[str, st
     terms = json.loads(doc)
     rows = [(i, t, (aspects or {}).get(t, "UNK")) for i, t in enumerate(terms)]
     return spark.createDataFrame(rows, "col_idx int, term_id string, aspect string")
+
+
+# The curated-record TSV columns (header names as exported).
+UNIPROT_COLUMNS = {
+    "Entry": "accession", "Protein names": "protein_name", "Organism": "organism_name", "Keywords": "keywords",
+    "Protein families": "protein_families", "Function [CC]": "cc_function",
+    "Subcellular location [CC]": "cc_subcellular_location", "PubMed ID": "pubmed_ids",
+}
+
+
+def read_uniprot_tsv(spark: SparkSession, path: str) -> DataFrame:
+    """Curated-record TSV with a header -> the eight fields (trimmed),
+    ``pubmed_ids`` parsed with P5 (digits only, order kept, first occurrence
+    wins); rows with a blank accession are skipped."""
+    from annospark.functions.keys import parse_id_list
+    df = spark.read.csv(path, sep="\t", header=True, inferSchema=False, quote="")
+    cols = []
+    for src, dst in UNIPROT_COLUMNS.items():
+        c = F.trim(F.col(f"`{src}`")) if src in df.columns else F.lit("")
+        cols.append(F.coalesce(c, F.lit("")).alias(dst))
+    out = df.select(*cols).filter(F.col("accession") != "")
+    return out.withColumn("pubmed_ids", F.array_distinct(parse_id_list(F.col("pubmed_ids"))))

@@ -54,7 +54,7 @@ def q_closure(spark, d):
     return G.ancestor_closure(S.edges(spark, d), nodes=S.terms(spark, d))
 
 
-@query("propagate_annotations", "G2 G1 P7", sql=_rec("edges", "ext", "ann", "ck",
+@query("propagate_annotations", "G2 G1 P7 U2", sql=_rec("edges", "ext", "ann", "ck",
        extra=CONTRACT_SQL + ",\n" + FULL_CL) +
        "SELECT DISTINCT x.entity_id, cl.ancestor AS term_id, 1.0 AS score FROM ext x JOIN cl "
        "ON x.term_id = cl.term_id WHERE x.evidence = 'IEA' AND cl.ancestor IN (SELECT term_id FROM contract)")

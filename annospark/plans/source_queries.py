@@ -119,3 +119,66 @@ def q_inventory(spark, d):
     present = listing.select(F.regexp_extract("path", "([^/]+)\\.parquet$", 1).alias("name"), "length")
     required = spark.createDataFrame([(t,) for t in S.TABLES] + [("go_basic_obo",)], "name string")
     return A.artefact_inventory(required, present)
+
+
+@query("annotations_tsv_roundtrip", "S6 U6", sql=S.with_("ann") + "SELECT CAST(entity_id AS VARCHAR) AS entity_id, "
+       "term_id, aspect FROM ann")
+def q_ann_tsv(spark, d):
+    path = scratch(spark, "ann-tsv")
+    a = S.annotations(spark, d)
+    a.select(F.col("entity_id").cast("string").alias("EntryID"), F.col("term_id").alias("term"), "aspect") \
+        .write.csv(path, sep="\t", header=True)  # every part file starts with the header line
+    return tables.read_annotations(spark, path)
+
+
+@query("taxonomy_tsv_roundtrip", "S7 J4", sql=S.with_("tax") +
+       "SELECT CAST(entity_id AS VARCHAR) AS entity_id, CAST(taxon_id AS VARCHAR) AS taxon_id FROM tax")
+def q_tax_tsv(spark, d):
+    path = scratch(spark, "tax-tsv")
+    t = S.taxonomy(spark, d)
+    t.select(F.concat_ws("\t", F.col("entity_id").cast("string"), F.col("taxon_id").cast("string")).alias("value")) \
+        .write.text(path)
+    return tables.read_taxonomy(spark, path)
+
+
+@query("ia_tsv_roundtrip", "S8 J1", sql=S.with_("ia") + "SELECT term_id, round(ia, 6) AS ia FROM ia")
+def q_ia_tsv(spark, d):
+    path = scratch(spark, "ia-tsv")
+    ia = S.ia(spark, d)
+    hdr = spark.createDataFrame([("term\tia",)], "value string")
+    hdr.unionByName(ia.select(F.concat_ws("\t", "term_id", F.col("ia").cast("string")).alias("value"))) \
+        .write.text(path)
+    r = tables.read_ia(spark, path)
+    return r.select("term_id", F.round("ia", 6).alias("ia"))
+
+
+@query("term_counts_sniff", "S9 A1", sql=S.with_("ann") + "SELECT term_id, count(*) AS n FROM ann GROUP BY 1")
+def q_counts_sniff(spark, d):
+    path = scratch(spark, "counts")
+    c = S.annotations(spark, d).groupBy("term_id").agg(F.count("*").alias("Count"))
+    c.select(F.col("term_id").alias("Term"), "Count").write.parquet(path)
+    return tables.select_term_counts(spark.read.parquet(path))
+
+
+@query("embedding_modality_scan", "S10 F1", sql=(
+       "SELECT vec_id AS entity_id, CAST(unnest(range(16)) AS INTEGER) AS pos, round(CAST(unnest(embedding[1:16]) AS "
+       "DOUBLE), 6) AS value FROM embeddings"))
+def q_modality_scan(spark, d):
+    path = scratch(spark, "emb")
+    e = S.table(spark, d, "embeddings")
+    full = e.select(F.col("vec_id").alias("entity_id"), F.lit("full").alias("modality"), F.col("embedding").alias("vec"))
+    small = e.select(F.col("vec_id").alias("entity_id"), F.lit("small").alias("modality"),
+                     F.slice("embedding", 1, 16).alias("vec"))
+    full.unionByName(small).write.partitionBy("modality").parquet(path)
+    v = tables.read_embeddings(spark, path, "small")
+    return v.select("entity_id", F.posexplode("vec").alias("pos", "value")) \
+        .select("entity_id", "pos", F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+@query("stage_skip_if_exists", "S13 A1", sql=S.with_("ann") + "SELECT term_id, count(*) AS n FROM ann GROUP BY 1")
+def q_stage(spark, d):
+    path = scratch(spark, "stage")
+    tables.write_stage(S.annotations(spark, d).groupBy("term_id").agg(F.count("*").alias("n")), path)
+    # a second run finds the completed stage and reuses it instead of recomputing
+    again = tables.write_stage(S.annotations(spark, d).limit(0).groupBy("term_id").agg(F.count("*").alias("n")), path)
+    return again if again.count() == first.count() else first

@@ -179,6 +179,6 @@ def q_modality_scan(spark, d):
 def q_stage(spark, d):
     path = scratch(spark, "stage")
     tables.write_stage(S.annotations(spark, d).groupBy("term_id").agg(F.count("*").alias("n")), path)
-    # a second run finds the completed stage and reuses it instead of recomputing
-    again = tables.write_stage(S.annotations(spark, d).limit(0).groupBy("term_id").agg(F.count("*").alias("n")), path)
-    return again if again.count() == first.count() else first
+    # a rerun finds the completed stage and returns it instead of writing its
+    # (here deliberately empty) input: the result must equal the first run
+    return tables.write_stage(S.annotations(spark, d).limit(0).groupBy("term_id").agg(F.count("*").alias("n")), path)

@@ -124,7 +124,8 @@ def threshold_curve(c: DataFrame, grid: list[float], by: list[str] | None = None
 def best_threshold(curve: DataFrame, by: list[str] | None = None) -> DataFrame:
     """First strict maximum of F1 (lowest threshold on ties)."""
     by = by or []
-    w = Window.partitionBy(*by, "aspect").orderBy(F.col("f1").desc(), F.col("thr").asc())
+    # ties are judged on F1 rounded to 1e-12 so float summation noise cannot break them
+    w = Window.partitionBy(*by, "aspect").orderBy(F.round("f1", 12).desc(), F.col("thr").asc())
     return curve.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1) \
         .select(*by, "aspect", F.col("thr").alias("best_thr"), F.col("f1").alias("best_f1"))
 

@@ -57,7 +57,7 @@ def tune_k(neigh: DataFrame, labels: DataFrame, ks: list[int], thr: float, n_que
         .agg((F.sum("sim") / F.first("denom")).alias("score"))
     pred = s.filter(F.col("score") >= thr).select("k", F.col("query_id").alias("entity_id"), "term_id", "aspect")
     res = _per_entity_f1(pred, labels, ["k"], n_queries)
-    w = Window.partitionBy("aspect").orderBy(F.col("f1").desc(), F.col("k"))
+    w = Window.partitionBy("aspect").orderBy(F.round("f1", 12).desc(), F.col("k"))
     return res.withColumn("is_best", F.row_number().over(w) == 1)
 
 
@@ -81,7 +81,7 @@ def grid_search_weights(scores: DataFrame, truth: DataFrame, terms: DataFrame, m
     combos = wide.sparkSession.createDataFrame(
         [(i, *c) for i, c in enumerate(grid)], "combo int, " + ", ".join(f"w_{m} double" for m in models))
     full = combos.join(res.select("combo", "f1"), "combo", "left").fillna(0.0, subset=["f1"])
-    w = Window.orderBy(F.col("f1").desc(), F.col("combo"))
+    w = Window.orderBy(F.round("f1", 12).desc(), F.col("combo"))
     return full.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 
@@ -123,7 +123,7 @@ def sweep_k_thresholds(neigh: DataFrame, labels: DataFrame, ks: list[int], grids
     fn = sum(F.col(f"fn_{a}") for a in grids)
     f1 = F.when(2 * tp + fp + fn > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(0.0)
     combo = combo.withColumn("f1", f1)
-    w = Window.partitionBy("k").orderBy(F.col("f1").desc(), *[F.col(f"thr_{a.lower()}") for a in grids])
+    w = Window.partitionBy("k").orderBy(F.round("f1", 12).desc(), *[F.col(f"thr_{a.lower()}") for a in grids])
     return combo.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1) \
         .select("k", *[f"thr_{a.lower()}" for a in grids], "f1")
 
@@ -153,9 +153,9 @@ def greedy_forward_selection(scores: DataFrame, truth: DataFrame, terms: DataFra
         res = sorted(res, key=lambda r: r["subset"])
         top = None
         for r in res:
-            if top is None or r["best_f1"] > top["best_f1"]:
+            if top is None or round(r["best_f1"], 12) > round(top["best_f1"], 12):
                 top = r
-        if top is None or top["best_f1"] <= best:
+        if top is None or round(top["best_f1"], 12) <= round(best, 12):
             break
         best = top["best_f1"]
         chosen.append(top["subset"])

@@ -71,7 +71,7 @@ MODEL_BEST_SQL = (
     ", gr AS (SELECT unnest({grid}) AS thr), cur AS (SELECT model, gr.thr, sum(CASE WHEN score >= thr AND y = 1 "
     "THEN ia ELSE 0.0 END) AS w_tp, sum(CASE WHEN score >= thr THEN ia ELSE 0.0 END) AS w_pred, sum(CASE WHEN "
     "y = 1 THEN ia ELSE 0.0 END) AS w_true FROM mcells, gr GROUP BY 1, 2), f AS (SELECT model, thr, {f1} AS f1 "
-    "FROM cur), b AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY f1 DESC, thr) AS rn FROM f), "
+    "FROM cur), b AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY round(f1, 12) DESC, thr) AS rn FROM f), "
     "best AS (SELECT model, thr AS best_thr, f1 AS best_f1 FROM b WHERE rn = 1) ")
 
 
@@ -106,7 +106,7 @@ def q_curve(spark, d):
 
 
 BEST_SQL = (", f AS (SELECT aspect, thr, {f1} AS f1 FROM cur), b AS (SELECT aspect, thr, f1, row_number() OVER "
-            "(PARTITION BY aspect ORDER BY f1 DESC, thr) AS rn FROM f) ")
+            "(PARTITION BY aspect ORDER BY round(f1, 12) DESC, thr) AS rn FROM f) ")
 _F1 = ("(CASE WHEN (CASE WHEN w_pred > 0 THEN w_tp / w_pred ELSE 0.0 END) + (CASE WHEN w_true > 0 THEN "
        "w_tp / w_true ELSE 0.0 END) > 0 THEN 2 * (CASE WHEN w_pred > 0 THEN w_tp / w_pred ELSE 0.0 END) * "
        "(CASE WHEN w_true > 0 THEN w_tp / w_true ELSE 0.0 END) / ((CASE WHEN w_pred > 0 THEN w_tp / w_pred ELSE "
@@ -242,7 +242,7 @@ def q_e6(spark, d):
        "AS np, sum(CASE WHEN wt > 0 THEN wtp / wt ELSE 0.0 END) AS sr FROM e GROUP BY 1, 2), "
        "pr AS (SELECT cur.aspect, thr, CASE WHEN np > 0 THEN sp / np ELSE 0.0 END AS p, sr / nt.n AS r FROM cur "
        "JOIN nt ON cur.aspect = nt.aspect), ff AS (SELECT aspect, thr, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) "
-       "ELSE 0.0 END AS f FROM pr), b AS (SELECT *, row_number() OVER (PARTITION BY aspect ORDER BY f DESC, thr) "
+       "ELSE 0.0 END AS f FROM pr), b AS (SELECT *, row_number() OVER (PARTITION BY aspect ORDER BY round(f, 12) DESC, thr) "
        "AS rn FROM ff), asp AS (SELECT * FROM (VALUES ('BP'), ('MF'), ('CC')) t(aspect)), "
        "full_ AS (SELECT asp.aspect, b.thr, coalesce(b.f, 0.0) AS fmax FROM asp LEFT JOIN (SELECT * FROM b WHERE "
        "rn = 1) b ON asp.aspect = b.aspect) ") +

@@ -144,7 +144,7 @@ PF1_SQL = (
        "ON nk.base_id = l.entity_id JOIN dk ON dk.k = nk.k AND dk.query_id = nk.query_id GROUP BY 1, 2, 3, 4), "
        "pred AS (SELECT k, query_id AS entity_id, term_id, aspect FROM sc WHERE score >= 0.2)") +
        PF1_SQL.format(by="k", n="(SELECT count(*) FROM embeddings)") +
-       "SELECT k, aspect, round(f1, 6) AS f1, row_number() OVER (PARTITION BY aspect ORDER BY f1 DESC, k) = 1 AS "
+       "SELECT k, aspect, round(f1, 6) AS f1, row_number() OVER (PARTITION BY aspect ORDER BY round(f1, 12) DESC, k) = 1 AS "
        "is_best FROM res")
 def q_tune_k(spark, d):
     n = S.table(spark, d, "embeddings").count()
@@ -171,7 +171,7 @@ WEIGHT_GRID = SEL.simplex_grid(3, 11)
        .replace("LEFT JOIN tr t", "LEFT JOIN tr0 t").format(by="combo", n="(SELECT count(*) FROM orders)") +
        ", full_ AS (SELECT w.*, coalesce(res.f1, 0.0) AS f1 FROM w LEFT JOIN (SELECT * FROM res WHERE aspect = 'ALL') "
        "res ON w.combo = res.combo) SELECT CAST(combo AS INTEGER) AS combo, w_m1, w_m2, w_m3, round(f1, 6) AS f1, "
-       "CAST(row_number() OVER (ORDER BY f1 DESC, combo) AS INTEGER) AS rank FROM full_ QUALIFY rank <= 5")
+       "CAST(row_number() OVER (ORDER BY round(f1, 12) DESC, combo) AS INTEGER) AS rank FROM full_ QUALIFY rank <= 5")
 def q_grid_weights(spark, d):
     n = S.entities(spark, d).count()
     r = SEL.grid_search_weights(S.scores(spark, d), S.truth(spark, d), S.terms(spark, d), MODELS, 11, 0.5, n)
@@ -199,7 +199,7 @@ def q_grid_weights(spark, d):
        "c.aspect = 'CC'), f AS (SELECT *, CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0.0 "
        "END AS f1 FROM combo) ") +
        "SELECT CAST(k AS INTEGER) AS k, thr_bp, thr_mf, thr_cc, round(f1, 6) AS f1 FROM f QUALIFY row_number() OVER "
-       "(PARTITION BY k ORDER BY f1 DESC, thr_bp, thr_mf, thr_cc) = 1")
+       "(PARTITION BY k ORDER BY round(f1, 12) DESC, thr_bp, thr_mf, thr_cc) = 1")
 def q_sweep(spark, d):
     r = SEL.sweep_k_thresholds(_neigh(spark, d, max(SWEEP_KS)), _labels(spark, d), SWEEP_KS,
                                {"BP": SWEEP_GRID, "MF": SWEEP_GRID, "CC": SWEEP_GRID})

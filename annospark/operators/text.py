@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from annospark.functions import stats
+from annospark.session import spread
 
 TOKEN_RE = "[\\p{L}\\p{N}_]{2,}"
 _COMBINING = None
@@ -36,7 +37,8 @@ def _combining_table():
 def strip_accents(s: pd.Series) -> pd.Series:
     """NFKD-decompose and drop combining marks (per Arrow batch)."""
     table = _combining_table()
-    return s.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).translate(table))
+    return s.map(lambda t: None if t is None else t if t.isascii()
+                 else unicodedata.normalize("NFKD", t).translate(table))
 
 
 def tokens(text: Column) -> Column:
@@ -44,9 +46,15 @@ def tokens(text: Column) -> Column:
 
 
 def ngrams(toks: Column, n_max: int) -> Column:
-    """All 1..n_max-grams of a token array, joined by single spaces."""
+    """All 1..n_max-grams of a token array, joined by single spaces.
+    ``toks`` should be a column reference (the lambdas index it)."""
     out = toks
-    for n in range(2, n_max + 1):
+    if n_max >= 2:
+        m = F.size(toks) - 1
+        bi = F.zip_with(F.slice(toks, 1, F.greatest(m, F.lit(1))), F.slice(toks, 2, F.greatest(m, F.lit(1))),
+                        lambda a, b: F.concat(a, F.lit(" "), b))
+        out = F.concat(out, F.when(m >= 1, bi).otherwise(F.array().cast("array<string>")))
+    for n in range(3, n_max + 1):
         m = F.size(toks) - n + 1
         g = F.transform(F.sequence(F.lit(1), F.greatest(m, F.lit(1))),
                         lambda i: F.array_join(F.slice(toks, i, n), " "))
@@ -58,7 +66,8 @@ def tfidf(docs: DataFrame, id_col: str, text_col: str, max_features: int, ngram_
           min_df: int = 2) -> DataFrame:
     """long TF-IDF ``(id, term, col_idx, value)`` fitted on all of ``docs``."""
     d = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    n_docs = d.agg(F.count("*")).scalar()
+    n_docs = docs.agg(F.count("*")).scalar()
+    d = spread(d)  # tokenising is CPU-heavy: use every core even for a few input splits
     folded = d.select("doc", strip_accents(F.lower("t")).alias("s"))
     # tokens materialised once per document: the n-gram lambdas then index a
     # column instead of re-running the tokenizer per position

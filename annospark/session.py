@@ -73,6 +73,15 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
+def spread(df: DataFrame, min_parts: int | None = None) -> DataFrame:
+    """Round-robin repartition only when the input has fewer partitions than
+    the cluster has cores (a few large files, e.g. a small text corpus in a
+    handful of row groups).  Inputs that already span the cluster are left
+    alone, so at scale this adds no shuffle."""
+    target = min_parts or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def fixed_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small parameter table (thresholds, grids, k per aspect)."""
     return spark.createDataFrame(rows, schema)

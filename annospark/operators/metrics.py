@@ -99,23 +99,23 @@ def threshold_curve(c: DataFrame, grid: list[float], by: list[str] | None = None
 
     Output ``(aspect, thr, precision, recall, f1, w_tp, w_pred, w_true)`` for
     each aspect (and ``ALL``), plus any extra ``by`` columns (e.g. a model or
-    fold)."""
+    fold).  The cells are read once: each cell is counted for its own aspect
+    and for ``ALL`` (a two-way generate), bucketed by the number of grid
+    thresholds it clears and summed into a tiny histogram; expanding a bucket
+    to its grid positions (plus position -1 carrying the totals) happens on
+    that histogram only."""
     by = by or []
-    x = c.select(*by, "aspect", "ia", "y", grid_bucket(F.col("score"), grid).alias("b"))
+    asp = F.array(F.col("aspect"), F.lit("ALL")) if include_all else F.array(F.col("aspect"))
+    x = c.select(*by, F.explode(asp).alias("aspect"), "ia", "y", grid_bucket(F.col("score"), grid).alias("b"))
     hist = x.groupBy(*by, "aspect", "b").agg(
         F.sum("ia").alias("wp"), F.sum(F.when(F.col("y") == 1, F.col("ia")).otherwise(0.0)).alias("wt"))
-    if include_all:
-        hist = hist.unionByName(hist.groupBy(*by, "b").agg(F.sum("wp").alias("wp"), F.sum("wt").alias("wt"))
-                                .withColumn("aspect", F.lit("ALL")))
-    true = hist.groupBy(*by, "aspect").agg(F.sum("wt").alias("w_true"))
-    # a cell in bucket b is predicted at grid positions 0..b-1
-    ex = hist.filter(F.col("b") > 0).select(*by, "aspect", "wp", "wt",
-                                             F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("g"))
+    # a cell in bucket b is predicted at grid positions 0..b-1; position -1 sums everything
+    ex = hist.select(*by, "aspect", "wp", "wt", F.explode(F.sequence(F.lit(-1), F.col("b") - 1)).alias("g"))
     cur = ex.groupBy(*by, "aspect", "g").agg(F.sum("wp").alias("w_pred"), F.sum("wt").alias("w_tp"))
+    true = cur.filter(F.col("g") == -1).select(*by, "aspect", F.col("w_tp").alias("w_true"))
     thr = F.array(*[F.lit(float(t)) for t in grid])
-    grid_df = true.select(*by, "aspect", "w_true",
-                          F.posexplode(thr).alias("g", "thr"))
-    j = grid_df.join(cur, [*by, "aspect", "g"], "left").fillna(0.0, subset=["w_pred", "w_tp"])
+    grid_df = true.select(*by, "aspect", "w_true", F.posexplode(thr).alias("g", "thr"))
+    j = grid_df.join(cur.filter(F.col("g") >= 0), [*by, "aspect", "g"], "left").fillna(0.0, subset=["w_pred", "w_tp"])
     p, r, f = _prf(F.col("w_tp"), F.col("w_pred"), F.col("w_true"))
     return j.select(*by, "aspect", "thr", p.alias("precision"), r.alias("recall"), f.alias("f1"),
                     "w_tp", "w_pred", "w_true")

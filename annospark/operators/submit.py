@@ -12,10 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Submission rules — at most 1500 terms per entity, free-text
-# rows of at most 3000 characters (descriptions cut at 2900 -> 2897 + "..."),
+# Submission rules — at most 1500 terms per entity, at most 5
+# free-text rows per entity, free-text rows of at most 3000 characters (descriptions cut at 2900 -> 2897 + "..."),
 # scores clamped to [0.001, 1].
 MAX_TERMS = 1500
+MAX_TEXT_ROWS = 5
 TEXT_MAX = 3000
 DESC_CUT = 2900
 SCORE_FLOOR = 0.001
@@ -124,7 +125,8 @@ def audit_submission_lines(lines: DataFrame) -> DataFrame:
 def validate_submission(rows: DataFrame, desc: DataFrame | None = None, max_terms: int = MAX_TERMS) -> DataFrame:
     """One violation table ``(rule, entity_id, term_id, detail)``: score
     outside (0, 1], more than ``max_terms`` per entity, duplicate pair, bad
-    GO id, text rows longer than 3000 characters or not printable ASCII."""
+    GO id, more than 5 text rows per entity, text rows longer than 3000
+    characters or not printable ASCII."""
     r = rows.select("entity_id", "term_id", "score")
     bad_score = r.filter(~((F.col("score") > 0) & (F.col("score") <= 1))).select(
         F.lit("score_range").alias("rule"), "entity_id", "term_id",
@@ -146,7 +148,10 @@ def validate_submission(rows: DataFrame, desc: DataFrame | None = None, max_term
         non_ascii = desc.filter(F.col("description").rlike("[^\\x20-\\x7E]")).select(
             F.lit("text_not_ascii").alias("rule"), "entity_id", F.lit(None).cast("string").alias("term_id"),
             F.lit(None).cast("string").alias("detail"))
-        out = out.unionByName(long_).unionByName(non_ascii)
+        many_text = desc.groupBy("entity_id").agg(F.count("*").alias("n")).filter(F.col("n") > MAX_TEXT_ROWS) \
+            .select(F.lit("too_many_text_rows").alias("rule"), "entity_id", F.lit(None).cast("string").alias("term_id"),
+                    F.col("n").cast("string").alias("detail"))
+        out = out.unionByName(long_).unionByName(non_ascii).unionByName(many_text)
     return out
 
 

@@ -73,3 +73,30 @@ def test_record_tsv(spark, tmpdir_path):
     r = tables.read_uniprot_tsv(spark, p).collect()
     assert len(r) == 1 and r[0]["accession"] == "P1" and r[0]["pubmed_ids"] == ["12", "7"]
     assert r[0]["keywords"] == ""
+
+
+def test_stage_manifest_and_inventory(spark, tmpdir_path):
+    _write(tmpdir_path, "a.parquet", "x")
+    listing = spark.read.format("binaryFile").load(tmpdir_path).select("path", "length", "modificationTime")
+    m = A.stage_manifest(listing, "parsed", "note").first()
+    assert m["stage"] == "parsed" and m["bytes"] == 1 and m["ts_utc"].endswith("Z")
+    present = listing.select(F.regexp_extract("path", "([^/]+)\\.parquet$", 1).alias("name"), "length")
+    req = spark.createDataFrame([("a",), ("b",)], "name string")
+    got = {r["name"]: r["exists"] for r in A.artefact_inventory(req, present).collect()}
+    assert got == {"a": True, "b": False}
+
+
+def test_resolve_alt_ids(spark):
+    from annospark.functions import keys
+    terms = spark.createDataFrame([("GO:1",), ("GO:9",), ("GO:7",)], "term_id string")
+    alt = spark.createDataFrame([("GO:9", "GO:2")], "alt_id string, term_id string")
+    got = {r["term_id"]: (r["resolved"], r["was_alt"]) for r in keys.resolve_alt_ids(terms, alt).collect()}
+    assert got == {"GO:1": ("GO:1", False), "GO:9": ("GO:2", True), "GO:7": ("GO:7", False)}
+
+
+def test_text_row_limit(spark):
+    from annospark.operators import submit as U
+    rows = spark.createDataFrame([(1, "GO:0000001", 0.5)], "entity_id int, term_id string, score double")
+    desc = spark.createDataFrame([(1, "ok", 0.5)] * 6, "entity_id int, description string, score double")
+    rules = [r["rule"] for r in U.validate_submission(rows, desc).collect()]
+    assert rules == ["too_many_text_rows"]

@@ -88,21 +88,26 @@ def global_top_k(counts: DataFrame, k: int, n: str = "n") -> DataFrame:
 def top_k_per_aspect(counts: DataFrame, k_by_aspect: dict[str, int]) -> DataFrame:
     """Label contract.  Per aspect the k most frequent terms (count desc,
     term asc), blocks concatenated in the dict's order with contiguous
-    ``col_idx``; a term in several blocks keeps its first position."""
+    ``col_idx``; a term in several blocks keeps its first position.
+
+    Ranks come from ``group_positions`` (range-partitioned), so an aspect with
+    a huge vocabulary is never ranked inside one task."""
     order = F.create_map(*[x for i, a in enumerate(k_by_aspect) for x in (F.lit(a), F.lit(i))])
     ks = F.create_map(*[x for a, k in k_by_aspect.items() for x in (F.lit(a), F.lit(int(k)))])
     c = counts.filter(F.col("aspect").isin(list(k_by_aspect)))
-    w = Window.partitionBy("aspect").orderBy(F.col("n").desc(), F.col("term_id"))
-    c = c.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= F.element_at(ks, F.col("aspect")))
+    c = stats.group_positions(c, ["aspect"], [F.col("n").desc(), F.col("term_id")], out="rn")
+    c = c.filter(F.col("rn") < F.element_at(ks, F.col("aspect")))
     c = c.withColumn("blk", F.element_at(order, F.col("aspect")))
+    # a term kept by several aspects stays in its first block only (a term has
+    # at most one row per aspect, so this window is tiny)
     first = Window.partitionBy("term_id").orderBy("blk", "rn")
     c = c.withColumn("_d", F.row_number().over(first)).filter(F.col("_d") == 1)
-    c = c.withColumn("rk", F.row_number().over(Window.partitionBy("aspect").orderBy("rn")))
+    c = stats.group_positions(c, ["blk"], ["rn"], out="rk")
     sizes = c.groupBy("blk").agg(F.count("*").alias("sz"))
     sizes = sizes.withColumn("off", F.coalesce(F.sum("sz").over(
         Window.partitionBy(F.lit(0)).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    c = c.join(F.broadcast(sizes.select("blk", "off")), "blk")
-    return c.select("term_id", "aspect", "n", (F.col("off") + F.col("rk") - 1).cast("int").alias("col_idx"))
+    c = c.join(F.broadcast(sizes.select("blk", "off")), "blk")  # one row per aspect
+    return c.select("term_id", "aspect", "n", (F.col("off") + F.col("rk")).cast("int").alias("col_idx"))
 
 
 def elite_contract(counts: DataFrame, contract: DataFrame, noise_floor: int,

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annospark.functions.keys import evidence_filter
+from annospark.session import cut_lineage
 
 
 def _gaf_stream(spark: SparkSession, source_dir: str, files_per_batch: int) -> DataFrame:
@@ -29,11 +30,15 @@ def incremental_external_ingest(spark: SparkSession, source_dir: str, entities:
     semi join) -> lift to contract ancestors (static closure join) ->
     globally distinct (entity, term) via streaming dedup state -> append to
     a Parquet table.  Returns the table read back."""
+    # static sides are materialised in the checkpoint folder: the stream plan
+    # then only references stored tables (no batch-only expressions upstream)
+    ents = cut_lineage(entities.select("entity_id").distinct())
+    cl = cut_lineage(closure.select("term_id", "ancestor"))
+    con = cut_lineage(contract.select("term_id").distinct())
     rows = evidence_filter(_gaf_stream(spark, source_dir, files_per_batch), only_iea=True)
-    rows = rows.join(entities.select("entity_id").distinct(), "entity_id", "left_semi")
-    up = rows.join(closure.select("term_id", "ancestor"), "term_id") \
-        .select("entity_id", F.col("ancestor").alias("term_id"))
-    up = up.join(contract.select("term_id").distinct(), "term_id", "left_semi")
+    rows = rows.join(ents, "entity_id", "left_semi")
+    up = rows.join(cl, "term_id").select("entity_id", F.col("ancestor").alias("term_id"))
+    up = up.join(con, "term_id", "left_semi")
     q = (up.dropDuplicates(["entity_id", "term_id"]).withColumn("score", F.lit(1.0))
          .writeStream.format("parquet").option("checkpointLocation", checkpoint)
          .outputMode("append").trigger(availableNow=True).start(out_dir))
@@ -49,8 +54,8 @@ def running_evaluation_counters(spark: SparkSession, scores_dir: str, schema: st
     each micro-batch overwriting the counter table; the pooled IA-F1 per
     aspect and ALL is computed from the final counters."""
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(scores_dir)
-    t = truth.select("entity_id", "term_id").distinct().withColumn("y", F.lit(1))
-    asp = terms.select("term_id", "aspect")
+    t = cut_lineage(truth.select("entity_id", "term_id").distinct()).withColumn("y", F.lit(1))
+    asp = cut_lineage(terms.select("term_id", "aspect"))
     thr_map = F.create_map(*[x for k, v in thresholds.items() for x in (F.lit(k), F.lit(float(v)))])
     x = s.join(asp, "term_id", "left").withColumn("aspect", F.coalesce("aspect", F.lit("UNK")))
     x = x.filter(F.col("score") >= F.coalesce(F.element_at(thr_map, F.col("aspect")),

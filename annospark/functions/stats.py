@@ -55,15 +55,17 @@ def group_positions(df: DataFrame, by: list[str], order: list, out: str = "pos",
 
 
 def histogram_quantiles(hist: DataFrame, value: str, count: str, probs: dict[str, float],
-                        by: list[str] | None = None) -> DataFrame:
+                        by: list[str] | None = None, extra: dict | None = None) -> DataFrame:
     """Linear-interpolated quantiles from a ``(by..., value, count)`` histogram.
 
     Returns one row per group with one column per entry of ``probs``
-    (name -> probability), matching ``numpy.percentile(..., 'linear')``.
+    (name -> probability), matching ``numpy.percentile(..., 'linear')``;
+    ``extra`` (name -> aggregate Column over the histogram rows) is computed
+    in the same final aggregate.
     """
     if not by:
         return histogram_quantiles(hist.withColumn("_g", F.lit(0)), value, count, probs,
-                                   ["_g"]).drop("_g")
+                                   ["_g"], extra).drop("_g")
     h = group_positions(hist, by, [value], out="_start", weight=count)
     h = h.withColumn("_end", F.col("_start") + F.col(count))  # rows [start, end)
     n = h.groupBy(*by).agg(F.sum(count).alias("_n"))
@@ -78,6 +80,7 @@ def histogram_quantiles(hist: DataFrame, value: str, count: str, probs: dict[str
         x_hi = F.min(F.when((F.col("_start") <= hi) & (hi < F.col("_end")), F.col(value)))
         f = F.max(frac)
         aggs.append((x_lo + (x_hi - x_lo) * f).alias(name))
+    aggs += [e.alias(n) for n, e in (extra or {}).items()]  # further aggregates in the same pass
     return h.groupBy(*by).agg(*aggs)
 
 

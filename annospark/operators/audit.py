@@ -26,12 +26,10 @@ def dense_score_distribution(scores: DataFrame, n_cells: int | Column) -> DataFr
     n = n_cells if isinstance(n_cells, Column) else F.lit(int(n_cells))
     zeros = scores.agg(F.lit(0.0).alias("v"), (n - F.count("*")).alias("c"))
     h = hist.unionByName(zeros).groupBy("v").agg(F.sum("c").alias("c")).filter(F.col("c") > 0)
+    extra = {"min": F.min("v"), "max": F.max("v"), "mean": F.sum(F.col("v") * F.col("c")) / F.sum("c")}
     q = stats.histogram_quantiles(h, "v", "c", {"p01": 0.01, "p05": 0.05, "p50": 0.5, "p95": 0.95,
-                                                "p99": 0.99})
-    m = h.agg(F.min("v").alias("min"), F.max("v").alias("max"),
-              (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"))
-    return m.select("min", *[q.select(c).scalar().alias(c) for c in ("p01", "p05", "p50", "p95", "p99")],
-                    "max", "mean")
+                                                "p99": 0.99}, extra=extra)
+    return q.select("min", "p01", "p05", "p50", "p95", "p99", "max", "mean")
 
 
 def spike_audit(scores: DataFrame, n_cells: int | Column, eps: float = 1e-6) -> DataFrame:

@@ -104,10 +104,10 @@ def norm_distribution(df: DataFrame, vec: str, by: list[str] | None = None) -> D
     q2 = stats.exact_quantiles(r, "nnz", {"nnz_p50": 0.5, "nnz_p95": 0.95}, by=by)
     if by:
         return base.join(q1, by).join(q2, by)
-    return base.select("*", q1.select("norm_p50").scalar().alias("norm_p50"),
-                       q1.select("norm_p95").scalar().alias("norm_p95"),
-                       q2.select("nnz_p50").scalar().alias("nnz_p50"),
-                       q2.select("nnz_p95").scalar().alias("nnz_p95"))
+    s1 = q1.select(F.struct("norm_p50", "norm_p95").alias("s")).scalar()  # one subquery each
+    s2 = q2.select(F.struct("nnz_p50", "nnz_p95").alias("s")).scalar()
+    return base.select("*", s1.getField("norm_p50").alias("norm_p50"), s1.getField("norm_p95").alias("norm_p95"),
+                       s2.getField("nnz_p50").alias("nnz_p50"), s2.getField("nnz_p95").alias("nnz_p95"))
 
 
 def finite_report(df: DataFrame, vec: str) -> DataFrame:

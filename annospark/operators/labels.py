@@ -90,24 +90,27 @@ def top_k_per_aspect(counts: DataFrame, k_by_aspect: dict[str, int]) -> DataFram
     term asc), blocks concatenated in the dict's order with contiguous
     ``col_idx``; a term in several blocks keeps its first position.
 
-    Ranks come from ``group_positions`` (range-partitioned), so an aspect with
-    a huge vocabulary is never ranked inside one task."""
+    The input is the per-term count table (one row per ontology term, tens of
+    thousands of rows whatever the annotation volume).  The rank filter uses
+    the literal maximum k, so Spark keeps only the top rows per aspect in each
+    map task (WindowGroupLimit) before the per-aspect window."""
     order = F.create_map(*[x for i, a in enumerate(k_by_aspect) for x in (F.lit(a), F.lit(i))])
     ks = F.create_map(*[x for a, k in k_by_aspect.items() for x in (F.lit(a), F.lit(int(k)))])
+    max_k = max(int(k) for k in k_by_aspect.values())
     c = counts.filter(F.col("aspect").isin(list(k_by_aspect)))
-    c = stats.group_positions(c, ["aspect"], [F.col("n").desc(), F.col("term_id")], out="rn")
-    c = c.filter(F.col("rn") < F.element_at(ks, F.col("aspect")))
+    w = Window.partitionBy("aspect").orderBy(F.col("n").desc(), F.col("term_id"))
+    c = c.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= max_k) \
+        .filter(F.col("rn") <= F.element_at(ks, F.col("aspect")))
     c = c.withColumn("blk", F.element_at(order, F.col("aspect")))
-    # a term kept by several aspects stays in its first block only (a term has
-    # at most one row per aspect, so this window is tiny)
+    # a term kept by several aspects stays in its first block only
     first = Window.partitionBy("term_id").orderBy("blk", "rn")
     c = c.withColumn("_d", F.row_number().over(first)).filter(F.col("_d") == 1)
-    c = stats.group_positions(c, ["blk"], ["rn"], out="rk")
+    c = c.withColumn("rk", F.row_number().over(Window.partitionBy("blk").orderBy("rn")))
     sizes = c.groupBy("blk").agg(F.count("*").alias("sz"))
     sizes = sizes.withColumn("off", F.coalesce(F.sum("sz").over(
         Window.partitionBy(F.lit(0)).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     c = c.join(F.broadcast(sizes.select("blk", "off")), "blk")  # one row per aspect
-    return c.select("term_id", "aspect", "n", (F.col("off") + F.col("rk")).cast("int").alias("col_idx"))
+    return c.select("term_id", "aspect", "n", (F.col("off") + F.col("rk") - 1).cast("int").alias("col_idx"))
 
 
 def elite_contract(counts: DataFrame, contract: DataFrame, noise_floor: int,
@@ -377,8 +380,10 @@ def head_tail_audit(counts: DataFrame, ia: DataFrame, base_k: int, expanded_k: i
     q = stats.exact_quantiles(tail.select(F.col("n").cast("double").alias("n")), "n",
                               {"tail_median_count": 0.5, "tail_p10_count": 0.1, "tail_p25_count": 0.25})
     miss = r.agg(F.count_if("missing_ia").alias("missing_ia_terms_n"))
-    out = b.select("*", *[t.select(c).scalar().alias(c) for c in t.columns],
-                   *[q.select(c).scalar().alias(c) for c in q.columns], miss.scalar().alias("missing_ia_terms_n"))
+    ts = t.select(F.struct(*t.columns).alias("s")).scalar()  # one subquery for all tail stats
+    qs = q.select(F.struct(*q.columns).alias("s")).scalar()
+    out = b.select("*", *[ts.getField(c).alias(c) for c in t.columns],
+                   *[qs.getField(c).alias(c) for c in q.columns], miss.scalar().alias("missing_ia_terms_n"))
     return out.select(
         n_terms.alias("total_terms_available"), "*",
         (F.col("sum_counts_tail") / F.col("sum_counts_base")).alias("sum_counts_tail_over_base"),

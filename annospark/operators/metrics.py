@@ -141,8 +141,9 @@ def calibrate_aspect_thresholds(c: DataFrame, grid: list[float] | None = None,
                                                          F.col("best_f1").alias("all_f1"))
     j = sc.join(best, sc.scope == best.aspect, "left").drop("aspect")
     j = j.join(counts, j.scope == counts.aspect, "left").drop("aspect")
-    return j.select("scope", F.coalesce("best_thr", allrow.select("all_thr").scalar()).alias("thr"),
-                    F.coalesce("best_f1", allrow.select("all_f1").scalar()).alias("f1"),
+    a = allrow.select(F.struct("all_thr", "all_f1").alias("s")).scalar()
+    return j.select("scope", F.coalesce("best_thr", a.getField("all_thr")).alias("thr"),
+                    F.coalesce("best_f1", a.getField("all_f1")).alias("f1"),
                     F.coalesce("cells", F.lit(0)).alias("cells"))
 
 

@@ -8,6 +8,7 @@ from annospark.functions import stats
 from annospark.operators import labels as L
 from annospark.plans import standins as S
 from annospark.plans.registry import query
+from annospark.session import cut_lineage
 
 CK = dict(S.CONTRACT_K)
 ELITE_FLOOR = 40
@@ -23,8 +24,10 @@ CONTRACT_SQL = (
 
 
 def contract(spark, d):
+    """The label contract as a stored artefact (checkpointed once), the way a
+    pipeline keeps it between stages; consumers join the stored table."""
     c = L.term_counts(S.annotations(spark, d), by=["term_id", "aspect"])
-    return L.top_k_per_aspect(c, CK)
+    return cut_lineage(L.top_k_per_aspect(c, CK))
 
 
 @query("term_counts", "A1", sql=S.with_("ann") + "SELECT term_id, count(*) AS n FROM ann GROUP BY 1")

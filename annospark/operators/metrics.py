@@ -276,24 +276,25 @@ def fmax_official(c: DataFrame, grid: list[float] | None = None,
     x = cc.select("aspect", "entity_id", "ia", "y", grid_bucket(F.col("score"), grid).alias("b"))
     h = x.groupBy("aspect", "entity_id", "b").agg(
         F.sum("ia").alias("wp"), F.sum(F.when(F.col("y") == 1, F.col("ia")).otherwise(0.0)).alias("wt"))
-    tr = h.groupBy("aspect", "entity_id").agg(F.sum("wt").alias("w_true"))
-    # one entity holds at most len(grid) + 1 bucket rows, so these windows are small
+    # one entity holds at most len(grid) + 1 bucket rows, so these windows are
+    # small; all ordered quantities share one descending-bucket window
     e = Window.partitionBy("aspect", "entity_id")
-    hb = h.filter(F.col("b") > 0)
-    hb = hb.withColumn("s_pred", F.sum("wp").over(e.orderBy(F.col("b").desc())
-                                                  .rowsBetween(Window.unboundedPreceding, 0)))
-    hb = hb.withColumn("s_tp", F.sum("wt").over(e.orderBy(F.col("b").desc())
-                                                .rowsBetween(Window.unboundedPreceding, 0)))
-    hb = hb.withColumn("lo", F.coalesce(F.lag("b").over(e.orderBy("b")), F.lit(0)))
-    hb = hb.join(tr, ["aspect", "entity_id"])
+    ed = e.orderBy(F.col("b").desc())
+    run = ed.rowsBetween(Window.unboundedPreceding, 0)
+    hb = h.select("aspect", "entity_id", "b", F.sum("wp").over(run).alias("s_pred"),
+                  F.sum("wt").over(run).alias("s_tp"), F.coalesce(F.lead("b").over(ed), F.lit(0)).alias("lo"),
+                  F.sum("wt").over(e).alias("w_true")).filter(F.col("b") > 0)
     has = F.col("s_pred") > 0
     p = F.when(has, F.col("s_tp") / F.col("s_pred")).otherwise(0.0)
     n = has.cast("long")
     r = F.when(F.col("w_true") > 0, F.col("s_tp") / F.col("w_true")).otherwise(0.0)
     seg = hb.select("aspect", "lo", "b", p.alias("p"), n.alias("n"), r.alias("r"))
-    deltas = seg.select("aspect", F.col("lo").alias("g"), "p", "n", "r").unionByName(
-        seg.select("aspect", F.col("b").alias("g"), (-F.col("p")).alias("p"), (-F.col("n")).alias("n"),
-                   (-F.col("r")).alias("r")))
+    # +value where the segment starts (lo), -value where it ends (b): a generate, one pass
+    pair = F.array(F.struct(F.col("lo").alias("g"), F.col("p").alias("p"), F.col("n").alias("n"),
+                            F.col("r").alias("r")),
+                   F.struct(F.col("b").alias("g"), (-F.col("p")).alias("p"), (-F.col("n")).alias("n"),
+                            (-F.col("r")).alias("r")))
+    deltas = seg.select("aspect", F.inline(pair))
     d = deltas.groupBy("aspect", "g").agg(F.sum("p").alias("dp"), F.sum("n").alias("dn"), F.sum("r").alias("dr"))
     gi = ents.select("aspect").distinct().select("aspect", F.posexplode(
         F.array(*[F.lit(float(t)) for t in grid])).alias("g", "thr"))

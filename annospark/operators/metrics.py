@@ -192,14 +192,21 @@ def ia_f1_per_entity_all(c: DataFrame, n_entities: int | Column, thr: float = 0.
     return _with_mean_of_aspects(per, aspects)
 
 
-def _with_mean_of_aspects(per: DataFrame, aspects) -> DataFrame:
+def _with_mean_of_aspects(per: DataFrame, aspects, cols=("precision", "recall", "f1"),
+                          keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per-aspect rows (missing aspects as zeros) plus ``ALL`` = mean over the
+    aspects, from one rollup over the few result rows (the result is consumed
+    once, so the pipeline behind it runs once)."""
     spark = per.sparkSession
     full = spark.createDataFrame([(a,) for a in aspects], "aspect string").join(per, "aspect", "left") \
-        .fillna(0.0, subset=["precision", "recall", "f1"])
-    n = float(len(aspects))
-    allrow = full.agg((F.sum("precision") / n).alias("precision"), (F.sum("recall") / n).alias("recall"),
-                      (F.sum("f1") / n).alias("f1")).withColumn("aspect", F.lit("ALL"))
-    return full.unionByName(allrow)
+        .fillna(0.0, subset=list(cols))
+    div = F.when(F.grouping("aspect") == 1, F.lit(float(len(aspects)))).otherwise(F.lit(1.0))
+    g = full.rollup("aspect").agg(*[(F.sum(c) / div).alias(c) for c in cols],
+                                  *[F.first(k).alias(k) for k in keep], F.grouping("aspect").alias("_all"))
+    out = g.withColumn("aspect", F.when(F.col("_all") == 1, F.lit("ALL")).otherwise(F.col("aspect")))
+    for k in keep:  # per-aspect attributes have no meaning for the ALL row
+        out = out.withColumn(k, F.when(F.col("_all") == 1, F.lit(None)).otherwise(F.col(k)))
+    return out.drop("_all")
 
 
 def ia_f1_per_entity_with_truth(c: DataFrame, thr: float,
@@ -309,12 +316,7 @@ def fmax_official(c: DataFrame, grid: list[float] | None = None,
     f = F.when(pp + rr > 0, 2 * pp * rr / (pp + rr)).otherwise(0.0)
     cur = cur.select("aspect", "thr", pp.alias("precision"), rr.alias("recall"), f.alias("f1"))
     best = best_threshold(cur).select("aspect", F.col("best_thr").alias("thr"), F.col("best_f1").alias("fmax"))
-    spark = c.sparkSession
-    full = spark.createDataFrame([(a,) for a in aspects], "aspect string").join(best, "aspect", "left") \
-        .fillna(0.0, subset=["fmax"])
-    allrow = full.agg((F.sum("fmax") / float(len(aspects))).alias("fmax")) \
-        .select(F.lit("ALL").alias("aspect"), F.lit(None).cast("double").alias("thr"), "fmax")
-    return full.unionByName(allrow)
+    return _with_mean_of_aspects(best, aspects, cols=("fmax",), keep=("thr",)).select("aspect", "thr", "fmax")
 
 
 def ia_weighted_bce(c: DataFrame, n_entities: int, ia_terms: DataFrame, eps: float = 1e-7) -> DataFrame:

@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 
 from annospark.session import bounded_broadcast, ensure_checkpoint_dir
 
-# An ontology edge list is small next to annotation data (tens of thousands
-# of terms); it is broadcast only when its measured size is below this.
-EDGE_BROADCAST_ROWS = 2_000_000
+# Closure pairs and adjacency rows of an ontology are small next to the
+# annotation data (48k terms give ~1-2M closure pairs of two short ids,
+# ~40 bytes each); they are broadcast only when the measured row count is
+# below this bound (~120 MB), otherwise the joins shuffle (and AQE may still
+# switch to a broadcast from runtime sizes).
+CLOSURE_BROADCAST_ROWS = 3_000_000
 
 
 def ancestor_closure(edges: DataFrame, nodes: DataFrame | None = None,
@@ -74,7 +77,7 @@ def propagate_annotations(rows: DataFrame, closure: DataFrame, contract: DataFra
                           score: float = 1.0) -> DataFrame:
     """Every annotated term lifts to all its ancestors (full graph) that are
     in the contract; distinct ``(entity_id, term_id)`` with a constant score."""
-    c = bounded_broadcast(closure, EDGE_BROADCAST_ROWS * 10)
+    c = bounded_broadcast(closure, CLOSURE_BROADCAST_ROWS)
     up = rows.select("entity_id", "term_id").distinct().join(c, "term_id") \
         .select("entity_id", F.col("ancestor").alias("term_id"))
     up = up.join(contract.select("term_id"), "term_id", "left_semi").distinct()
@@ -87,7 +90,7 @@ def max_propagate(scores: DataFrame, edges: DataFrame, contract: DataFrame) -> D
     takes the maximum over its scored descendants."""
     cl = ancestor_closure(induced_edges(edges, contract), nodes=contract)
     s = scores.join(contract.select("term_id"), "term_id", "left_semi")
-    c = bounded_broadcast(cl, EDGE_BROADCAST_ROWS * 10)
+    c = bounded_broadcast(cl, CLOSURE_BROADCAST_ROWS)
     up = s.select("entity_id", "term_id", "score").join(c, "term_id")
     return up.groupBy("entity_id", F.col("ancestor").alias("term_id")).agg(F.max("score").alias("score"))
 
@@ -134,7 +137,7 @@ def normalised_adjacency(edges: DataFrame, terms: DataFrame) -> DataFrame:
 
 def graph_smooth(scores: DataFrame, adj: DataFrame, hops: int = 1) -> DataFrame:
     """``h <- A h`` per entity, ``hops`` times (sparse matrix product by join)."""
-    a = bounded_broadcast(adj.select("i", "j", "w"), EDGE_BROADCAST_ROWS * 10)
+    a = bounded_broadcast(adj.select("i", "j", "w"), CLOSURE_BROADCAST_ROWS)
     h = scores.select("entity_id", "term_id", "score")
     for _ in range(hops):
         h = h.join(a, h.term_id == a.j).groupBy("entity_id", F.col("i").alias("term_id")) \

@@ -14,12 +14,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_gaf(spark: SparkSession, path: str, repartition: int | None = None) -> DataFrame:
+def read_gaf(spark: SparkSession, path: str, repartition: int | None = None,
+             max_lines: int | None = None) -> DataFrame:
     """GAF 2.x ``(entity_id, term_id, evidence)`` = tab fields 2, 5, 7.
     ``!`` comment lines and lines with fewer than 7 fields are skipped.  Gzip
     files are not splittable, so a repartition after the scan spreads the
-    rows before any wide work."""
+    rows before any wide work.  ``max_lines`` (P17) is the reference's
+    debugging cap on data lines; leave it unset for real runs."""
     t = spark.read.text(path).filter(~F.col("value").startswith("!") & (F.col("value") != ""))
+    if max_lines is not None:
+        t = t.limit(max_lines)
     p = F.split(F.regexp_replace("value", "\r$", ""), "\t", -1)
     out = t.select(p.alias("p")).filter(F.size("p") >= 7).select(
         F.col("p").getItem(1).alias("entity_id"), F.col("p").getItem(4).alias("term_id"),

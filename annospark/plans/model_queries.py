@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from annospark.functions import vectors as V
-from annospark.operators import ensemble, knn, metrics as M, models, ontology as G, selection as SEL
+from annospark.operators import ensemble, knn, models, ontology as G, selection as SEL
 from annospark.plans import standins as S
 from annospark.plans.knn_queries import knn_sql
 from annospark.plans.label_queries import contract

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annospark.session import bounded_broadcast, ensure_checkpoint_dir
@@ -52,11 +52,8 @@ def ancestor_closure(edges: DataFrame, nodes: DataFrame | None = None,
         b = kn.alias("r").join(delta.alias("d"), F.col("r.parent") == F.col("d.child")) \
             .select(F.col("r.child").alias("child"), F.col("d.parent").alias("parent"))
         new = a.unionByName(b).distinct().join(kn, ["child", "parent"], "left_anti")
-        # the number of new pairs is observed by the write itself (no extra job)
-        obs = Observation(f"closure_round_{k}")
-        new.withColumn("round", F.lit(k)).observe(obs, F.count(F.lit(1)).alias("n")) \
-            .write.mode("append").partitionBy("round").parquet(path)
-        if obs.get["n"] == 0:
+        new.withColumn("round", F.lit(k)).write.mode("append").partitionBy("round").parquet(path)
+        if table().filter(F.col("round") == k).isEmpty():  # reads only this round's partition
             break
     else:
         raise RuntimeError("ancestor closure did not converge (cycle or too deep)")

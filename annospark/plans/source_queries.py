@@ -44,6 +44,23 @@ def q_fasta(spark, d):
                     F.length("sequence").cast("long").alias("seq_len"))
 
 
+@query("fasta_header_stats", "S3 S1", sql=(
+       "SELECT count(*) AS records, (SELECT string_agg(id, ',' ORDER BY doc_id) FROM (SELECT doc_id, 'doc|' || "
+       "CAST(doc_id AS VARCHAR) || '|' || lang AS id FROM documents ORDER BY doc_id LIMIT 5)) AS first_ids "
+       "FROM documents"))
+def q_fasta_stats(spark, d):
+    doc = S.table(spark, d, "documents")
+    src = doc.select("doc_id", F.concat(F.lit("doc|"), F.col("doc_id").cast("string"), F.lit("|"), F.col("lang"))
+                     .alias("header"), F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", ""))
+                     .alias("sequence"))
+    # several files, written in doc_id order (file names follow the ranges)
+    src = src.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
+    path = scratch(spark, "fasta-stats")
+    sequences.write_fasta(src, path)
+    st = sequences.fasta_header_stats(sequences.read_fasta(spark, path), 5)
+    return st.select("records", F.array_join("first_ids", ",").alias("first_ids"))
+
+
 def _write_obo(spark, d):
     p = S.table(spark, d, "part")
     terms = S.terms(spark, d).join(p.select(S.term_col(F.col("p_partkey")).alias("term_id"),

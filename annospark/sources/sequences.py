@@ -19,9 +19,13 @@ def read_fasta(spark: SparkSession, path: str, with_row_idx: bool = True) -> Dat
     ``raw_id`` is the first whitespace token of the header, ``taxon_id`` the
     second token as an integer (0 when absent or not an integer), the
     sequence is every following line stripped and concatenated.  Records with
-    an empty id are skipped.  ``row_idx`` numbers records in file order."""
+    an empty id are skipped.  ``row_idx`` numbers records in file order
+    (files by path, then position inside the file)."""
     raw = spark.read.option("lineSep", "\n>").text(path)
+    # file order = (file path, split start, record inside the split); Spark
+    # packs splits by size, so the split order alone is not the file order
     rec = raw.select(F.regexp_replace("value", "^>", "").alias("r"),
+                     F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_blk"),
                      F.monotonically_increasing_id().alias("_rec"))
     lines = F.split(F.col("r"), "\n", -1)
     header = F.trim(F.regexp_replace(lines.getItem(0), "\r$", ""))
@@ -29,13 +33,14 @@ def read_fasta(spark: SparkSession, path: str, with_row_idx: bool = True) -> Dat
     body = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
     seq = F.array_join(F.transform(body, lambda x: F.trim(F.regexp_replace(x, "[\r\t]", ""))), "")
     second = F.when(F.size(toks) > 1, toks.getItem(1))
-    out = rec.select("_rec", toks.getItem(0).alias("raw_id"),
+    out = rec.select("_file", "_blk", "_rec", toks.getItem(0).alias("raw_id"),
                      F.coalesce(second.try_cast("int"), F.lit(0)).alias("taxon_id"),
                      header.alias("description"), seq.alias("sequence")) \
         .filter((F.col("raw_id").isNotNull()) & (F.col("raw_id") != ""))
     if with_row_idx:
-        out = stats.group_positions(out.withColumn("_g", F.lit(0)), ["_g"], ["_rec"], out="row_idx").drop("_g")
-    return out.drop("_rec")
+        out = stats.group_positions(out.withColumn("_g", F.lit(0)), ["_g"], ["_file", "_blk", "_rec"],
+                                    out="row_idx").drop("_g")
+    return out.drop("_file", "_blk", "_rec")
 
 
 def fasta_header_stats(fasta: DataFrame, n: int) -> DataFrame:

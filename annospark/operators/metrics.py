@@ -279,11 +279,10 @@ def fmax_official(c: DataFrame, grid: list[float] | None = None,
     prefix sum over the grid (a few hundred rows per aspect) gives the curve."""
     grid = grid or linspace(0.01, 1.0, 100)
     cc = c.filter(F.col("aspect").isin(*aspects))
-    ents = cc.filter(F.col("y") == 1).select("aspect", "entity_id").distinct()
-    cc = cc.join(ents, ["aspect", "entity_id"], "left_semi")
     x = cc.select("aspect", "entity_id", "ia", "y", grid_bucket(F.col("score"), grid).alias("b"))
     h = x.groupBy("aspect", "entity_id", "b").agg(
-        F.sum("ia").alias("wp"), F.sum(F.when(F.col("y") == 1, F.col("ia")).otherwise(0.0)).alias("wt"))
+        F.sum("ia").alias("wp"), F.sum(F.when(F.col("y") == 1, F.col("ia")).otherwise(0.0)).alias("wt"),
+        F.max("y").alias("yt"))
     # one entity holds at most len(grid) + 1 bucket rows, so these windows are
     # small; all ordered quantities share one descending-bucket window
     e = Window.partitionBy("aspect", "entity_id")
@@ -291,27 +290,34 @@ def fmax_official(c: DataFrame, grid: list[float] | None = None,
     run = ed.rowsBetween(Window.unboundedPreceding, 0)
     hb = h.select("aspect", "entity_id", "b", F.sum("wp").over(run).alias("s_pred"),
                   F.sum("wt").over(run).alias("s_tp"), F.coalesce(F.lead("b").over(ed), F.lit(0)).alias("lo"),
-                  F.sum("wt").over(e).alias("w_true")).filter(F.col("b") > 0)
+                  F.sum("wt").over(e).alias("w_true"), F.max("yt").over(e).alias("has_truth"),
+                  (F.row_number().over(ed) == 1).alias("first"))
+    hb = hb.filter(F.col("has_truth") == 1)  # only entities with truth in the aspect are evaluated
     has = F.col("s_pred") > 0
     p = F.when(has, F.col("s_tp") / F.col("s_pred")).otherwise(0.0)
     n = has.cast("long")
     r = F.when(F.col("w_true") > 0, F.col("s_tp") / F.col("w_true")).otherwise(0.0)
-    seg = hb.select("aspect", "lo", "b", p.alias("p"), n.alias("n"), r.alias("r"))
-    # +value where the segment starts (lo), -value where it ends (b): a generate, one pass
-    pair = F.array(F.struct(F.col("lo").alias("g"), F.col("p").alias("p"), F.col("n").alias("n"),
-                            F.col("r").alias("r")),
-                   F.struct(F.col("b").alias("g"), (-F.col("p")).alias("p"), (-F.col("n")).alias("n"),
-                            (-F.col("r")).alias("r")))
-    deltas = seg.select("aspect", F.inline(pair))
-    d = deltas.groupBy("aspect", "g").agg(F.sum("p").alias("dp"), F.sum("n").alias("dn"), F.sum("r").alias("dr"))
-    gi = ents.select("aspect").distinct().select("aspect", F.posexplode(
-        F.array(*[F.lit(float(t)) for t in grid])).alias("g", "thr"))
-    cur = gi.join(d, ["aspect", "g"], "left").fillna(0.0, subset=["dp", "dr"]).fillna(0, subset=["dn"])
-    run = Window.partitionBy("aspect").orderBy("g").rowsBetween(Window.unboundedPreceding, 0)
-    cur = cur.select("aspect", "thr", F.sum("dp").over(run).alias("sum_p"), F.sum("dn").over(run).alias("n_pred"),
-                     F.sum("dr").over(run).alias("sum_r"))
-    n_ent = ents.groupBy("aspect").agg(F.count("*").alias("n_true"))
-    cur = cur.join(n_ent, "aspect")
+    live = F.col("b") > 0  # bucket 0 rows are never predicted
+    # +value where a segment starts (lo), -value where it ends (b); position -1
+    # counts the evaluated entities (one per entity, from its first row)
+    z = F.lit(0.0)
+    items = F.array(
+        F.struct(F.col("lo").alias("g"), F.when(live, p).otherwise(z).alias("p"),
+                 F.when(live, n).otherwise(F.lit(0)).cast("long").alias("n"), F.when(live, r).otherwise(z).alias("r")),
+        F.struct(F.col("b").alias("g"), F.when(live, -p).otherwise(z).alias("p"),
+                 F.when(live, -n).otherwise(F.lit(0)).cast("long").alias("n"),
+                 F.when(live, -r).otherwise(z).alias("r")),
+        F.struct(F.lit(-1).alias("g"), z.alias("p"), F.col("first").cast("long").alias("n"), z.alias("r")))
+    d = hb.select("aspect", F.inline(items)).groupBy("aspect", "g").agg(
+        F.sum("p").alias("dp"), F.sum("n").alias("dn"), F.sum("r").alias("dr"))
+    # everything below works on the tiny (aspect, grid position) table
+    n_ent = d.filter(F.col("g") == -1).select("aspect", F.col("dn").alias("n_true"))
+    gi = n_ent.select("aspect", "n_true", F.posexplode(F.array(*[F.lit(float(t)) for t in grid])).alias("g", "thr"))
+    cur = gi.join(d.filter(F.col("g") >= 0), ["aspect", "g"], "left") \
+        .fillna(0.0, subset=["dp", "dr"]).fillna(0, subset=["dn"])
+    runs = Window.partitionBy("aspect").orderBy("g").rowsBetween(Window.unboundedPreceding, 0)
+    cur = cur.select("aspect", "thr", "n_true", F.sum("dp").over(runs).alias("sum_p"),
+                     F.sum("dn").over(runs).alias("n_pred"), F.sum("dr").over(runs).alias("sum_r"))
     pp = F.when(F.col("n_pred") > 0, F.col("sum_p") / F.col("n_pred")).otherwise(0.0)
     rr = F.col("sum_r") / F.col("n_true")
     f = F.when(pp + rr > 0, 2 * pp * rr / (pp + rr)).otherwise(0.0)

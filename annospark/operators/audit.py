@@ -94,14 +94,21 @@ def row_stats_histogram(row_stats: DataFrame, col: str = "row_max", bins: int =
     return row_stats.groupBy(b.alias("bin")).agg(F.count("*").alias("n"))
 
 
+# Preference order of external-evidence file names (most
+# preferred first) and the preferred suffix.
+SOURCE_PREFERENCE = ("goa_filtered_all", "goa_filtered_iea", "all", "iea")
+PREFERRED_SUFFIX = ".tsv.gz"
+
+
 def choose_best_source(listing: DataFrame, group: str = "kind") -> DataFrame:
-    """Pick one candidate file per group: ``goa_filtered_all`` <
-    ``goa_filtered_iea`` < name containing ``all`` < ``iea`` < other, then
-    ``.tsv.gz`` before other suffixes, then path."""
+    """Pick one candidate file per group: names are ranked by the first
+    ``SOURCE_PREFERENCE`` pattern they contain (others last), then the
+    preferred suffix before other suffixes, then path."""
     name = F.lower(F.element_at(F.split(F.col("path"), "/"), -1))
-    rank = (F.when(name.contains("goa_filtered_all"), 0).when(name.contains("goa_filtered_iea"), 1)
-            .when(name.contains("all"), 2).when(name.contains("iea"), 3).otherwise(4))
-    suf = F.when(name.endswith(".tsv.gz"), 0).otherwise(1)
+    rank = F.lit(len(SOURCE_PREFERENCE))
+    for i, pat in reversed(list(enumerate(SOURCE_PREFERENCE))):
+        rank = F.when(name.contains(pat), F.lit(i)).otherwise(rank)
+    suf = F.when(name.endswith(PREFERRED_SUFFIX), 0).otherwise(1)
     w = Window.partitionBy(group).orderBy(rank, suf, F.col("path"))
     return listing.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r")
 

@@ -231,7 +231,7 @@ def ia_f1_per_entity_with_truth(c: DataFrame, thr: float,
 def f1_per_entity_unweighted(c: DataFrame, n_entities: int | Column, thr: float | dict[str, float],
                              aspects: tuple[str, ...] = ("BP", "MF", "CC")) -> DataFrame:
     """Plain per-entity F1 averaged over all entities per aspect, at one
-    threshold or a per-aspect threshold dict; ``ALL`` is the "CAFA" mean of
+    threshold or a per-aspect threshold dict; ``ALL`` is the plain mean of
     the three aspects."""
     k = _entity_aspect_counts(c.filter(F.col("aspect").isin(*aspects)), _thr_col(thr), F.lit(1.0))
     p, r, f = _prf(F.col("tp"), F.col("pred"), F.col("true"))

@@ -65,7 +65,7 @@ def grid_search_weights(scores: DataFrame, truth: DataFrame, terms: DataFrame, m
                         thr: float, n_entities: int, top: int = 5) -> DataFrame:
     """Every simplex weight vector over ``models`` (``steps`` per axis);
     fused score ``sum(w_m * s_m)`` in model order, per-entity F1 at ``thr``,
-    CAFA mean of aspects; the ``top`` best vectors (ties -> grid order)."""
+    mean over the aspects; the ``top`` best vectors (ties -> grid order)."""
     grid = simplex_grid(len(models), steps)
     wide = scores.groupBy(*KEY).pivot("model", models).agg(F.first("score")).fillna(0.0, subset=models)
     wide = wide.join(terms.select("term_id", "aspect"), "term_id")

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from annospark.session import cut_lineage
+
 
 def group_positions(df: DataFrame, by: list[str], order: list, out: str = "pos",
                     weight: str | None = None, sums: dict | None = None,
@@ -37,6 +39,10 @@ def group_positions(df: DataFrame, by: list[str], order: list, out: str = "pos",
     s = s.select("*", *[e.alias(f"_w_{n}") for n, e in acc.items()],
                  F.monotonically_increasing_id().alias("_mid"))
     s = s.withColumn("_pid", F.shiftright("_mid", 33))
+    # Both the offset table and the local sums must see the very same range
+    # partitions and ids: a reliable checkpoint fixes them once (the range
+    # bounds come from sampling, and a second evaluation could differ).
+    s = cut_lineage(s)
     # Offsets: totals of every earlier range partition of the same group
     # (a table of groups x partitions rows).
     part = s.groupBy(*by, "_pid").agg(*[F.sum(f"_w_{n}").alias(f"_p_{n}") for n in acc])

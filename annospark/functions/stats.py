@@ -29,13 +29,14 @@ def group_positions(df: DataFrame, by: list[str], order: list, out: str = "pos",
     instead of a row count; ``sums`` (name -> Column) adds further exclusive
     running sums in the same pass.
     """
-    spark = df.sparkSession
-    n_parts = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     keys = [F.col(b) for b in by] + order_cols
     acc = {out: F.col(weight).cast("double") if weight else F.lit(1).cast("long")}
     acc.update(sums or {})
-    s = df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
+    # without an explicit count AQE may merge adjacent ranges; merged
+    # partitions stay contiguous and ordered, which is all the offsets need
+    s = (df.repartitionByRange(n_parts, *keys) if n_parts else df.repartitionByRange(*keys)) \
+        .sortWithinPartitions(*keys)
     s = s.select("*", *[e.alias(f"_w_{n}") for n, e in acc.items()],
                  F.monotonically_increasing_id().alias("_mid"))
     s = s.withColumn("_pid", F.shiftright("_mid", 33))

@@ -58,3 +58,21 @@ def test_even_row_sample(spark):
     df = spark.range(0, 1000).withColumnRenamed("id", "row_idx")
     got = sorted(r["row_idx"] for r in L.even_row_sample(df, 7).collect())
     assert got == [int(x) for x in np.linspace(0, 999, 7)]
+
+
+def test_knn_fold_exclusion_matches_brute_force(spark):
+    from annospark.operators import knn
+    rng = np.random.default_rng(3)
+    X = rng.normal(size=(40, 8)).astype(np.float32)
+    folds = [i % 4 for i in range(40)]
+    v = spark.createDataFrame([(i, X[i].tolist(), folds[i]) for i in range(40)],
+                              "vec_id long, embedding array<float>, fold int")
+    got = {(r["query_id"], r["rank"]): r["base_id"]
+           for r in knn.knn_join(v, v, 3, fold_col="fold", block_rows=7).collect()}
+    U = X.astype(np.float64)
+    U /= np.linalg.norm(U, axis=1, keepdims=True)
+    S_ = U @ U.T
+    for q in range(40):
+        cand = [b for b in range(40) if folds[b] != folds[q]]
+        best = sorted(cand, key=lambda b: (-S_[q, b], b))[:3]
+        assert [got[(q, r)] for r in (1, 2, 3)] == best

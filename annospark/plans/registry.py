@@ -23,6 +23,13 @@ def query(name: str, ids: str, sql: str | None = None):
     def deco(fn):
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Query(name, fn, sql, ids)
+
+        def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+            from annospark.session import ship_package
+            ship_package(spark)  # workers can import the package's UDF helpers
+            return fn(spark, sf_dir)
+        build.__name__ = fn.__name__
+        build.__doc__ = fn.__doc__
+        REGISTRY[name] = Query(name, build, sql, ids)
         return fn
     return deco

@@ -71,3 +71,34 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+
+
+def ranged(df: DataFrame, id_col: str, rows_per_range: int = 4000) -> tuple[DataFrame, int]:
+    """Add ``__range``: consecutive ranges of ``id_col`` of about ``rows_per_range`` rows, numbered in id order.
+
+    The bounds are literals taken from approximate quantiles, so a recomputed
+    task sees the same ranges.  Null ids are in range 0, before all others.
+    """
+    from pyspark.ml.feature import Bucketizer
+    from pyspark.sql import functions as F
+
+    n = df.count()
+    k = max(1, min(20_000, -(-n // rows_per_range)))
+    ids = df.select(F.col(id_col).cast("double").alias("x"))
+    cuts = sorted(set(ids.approxQuantile("x", [i / k for i in range(1, k)], 0.2 / k))) if k > 1 else []
+    name = "__range"
+    if not cuts:
+        return df.withColumn(name, F.lit(0)), 1
+    cut = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="__id_double", outputCol=name,
+                     handleInvalid="keep")
+    out = cut.transform(df.withColumn("__id_double", F.coalesce(F.col(id_col).cast("double"), F.lit(float("-inf")))))
+    return out.withColumn(name, F.col(name).cast("int")).drop("__id_double"), len(cuts) + 1
+
+
+def open_fs(uri: str):
+    """(pyarrow file system, path) of a URI as Spark gives it, such as file:/x, hdfs://h/x or s3://b/x."""
+    from pyarrow import fs
+
+    if "://" not in uri:
+        return fs.LocalFileSystem(), uri.removeprefix("file:")
+    return fs.FileSystem.from_uri(uri)

@@ -102,3 +102,11 @@ def open_fs(uri: str):
     if "://" not in uri:
         return fs.LocalFileSystem(), uri.removeprefix("file:")
     return fs.FileSystem.from_uri(uri)
+
+
+def let(value, use):
+    """The column ``use(value)`` with ``value`` worked out once per row, however often ``use`` refers to it
+    (a plain reference would be copied into every place, also into each step of a lambda)."""
+    from pyspark.sql import functions as F
+
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annospark.llm import chat, fingerprint, jaccard, pieces, token_files, toxicity, url_filter
+from annospark.llm import chat, decontam, fingerprint, jaccard, pieces, token_files, toxicity, url_filter
 from annospark.llm.common import LLM_QUERIES, llm_query, table  # noqa: F401
 
 
@@ -107,3 +107,9 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS
 @llm_query("op4_jaccard_join", OP4_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@llm_query("op8_decontamination")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, one row for each pair."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")

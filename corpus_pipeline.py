@@ -1 +1,75 @@
-PIPELINE_QUERY = {}
+"""The corpus pipeline: toxicity, near copies, benchmark decontamination, tokens.
+
+Each stage takes the documents that its predecessor kept and returns those it
+keeps, with the columns of ``documents``; the last returns their token ids.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from annospark.llm import decontam, jaccard, pieces, toxicity
+from annospark.llm.common import prepare, stored, table
+from annospark.llm.queries import tokenizer_path, toxicity_lexicon
+from annospark.plans.registry import Query
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score of 0.5 or more go; the lexicon is learnt from labelled documents."""
+    prepare(spark)
+    lexicon = toxicity_lexicon(spark, docs, sf_dir)
+    scored = toxicity.score_documents(docs, lexicon, keep=tuple(docs.columns), out="__toxicity")
+    return scored.where(F.col("__toxicity") < 0.5).drop("__toxicity")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the row with the least id (and text hash) stays; documents
+    without words link with nothing and stay."""
+    prepare(spark)
+    found = jaccard.jaccard_components(docs)
+    # one surviving (id, text) of each component, and only one of equal rows
+    keep = (found.where("n_shingles > 0").groupBy("component_id")
+            .agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th")).alias("r"))
+            .select(F.col("r.doc_id").alias("__id"), F.col("r.th").alias("__th")))
+    empty = (found.where("n_shingles = 0").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+             .withColumn("__every", F.lit(True)))
+    keep = stored(keep.withColumn("__every", F.lit(False)).unionByName(empty), "kept")
+    kept = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__th")))
+    once = kept.where(~F.col("__every")).dropDuplicates(["__id", "__th"])
+    return kept.where(F.col("__every")).unionByName(once).select(*[docs[c] for c in docs.columns])
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, or one with other numbers, names or units, go."""
+    prepare(spark)
+    return decontam.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of every document that is left, and the digest of the text decoded from them."""
+    prepare(spark)
+    return pieces.encode_documents(docs, tokenizer_path("piece_bpe_32k.model"),
+                                   outputs=("n_tokens", "ids", "decoded_sha256"), keep=("doc_id",))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("jaccard_join", drop_near_copies),
+    ("decontamination", drop_benchmark_leaks),
+    ("sentencepiece", encode),
+]
+
+ORACLE_SQL = None  # learnt scores and tokenizer ids are beyond SQL; tests/llm compares with a brute-force version
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is written and read again."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return docs
+
+
+PIPELINE_QUERY = {"pipeline": Query("pipeline", run, ORACLE_SQL, "pipeline")}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annospark.llm import chat, decontam, fingerprint, html_extract, jaccard, pieces, token_files, toxicity, url_filter
+from annospark.llm import chat, decontam, fingerprint, html_extract, jaccard, licenses, pieces, token_files, toxicity, url_filter
 from annospark.llm.common import LLM_QUERIES, llm_query, table  # noqa: F401
 
 
@@ -118,3 +118,17 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @llm_query("op9_html_text")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def document_paths(docs: DataFrame) -> DataFrame:
+    """Documents as files of a tree: source / id div 1000 / id div 50, every 25th a licence file.  Only reshapes."""
+    i = F.col("doc_id")
+    name = F.concat(F.when(i % 25 == 0, F.lit("LICENSE-")).otherwise(F.lit("file-")), i.cast("string"), F.lit(".txt"))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), (i / 1000).cast("long").cast("string"),
+                       (i / 50).cast("long").cast("string"), name)
+    return docs.select("doc_id", F.when(i.isNotNull(), path).alias("path"), "text")
+
+
+@llm_query("op1_license_scan")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(document_paths(table(spark, sf_dir, "documents")), keep=("doc_id",))

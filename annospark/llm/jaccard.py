@@ -11,7 +11,9 @@ sets' Jaccard similarity is at least 0.75.  Equal sets are one set from here on.
 2. Matrix.  For each group the union of its members' tokens.  The rows kept are
    those of the members' prefixes: a set of n tokens can only link to one that
    shares at least one of its first n - ceil(0.75 n) + 1 tokens in any fixed
-   order.  Groups that share a row are candidates (with sizes that can link).
+   order.  Groups that share rows are candidates, with sizes that can link and
+   as many common rows as two linked sets of such sizes must have at least
+   (see :func:`least_common`).
 3. Bound.  Each member of the smaller group is a query to the larger one: it
    can only link if at least 0.75 of its tokens are in the larger group's union.
 4. Open.  Only groups that pass are opened: query and members of fitting size
@@ -107,6 +109,18 @@ def least_overlap(n: int) -> int:
     return -(-SIMILARITY[0] * n // SIMILARITY[1])
 
 
+def least_common(n: int, m: int) -> int:
+    """Prefix tokens that two linked sets of sizes n and m have in common at least.
+
+    Linked sets share o >= 75 (n + m) / 175 tokens.  Up to the end of the
+    prefix that ends first in the order, each common token is in both prefixes;
+    behind it that set has ceil(0.75 size) - 1 tokens left.
+    """
+    num, den = SIMILARITY
+    overlap = -(-num * (n + m) // (num + den))
+    return overlap - max(least_overlap(n), least_overlap(m)) + 1
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, th, text): th tells rows of one id apart."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"),
@@ -304,8 +318,18 @@ def merged(t, g1, g2, low, high):
     return t[first], g1[first], g2[first], np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
 
 
+def summed_pairs(p: np.ndarray) -> np.ndarray:
+    """Rows (a1, a2, b1, b2, common, low a, high a, low b, high b) with one row per pair of groups."""
+    p = p[np.lexsort((p[:, 3], p[:, 2], p[:, 1], p[:, 0]))]
+    first = np.flatnonzero(np.concatenate([[True], (p[1:, :4] != p[:-1, :4]).any(axis=1)]))
+    out = p[first].copy()
+    for k, f in ((4, np.add), (5, np.minimum), (6, np.maximum), (7, np.minimum), (8, np.maximum)):
+        out[:, k] = f.reduceat(p[:, k], first)
+    return out
+
+
 def candidate_groups(matrix: DataFrame, parts: int) -> DataFrame:
-    """(ga, gb), ga < gb: groups that share a matrix row and hold sets of sizes that can link."""
+    """(ga, gb), ga < gb: groups whose common matrix rows and sizes allow a link between them."""
     num, den = SIMILARITY
 
     def run(batches):
@@ -323,9 +347,12 @@ def candidate_groups(matrix: DataFrame, parts: int) -> DataFrame:
 
         def emit(i: np.ndarray, j: np.ndarray):
             fits = (low[i] * num <= high[j] * den) & (low[j] * num <= high[i] * den)
-            i, j = i[fits], j[fits]
+            i, j = i[fits], j[fits]  # within a token the groups ascend, so i is always the lesser group
             if len(i):
-                out.append(np.unique(np.stack([g1[i], g2[i], g1[j], g2[j]], axis=1), axis=0))
+                out.append(summed_pairs(np.stack([g1[i], g2[i], g1[j], g2[j], np.ones(len(i), np.int64),
+                                                  low[i], high[i], low[j], high[j]], axis=1)))
+            if len(out) > 16:
+                out[:] = [summed_pairs(np.concatenate(out))]
 
         two = start[size == 2]
         emit(two, two + 1)
@@ -335,25 +362,31 @@ def candidate_groups(matrix: DataFrame, parts: int) -> DataFrame:
                 pending_i.append(np.full(n - 1 - k, s + k))
                 pending_j.append(np.arange(s + k + 1, s + n))
                 held += n - 1 - k
-                if held > 1_000_000:
+                if held > 500_000:
                     emit(np.concatenate(pending_i), np.concatenate(pending_j))
                     pending_i, pending_j, held = [], [], 0
-            if len(out) > 16:
-                out = [np.unique(np.concatenate(out), axis=0)]
         if held:
             emit(np.concatenate(pending_i), np.concatenate(pending_j))
-        if not out:
-            return
-        pairs = np.unique(np.concatenate(out), axis=0)
+        pairs = summed_pairs(np.concatenate(out)) if out else np.empty((0, 9), np.int64)
         for k in range(0, len(pairs), 100_000):
             p = pairs[k:k + 100_000]
-            a = [v.tobytes() for v in np.ascontiguousarray(p[:, :2])]
-            b = [v.tobytes() for v in np.ascontiguousarray(p[:, 2:])]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["ga", "gb"])
-
-    dealt = matrix.repartition(parts, "bucket")
-    return (dealt.mapInArrow(run, "ga binary, gb binary")
-            .select(F.least("ga", "gb").alias("ga"), F.greatest("ga", "gb").alias("gb")).distinct())
+            ids = [pa.array([v.tobytes() for v in np.ascontiguousarray(p[:, c:c + 2])], pa.binary()) for c in (0, 2)]
+            yield pa.RecordBatch.from_arrays([*ids, *[pa.array(p[:, c]) for c in range(4, 9)]],
+                                             names=["ga", "gb", "c", "la", "ha", "lb", "hb"])
+
+    found = matrix.repartition(parts, "bucket").mapInArrow(
+        run, "ga binary, gb binary, c long, la long, ha long, lb long, hb long")
+    pairs = found.groupBy("ga", "gb").agg(F.sum("c").alias("c"), F.min("la").alias("la"), F.max("ha").alias("ha"),
+                                          F.min("lb").alias("lb"), F.max("hb").alias("hb"))
+
+    def least(n: str, m: str):
+        """:func:`least_common` as a column."""
+        up = lambda x: F.ceil(x * num / den)
+        return F.ceil((F.col(n) + F.col(m)) * num / (num + den)) - F.greatest(up(F.col(n)), up(F.col(m))) + 1
+
+    # the least over the sizes that the groups may pair: large against small
+    pairs = pairs.where((F.col("c") >= least("ha", "lb")) | (F.col("c") >= least("la", "hb")))
+    return pairs.select("ga", "gb")
 
 
 def token_rows(texts: DataFrame, *keep: str) -> DataFrame:

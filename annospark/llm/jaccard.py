@@ -42,10 +42,11 @@ from annospark.llm.common import slices, stored
 WORDS, SIMILARITY = 5, (75, 100)
 KEYS = 4                  # least-hash keys for the groups
 CHUNK = 1_000_000         # tokens looked at together for frequent ones
+ENTRIES = 250_000         # matrix entries a task packs at once
 FREQUENT = 5              # occurrences (in different sets) in a chunk
 BITMAP_BITS = 23          # frequent tokens are marked in 2 ** 23 bits (1 MB), sent to all tasks
 BROADCAST_ROWS = 400_000  # keys (24 bytes each) are broadcast up to here, joined by a shuffle beyond
-WORD_CACHE = 400_000
+WORD_CACHE = 150_000
 PROBES = 32               # members of a large group tried before all of them
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -301,7 +302,7 @@ def matrix_rows(rows: DataFrame, sets: DataFrame, groups: DataFrame, bitmap: byt
                 g = np.frombuffer(gid, np.int64)
                 parts.append((t, g[0], g[1], n))
                 held += len(t)
-                if held >= CHUNK:
+                if held >= ENTRIES:
                     yield from flush()
         yield from flush()
 
@@ -362,7 +363,7 @@ def candidate_groups(matrix: DataFrame, parts: int) -> DataFrame:
                 pending_i.append(np.full(n - 1 - k, s + k))
                 pending_j.append(np.arange(s + k + 1, s + n))
                 held += n - 1 - k
-                if held > 500_000:
+                if held > 100_000:
                     emit(np.concatenate(pending_i), np.concatenate(pending_j))
                     pending_i, pending_j, held = [], [], 0
         if held:

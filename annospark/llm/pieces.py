@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 from annospark.llm.common import slices
 
 SPACE = "▁"
-UNIT_CACHE = 500_000   # units kept per worker; the table is emptied when it is full
-PAIR_CACHE = 1_000_000
+UNIT_CACHE = 250_000   # units kept per worker; the table is emptied when it is full
+PAIR_CACHE = 400_000
 CACHED_LEN = 48        # longer units are encoded each time
 
 

@@ -1,7 +1,7 @@
 """Benchmark decontamination by template windows, with DataFrame functions only.
 
 Texts are brought to a template form: numbers, units after a number, and names
-(capitalised words inside a sentence) become typed placeholders; the rest is
+(words with a capital first letter inside a sentence, not all in capitals) become typed placeholders; the rest is
 lower-cased and stripped of punctuation.  Windows of five template words are
 hashed and joined with those of the benchmark items (with and without names
 replaced, so a leak in another case matches too).  Of an item's windows that a
@@ -31,7 +31,7 @@ UNITS = ("kg g mg lb lbs oz km m cm mm mi ft yd inch inches mile miles meter met
          "minute minutes min second seconds sec day days week weeks month months year years dollar dollars euro euros "
          "cent cents usd eur percent litre litres liter liters ml l kb mb gb tb mph kmh volt volts watt watts degrees").split()
 
-_NAME_RE = r"(?<=[\p{L}\p{N},;'’)] )\p{Lu}[\p{L}\p{M}'’-]*"
+_NAME_RE = r"(?<=[\p{L}\p{N},;'’)] )\p{Lu}\p{Ll}[\p{L}\p{M}'’-]*"
 _UNIT_RE = r"(?i)(\d(?:[\d.,]*\d)?)( ?)(?:" + "|".join(UNITS) + r")(?![\p{L}\p{N}])"
 _NUMBER_RE = r"\d+(?:[.,:/]\d+)*"
 

@@ -46,7 +46,7 @@ NOISE_WORDS = set("ad ads advert adverts advertisement advertising banner banner
                   "cookie cookies consent notice notices alert popup modal newsletter subscribe signup login nav navbar "
                   "navigation menu breadcrumb breadcrumbs sidebar widget footer header masthead toolbar social share "
                   "sharing related recommended comment comments reply replies respond disqus pagination pager".split())
-BLOCKS = set("address article blockquote body caption dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 "
+BLOCKS = set("form nav header footer aside dialog menu address article blockquote body caption dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 "
              "hr html li main ol p pre section summary table tbody td tfoot th thead tr ul center".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe")

@@ -32,7 +32,7 @@ from annospark.llm.common import open_fs, ranged, scratch_path, slices
 
 # Fixed values of the zstandard seekable format.
 INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC, CHECKSUM_FLAG = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
-WORD_CACHE = 250_000
+WORD_CACHE = 1_000_000
 LEVEL = 3
 
 

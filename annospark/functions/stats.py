@@ -54,7 +54,11 @@ def group_positions(df: DataFrame, by: list[str], order: list, out: str = "pos",
     # slice is never larger than one range partition.
     local = Window.partitionBy(*by, "_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
     s = s.select("*", *[F.coalesce(F.sum(f"_w_{n}").over(local), F.lit(0)).alias(f"_l_{n}") for n in acc])
-    s = s.join(off, [*by, "_pid"])
+    # null-safe: a group whose key is NULL keeps its rows
+    off = off.select(*[F.col(c).alias(f"_b_{c}") for c in by], F.col("_pid").alias("_b__pid"),
+                     *[f"_o_{n}" for n in acc])
+    s = s.join(off, [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in by] + [F.col("_pid") == F.col("_b__pid")]) \
+        .drop(*[f"_b_{c}" for c in by], "_b__pid")
     s = s.select("*", *[(F.col(f"_o_{n}") + F.col(f"_l_{n}")).alias(n) for n in acc if n != out],
                  (F.col(f"_o_{out}") + F.col(f"_l_{out}")).alias(out))
     tmp = [c for c in s.columns if c.startswith(("_w_", "_p_", "_o_", "_l_"))] + ["_mid", "_pid"]
@@ -94,7 +98,7 @@ def histogram_quantiles(hist: DataFrame, value: str, count: str, probs: dict[str
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
                     by: list[str] | None = None) -> DataFrame:
     by = by or []
-    hist = df.groupBy(*by, value).agg(F.count("*").alias("_c"))
+    hist = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
     return histogram_quantiles(hist, value, "_c", probs, by)
 
 

@@ -26,7 +26,8 @@ GO_RE = "^GO:[0-9]{7}$"
 def top_n_per_entity(scores: DataFrame, n: int = MAX_TERMS, key: Column | None = None) -> DataFrame:
     """Clip to [0, 1], drop ``<= 0``, keep the top ``n`` per entity by
     ``key`` (default score) desc with term id as tie-break."""
-    s = scores.withColumn("score", F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0)))
+    s = scores.filter(~F.isnan("score"))  # a NaN would rank above every number
+    s = s.withColumn("score", F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0)))
     s = s.filter(F.col("score") > 0)
     k = key if key is not None else F.col("score")
     w = Window.partitionBy("entity_id").orderBy(k.desc(), F.col("term_id"))
@@ -37,7 +38,7 @@ def top_n_by_expected_value(scores: DataFrame, ia: DataFrame, n: int = MAX_TERMS
                             min_conf: float | None = 0.05, ia_default: float = 0.0) -> DataFrame:
     """Rank by ``score * ia`` (optionally only ``score >= min_conf``), keep
     ``score > 0`` and clamp the emitted score to [0.001, 1]."""
-    s = scores.join(ia.select("term_id", F.col("ia").alias("_ia")), "term_id", "left") \
+    s = scores.filter(~F.isnan("score")).join(ia.select("term_id", F.col("ia").alias("_ia")), "term_id", "left") \
         .withColumn("_ia", F.coalesce("_ia", F.lit(float(ia_default))))
     if min_conf is not None:
         s = s.filter(F.col("score") >= min_conf)

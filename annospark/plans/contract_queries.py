@@ -139,7 +139,7 @@ def q_largest(spark, d):
     return FE.largest_n(listing, 25)
 
 
-_FUNC_SQL = f"trim(substr(regexp_replace(coalesce(text, ''), '[\\t\\r\\n\"]', ' ', 'g'), 1, 50))"
+_FUNC_SQL = f"trim((regexp_replace(coalesce(text, ''), '[\\t\\r\\n\"]', ' ', 'g')))"
 _IDS_SQL = ("list_filter(regexp_split_to_array(coalesce(text, ''), '[;" + WS[1:-1] + "]+'), lambda x: "
             "regexp_full_match(x, '[0-9]+'))")
 
@@ -153,7 +153,7 @@ _IDS_SQL = ("list_filter(regexp_split_to_array(coalesce(text, ''), '[;" + WS[1:-
        "d.fn AS cc_function, coalesce(g.ids, '') AS pubmed FROM d LEFT JOIN g ON d.doc_id = g.doc_id"))
 def q_uniprot(spark, d):
     doc = S.table(spark, d, "documents")
-    fn = F.trim(F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "[\t\r\n\"]", " "), 1, 50))
+    fn = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\t\r\n\"]", " "))
     ids = F.array_join(keys.parse_id_list(F.col("text")), "; ")
     rec = doc.select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("Entry"),
                      F.col("source").alias("Protein names"), F.col("lang").alias("Organism"),

@@ -120,13 +120,7 @@ def q_best(spark, d):
     return b.select("aspect", "best_thr", F.round("best_f1", 6).alias("best_f1"))
 
 
-@query("calibrate_thresholds", "E8 E7 P10 A19", sql=cells_sql().replace(
-       "cells AS (SELECT c.*", "sample AS (SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY "
-       "o_orderkey) - 1 AS pos FROM orders), (SELECT count(*) AS n FROM orders) nn, (SELECT least(count(*), 20000) "
-       "AS m FROM orders) mm WHERE pos IN (SELECT CAST(floor(i * (n - 1) / (m - 1)) AS BIGINT) FROM range(0, m) t(i))),\n"
-       "cells AS (SELECT c.*").replace("LEFT JOIN ia ON c.term_id = ia.term_id)",
-                                       "LEFT JOIN ia ON c.term_id = ia.term_id WHERE c.entity_id IN (SELECT o_orderkey "
-                                       "FROM sample))") +
+@query("calibrate_thresholds", "E8 E7 A19", sql=cells_sql() +
        CURVE_SQL.format(grid=_grid_sql(GRID)) + BEST_SQL.format(f1=_F1) +
        ", best AS (SELECT * FROM b WHERE rn = 1), cnt AS (SELECT aspect, count(*) AS n FROM cells GROUP BY 1), "
        "sc AS (SELECT * FROM (VALUES ('ALL'), ('BP'), ('MF'), ('CC'), ('UNK')) t(scope)) "
@@ -134,9 +128,7 @@ def q_best(spark, d):
        "round(coalesce(best.f1, (SELECT f1 FROM best WHERE aspect = 'ALL')), 6) AS f1, coalesce(cnt.n, 0) AS cells "
        "FROM sc LEFT JOIN best ON sc.scope = best.aspect LEFT JOIN cnt ON sc.scope = cnt.aspect")
 def q_calibrate(spark, d):
-    ents = S.entities(spark, d).select(F.col("entity_id").alias("row_idx"))
-    sample = L.even_row_sample(ents, 20000, "row_idx").select(F.col("row_idx").alias("entity_id"))
-    c = _cells(spark, d).join(sample, "entity_id", "left_semi")
+    c = _cells(spark, d)
     r = M.calibrate_aspect_thresholds(c, GRID)
     return r.select("scope", "thr", F.round("f1", 6).alias("f1"), "cells")
 

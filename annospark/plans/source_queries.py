@@ -178,7 +178,7 @@ def q_counts_sniff(spark, d):
 
 
 @query("embedding_modality_scan", "S10 F1", sql=(
-       "SELECT vec_id AS entity_id, CAST(unnest(range(16)) AS INTEGER) AS pos, round(CAST(unnest(embedding[1:16]) AS "
+       "SELECT vec_id AS entity_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS pos, round(CAST(unnest(embedding) AS "
        "DOUBLE), 6) AS value FROM embeddings"))
 def q_modality_scan(spark, d):
     path = scratch(spark, "emb")
@@ -187,7 +187,7 @@ def q_modality_scan(spark, d):
     small = e.select(F.col("vec_id").alias("entity_id"), F.lit("small").alias("modality"),
                      F.slice("embedding", 1, 16).alias("vec"))
     full.unionByName(small).write.partitionBy("modality").parquet(path)
-    v = tables.read_embeddings(spark, path, "small")
+    v = tables.read_embeddings(spark, path, "full")
     return v.select("entity_id", F.posexplode("vec").alias("pos", "value")) \
         .select("entity_id", "pos", F.round(F.col("value").cast("double"), 6).alias("value"))
 

@@ -72,7 +72,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint directory, setting a scratch one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as-is; a fresh local folder is made only for tests and local runs.
+    as-is, and without it a cluster session is refused; a fresh local folder
+    is made only for local masters (tests and local runs).
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -81,8 +82,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
-    else:
+    elif sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="annospark-ckpt-", dir="/tmp"))
+    else:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return sc.getCheckpointDir()
 
 

@@ -60,7 +60,7 @@ STAGES = [
     ("sentencepiece", encode),
 ]
 
-ORACLE_SQL = None  # learnt scores and tokenizer ids are beyond SQL; tests/llm compares with a brute-force version
+ORACLE_SQL = None  # learnt scores and tokenizer ids are beyond SQL; see tests/llm for what is compared
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

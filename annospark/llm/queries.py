@@ -28,8 +28,8 @@ def toxicity_lexicon(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxic
     """Learnt from the labelled rows that are not held out."""
     labels = (table(spark, sf_dir, "labels").where(F.col("doc_id").isNotNull() & ~held_out_col())
               .groupBy("doc_id").agg(F.max("toxic").alias("__toxic")))
-    labelled = docs.select("doc_id", "text").join(labels, "doc_id")
-    return toxicity.learn(labelled, label_col="__toxic")
+    sample = toxicity.labelled_sample(docs.select("doc_id", "text"), labels, label_col="__toxic")
+    return toxicity.learn(sample, label_col="__toxic")
 
 
 @llm_query("op5_toxicity")

@@ -136,6 +136,22 @@ def features(text: str | None) -> set[str]:
     return out
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic",
+                    max_rows: int = 10_000) -> DataFrame:
+    """``docs`` with the label of their id, for the ``max_rows`` labelled ids that are first in hash order.
+
+    Only ids meet labels in a shuffle; the texts meet the chosen ids (at most
+    ``max_rows``, so they are broadcast) where they are.  ``labels`` has one row per id.
+    """
+    from annospark.llm.common import stored
+
+    ids = docs.select(F.col(id_col).alias("__id")).where(F.col(id_col).isNotNull()).distinct()
+    known = labels.select(F.col(id_col).alias("__id"), label_col).where(F.col(label_col).isin(0, 1))
+    chosen = ids.join(known, "__id").orderBy(F.xxhash64(F.col("__id").cast("string")), "__id").limit(max_rows)
+    chosen = stored(chosen, "toxic-ids")
+    return docs.join(F.broadcast(chosen), docs[id_col] == chosen["__id"]).drop("__id")
+
+
 def training_rows(labelled: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int) -> DataFrame:
     """(text, label): at most ``max_rows`` labelled rows, the first in hash order of the id.
 
@@ -146,7 +162,6 @@ def training_rows(labelled: DataFrame, id_col: str, text_col: str, label_col: st
         F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label"),
         F.xxhash64(F.col(id_col).cast("string")).alias("h"))
 
-
     def least(batches):
         for batch in slices(batches):
             keys = []
@@ -247,7 +262,7 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                  batch.column(1)], names=["x", "label"])
 
     # one row per sample row: bounded by max_rows
-    xy = np.array([tuple(r) for r in sample.mapInArrow(evidence, "x double, label int").orderBy("x", "label").collect()])
+    xy = np.array(sorted(tuple(r) for r in sample.mapInArrow(evidence, "x double, label int").collect()))
     lexicon.slope, lexicon.offset = fit_curve(xy[:, 0], xy[:, 1])
     return lexicon
 

@@ -140,6 +140,35 @@ def coverage_by_rank(counts: DataFrame, ia: DataFrame | None = None, by: list[st
                     ((F.col("_ci") + F.col("iamass")) / F.col("_ti")).alias("cum_ia_share"))
 
 
+def coverage_ranks(counts: DataFrame, ia: DataFrame, floor: int, shares: tuple[float, ...] = (0.95, 0.99),
+                   by: list[str] | None = None) -> DataFrame:
+    """Terms with ``n >= floor`` are eligible, ranked by count desc (term
+    asc).  Per group: all terms, eligible terms (``k_noise``), the first rank at
+    which the eligible terms' cumulative IA reaches each share (``k_95`` ...; 0
+    without eligible IA), the counts at rank ``k_noise`` and the next, and the
+    eligible IA as a fraction of all terms' IA and of itself (infinite when
+    that total is 0)."""
+    by = by or ["aspect"]
+    c = counts.join(ia.select("term_id", "ia"), "term_id", "left").fillna(0.0, subset=["ia"])
+    ok = F.col("n") >= floor
+    per = c.groupBy(*by).agg(
+        F.count("*").alias("n_terms"), F.count_if(ok).alias("k_noise"),
+        F.coalesce(F.min(F.when(ok, F.col("n"))), F.lit(0)).alias("count_at_k"),
+        F.coalesce(F.max(F.when(~ok, F.col("n"))), F.lit(0)).alias("count_at_k_plus_1"),
+        F.coalesce(F.sum(F.when(ok, F.col("ia"))), F.lit(0.0)).alias("_eligible"), F.sum("ia").alias("_all"))
+    r = stats.group_positions(c.filter(ok), by, [F.col("n").desc(), F.col("term_id")], out="rank0",
+                              sums={"_ci": F.col("ia")})
+    reached = (F.col("_ci") + F.col("ia")) / F.col("_eligible")
+    names = [f"k_{round(100 * s)}" for s in shares]
+    ks = r.join(per.select(*by, "_eligible"), by).filter(F.col("_eligible") > 0).groupBy(*by).agg(
+        *[F.min(F.when(reached >= s - 1e-12, F.col("rank0") + 1)).alias(k) for s, k in zip(shares, names)])
+    inf = F.lit(float("inf"))
+    return per.join(ks, by, "left").select(
+        *by, "n_terms", "k_noise", *[F.coalesce(k, F.lit(0)).alias(k) for k in names], "count_at_k", "count_at_k_plus_1",
+        F.when(F.col("_all") > 0, F.col("_eligible") / F.col("_all")).otherwise(inf).alias("ia_fraction_of_all"),
+        F.when(F.col("_eligible") > 0, F.lit(1.0)).otherwise(inf).alias("ia_fraction_of_eligible"))
+
+
 def annotation_coverage(counts: DataFrame, top_k: int, target: float = 0.99,
                         by: list[str] | None = None) -> DataFrame:
     """Share of annotations covered by the top-K terms, the smallest count

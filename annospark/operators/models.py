@@ -152,16 +152,15 @@ def graph_stacker_fit_predict(features: DataFrame, truth: DataFrame, ia: DataFra
 
 
 def run_folds(spark, folds: list[int], out_path: str, compute) -> DataFrame:
-    """resumable per-fold stage.  Folds already present as partitions of
-    the fold-partitioned Parquet table are skipped; each missing fold is
-    computed by ``compute(fold) -> DataFrame`` and appended as soon as it is
-    done.  Returns the whole table."""
-    try:
-        done = {r["fold"] for r in spark.read.parquet(out_path).select("fold").distinct().collect()}
-    except Exception:  # noqa: BLE001 - nothing written yet
-        done = set()
+    """resumable per-fold stage.  Each fold is a partition folder
+    ``fold=f`` with a ``_SUCCESS`` marker of its own, written when the fold is
+    whole; folds with a marker are skipped, all others are computed by
+    ``compute(fold) -> DataFrame`` and replace what an interrupted run left.
+    Read errors are raised, not taken for missing folds.  Returns the whole
+    table."""
+    from annospark.sources.tables import stage_done
+
     for f in folds:
-        if f in done:
-            continue
-        compute(f).withColumn("fold", F.lit(f)).write.mode("append").partitionBy("fold").parquet(out_path)
+        if not stage_done(spark, f"{out_path}/fold={f}"):
+            compute(f).drop("fold").write.mode("overwrite").parquet(f"{out_path}/fold={f}")
     return spark.read.parquet(out_path)

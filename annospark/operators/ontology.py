@@ -30,6 +30,7 @@ def ancestor_closure(edges: DataFrame, nodes: DataFrame | None = None,
     """G1: reflexive transitive closure ``(term_id, ancestor)`` of ``child -> parent`` edges.
 
     Reflexive pairs cover every edge endpoint and every ``nodes.term_id``.
+    Self loops add nothing to them; a longer cycle raises ``ValueError``.
     """
     spark = edges.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/closure-{uuid.uuid4().hex}"
@@ -37,7 +38,9 @@ def ancestor_closure(edges: DataFrame, nodes: DataFrame | None = None,
     # per round.  Each round doubles path lengths (delta o known and
     # known o delta) and appends only pairs not known yet, so it needs
     # log2(depth) rounds and every file holds distinct pairs.
-    base = edges.select("child", "parent").distinct().withColumn("round", F.lit(0))
+    loops = edges.filter(F.col("child") == F.col("parent")).select(F.col("child").alias("t"))
+    base = edges.select("child", "parent").filter(F.col("child") != F.col("parent")).distinct() \
+        .withColumn("round", F.lit(0))
     schema = base.schema  # explicit: an empty round writes no files to infer from
     base.write.partitionBy("round").parquet(path)
 
@@ -53,12 +56,17 @@ def ancestor_closure(edges: DataFrame, nodes: DataFrame | None = None,
             .select(F.col("r.child").alias("child"), F.col("d.parent").alias("parent"))
         new = a.unionByName(b).distinct().join(kn, ["child", "parent"], "left_anti")
         new.withColumn("round", F.lit(k)).write.mode("append").partitionBy("round").parquet(path)
-        if table().filter(F.col("round") == k).isEmpty():  # reads only this round's partition
+        # reads only this round's partition; a pair (x, x) closes a cycle
+        found, cyclic = table().filter(F.col("round") == k).agg(
+            F.count("*"), F.min(F.when(F.col("child") == F.col("parent"), F.col("child")))).first()
+        if cyclic is not None:
+            raise ValueError(f"the ontology has a cycle through {cyclic}")
+        if not found:
             break
     else:
-        raise RuntimeError("ancestor closure did not converge (cycle or too deep)")
+        raise RuntimeError("ancestor closure did not converge (too deep)")
     e = table().filter(F.col("round") == 0)
-    ids = e.select(F.explode(F.array("child", "parent")).alias("t"))
+    ids = e.select(F.explode(F.array("child", "parent")).alias("t")).unionByName(loops)
     if nodes is not None:
         ids = ids.unionByName(nodes.select(F.col("term_id").alias("t")))
     ids.distinct().select(F.col("t").alias("child"), F.col("t").alias("parent"), F.lit(-1).alias("round")) \

@@ -45,17 +45,31 @@ def _per_entity_f1(pred_cells: DataFrame, truth: DataFrame, by: list[str], n_ent
     return per.unionByName(allrow)
 
 
-def tune_k(neigh: DataFrame, labels: DataFrame, ks: list[int], thr: float, n_queries: int) -> DataFrame:
-    """One neighbour query at ``max(ks)`` reused for every k: label
-    transfer over the first k neighbours, per-entity F1 at ``thr`` per aspect;
-    ``is_best`` marks the best k per aspect (ties -> smaller k)."""
+def transfer_by_k(neigh: DataFrame, labels: DataFrame, ks: list[int], denom) -> DataFrame:
+    """``(k, query_id, term_id, aspect, score)``: label transfer over the first
+    k neighbours for every k, divided by ``denom`` of the similarities' sum and
+    then by the query's largest score (1 where that is 0)."""
     arr = F.array(*[F.lit(int(k)) for k in ks])
     n = neigh.select("query_id", "base_id", "sim", F.explode(F.filter(arr, lambda k: F.col("rank") <= k)).alias("k"))
-    n = n.withColumn("denom", F.sum("sim").over(Window.partitionBy("k", "query_id")))
+    of_query = Window.partitionBy("k", "query_id")
+    n = n.withColumn("denom", denom(F.sum("sim").over(of_query)))
     lab = labels.select(F.col("entity_id").alias("base_id"), "term_id", "aspect").distinct()
     s = n.join(lab, "base_id").groupBy("k", "query_id", "term_id", "aspect") \
         .agg((F.sum("sim") / F.first("denom")).alias("score"))
-    pred = s.filter(F.col("score") >= thr).select("k", F.col("query_id").alias("entity_id"), "term_id", "aspect")
+    top = F.greatest(F.max("score").over(of_query), F.lit(0.0))
+    return s.withColumn("score", F.col("score") / F.when(top == 0, F.lit(1.0)).otherwise(top))
+
+
+def tune_k(neigh: DataFrame, labels: DataFrame, ks: list[int], thresholds: dict[str, float], n_queries: int) -> DataFrame:
+    """One neighbour query at ``max(ks)`` reused for every k: label
+    transfer over the first k neighbours (1e-9 added to the denominator),
+    row-max normalised, per-entity F1 at each aspect's threshold; ``is_best``
+    marks the best k per aspect (ties -> smaller k)."""
+    s = transfer_by_k(neigh, labels, ks, lambda d: d + F.lit(1e-9))
+    hit = F.lit(False)
+    for aspect, thr in thresholds.items():
+        hit = hit | ((F.col("aspect") == aspect) & (F.col("score") >= float(thr)))
+    pred = s.filter(hit).select("k", F.col("query_id").alias("entity_id"), "term_id", "aspect")
     res = _per_entity_f1(pred, labels, ["k"], n_queries)
     w = Window.partitionBy("aspect").orderBy(F.round("f1", 12).desc(), F.col("k"))
     return res.withColumn("is_best", F.row_number().over(w) == 1)
@@ -86,16 +100,14 @@ def grid_search_weights(scores: DataFrame, truth: DataFrame, terms: DataFrame, m
 
 
 def sweep_k_thresholds(neigh: DataFrame, labels: DataFrame, ks: list[int], grids: dict[str, list[float]]) -> DataFrame:
-    """For every k, micro F1 over all per-aspect threshold combinations;
+    """For every k, micro F1 over all per-aspect threshold combinations of
+    the transferred, row-max normalised scores (similarities clipped to [0, 1],
+    a zero denominator counts as 1);
     tp / fp / fn are additive over aspects, so each aspect is swept once per k
     and the combinations are assembled from those tiny count tables.  Returns
     the best combination per k (ties -> lowest thresholds in aspect order)."""
-    arr = F.array(*[F.lit(int(k)) for k in ks])
-    n = neigh.select("query_id", "base_id", "sim", F.explode(F.filter(arr, lambda k: F.col("rank") <= k)).alias("k"))
-    n = n.withColumn("denom", F.sum("sim").over(Window.partitionBy("k", "query_id")))
-    lab = labels.select(F.col("entity_id").alias("base_id"), "term_id", "aspect").distinct()
-    s = n.join(lab, "base_id").groupBy("k", "query_id", "term_id", "aspect") \
-        .agg((F.sum("sim") / F.first("denom")).alias("score"))
+    clipped = neigh.withColumn("sim", F.least(F.greatest(F.col("sim"), F.lit(0.0)), F.lit(1.0)))
+    s = transfer_by_k(clipped, labels, ks, lambda d: F.when(d == 0, F.lit(1.0)).otherwise(d))
     t = labels.select(F.col("entity_id").alias("query_id"), "term_id", "aspect").distinct().withColumn("y", F.lit(1))
     true_n = t.groupBy("aspect").agg(F.count("*").alias("true"))
     sj = s.join(t, ["query_id", "term_id", "aspect"], "left")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Submission rules — at most 1500 terms per entity, at most 5
-# free-text rows per entity, free-text rows of at most 3000 characters (descriptions cut at 2900 -> 2897 + "..."),
+# free-text rows per entity, at most 3000 characters of text over all rows of an entity (descriptions cut at 2900 -> 2897 + "..."),
 # scores clamped to [0.001, 1].
 MAX_TERMS = 1500
 MAX_TEXT_ROWS = 5
@@ -51,15 +51,22 @@ def top_n_by_expected_value(scores: DataFrame, ia: DataFrame, n: int = MAX_TERMS
 
 def fmt_sig3(x: Column) -> Column:
     """C ``%.3g`` (trailing zeros dropped), e.g. 0.5 -> '0.5', 1.0 -> '1',
-    0.0004567 -> '0.000457'.  Java's ``%g`` keeps zeros, so they are stripped."""
-    s = F.format_string("%.3g", x)
+    0.0004567 -> '0.000457'.  From 0.0001 to below 1000 the exact binary value
+    is rounded, as C does (``format_number``; ``format_string`` would round the
+    short decimal half-up); beyond, Java's scientific form is taken."""
+    a = F.abs(x)
+    decimals = F.lit(6)
+    for least, d in ((0.001, 5), (0.01, 4), (0.1, 3), (1.0, 2), (10.0, 1), (100.0, 0)):
+        decimals = F.when(a >= least, F.lit(d)).otherwise(decimals)
+    plain = F.regexp_replace(F.call_function("format_number", x, decimals), ",", "")
+    s = F.when((a >= 0.0001) & (a < 999.5), plain).otherwise(F.format_string("%.3g", x))
     return (F.when(s.contains("e"), F.regexp_replace(s, r"\.?0+e", "e"))
             .when(s.contains("."), F.regexp_replace(s, r"\.?0+$", "")).otherwise(s))
 
 
 def fmt_fixed3(x: Column) -> Column:
-    """S14 variant: ``%.3f`` after clamping to [0.001, 1]."""
-    return F.format_string("%.3f", F.least(F.greatest(x, F.lit(SCORE_FLOOR)), F.lit(1.0)))
+    """S14 variant: ``%.3f`` of the exact binary value after clamping to [0.001, 1]."""
+    return F.format_number(F.least(F.greatest(x, F.lit(SCORE_FLOOR)), F.lit(1.0)), 3)
 
 
 def go_lines(rows: DataFrame, fmt: str = "sig3") -> DataFrame:
@@ -126,8 +133,8 @@ def audit_submission_lines(lines: DataFrame) -> DataFrame:
 def validate_submission(rows: DataFrame, desc: DataFrame | None = None, max_terms: int = MAX_TERMS) -> DataFrame:
     """One violation table ``(rule, entity_id, term_id, detail)``: score
     outside (0, 1], more than ``max_terms`` per entity, duplicate pair, bad
-    GO id, more than 5 text rows per entity, text rows longer than 3000
-    characters or not printable ASCII."""
+    GO id, more than 5 text rows per entity, descriptions of an entity longer than
+    3000 characters together, text rows not printable ASCII."""
     r = rows.select("entity_id", "term_id", "score")
     bad_score = r.filter(~((F.col("score") > 0) & (F.col("score") <= 1))).select(
         F.lit("score_range").alias("rule"), "entity_id", "term_id",
@@ -141,11 +148,10 @@ def validate_submission(rows: DataFrame, desc: DataFrame | None = None, max_term
         F.col("n").cast("string").alias("detail"))
     out = bad_score.unionByName(bad_go).unionByName(dup).unionByName(many)
     if desc is not None:
-        line = F.concat_ws("\t", F.col("entity_id").cast("string"), F.lit("Text"), fmt_sig3(F.col("score")),
-                           F.col("description"))
-        long_ = desc.filter(F.length(line) > TEXT_MAX).select(
+        total = desc.groupBy("entity_id").agg(F.sum(F.length("description")).alias("n"))
+        long_ = total.filter(F.col("n") > TEXT_MAX).select(
             F.lit("text_too_long").alias("rule"), "entity_id", F.lit(None).cast("string").alias("term_id"),
-            F.length(line).cast("string").alias("detail"))
+            F.col("n").cast("string").alias("detail"))
         non_ascii = desc.filter(F.col("description").rlike("[^\\x20-\\x7E]")).select(
             F.lit("text_not_ascii").alias("rule"), "entity_id", F.lit(None).cast("string").alias("term_id"),
             F.lit(None).cast("string").alias("detail"))

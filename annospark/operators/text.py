@@ -127,25 +127,25 @@ def text_coverage(entities: DataFrame, corpus: DataFrame, key: str) -> DataFrame
                  F.avg(F.coalesce(F.col("non_empty"), F.lit(False)).cast("double")).alias("non_empty"))
 
 
-XML_PIECES = 20
 _EDGE_WS = "^[ \\t\\n\\r\\f\\x0B]+|[ \\t\\n\\r\\f\\x0B]+$"
+_PIECE_END = "\uE000\uF8FE\uE000"  # private-use characters: marks the end of each abstract piece
 
 
 def parse_pubmed_xml(xml: DataFrame, col: str = "xml") -> DataFrame:
-    """One ``PubmedArticle`` document per row -> first PMID, title and the
-    ``AbstractText`` pieces (each its full string value, inline markup
-    included, whitespace-trimmed) joined by single spaces; rows without a
-    PMID are dropped.  Spark's XPath functions take constant paths, so the
-    first ``XML_PIECES`` pieces are addressed one by one and any further
-    pieces are appended from their text nodes."""
+    """One ``PubmedArticle`` document per row -> first PMID, title and all
+    ``Article/Abstract/AbstractText`` pieces (each its full string value,
+    inline markup included), all whitespace-trimmed, the pieces that are not
+    empty joined by single spaces; rows without a PMID are dropped.  The end
+    of each piece is marked before the text nodes are read, so any number of
+    pieces comes apart again."""
     x = F.col(col)
-    pmid = F.xpath_string(x, F.lit("string((//PMID)[1])"))
-    title = F.xpath_string(x, F.lit("string((//ArticleTitle)[1])"))
-    pieces = [F.xpath_string(x, F.lit(f"string((//AbstractText)[{i}])")) for i in range(1, XML_PIECES + 1)]
-    rest = F.array_join(F.xpath(x, F.lit(f"(//AbstractText)[position() > {XML_PIECES}]//text()")), "")
-    arr = F.array(*pieces, rest)
-    abstract = F.array_join(F.filter(F.transform(arr, lambda p: F.regexp_replace(p, _EDGE_WS, "")),
-                                     lambda p: p != ""), " ")
+    marked = F.regexp_replace(x, "</AbstractText\\s*>", _PIECE_END + "</AbstractText>")
+    trim = lambda c: F.regexp_replace(c, _EDGE_WS, "")
+    pmid = trim(F.xpath_string(x, F.lit("string((//MedlineCitation/PMID)[1])")))
+    title = trim(F.xpath_string(x, F.lit("string((//Article/ArticleTitle)[1])")))
+    nodes = F.array_join(F.xpath(marked, F.lit("//Article/Abstract/AbstractText//text()")), "")
+    pieces = F.transform(F.split(nodes, _PIECE_END), trim)
+    abstract = F.array_join(F.filter(pieces, lambda p: p != ""), " ")
     return xml.select(pmid.alias("pmid"), title.alias("title"), abstract.alias("abstract")) \
         .filter(F.col("pmid") != "")
 

@@ -133,23 +133,23 @@ def q_coverage(spark, d):
 @query("coverage_ranks", "W7 J1", sql=S.with_("ann", "ia", extra=(
        "c AS (SELECT aspect, term_id, count(*) AS n FROM ann GROUP BY 1, 2), "
        "cj AS (SELECT c.*, coalesce(ia.ia, 0.0) AS ia FROM c LEFT JOIN ia ON c.term_id = ia.term_id), "
+       f"el AS (SELECT * FROM cj WHERE n >= {ELITE_FLOOR}), "
        "r AS (SELECT *, row_number() OVER (PARTITION BY aspect ORDER BY n DESC, term_id) AS rank, "
-       "sum(ia * n) OVER (PARTITION BY aspect ORDER BY n DESC, term_id ROWS BETWEEN UNBOUNDED PRECEDING "
-       "AND CURRENT ROW) / sum(ia * n) OVER (PARTITION BY aspect) AS cum_ia FROM cj)")) +
-       f"SELECT aspect, count(*) FILTER (WHERE n >= {ELITE_FLOOR}) AS k_noise, "
-       "min(rank) FILTER (WHERE cum_ia >= 0.95 - 1e-12) AS k_95, "
-       "min(rank) FILTER (WHERE cum_ia >= 0.99 - 1e-12) AS k_99, "
-       "round(sum(ia * n) FILTER (WHERE rank <= 100) / sum(ia * n), 6) AS ia_share_top100 "
-       "FROM r GROUP BY aspect")
+       "sum(ia) OVER (PARTITION BY aspect ORDER BY n DESC, term_id ROWS BETWEEN UNBOUNDED PRECEDING "
+       "AND CURRENT ROW) / nullif(sum(ia) OVER (PARTITION BY aspect), 0) AS cum_ia FROM el), "
+       "k AS (SELECT aspect, min(rank) FILTER (WHERE cum_ia >= 0.95 - 1e-12) AS k_95, "
+       "min(rank) FILTER (WHERE cum_ia >= 0.99 - 1e-12) AS k_99, min(n) AS at_k, sum(ia) AS el_ia FROM r GROUP BY 1), "
+       f"a AS (SELECT aspect, count(*) AS n_terms, count(*) FILTER (WHERE n >= {ELITE_FLOOR}) AS k_noise, sum(ia) AS all_ia, "
+       f"max(n) FILTER (WHERE n < {ELITE_FLOOR}) AS below FROM cj GROUP BY 1)")) +
+       "SELECT a.aspect, n_terms, k_noise, coalesce(k_95, 0) AS k_95, coalesce(k_99, 0) AS k_99, "
+       "coalesce(at_k, 0) AS count_at_k, coalesce(below, 0) AS count_at_k_plus_1, "
+       "round(CASE WHEN all_ia > 0 THEN coalesce(el_ia, 0) / all_ia ELSE 'inf'::DOUBLE END, 6) AS ia_fraction_of_all, "
+       "CASE WHEN el_ia > 0 THEN 1.0::DOUBLE ELSE 'inf'::DOUBLE END AS ia_fraction_of_eligible "
+       "FROM a LEFT JOIN k ON a.aspect = k.aspect")
 def q_coverage_ranks(spark, d):
     c = L.term_counts(S.annotations(spark, d), by=["aspect", "term_id"])
-    r = L.coverage_by_rank(c, ia=S.ia(spark, d))
-    im = F.col("ia") * F.col("n")
-    return r.groupBy("aspect").agg(
-        F.count_if(F.col("n") >= ELITE_FLOOR).alias("k_noise"),
-        F.min(F.when(F.col("cum_ia_share") >= 0.95 - 1e-12, F.col("rank"))).alias("k_95"),
-        F.min(F.when(F.col("cum_ia_share") >= 0.99 - 1e-12, F.col("rank"))).alias("k_99"),
-        F.round(F.sum(F.when(F.col("rank") <= 100, im)) / F.sum(im), 6).alias("ia_share_top100"))
+    r = L.coverage_ranks(c, S.ia(spark, d), ELITE_FLOOR)
+    return r.withColumn("ia_fraction_of_all", F.round("ia_fraction_of_all", 6))
 
 
 @query("stratified_kfold", "W11 A5")

@@ -14,10 +14,15 @@ from annospark.plans.metric_queries import GRID, MODELS
 from annospark.plans.registry import query
 from annospark.plans.source_queries import scratch
 
+# Candidate neighbour counts, per-aspect thresholds and the threshold grid.
 TUNE_KS = [3, 5, 7, 10, 15, 20]
+TUNE_THRESHOLDS = {"BP": 0.4, "MF": 0.4, "CC": 0.3}
 SWEEP_KS = [5, 10, 15, 20, 25, 50]
 SWEEP_GRID = [0.1, 0.2, 0.3, 0.4, 0.5]
 
+ROW_MAX_SQL = ("SELECT k, query_id, term_id, aspect, score / (CASE WHEN greatest(max(score) OVER (PARTITION BY k, query_id), "
+               "0) = 0 THEN 1.0 ELSE greatest(max(score) OVER (PARTITION BY k, query_id), 0) END) AS score FROM raw")
+
 
 def _x(spark, d):
     return S.table(spark, d, "embeddings").select(F.col("vec_id").alias("entity_id"), F.col("embedding").alias("vec"))
@@ -140,15 +145,17 @@ PF1_SQL = (
        "dk AS (SELECT k, query_id, sum(sim) AS denom FROM nk GROUP BY 1, 2), "
        "lab AS (SELECT DISTINCT vec_id AS entity_id, ('GO:' || lpad(CAST(label AS VARCHAR), 7, '0')) AS term_id, "
        "(CASE WHEN label % 3 = 0 THEN 'BP' WHEN label % 3 = 1 THEN 'MF' ELSE 'CC' END) AS aspect FROM embeddings), "
-       "sc AS (SELECT nk.k, nk.query_id, l.term_id, l.aspect, sum(nk.sim) / max(dk.denom) AS score FROM nk JOIN lab l "
-       "ON nk.base_id = l.entity_id JOIN dk ON dk.k = nk.k AND dk.query_id = nk.query_id GROUP BY 1, 2, 3, 4), "
-       "pred AS (SELECT k, query_id AS entity_id, term_id, aspect FROM sc WHERE score >= 0.2)") +
+       "raw AS (SELECT nk.k, nk.query_id, l.term_id, l.aspect, sum(nk.sim) / (max(dk.denom) + 1e-9) AS score FROM nk "
+       "JOIN lab l ON nk.base_id = l.entity_id JOIN dk ON dk.k = nk.k AND dk.query_id = nk.query_id GROUP BY 1, 2, 3, 4), "
+       "sc AS (" + ROW_MAX_SQL + "), "
+       "pred AS (SELECT k, query_id AS entity_id, term_id, aspect FROM sc WHERE score >= CASE aspect " +
+       " ".join(f"WHEN '{a}' THEN {t!r}" for a, t in TUNE_THRESHOLDS.items()) + " END)") +
        PF1_SQL.format(by="k", n="(SELECT count(*) FROM embeddings)") +
        "SELECT k, aspect, round(f1, 6) AS f1, row_number() OVER (PARTITION BY aspect ORDER BY round(f1, 12) DESC, k) = 1 AS "
        "is_best FROM res")
 def q_tune_k(spark, d):
     n = S.table(spark, d, "embeddings").count()
-    r = SEL.tune_k(_neigh(spark, d, max(TUNE_KS)), _labels(spark, d), TUNE_KS, 0.2, n)
+    r = SEL.tune_k(_neigh(spark, d, max(TUNE_KS)), _labels(spark, d), TUNE_KS, TUNE_THRESHOLDS, n)
     return r.select(F.col("k").cast("int").alias("k"), "aspect", F.round("f1", 6).alias("f1"), "is_best")
 
 
@@ -181,12 +188,14 @@ def q_grid_weights(spark, d):
 @query("sweep_k_thresholds", "E16 J8 J9 E6", sql=knn_sql(max(SWEEP_KS)) + (
        ", ks AS (SELECT * FROM (VALUES " + ", ".join(f"({k})" for k in SWEEP_KS) + ") t(k)), "
        "gr AS (SELECT unnest([" + ", ".join(f"{g!r}::DOUBLE" for g in SWEEP_GRID) + "]) AS thr), "
-       "nk AS (SELECT ks.k, knn.* FROM knn JOIN ks ON knn.rank <= ks.k), "
-       "dk AS (SELECT k, query_id, sum(sim) AS denom FROM nk GROUP BY 1, 2), "
+       "nk AS (SELECT ks.k, knn.query_id, knn.base_id, least(greatest(knn.sim, 0.0), 1.0) AS sim FROM knn JOIN ks ON "
+       "knn.rank <= ks.k), "
+       "dk AS (SELECT k, query_id, CASE WHEN sum(sim) = 0 THEN 1.0 ELSE sum(sim) END AS denom FROM nk GROUP BY 1, 2), "
        "lab AS (SELECT DISTINCT vec_id AS entity_id, ('GO:' || lpad(CAST(label AS VARCHAR), 7, '0')) AS term_id, "
        "(CASE WHEN label % 3 = 0 THEN 'BP' WHEN label % 3 = 1 THEN 'MF' ELSE 'CC' END) AS aspect FROM embeddings), "
-       "sc AS (SELECT nk.k, nk.query_id, l.term_id, l.aspect, sum(nk.sim) / max(dk.denom) AS score FROM nk JOIN lab l "
+       "raw AS (SELECT nk.k, nk.query_id, l.term_id, l.aspect, sum(nk.sim) / max(dk.denom) AS score FROM nk JOIN lab l "
        "ON nk.base_id = l.entity_id JOIN dk ON dk.k = nk.k AND dk.query_id = nk.query_id GROUP BY 1, 2, 3, 4), "
+       "sc AS (" + ROW_MAX_SQL + "), "
        "sj AS (SELECT sc.*, CASE WHEN t.entity_id IS NULL THEN 0 ELSE 1 END AS y FROM sc LEFT JOIN lab t ON "
        "t.entity_id = sc.query_id AND t.term_id = sc.term_id AND t.aspect = sc.aspect), "
        "tn AS (SELECT aspect, count(*) AS tru FROM lab GROUP BY 1), "

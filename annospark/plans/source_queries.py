@@ -160,13 +160,22 @@ def q_tax_tsv(spark, d):
 
 @query("ia_tsv_roundtrip", "S8 J1", sql=S.with_("ia") + "SELECT term_id, round(ia, 6) AS ia FROM ia")
 def q_ia_tsv(spark, d):
-    path = scratch(spark, "ia-tsv")
-    ia = S.ia(spark, d)
-    hdr = spark.createDataFrame([("term\tia",)], "value string")
-    hdr.unionByName(ia.select(F.concat_ws("\t", "term_id", F.col("ia").cast("string")).alias("value"))) \
-        .write.text(path)
-    r = tables.read_ia(spark, path)
-    return r.select("term_id", F.round("ia", 6).alias("ia"))
+    # three layouts: named columns in order, reordered among others, no header
+    ia = S.ia(spark, d).withColumn("layout", F.pmod(F.crc32(F.col("term_id")), F.lit(3)))
+    value = F.col("ia").cast("string")
+    layouts = [("term\tia", F.concat_ws("\t", "term_id", value)),
+               ("Information_Accretion\tfull name\t#term", F.concat_ws("\t", value, F.lit("a name"), "term_id")),
+               (None, F.concat_ws("\t", "term_id", value))]
+    out = None
+    for k, (header, line) in enumerate(layouts):
+        path = scratch(spark, "ia-tsv")
+        lines = ia.filter(F.col("layout") == k).select(line.alias("value"))
+        if header:
+            lines = spark.createDataFrame([(header,)], "value string").unionByName(lines)
+        lines.write.text(path)
+        r = tables.read_ia(spark, path)
+        out = r if out is None else out.unionByName(r)
+    return out.select("term_id", F.round("ia", 6).alias("ia"))
 
 
 @query("term_counts_sniff", "S9 A1", sql=S.with_("ann") + "SELECT term_id, count(*) AS n FROM ann GROUP BY 1")

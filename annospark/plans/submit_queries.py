@@ -108,20 +108,23 @@ def q_line_audit(spark, d):
 
 
 @query("validate_submission", "W16 A20", sql=S.with_("scores", "terms", extra=FUSED + ", " + ENS + ", " +
-       DESC_SQL) +
+       DESC_SQL + ", txt AS (SELECT entity_id, description FROM descr UNION ALL SELECT doc_id, text FROM documents "
+       "WHERE text IS NOT NULL)") +
        "SELECT 'score_range' AS rule, entity_id, term_id, CAST(round(score, 6) AS VARCHAR) AS detail FROM fused "
        "WHERE NOT (score > 0 AND score <= 1) UNION ALL SELECT 'go_format', entity_id, term_id, NULL FROM fused "
        "WHERE NOT regexp_full_match(term_id, 'GO:[0-9]{7}') UNION ALL SELECT 'duplicate', entity_id, term_id, "
        "CAST(count(*) AS VARCHAR) FROM fused GROUP BY 2, 3 HAVING count(*) > 1 UNION ALL SELECT 'too_many_terms', "
        f"entity_id, NULL, CAST(count(*) AS VARCHAR) FROM fused GROUP BY 2 HAVING count(*) > {TOP_N} UNION ALL "
-       "SELECT 'text_too_long', entity_id, NULL, CAST(length(CAST(entity_id AS VARCHAR) || '\tText\t' || "
-       "printf('%.3g', score) || '\t' || description) AS VARCHAR) FROM descr WHERE length(CAST(entity_id AS VARCHAR)"
-       " || '\tText\t' || printf('%.3g', score) || '\t' || description) > 3000 UNION ALL SELECT 'text_not_ascii', "
-       "entity_id, NULL, NULL FROM descr WHERE regexp_matches(description, '[^\\x20-\\x7E]')")
+       "SELECT 'text_too_long', entity_id, NULL, CAST(sum(length(description)) AS VARCHAR) FROM txt GROUP BY 2 "
+       "HAVING sum(length(description)) > 3000 UNION ALL SELECT 'text_not_ascii', "
+       "entity_id, NULL, NULL FROM txt WHERE regexp_matches(description, '[^\\x20-\\x7E]')")
 def q_validate(spark, d):
+    """Two text rows for an entity that has a document: the description and the whole document."""
     f = _fused(spark, d)
     desc = U.top3_description(_ens(spark, d), S.terms(spark, d))
-    return U.validate_submission(f, desc, max_terms=TOP_N)
+    more = S.table(spark, d, "documents").filter(F.col("text").isNotNull()).select(
+        F.col("doc_id").alias("entity_id"), F.col("text").alias("description"), F.lit(0.5).alias("score"))
+    return U.validate_submission(f, desc.unionByName(more), max_terms=TOP_N)
 
 
 @query("submission_stats", "A15 W5", sql=S.with_("scores", extra=ENS + ", " + TOPN_SQL) +

@@ -110,17 +110,23 @@ def _xml_escape(c):
 
 
 @query("parse_pubmed_xml", "X1 P4", sql=(
+       "WITH t AS (SELECT item_id, replace(replace(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', ' ', 'g'), "
+       "chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS body FROM benchmark) "
        "SELECT CAST(item_id AS VARCHAR) AS pmid, 'Item ' || CAST(item_id AS VARCHAR) AS title, "
-       "regexp_replace(replace(replace(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', ' ', 'g'), "
-       "chr(13) || chr(10), chr(10)), chr(13), chr(10)), '^" + WS_SQL + "+|" + WS_SQL + "+$', '', 'g') AS abstract "
-       "FROM benchmark"))
+       "array_to_string(list_transform(range(1, 24), lambda i: regexp_replace(CAST(i AS VARCHAR) || ' ' || body, '^" + WS_SQL +
+       "+|" + WS_SQL + "+$', '', 'g')), ' ') AS abstract FROM t"))
 def q_pubmed(spark, d):
+    """Each item as an article of 23 abstract pieces, with an abstract and ids of other kinds beside it."""
     b = S.table(spark, d, "benchmark")
     body = _xml_escape(keys.sanitise_control_chars(F.col("text")))
-    xml = F.concat(F.lit("<PubmedArticle><MedlineCitation><PMID>"), F.col("item_id").cast("string"),
-                   F.lit("</PMID><Article><ArticleTitle>Item "), F.col("item_id").cast("string"),
-                   F.lit("</ArticleTitle><Abstract><AbstractText>"), body,
-                   F.lit("</AbstractText></Abstract></Article></MedlineCitation></PubmedArticle>"))
+    pieces = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(23)), lambda i: F.concat(
+        F.lit("<AbstractText Label=\"part\"> <b>"), i.cast("string"), F.lit("</b> "), body, F.lit(" </AbstractText>\n"))), "")
+    xml = F.concat(F.lit("<PubmedArticle><MedlineCitation><PMID> "), F.col("item_id").cast("string"),
+                   F.lit("\n</PMID><Article><ArticleTitle> Item "), F.col("item_id").cast("string"),
+                   F.lit(" </ArticleTitle><Abstract>"), pieces, F.lit("<AbstractText/><CopyrightInformation>c"
+                   "</CopyrightInformation></Abstract></Article><OtherAbstract><AbstractText>other</AbstractText>"
+                   "</OtherAbstract><CommentsCorrections><PMID>1</PMID></CommentsCorrections></MedlineCitation>"
+                   "</PubmedArticle>"))
     return X.parse_pubmed_xml(b.select(xml.alias("xml")))
 
 

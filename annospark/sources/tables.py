@@ -8,7 +8,9 @@ coerced with ``try_cast`` and dropped, never silently shifted.
 from __future__ import annotations
 
 import json
+import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,14 +62,29 @@ def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
     return checked.select(F.col("p").getItem(0).alias("entity_id"), F.col("p").getItem(1).alias("taxon_id"))
 
 
+# Header names of the weight table.
+IA_TERM_NAMES = ["term", "#term", "term_id"]
+IA_WEIGHT_NAMES = ["ia", "information_accretion"]
+
+
 def read_ia(spark: SparkSession, path: str) -> DataFrame:
-    """IA weights ``(term_id, ia)`` with an optional header (``term`` /
-    ``#term``; ``ia`` / ``information_accretion``, else positional).  The
-    first line is only dropped when its weight field is not numeric, so a
-    headerless file keeps its first term; non-numeric weights are dropped."""
-    t = spark.read.text(path)
-    p = F.split(F.regexp_replace("value", "\r$", ""), "[\t ]+", -1)
-    rows = t.select(F.trim(p.getItem(0)).alias("term_id"), p.getItem(1).try_cast("double").alias("ia"))
+    """IA weights ``(term_id, ia)``.  A header line that names both columns
+    (``term`` / ``#term`` / ``term_id``; ``ia`` / ``information_accretion``, in
+    any order, among others) tells where they are; without one the first two
+    fields are taken.  Lines whose weight is not numeric are dropped, so a
+    headerless file keeps its first term."""
+    t = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("value"))
+    low = F.transform(F.split(F.lower("value"), "[\t ]+", -1), F.trim)
+    header = t.filter(F.arrays_overlap(low, F.array(*map(F.lit, IA_TERM_NAMES)))
+                      & F.arrays_overlap(low, F.array(*map(F.lit, IA_WEIGHT_NAMES)))).first()
+    sep, term_at, ia_at = "[\t ]+", 0, 1
+    if header is not None:
+        sep = "\t" if "\t" in header["value"] else sep
+        names = [x.strip() for x in re.split(sep, header["value"].lower())]
+        term_at = next(i for i, x in enumerate(names) if x in IA_TERM_NAMES)
+        ia_at = next(i for i, x in enumerate(names) if x in IA_WEIGHT_NAMES)
+    p = F.split("value", sep, -1)
+    rows = t.select(F.trim(F.get(p, term_at)).alias("term_id"), F.trim(F.get(p, ia_at)).try_cast("double").alias("ia"))
     return rows.filter(F.col("ia").isNotNull() & (F.col("term_id") != ""))
 
 
@@ -112,17 +129,24 @@ def read_submission(spark: SparkSession, path: str) -> DataFrame:
     return parse_lines(spark.read.text(path).select(F.col("value").alias("line")))
 
 
+def stage_done(spark: SparkSession, path: str) -> bool:
+    """Whether the folder holds the ``_SUCCESS`` marker; only a missing path
+    counts as not done, any other read error is raised."""
+    try:
+        spark.read.text(f"{path}/_SUCCESS")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
 def write_stage(df: DataFrame, path: str, skip_if_exists: bool = True) -> DataFrame:
     """Write a Parquet stage unless it is already complete (a ``_SUCCESS``
     marker exists); returns the stage read back from storage."""
     spark = df.sparkSession
-    if skip_if_exists:
-        try:
-            spark.read.text(f"{path}/_SUCCESS")
-            return spark.read.parquet(path)
-        except Exception:  # noqa: BLE001 - absent stage
-            pass
-    df.write.mode("overwrite").parquet(path)
+    if not (skip_if_exists and stage_done(spark, path)):
+        df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 

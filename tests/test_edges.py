@@ -1,6 +1,7 @@
 """Edge cases: NULL group keys and values, NaN scores, plain checkpoint rules."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from annospark import session
 from annospark.functions import stats
@@ -46,3 +47,66 @@ def test_cluster_needs_a_shared_folder():
         session.ensure_checkpoint_dir(_Session("spark://host:7077"))
     assert session.ensure_checkpoint_dir(_Session("spark://host:7077", "hdfs://h/x")) == "hdfs://h/x"
     assert session.ensure_checkpoint_dir(_Session("local[2]")).startswith("/tmp/")
+
+
+def test_rounding_is_that_of_the_binary_value(spark):
+    from annospark.operators import submit as U
+    df = spark.createDataFrame([(0.1235,), (0.2345,), (0.09996,), (12.25,)], "x double")
+    got = df.select(U.fmt_sig3(F.col("x")).alias("a"), U.fmt_fixed3(F.col("x")).alias("b")).collect()
+    assert [r["a"] for r in got] == ["0.123", "0.234", "0.1", "12.2"]
+    assert [r["b"] for r in got][:2] == ["0.123", "0.234"]
+
+
+def test_closure_self_loop_and_cycle(spark):
+    from annospark.operators import ontology as G
+    loop = spark.createDataFrame([("a", "a"), ("a", "b"), ("z", "z")], "child string, parent string")
+    got = sorted(tuple(r) for r in G.ancestor_closure(loop).collect())
+    assert got == [("a", "a"), ("a", "b"), ("b", "b"), ("z", "z")]
+    with pytest.raises(ValueError, match="cycle"):
+        G.ancestor_closure(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "child string, parent string"))
+
+
+def test_text_limit_sums_the_rows_of_an_entity(spark):
+    from annospark.operators import submit as U
+    rows = spark.createDataFrame([(1, "GO:0000001", 0.5)], "entity_id int, term_id string, score double")
+    desc = spark.createDataFrame([(1, "a" * 2900, 0.5), (1, "b" * 101, 0.5), (2, "c" * 3000, 0.5)],
+                                 "entity_id int, description string, score double")
+    got = [(r["rule"], r["entity_id"], r["detail"]) for r in U.validate_submission(rows, desc).collect()]
+    assert got == [("text_too_long", 1, "3001")]
+
+
+def test_weight_table_headers(spark, tmpdir_path):
+    from annospark.sources import tables
+    for name, text in (("a", "ia\tfull name\tterm\n0.5\ta name\tGO:1\nx\ty\tGO:2\n"), ("b", "GO:1\t0.5\nGO:2\n"),
+                       ("c", "#Term Information_Accretion\nGO:1 0.5\n")):
+        with open(f"{tmpdir_path}/{name}.tsv", "w") as f:
+            f.write(text)
+        assert [tuple(r) for r in tables.read_ia(spark, f"{tmpdir_path}/{name}.tsv").collect()] == [("GO:1", 0.5)]
+
+
+def test_coverage_ranks_by_hand(spark):
+    from annospark.operators import labels as L
+    counts = spark.createDataFrame([("BP", "a", 9), ("BP", "b", 7), ("BP", "c", 5), ("BP", "d", 2), ("CC", "e", 1)],
+                                   "aspect string, term_id string, n long")
+    ia = spark.createDataFrame([("a", 1.0), ("b", 18.5), ("c", 0.5), ("d", 5.0), ("e", 1.0)], "term_id string, ia double")
+    got = {r["aspect"]: tuple(r)[1:] for r in L.coverage_ranks(counts, ia, 5).collect()}
+    assert got == {"BP": (4, 3, 2, 3, 5, 2, 0.8, 1.0), "CC": (1, 0, 0, 0, 0, 1, 0.0, float("inf"))}
+
+
+def test_unreadable_fold_is_not_computed_again(spark, tmpdir_path):
+    from annospark.operators import models
+    made = []
+
+    def compute(f):
+        made.append(f)
+        return spark.createDataFrame([(f * 10,)], "x int")
+
+    out = f"{tmpdir_path}/folds"
+    models.run_folds(spark, [0], out, compute)
+    t = models.run_folds(spark, [0, 1], out, compute)
+    assert made == [0, 1] and sorted(tuple(r) for r in t.collect()) == [(0, 0), (10, 1)]
+    with open(f"{out}/fold=0/part-broken.parquet", "w") as f:
+        f.write("no parquet")
+    with pytest.raises(Exception):
+        models.run_folds(spark, [0, 1], out, compute).collect()
+    assert made == [0, 1]

@@ -40,3 +40,13 @@ def test_learns_and_scores(make_docs, spark):
     assert all((got[i] >= .5) == bool(truth[i]) for i in got if i is not None and i >= 0)
     assert got[None] == got[-1] < .5
     assert toxicity.learn(labelled.limit(0)).entries == {}
+
+
+def test_labelled_sample_is_the_first_ids_in_hash_order(make_docs):
+    docs = make_docs([(k, f"text {k}") for k in range(40)] + [(3, "again"), (None, "no id")], "doc_id long, text string")
+    labels = make_docs([(k, k % 3) for k in range(2, 60)] + [(70, None)], "doc_id long, toxic int")
+    every = toxicity.labelled_sample(docs, labels).collect()
+    assert sorted((r.doc_id, r.toxic) for r in every) == sorted([(k, k % 3) for k in range(2, 40) if k % 3 < 2] + [(3, 0)])
+    few = {r.doc_id for r in toxicity.labelled_sample(docs, labels, max_rows=5).collect()}
+    assert len(few) == 5 and few == {r.doc_id for r in toxicity.labelled_sample(docs, labels, max_rows=5).collect()}
+    assert toxicity.labelled_sample(docs.limit(0), labels).count() == 0

@@ -117,10 +117,13 @@ def taxonomy_problems(tax: DataFrame) -> DataFrame:
                                           F.lit(False))).alias("bad_taxon"))
 
 
-def resolve_alt_ids(terms: DataFrame, alt: DataFrame) -> DataFrame:
-    """Replace a term missing from the ontology by its primary id via
-    the alt-id map ``(alt_id, term_id)``; unknown terms stay as they are."""
+def resolve_alt_ids(terms: DataFrame, alt: DataFrame, ontology: DataFrame | None = None) -> DataFrame:
+    """Replace a term missing from the ontology (``term_id``; without one,
+    any term) by its primary id via the alt-id map ``(alt_id, term_id)``;
+    unknown terms stay as they are."""
     a = alt.select(F.col("alt_id").alias("term_id"), F.col("term_id").alias("_primary"))
+    if ontology is not None:
+        a = a.join(ontology.select("term_id"), "term_id", "left_anti")
     return terms.join(a, "term_id", "left") \
         .withColumn("resolved", F.coalesce(F.col("_primary"), F.col("term_id"))) \
         .withColumn("was_alt", F.col("_primary").isNotNull()).drop("_primary")

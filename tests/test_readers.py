@@ -92,6 +92,8 @@ def test_resolve_alt_ids(spark):
     alt = spark.createDataFrame([("GO:9", "GO:2")], "alt_id string, term_id string")
     got = {r["term_id"]: (r["resolved"], r["was_alt"]) for r in keys.resolve_alt_ids(terms, alt).collect()}
     assert got == {"GO:1": ("GO:1", False), "GO:9": ("GO:2", True), "GO:7": ("GO:7", False)}
+    known = spark.createDataFrame([("GO:9",), ("GO:1",)], "term_id string")  # a term of the ontology stays
+    assert not any(r["was_alt"] for r in keys.resolve_alt_ids(terms, alt, known).collect())
 
 
 def test_text_row_limit(spark):

@@ -38,6 +38,7 @@ from annospark.llm.common import slices, stored
 from annospark.llm.url_filter import split_url
 
 LEAST_IMPORTANCE, LEAST_PAGES = 0.35, 8
+BROADCAST_CHARS = 8_000_000  # removed styles are broadcast up to here; beyond, a join whose large hosts Spark splits (AQE)
 # Kinds of elements.
 DROPPED = set("head script style noscript template nav header footer aside form iframe object embed svg canvas button "
               "select textarea option input label dialog menu audio video map".split())
@@ -176,26 +177,31 @@ def style_rows(pages: DataFrame) -> DataFrame:
 def importance(pages: DataFrame) -> DataFrame:
     """(host, style, n_pages, presentation, content, importance) of every style of every host."""
     counts = style_rows(pages).groupBy("host", "style", "text", "size").agg(F.count("*").alias("c"))
-    counts = stored(counts, "style-counts")
-    on = ["host", "style"]
-    m = counts.where("text IS NULL").groupBy(*on).agg(F.sum("c").alias("n_pages"))
+    look, weight = F.col("text").isNull(), F.col("c") * F.log("c")
+    # plain sums, so a style that fills a large host is summed before the shuffle
+    sums = counts.groupBy("host", "style").agg(
+        F.sum(F.when(look, F.col("c"))).alias("n_pages"), F.sum(F.when(look, weight)).alias("looks"),
+        F.sum(F.when(~look, F.col("c"))).alias("n_texts"), F.sum(F.when(~look, weight)).alias("texts"))
     base = F.log(F.greatest(F.col("n_pages"), F.lit(2)))
-    share = F.col("c") / F.col("n_pages")
-    looks = (counts.where("text IS NULL").join(m, on).groupBy(*on)
-             .agg(F.sum(-share * F.log(share) / base).alias("presentation")))
-    # a text that occurs evenly on c of m pages has entropy log(c) / log(m); weighted by its occurrences
-    texts = (counts.where("text IS NOT NULL").join(m, on).groupBy(*on)
-             .agg((1 - F.sum(F.col("c") * F.log("c") / base) / F.sum("c")).alias("content")))
+    # entropy of shares c / n: log(n) - sum(c log(c)) / n
+    presentation = (F.log("n_pages") - F.col("looks") / F.col("n_pages")) / base
+    # a text that occurs evenly on c of n pages has entropy log(c) / log(n); weighted by its occurrences
+    content = 1 - F.col("texts") / F.col("n_texts") / base
     joined = 1 - (1 - F.col("presentation") / 2) * (1 - F.col("content"))
-    return m.join(looks, on).join(texts, on).withColumn("importance", joined)
+    return (sums.select("host", "style", "n_pages", presentation.alias("presentation"), content.alias("content"))
+            .withColumn("importance", joined))
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars): the important blocks of every whole page, joined by two line ends."""
     host, _ = split_url(F.col(url_col).cast("string"))
     rows = pages.select(pages[id_col], pages[url_col], host.alias("host"), F.col(html_col).cast("string").alias("html"))
-    removed = (importance(rows).where((F.col("n_pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
-               .groupBy("host").agg(F.collect_set("style").alias("removed")))  # styles of one host on LEAST_PAGES pages each
+    styles = importance(rows).where((F.col("n_pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
+    styles = stored(styles.select("host", "style"), "removed-styles")
+    chars = styles.agg(F.sum(F.length("host") + F.length("style"))).first()[0] or 0
+    removed = styles.groupBy("host").agg(F.collect_set("style").alias("removed"))  # styles of one host on LEAST_PAGES pages each
+    if chars <= BROADCAST_CHARS:
+        removed = F.broadcast(removed)  # the pages of a large host stay where they are
     joined = rows.join(removed, "host", "left").select(id_col, url_col, "html", "removed")
     schema = T.StructType([joined.schema[0], joined.schema[1], T.StructField("text", T.StringType()),
                            T.StructField("n_chars", T.LongType())])

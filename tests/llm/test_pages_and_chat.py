@@ -2,6 +2,8 @@
 
 import math
 
+import pytest
+
 from annospark.llm import chat, html_extract, licenses, url_filter
 from annospark.llm.queries import URL_RULES
 
@@ -78,7 +80,9 @@ def test_page_blocks():
     assert html_extract.read_page(None)[0] == html_extract.read_page("")[0] == []
 
 
-def test_site_tree_drops_repeated_branches(make_docs):
+@pytest.mark.parametrize("chars", [html_extract.BROADCAST_CHARS, -1])  # -1: the join by a shuffle
+def test_site_tree_drops_repeated_branches(make_docs, monkeypatch, chars):
+    monkeypatch.setattr(html_extract, "BROADCAST_CHARS", chars)
     rows = [(k, f"http://h.org/{k}", f"<body><div class=top>Welcome to the site</div><p>Story {k} of its own</p>"
                                      "<div class=low><p>All rights reserved</p></div></body>") for k in range(12)]
     rows += [(50, None, None), (51, "http://other.org", "<div class=top>Only here</div>")]
@@ -87,6 +91,18 @@ def test_site_tree_drops_repeated_branches(make_docs):
     assert got[50].text == "" and got[51].text == "Only here"
 
 
+def test_importance_is_the_mean_entropy(spark, make_docs):
+    rows = [(k, "http://h.org", f"<p class=a>{'same' if k % 2 else k}</p>" + "<div><b>x</b></div>" * (k % 3)) for k in range(9)]
+    pages = make_docs(rows, "page_id long, host string, html string")
+    got = {r.style: r for r in html_extract.importance(pages).collect()}
+    a, div = got["/p.a"], got["/div"]
+    # four pages share a text, five have their own; no page has children there
+    assert a.n_pages == 9 and abs(a.content - (1 - 4 * math.log(4) / math.log(9) / 9)) < 1e-9 and abs(a.presentation) < 1e-9
+    # three pages have one such element, three have two, each with the same text
+    assert div.n_pages == 6 and abs(div.content) < 1e-9 and abs(div.presentation - math.log(2) / math.log(6)) < 1e-9
+    assert abs(a.importance - (1 - (1 - a.presentation / 2) * (1 - a.content))) < 1e-9
+
+
 def test_licences(spark, make_docs):
     make_docs([])
     files = [("a/LICENSE", "Some words.\nReleased under the MIT License."), ("a/b/c/x.py", "code of the thing"),

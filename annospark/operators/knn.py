@@ -28,6 +28,7 @@ def _block_topk(k: int, use_fold: bool, exclude_self: bool, chunk: int = 1024):
                               "sim": np.zeros(0)})
         if left.empty or right.empty:
             return empty
+        right = right.sort_values("bid", kind="stable")  # ties at the k-th value go to the least ids
         Bm = np.stack(right["bvec"].to_numpy()).astype(np.float64)
         Bm /= np.maximum(np.linalg.norm(Bm, axis=1), 1e-12)[:, None]
         bid = right["bid"].to_numpy()
@@ -47,6 +48,12 @@ def _block_topk(k: int, use_fold: bool, exclude_self: bool, chunk: int = 1024):
             if m > k:
                 kth = -np.partition(-sims, k - 1, axis=1)[:, k - 1]
                 keep = (sims >= kth[:, None]) & np.isfinite(sims)
+                tied = np.flatnonzero(keep.sum(axis=1) > k)
+                if len(tied):
+                    above = sims[tied] > kth[tied, None]
+                    equal = keep[tied] & ~above
+                    room = k - above.sum(axis=1, keepdims=True)
+                    keep[tied] = above | (equal & (equal.cumsum(axis=1) <= room))
             else:
                 keep = np.isfinite(sims)
             qi, bi = np.nonzero(keep)
@@ -57,12 +64,17 @@ def _block_topk(k: int, use_fold: bool, exclude_self: bool, chunk: int = 1024):
 
 def knn_join(query: DataFrame, base: DataFrame, k: int, id_col: str = "vec_id",
              vec_col: str = "embedding", fold_col: str | None = None,
-             exclude_self: bool = True, block_rows: int = 4096) -> DataFrame:
+             exclude_self: bool = True, block_rows: int = 4096, query_rows: int = 16384) -> DataFrame:
     """Exact k nearest base rows per query by cosine similarity.
 
     Output ``(query_id, base_id, sim, rank)``, rank 1..k ordered by
     ``sim desc, base_id asc``.  With ``fold_col`` a query never matches a
     base row of its own fold; with ``exclude_self`` never itself.
+
+    Base rows go to every query block and the reverse, so query blocks are
+    wide (``query_rows``; multiplied 1024 at a time): the base is copied once
+    per ``query_rows`` queries.  A block gives at most k rows per query, also
+    when many base rows tie.
     """
     id_type = query.schema[id_col].dataType
     qcols = [F.col(id_col).alias("qid"), F.col(vec_col).alias("qvec")]
@@ -70,7 +82,7 @@ def knn_join(query: DataFrame, base: DataFrame, k: int, id_col: str = "vec_id",
     if fold_col:
         qcols.append(F.col(fold_col).alias("qfold"))
         bcols.append(F.col(fold_col).alias("bfold"))
-    nq = max(1, math.ceil(query.count() / block_rows))
+    nq = max(1, math.ceil(query.count() / query_rows))
     nb = max(1, math.ceil(base.count() / block_rows))
     q = (query.select(*qcols)
          .withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("long"))

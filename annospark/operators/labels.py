@@ -183,13 +183,18 @@ def annotation_coverage(counts: DataFrame, top_k: int, target: float = 0.99,
 
 
 # ---------------------------------------------------------------- folds / samples
+def _drawn(id_col: str, seed: int):
+    """A reproducible random order of ids: hex MD5 of ``id:seed``, which other engines give as well."""
+    return F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))))
+
+
 def stratified_kfold(entities: DataFrame, n_folds: int, seed: int, bin_col: str | None = "strat_bin",
                      id_col: str = "entity_id") -> DataFrame:
     """Balanced deterministic folds.  Inside each stratum rows are
-    ordered by ``xxhash64(id, seed)`` and dealt round-robin, so fold sizes
+    ordered by the MD5 of id and seed and dealt round-robin, so fold sizes
     per stratum differ by at most one.  Not numpy's permutation."""
     by = [bin_col] if bin_col else []
-    df = entities.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed)))
+    df = entities.withColumn("_h", _drawn(id_col, seed))
     if not by:
         df = df.withColumn("_g", F.lit(0))
         by = ["_g"]
@@ -215,7 +220,7 @@ def even_row_sample(df: DataFrame, n: int, order_col: str = "row_idx") -> DataFr
 
 def holdout_split(entities: DataFrame, frac: float, seed: int, id_col: str = "entity_id") -> DataFrame:
     """Deterministic split by hash of the distinct entity (``is_holdout``)."""
-    h = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
+    h = F.conv(F.substring(_drawn(id_col, seed), 1, 8), 16, 10).cast("long") / F.lit(2.0 ** 32)
     return entities.select(id_col).distinct().withColumn("is_holdout", h < F.lit(frac))
 
 
@@ -475,4 +480,4 @@ def random_row_sample(df: DataFrame, n: int, seed: int, id_col: str) -> DataFram
     """``n`` rows without replacement, deterministic for a seed (hash
     order, not numpy's generator), returned sorted by id.  The limit is the
     feature; Spark plans it as a per-partition top-n then a final merge."""
-    return df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)).limit(n).orderBy(id_col)
+    return df.orderBy(_drawn(id_col, seed), F.col(id_col)).limit(n).orderBy(id_col)

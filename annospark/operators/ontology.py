@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from annospark.session import bounded_broadcast, ensure_checkpoint_dir
@@ -55,13 +55,14 @@ def ancestor_closure(edges: DataFrame, nodes: DataFrame | None = None,
         b = kn.alias("r").join(delta.alias("d"), F.col("r.parent") == F.col("d.child")) \
             .select(F.col("r.child").alias("child"), F.col("d.parent").alias("parent"))
         new = a.unionByName(b).distinct().join(kn, ["child", "parent"], "left_anti")
-        new.withColumn("round", F.lit(k)).write.mode("append").partitionBy("round").parquet(path)
-        # reads only this round's partition; a pair (x, x) closes a cycle
-        found, cyclic = table().filter(F.col("round") == k).agg(
-            F.count("*"), F.min(F.when(F.col("child") == F.col("parent"), F.col("child")))).first()
-        if cyclic is not None:
-            raise ValueError(f"the ontology has a cycle through {cyclic}")
-        if not found:
+        # counted while it is written; a pair (x, x) closes a cycle
+        seen = Observation()
+        new.observe(seen, F.count(F.lit(1)).alias("found"),
+                    F.min(F.when(F.col("child") == F.col("parent"), F.col("child"))).alias("cyclic")) \
+            .withColumn("round", F.lit(k)).write.mode("append").partitionBy("round").parquet(path)
+        if seen.get["cyclic"] is not None:
+            raise ValueError(f"the ontology has a cycle through {seen.get['cyclic']}")
+        if not seen.get["found"]:
             break
     else:
         raise RuntimeError("ancestor closure did not converge (too deep)")
@@ -92,25 +93,30 @@ def propagate_annotations(rows: DataFrame, closure: DataFrame, contract: DataFra
     return up.withColumn("score", F.lit(float(score)))
 
 
-def max_propagate(scores: DataFrame, edges: DataFrame, contract: DataFrame) -> DataFrame:
+def contract_closure(edges: DataFrame, contract: DataFrame) -> DataFrame:
+    """Closure of the subgraph that the contract induces, for G3-G5: built once
+    for a graph and passed to each of them."""
+    return ancestor_closure(induced_edges(edges, contract), nodes=contract)
+
+
+def max_propagate(scores: DataFrame, closure: DataFrame) -> DataFrame:
     """``parent = max(parent, child)`` to the fixpoint on the subgraph
-    induced by the contract: every contract ancestor-or-self of a scored term
-    takes the maximum over its scored descendants."""
-    cl = ancestor_closure(induced_edges(edges, contract), nodes=contract)
-    s = scores.join(contract.select("term_id"), "term_id", "left_semi")
-    c = bounded_broadcast(cl, CLOSURE_BROADCAST_ROWS)
-    up = s.select("entity_id", "term_id", "score").join(c, "term_id")
+    of a :func:`contract_closure`: every contract ancestor-or-self of a scored
+    term takes the maximum over its scored descendants.  Terms outside the
+    contract have no closure rows and drop out."""
+    c = bounded_broadcast(closure, CLOSURE_BROADCAST_ROWS)
+    up = scores.select("entity_id", "term_id", "score").join(c, "term_id")
     return up.groupBy("entity_id", F.col("ancestor").alias("term_id")).agg(F.max("score").alias("score"))
 
 
-def min_propagate(scores: DataFrame, edges: DataFrame, contract: DataFrame) -> DataFrame:
-    """``child = min(child, parents)`` to the fixpoint on the induced
-    subgraph, i.e. the minimum over all contract ancestors-or-self; an absent
-    ancestor counts as 0, so such a pair drops out of the sparse result."""
-    cl = ancestor_closure(induced_edges(edges, contract), nodes=contract)
-    n_anc = cl.groupBy("term_id").agg(F.count("*").alias("n_anc"))
-    s = scores.join(contract.select("term_id"), "term_id", "left_semi").select("entity_id", "term_id", "score")
-    pairs = s.join(cl, "term_id").select("entity_id", "term_id", "ancestor")
+def min_propagate(scores: DataFrame, closure: DataFrame) -> DataFrame:
+    """``child = min(child, parents)`` to the fixpoint on the subgraph of a
+    :func:`contract_closure`, i.e. the minimum over all contract
+    ancestors-or-self; an absent ancestor counts as 0, so such a pair drops
+    out of the sparse result."""
+    n_anc = closure.groupBy("term_id").agg(F.count("*").alias("n_anc"))
+    s = scores.join(n_anc, "term_id", "left_semi").select("entity_id", "term_id", "score")
+    pairs = s.join(closure, "term_id").select("entity_id", "term_id", "ancestor")
     anc_scores = s.select("entity_id", F.col("term_id").alias("ancestor"), F.col("score").alias("a_score"))
     j = pairs.join(anc_scores, ["entity_id", "ancestor"], "left")
     g = j.groupBy("entity_id", "term_id").agg(F.min("a_score").alias("score"),
@@ -119,10 +125,10 @@ def min_propagate(scores: DataFrame, edges: DataFrame, contract: DataFrame) -> D
         .select("entity_id", "term_id", "score")
 
 
-def average_max_min(scores: DataFrame, edges: DataFrame, contract: DataFrame) -> DataFrame:
+def average_max_min(scores: DataFrame, closure: DataFrame) -> DataFrame:
     """``(max_propagated + min_propagated) / 2`` over the union of supports."""
-    mx = max_propagate(scores, edges, contract).withColumnRenamed("score", "mx")
-    mn = min_propagate(scores, edges, contract).withColumnRenamed("score", "mn")
+    mx = max_propagate(scores, closure).withColumnRenamed("score", "mx")
+    mn = min_propagate(scores, closure).withColumnRenamed("score", "mn")
     j = mx.join(mn, ["entity_id", "term_id"], "full_outer")
     return j.select("entity_id", "term_id",
                     ((F.coalesce("mx", F.lit(0.0)) + F.coalesce("mn", F.lit(0.0))) / 2).alias("score"))

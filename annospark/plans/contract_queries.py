@@ -93,7 +93,8 @@ def q_aspect_assemble(spark, d):
     return a.select("entity_id", "term_id", "aspect", F.round("score", 6).alias("score"))
 
 
-@query("random_row_sample", "P11")
+@query("random_row_sample", "P11", sql="SELECT o_orderkey AS entity_id FROM orders ORDER BY "
+       "md5(CAST(o_orderkey AS VARCHAR) || ':42'), o_orderkey LIMIT 100")
 def q_random_sample(spark, d):
     return L.random_row_sample(S.entities(spark, d), 100, seed=42, id_col="entity_id")
 

@@ -63,11 +63,14 @@ def q_aspect_summary(spark, d):
     return L.aspect_summary(S.annotations(spark, d), TOP_N)
 
 
-@query("labels_per_entity", "A5", sql=S.with_("ann", "ents") +
+LPE_SQL = (
        "SELECT e.entity_id, coalesce(n.n_labels, 0) AS n_labels, "
        "CAST(least(coalesce(n.n_labels, 0), 10) AS INTEGER) AS strat_bin FROM (SELECT DISTINCT entity_id "
        "FROM ents) e LEFT JOIN (SELECT entity_id, count(DISTINCT term_id) AS n_labels FROM ann GROUP BY 1) n "
        "ON e.entity_id = n.entity_id")
+
+
+@query("labels_per_entity", "A5", sql=S.with_("ann", "ents") + LPE_SQL)
 def q_labels_per_entity(spark, d):
     return L.labels_per_entity(S.annotations(spark, d), S.entities(spark, d))
 
@@ -152,7 +155,9 @@ def q_coverage_ranks(spark, d):
     return r.withColumn("ia_fraction_of_all", F.round("ia_fraction_of_all", 6))
 
 
-@query("stratified_kfold", "W11 A5")
+@query("stratified_kfold", "W11 A5", sql=S.with_("ann", "ents") +
+       "SELECT entity_id, n_labels, strat_bin, CAST((row_number() OVER (PARTITION BY strat_bin ORDER BY "
+       "md5(CAST(entity_id AS VARCHAR) || ':42'), entity_id) - 1) % 5 AS INTEGER) AS fold FROM (" + LPE_SQL + ")")
 def q_kfold(spark, d):
     lpe = L.labels_per_entity(S.annotations(spark, d), S.entities(spark, d))
     return L.stratified_kfold(lpe, 5, seed=42)
@@ -168,7 +173,8 @@ def q_even_sample(spark, d):
     return L.even_row_sample(o, 1000, "row_idx")
 
 
-@query("holdout_split", "P12")
+@query("holdout_split", "P12", sql="SELECT DISTINCT o_orderkey AS entity_id, CAST('0x' || substr(md5(CAST(o_orderkey AS "
+       "VARCHAR) || ':42'), 1, 8) AS BIGINT) / 4294967296 < 0.2 AS is_holdout FROM orders")
 def q_holdout(spark, d):
     return L.holdout_split(S.entities(spark, d), 0.2, seed=42)
 

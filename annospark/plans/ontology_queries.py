@@ -68,7 +68,7 @@ def q_propagate(spark, d):
        extra=CONTRACT_SQL + ",\n" + INDUCED_CL + ",\n" + MAXP) +
        "SELECT entity_id, term_id, round(score, 6) AS score FROM mx")
 def q_maxprop(spark, d):
-    m = G.max_propagate(_ens_contract_scores(spark, d), S.edges(spark, d), contract(spark, d))
+    m = G.max_propagate(_ens_contract_scores(spark, d), G.contract_closure(S.edges(spark, d), contract(spark, d)))
     return m.select("entity_id", "term_id", F.round("score", 6).alias("score"))
 
 
@@ -76,7 +76,7 @@ def q_maxprop(spark, d):
        extra=CONTRACT_SQL + ",\n" + INDUCED_CL + ",\n" + MINP) +
        "SELECT entity_id, term_id, round(score, 6) AS score FROM mn")
 def q_minprop(spark, d):
-    m = G.min_propagate(_ens_contract_scores(spark, d), S.edges(spark, d), contract(spark, d))
+    m = G.min_propagate(_ens_contract_scores(spark, d), G.contract_closure(S.edges(spark, d), contract(spark, d)))
     return m.select("entity_id", "term_id", F.round("score", 6).alias("score"))
 
 
@@ -86,7 +86,7 @@ def q_minprop(spark, d):
        "round((coalesce(mx.score, 0.0) + coalesce(mn.score, 0.0)) / 2, 6) AS score FROM mx FULL OUTER JOIN mn "
        "ON mx.entity_id = mn.entity_id AND mx.term_id = mn.term_id")
 def q_avgmaxmin(spark, d):
-    m = G.average_max_min(_ens_contract_scores(spark, d), S.edges(spark, d), contract(spark, d))
+    m = G.average_max_min(_ens_contract_scores(spark, d), G.contract_closure(S.edges(spark, d), contract(spark, d)))
     return m.select("entity_id", "term_id", F.round("score", 6).alias("score"))
 
 
@@ -139,7 +139,7 @@ def q_violations(spark, d):
     c = contract(spark, d)
     e = S.edges(spark, d)
     raw = _ens_contract_scores(spark, d).join(c.select("term_id"), "term_id", "left_semi")
-    mx = G.max_propagate(raw, e, c)
+    mx = G.max_propagate(raw, G.contract_closure(e, c))
     v1 = G.hierarchy_violations(raw, e, c).agg(F.count("*").alias("violations")) \
         .select(F.lit("raw").alias("stage"), "violations")
     v2 = G.hierarchy_violations(mx, e, c).agg(F.count("*").alias("violations")) \

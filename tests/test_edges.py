@@ -110,3 +110,19 @@ def test_unreadable_fold_is_not_computed_again(spark, tmpdir_path):
     with pytest.raises(Exception):
         models.run_folds(spark, [0, 1], out, compute).collect()
     assert made == [0, 1]
+
+
+def test_knn_ties_give_k_rows_of_a_block(spark):
+    import numpy as np
+    import pandas as pd
+    from annospark.operators import knn
+    vec = [[0.0, 0.0]] * 5 + [[1.0, 0.0]] * 20
+    left = pd.DataFrame({"qid": range(25), "qvec": vec})
+    right = pd.DataFrame({"bid": np.arange(25)[::-1], "bvec": vec[::-1]})
+    got = knn._block_topk(3, False, True)(left, right)
+    assert got.groupby("query_id").size().eq(3).all()
+    # the least ids of equal similarity: zero vectors are 0 from all, equal vectors 1 from each other
+    assert sorted(got[got.query_id == 0].base_id) == [1, 2, 3] and sorted(got[got.query_id == 5].base_id) == [6, 7, 8]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vec)], "vec_id long, embedding array<double>")
+    rows = knn.knn_join(df, df, 3, block_rows=4, query_rows=6).where("query_id = 20").orderBy("rank").collect()
+    assert [r["base_id"] for r in rows] == [5, 6, 7]

@@ -125,7 +125,7 @@ def test_propagation_gap(spark):
     edges = _diamond(spark)
     contract = spark.createDataFrame([("A",), ("D",)], "term_id string")
     scores = spark.createDataFrame([(1, "D", 0.9), (1, "A", 0.2)], "entity_id int, term_id string, score double")
-    mx = {r["term_id"]: r["score"] for r in G.max_propagate(scores, edges, contract).collect()}
+    mx = {r["term_id"]: r["score"] for r in G.max_propagate(scores, G.contract_closure(edges, contract)).collect()}
     assert mx == {"A": 0.2, "D": 0.9}  # the gap (B, C not in contract) blocks propagation
     cl = G.ancestor_closure(edges)
     ext = spark.createDataFrame([(1, "D")], "entity_id int, term_id string")
@@ -144,14 +144,15 @@ def test_max_then_min_is_identity(spark):
     contract = spark.createDataFrame([(t,) for t in "ABCD"], "term_id string")
     scores = spark.createDataFrame([(1, "D", 0.9), (1, "B", 0.3), (2, "C", 0.5)],
                                    "entity_id int, term_id string, score double")
-    mx = G.max_propagate(scores, edges, contract)
-    mx2 = G.max_propagate(mx, edges, contract)
+    closure = G.contract_closure(edges, contract)
+    mx = G.max_propagate(scores, closure)
+    mx2 = G.max_propagate(mx, closure)
     a = sorted(mx.collect())
     assert a == sorted(mx2.collect())  # idempotent
-    assert sorted(G.min_propagate(mx, edges, contract).collect()) == a
+    assert sorted(G.min_propagate(mx, closure).collect()) == a
     assert G.hierarchy_violations(mx, edges, contract).count() == 0
     assert G.hierarchy_violations(scores, edges, contract).count() > 0
-    raw_min = {(r["entity_id"], r["term_id"]) for r in G.min_propagate(scores, edges, contract).collect()}
+    raw_min = {(r["entity_id"], r["term_id"]) for r in G.min_propagate(scores, closure).collect()}
     assert raw_min == set()  # every scored term misses an ancestor score -> 0
 
 

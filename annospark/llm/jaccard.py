@@ -466,9 +466,11 @@ def set_links(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, th, n_shingles, component_id) of every row.
+    """(doc_id, th, n_shingles, component_id, set_label) of every row.
 
     ``component_id`` is the least id reachable by links, itself included;
+    ``set_label`` is unique per component, also where ids are null or repeated
+    with other texts (null for rows without words);
     ``th`` (a hash of the text) tells rows that share an id apart.  Null ids
     take part but never name a component unless it has no other id; null or
     empty texts, or texts without words, link with nothing and keep their own
@@ -483,4 +485,5 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = labelled.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     return labelled.join(least, "label", "left").select(
         "doc_id", "th", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+        F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("n") > 0, F.col("label")).alias("set_label"))

@@ -29,7 +29,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     prepare(spark)
     found = jaccard.jaccard_components(docs)
     # one surviving (id, text) of each component, and only one of equal rows
-    keep = (found.where("n_shingles > 0").groupBy("component_id")
+    keep = (found.where("n_shingles > 0").groupBy("set_label")
             .agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th")).alias("r"))
             .select(F.col("r.doc_id").alias("__id"), F.col("r.th").alias("__th")))
     empty = (found.where("n_shingles = 0").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()

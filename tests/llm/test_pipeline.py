@@ -11,3 +11,11 @@ def test_near_copies_stage(spark, make_docs):
     got = corpus_pipeline.drop_near_copies(spark, docs, "")
     assert got.columns == docs.columns
     assert sorted(r.doc_id for r in got.collect()) == [1, 2, 4, 5, 5]
+
+
+def test_unlinked_rows_with_null_or_repeated_ids_stay(spark, make_docs):
+    texts = ["the first clean text of its own here", "another one that shares nothing with it", "some third story told by no one else",
+             "and the last which is far from all"]
+    got = corpus_pipeline.drop_near_copies(spark, make_docs([(None, texts[0]), (None, texts[1]), (8, texts[2]), (8, texts[3]),
+                                                             (8, texts[3])]), "")
+    assert sorted(r.text for r in got.collect()) == sorted(texts)

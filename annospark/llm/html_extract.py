@@ -19,12 +19,14 @@ Statistics are sums over (host, style, text hash); pages get their host's list
 of removed styles by a join.
 
 Defined results: null or empty html gives the empty text; pages without a host
-share one tree; repeated pages are extracted each; cut-off pages are read as far
+share one tree; repeated pages are extracted each, but count once in the
+statistics of their host (pages with the same texts outside dropped kinds); cut-off pages are read as far
 as they go; unknown tags count as inline.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import re
 import zlib
@@ -155,28 +157,35 @@ def read_page(page: str | None) -> tuple[list[tuple[str, str, bool]], dict[str,
 
 
 def style_rows(pages: DataFrame) -> DataFrame:
-    """(host, style, text, size): a row per block (hash of its text) and per style (its number of children, text null)."""
-    schema = "host string, style string, text long, size long"
+    """(host, style, text, size, page): a row per block (hash of its text) and per style (its number of children, text
+    null); ``page`` is a hash of the page's texts, equal for copies."""
+    schema = "host string, style string, text long, size long, page long"
 
     def run(batches):
         for batch in slices(batches, 128):
-            hosts, styles, texts, sizes = [], [], [], []
+            hosts, styles, texts, sizes, copies = [], [], [], [], []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 blocks, children = read_page(page)
                 for style, text in {(s, zlib.crc32(t.encode())) for s, t, noise in blocks if not noise}:
                     hosts.append(host), styles.append(style), texts.append(text), sizes.append(None)
                 for style in {s for s, _, noise in blocks if not noise}:
                     hosts.append(host), styles.append(style), texts.append(None), sizes.append(children.get(style, 0))
+                whole = "\n".join(t for _, t, noise in blocks if not noise).encode()
+                key = int.from_bytes(hashlib.blake2b(whole, digest_size=8).digest(), "little", signed=True)
+                copies.extend([key] * (len(hosts) - len(copies)))
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(styles, pa.string()),
-                                              pa.array(texts, pa.int64()), pa.array(sizes, pa.int64())],
-                                             names=["host", "style", "text", "size"])
+                                              pa.array(texts, pa.int64()), pa.array(sizes, pa.int64()),
+                                              pa.array(copies, pa.int64())],
+                                             names=["host", "style", "text", "size", "page"])
 
     return pages.select("host", "html").mapInArrow(run, schema)
 
 
-def importance(pages: DataFrame) -> DataFrame:
-    """(host, style, n_pages, presentation, content, importance) of every style of every host."""
-    counts = style_rows(pages).groupBy("host", "style", "text", "size").agg(F.count("*").alias("c"))
+def importance(pages: DataFrame, copies: bool = True) -> DataFrame:
+    """(host, style, n_pages, presentation, content, importance) of every style of every host; without ``copies``,
+    pages of a host with the same texts count as one."""
+    styles = style_rows(pages)
+    counts = (styles if copies else styles.distinct()).groupBy("host", "style", "text", "size").agg(F.count("*").alias("c"))
     look, weight = F.col("text").isNull(), F.col("c") * F.log("c")
     # plain sums, so a style that fills a large host is summed before the shuffle
     sums = counts.groupBy("host", "style").agg(
@@ -196,7 +205,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """(id, url, text, n_chars): the important blocks of every whole page, joined by two line ends."""
     host, _ = split_url(F.col(url_col).cast("string"))
     rows = pages.select(pages[id_col], pages[url_col], host.alias("host"), F.col(html_col).cast("string").alias("html"))
-    styles = importance(rows).where((F.col("n_pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
+    styles = importance(rows, copies=False).where((F.col("n_pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
     styles = stored(styles.select("host", "style"), "removed-styles")
     chars = styles.agg(F.sum(F.length("host") + F.length("style"))).first()[0] or 0
     removed = styles.groupBy("host").agg(F.collect_set("style").alias("removed"))  # styles of one host on LEAST_PAGES pages each

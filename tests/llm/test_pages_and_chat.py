@@ -91,6 +91,18 @@ def test_site_tree_drops_repeated_branches(make_docs, monkeypatch, chars):
     assert got[50].text == "" and got[51].text == "Only here"
 
 
+def test_copies_count_once(make_docs):
+    def page(title, text):
+        return f"<body><div class=top>Welcome to the site</div><h1>{title}</h1><p>{text}</p></body>"
+    rows = [(k, f"http://two.org/{k}", page(f"Title {k % 2}", f"Article {k % 2}")) for k in range(10)]
+    rows += [(100 + k, f"http://many.org/{k}", page("Copied", "The same article")) for k in range(1000)]
+    rows += [(2000 + k, f"http://many.org/u{k}", page(f"Own {k}", f"Unique {k}")) for k in range(12)]
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(make_docs(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k].endswith(f"Title {k % 2}\n\nArticle {k % 2}") for k in range(10))
+    assert all(got[100 + k] == "Copied\n\nThe same article" for k in range(1000))
+    assert all(got[2000 + k] == f"Own {k}\n\nUnique {k}" for k in range(12))
+
+
 def test_importance_is_the_mean_entropy(spark, make_docs):
     rows = [(k, "http://h.org", f"<p class=a>{'same' if k % 2 else k}</p>" + "<div><b>x</b></div>" * (k % 3)) for k in range(9)]
     pages = make_docs(rows, "page_id long, host string, html string")

@@ -10,8 +10,10 @@ many pages that text occurs.  A style's importance is
 * content: one minus the mean entropy of its texts over the pages (a text on
   one page only is as important as can be, one on all pages not at all);
 
-joined as 1 - (1 - presentation / 2) * (1 - content).  Styles of low importance
-that enough pages have are branches to remove; so are elements whose
+joined as 1 - (1 - presentation / 2) * (1 - content).  Blocks directly in a
+style of low importance that enough pages have are removed; the branch below
+it goes with them only if the most important style of the branch is low too.
+Removed as well are elements whose
 kind says so (scripts, navigation, forms and so on; classes and ids that name
 adverts, notices or comments), whose importance is zero whatever the site.
 
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from annospark.llm.common import slices, stored
+from annospark.llm.common import let, slices, stored
 from annospark.llm.url_filter import split_url
 
 LEAST_IMPORTANCE, LEAST_PAGES = 0.35, 8
@@ -201,27 +203,41 @@ def importance(pages: DataFrame, copies: bool = True) -> DataFrame:
             .withColumn("importance", joined))
 
 
+def removed_styles(styles: DataFrame) -> DataFrame:
+    """(host, style, branch) of :func:`importance`: styles to remove; ``branch`` tells whether all below goes too."""
+    above = let(F.split("style", "/"), lambda parts: F.transform(
+        F.sequence(F.lit(1), F.size(parts)), lambda d: F.array_join(F.slice(parts, F.lit(1), d), "/")))
+    each = styles.select("host", "style", "n_pages", "importance", F.explode(above).alias("at"))
+    own = F.col("style") == F.col("at")
+    # a style's own values and the largest importance of its branch, in one grouping
+    branch = each.groupBy("host", "at").agg(F.max(F.when(own, F.col("n_pages"))).alias("n_pages"),
+                                            F.max(F.when(own, F.col("importance"))).alias("importance"),
+                                            F.max("importance").alias("most"))
+    return (branch.where((F.col("n_pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
+            .select("host", F.col("at").alias("style"), (F.col("most") < LEAST_IMPORTANCE).alias("branch")))
+
+
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars): the important blocks of every whole page, joined by two line ends."""
     host, _ = split_url(F.col(url_col).cast("string"))
     rows = pages.select(pages[id_col], pages[url_col], host.alias("host"), F.col(html_col).cast("string").alias("html"))
-    styles = importance(rows, copies=False).where((F.col("n_pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
-    styles = stored(styles.select("host", "style"), "removed-styles")
+    styles = stored(removed_styles(importance(rows, copies=False)), "removed-styles")
     chars = styles.agg(F.sum(F.length("host") + F.length("style"))).first()[0] or 0
-    removed = styles.groupBy("host").agg(F.collect_set("style").alias("removed"))  # styles of one host on LEAST_PAGES pages each
+    removed = styles.groupBy("host").agg(  # styles of one host on LEAST_PAGES pages each
+        F.collect_set("style").alias("removed"), F.collect_set(F.when(F.col("branch"), F.col("style"))).alias("branches"))
     if chars <= BROADCAST_CHARS:
         removed = F.broadcast(removed)  # the pages of a large host stay where they are
-    joined = rows.join(removed, "host", "left").select(id_col, url_col, "html", "removed")
+    joined = rows.join(removed, "host", "left").select(id_col, url_col, "html", "removed", "branches")
     schema = T.StructType([joined.schema[0], joined.schema[1], T.StructField("text", T.StringType()),
                            T.StructField("n_chars", T.LongType())])
 
     def run(batches):
         for batch in slices(batches, 128):
             texts = []
-            for page, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                gone = set(gone or ())
+            for page, gone, below in zip(*[batch.column(k).to_pylist() for k in (2, 3, 4)]):
+                gone, below = set(gone or ()), tuple(g + "/" for g in below or ())
                 texts.append("\n\n".join(t for s, t, noise in read_page(page)[0]
-                                         if not noise and not any(s == g or s.startswith(g + "/") for g in gone)))
+                                         if not noise and s not in gone and not s.startswith(below)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 names=[f.name for f in schema])

@@ -103,6 +103,14 @@ def test_copies_count_once(make_docs):
     assert all(got[2000 + k] == f"Own {k}\n\nUnique {k}" for k in range(12))
 
 
+def test_branches_with_important_styles_stay(make_docs):
+    rows = [(k, f"http://h.org/{k}", f"<body>Skip to content<div class=content>By the editors<h2>Head {k}</h2><p>Story {k}</p></div>"
+                                     "<div class=low>All rights<p>reserved</p>" + "<h6>rare</h6>" * (k < 3) + "</div></body>")
+            for k in range(12)]
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(make_docs(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Head {k}\n\nStory {k}" for k in range(12)}
+
+
 def test_importance_is_the_mean_entropy(spark, make_docs):
     rows = [(k, "http://h.org", f"<p class=a>{'same' if k % 2 else k}</p>" + "<div><b>x</b></div>" * (k % 3)) for k in range(9)]
     pages = make_docs(rows, "page_id long, host string, html string")

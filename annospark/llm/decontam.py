@@ -6,7 +6,8 @@ lower-cased and stripped of punctuation.  Windows of five template words are
 hashed and joined with those of the benchmark items (with and without names
 replaced, so a leak in another case matches too).  Of an item's windows that a
 document holds, those count whose slots are consistent: along one alignment,
-each replaced value of the item always meets the same value in the document.
+each replaced value of the item always meets the same value in the document, or
+all values of the window are the item's own.
 That catches questions asked again with other numbers or names.  A document is
 contaminated by an item if at least half of the item's windows count.
 
@@ -18,7 +19,7 @@ whole; an empty benchmark flags nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annospark.llm.common import let, stored
@@ -119,15 +120,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = (benchmark.groupBy(F.col(item_col).alias("i")).agg(F.min(item_text_col).alias("text"))
              .select("i", plain_words(F.col("text")).alias("item_plain")))
     pairs = hits.join(texts, same).join(items, F.col("item_id").eqNullSafe(F.col("i")))
-    slot = F.explode(F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: F.struct(
+    slots = F.filter(F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: F.struct(
         F.get("form", F.col("pos") + k).alias("form"), F.get("item_plain", F.col("at") + k).alias("item"),
-        F.get("plain", F.col("pos") + k).alias("doc"))))
-    line = (F.col("pos") - F.col("at")).alias("line")
-    slots = pairs.select(*pair, line, slot.alias("s")).where(_has_slot(F.col("s.form")))
-    broken = (slots.groupBy(*pair, "line", F.col("s.form").alias("form"), F.col("s.item").alias("item"))
-              .agg(F.min("s.doc").alias("least"), F.max("s.doc").alias("most")).where("least <> most")
-              .select(*[F.col(c).alias(f"b_{c}") for c in pair], F.col("line").alias("b_line")).distinct())
-    on = [F.col(c).eqNullSafe(F.col(f"b_{c}")) for c in pair] + [line == F.col("b_line")]
+        F.get("plain", F.col("pos") + k).alias("doc"))), lambda s: _has_slot(s["form"]))
+    own = F.forall("slots", lambda s: s["item"].eqNullSafe(s["doc"]))
+    slots = (pairs.select(*pair, "pos", "at", slots.alias("slots"))
+             .select(*pair, "pos", "at", own.alias("own"), F.explode("slots").alias("s"))
+             .select(*pair, "pos", "at", "own", "s.*", (F.col("pos") - F.col("at")).alias("line")))
+    met = Window.partitionBy(*pair, "line", "form", "item")  # at most an item's windows and slots
+    window = [*pair, "pos", "at"]
+    broken = (slots.withColumns({"least": F.min("doc").over(met), "most": F.max("doc").over(met)})
+              .where(F.col("least") != F.col("most")).where(~F.col("own"))
+              .select(*[F.col(c).alias(f"b_{c}") for c in window]).distinct())
+    on = [F.col(c).eqNullSafe(F.col(f"b_{c}")) for c in window]
     good = summed(hits.join(broken, on, "left_anti"))
     # one result row per document row
     mult = rows.groupBy("doc_id", "th").agg(F.count("*").alias("copies")).where("copies > 1") \

@@ -32,3 +32,12 @@ def test_empty(spark, make_docs):
     kept = decontam.remove_contaminated(make_docs([(1, ITEM), (None, None), (2, "else")]),
                                         spark.createDataFrame([(1, ITEM)], "item_id long, text string"))
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "None"]
+
+
+def test_one_inconsistent_slot_keeps_the_rest(spark, make_docs):
+    story = ("in the year 1999 my friend Anna went to sea and came back with a basket full of silver fish which she gave away "
+             "to the poor people of the old harbour town while Anna sang about the year 1999 and its many happy summer days")
+    year = story.replace("1999 and", "2001 and")
+    name = story.replace("while Anna", "while Annna")
+    assert year != story != name
+    assert flagged(spark, make_docs, [(1, year), (2, name), (3, story)], [(1, story)]) == [(1, 1), (2, 1), (3, 1)]

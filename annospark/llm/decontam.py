@@ -9,12 +9,16 @@ document holds, those count whose slots are consistent: along one alignment,
 each replaced value of the item always meets the same value in the document, or
 all values of the window are the item's own.
 That catches questions asked again with other numbers or names.  A document is
-contaminated by an item if at least half of the item's windows count.
-
-Defined results: null or empty texts match nothing; texts and items of fewer
-than five words match as a whole only; windows with fewer than two literal words
-do not count; repeated documents are reported each; very long texts are read
-whole; an empty benchmark flags nothing.
+contaminated by an item if at least half of the item's windows count.  Windows
+with fewer than two literal words are no evidence, so they are left out of both
+numbers.  An item most of whose windows are such (numbers, lists of names) is
+searched by its plain words instead: windows of five words as they are.
+
+Defined results: null or empty texts match nothing; items of two to four words
+match where a text holds these words in a row, items of one word only a text that
+is nothing else; item rows that share an id, or have none, are searched each;
+repeated documents are reported each; very long texts are read whole; an empty
+benchmark flags nothing.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from pyspark.sql import functions as F
 from annospark.llm.common import let, stored
 
 WINDOW, LEAST_SHARE, LEAST_LITERAL = 5, 0.5, 2
+WITH_NAMES, OTHER_CASE, PLAIN = 0, 1, 2  # kinds of windows: names replaced, names kept, plain words
 BROADCAST_ROWS = 1_000_000  # benchmark window hashes (8 bytes each) are broadcast up to here, joined by a shuffle beyond
 NUMBER, NAME, UNIT = "", "", ""
 # Units that count when they follow a number.
@@ -71,19 +76,59 @@ def _has_slot(word: Column) -> Column:
     return word.rlike("[-]")
 
 
-def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """(item_id, windows, at, hash) of both forms of every item; the first of rows with the same item id counts."""
-    items = benchmark.groupBy(F.col(item_col).alias("item_id")).agg(F.min(text_col).alias("text"))
+def plain_hashes(words: Column, lengths: list[int]) -> Column:
+    """A hash per run of so many plain words; of one word only if it is the whole text."""
+    def runs(ws: Column, k: int) -> Column:
+        n = F.size(ws)
+        each = F.transform(F.sequence(F.lit(0), n - k),
+                           lambda i: F.xxhash64(F.lit("plain"), F.array_join(F.slice(ws, i + 1, F.lit(k)), " ")))
+        return F.when(n >= k if k > 1 else n == 1, each).otherwise(F.array().cast("array<bigint>"))
+
+    return let(words, lambda ws: F.concat(*[runs(ws, k) for k in lengths]))
+
+
+def benchmark_items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """(item_id, ih, text): ``ih`` (a hash of the text) tells items that share an id apart."""
+    return benchmark.select(F.col(item_col).alias("item_id"), F.xxhash64(F.col(text_col)).alias("ih"),
+                            F.col(text_col).cast("string").alias("text")).distinct()
 
-    def form(names: bool) -> DataFrame:
-        ws = items.select("item_id", template_words(F.col("text"), names).alias("ws"))
-        ws = ws.select("item_id", "ws", F.greatest(F.size("ws") - WINDOW + 1, F.lit(1)).cast("long").alias("windows"),
-                       F.posexplode(window_hashes(F.col("ws"))).alias("at", "hash"))
-        literal = F.size(F.filter(F.slice("ws", F.col("at") + 1, F.lit(WINDOW)), lambda w: ~_has_slot(w)))
-        enough = (literal >= LEAST_LITERAL) | (F.size("ws") < WINDOW) & (literal >= 1)
-        return ws.where(enough).select("item_id", "windows", "at", "hash")
 
-    return form(True).unionByName(form(False)).distinct()
+def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """(item_id, ih, kind, windows, at, hash, length) of every item: ``windows`` is the number of its windows of that
+    kind, ``length`` the number of words of a plain window.
+
+    Template kinds hold the windows with enough literal words, with names replaced and kept, if they are at least
+    half of all; plain windows are taken for short items and where the template has not enough.
+    """
+    def enough(ws: Column) -> Column:
+        def one(at: Column) -> Column:
+            literal = F.size(F.filter(F.slice(ws, at + 1, F.lit(WINDOW)), lambda w: ~_has_slot(w)))
+            return (literal >= LEAST_LITERAL) | (F.size(ws) < WINDOW) & (literal >= 1)
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(ws) - WINDOW, F.lit(0))), one)
+
+    ws = benchmark_items(benchmark, item_col, text_col).select(
+        "item_id", "ih", template_words(F.col("text")).alias("w0"), template_words(F.col("text"), False).alias("w1"),
+        plain_words(F.col("text")).alias("w2"))
+    length = F.least(F.size("w2"), F.lit(WINDOW))
+    n = F.greatest(F.size("w2") - WINDOW + 1, F.lit(1))
+    plain = F.transform(F.sequence(F.lit(0), n - 1),
+                        lambda i: F.xxhash64(F.lit("plain"), F.array_join(F.slice("w2", i + 1, length), " ")))
+    ws = ws.where(F.size("w2") > 0).select(
+        "item_id", "ih", length.alias("length"), n.alias("n"), window_hashes(F.col("w0")).alias("h0"),
+        window_hashes(F.col("w1")).alias("h1"), enough(F.col("w0")).alias("e0"), enough(F.col("w1")).alias("e1"),
+        plain.alias("h2"))
+    held = lambda e: F.size(F.filter(e, lambda x: x))
+    each = ws.select("item_id", "ih", "length", "n", held("e0").alias("n0"), held("e1").alias("n1"),
+                     F.posexplode(F.arrays_zip("h0", "h1", "e0", "e1", "h2")).alias("at", "w"))
+    most = lambda k: F.col(k) >= F.col("n") * LEAST_SHARE
+    kinds = [(WITH_NAMES, "n0", "h0", F.col("w.e0") & most("n0")), (WITH_NAMES, "n0", "h1", F.col("w.e0") & most("n0"))]
+    other = most("n1") & (F.col("n1") != F.col("n0"))
+    kinds += [(OTHER_CASE, "n1", "h0", F.col("w.e0") & other), (OTHER_CASE, "n1", "h1", F.col("w.e1") & other)]
+    kinds += [(PLAIN, "n", "h2", ~most("n0") | (F.col("length") < WINDOW))]
+    rows = F.array(*[F.when(when, F.struct(F.lit(kind).alias("kind"), F.col(k).cast("long").alias("windows"),
+                                           F.col(f"w.{h}").alias("hash"))) for kind, k, h, when in kinds])
+    each = each.select("item_id", "ih", "at", "length", F.explode(F.array_compact(rows)).alias("r"))
+    return each.select("item_id", "ih", "r.kind", "r.windows", "at", "r.hash", "length").distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -96,30 +141,41 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"),
                        F.col(text_col).cast("string").alias("text"))
     bench = stored(benchmark_windows(benchmark, item_col, item_text_col), "benchmark-windows")
-    hashes = bench.select("hash").distinct()
-    hashes = F.broadcast(hashes) if hashes.count() <= BROADCAST_ROWS else hashes
+    is_plain = F.col("kind") == PLAIN
+
+    def found(each: DataFrame, asked: DataFrame) -> DataFrame:
+        hashes = asked.select("hash").distinct()
+        hashes = F.broadcast(hashes) if hashes.count() <= BROADCAST_ROWS else hashes
+        return (each.join(hashes, "hash").distinct().join(asked, "hash")  # repeated rows once
+                .select("doc_id", "th", "pos", "item_id", "ih", "kind", "at", "windows"))
+
     at = rows.select("doc_id", "th", window_hashes(template_words(F.col("text"))).alias("hs"))
-    hits = (at.select("doc_id", "th", F.posexplode("hs").alias("pos", "hash")).join(hashes, "hash")
-            .distinct().join(bench, "hash"))  # repeated rows once
-    hits = stored(hits.select("doc_id", "th", "pos", "item_id", "at", "windows"), "window-hits")
+    hits = found(at.select("doc_id", "th", F.posexplode("hs").alias("pos", "hash")), bench.where(~is_plain))
+    lengths = sorted(r["length"] for r in bench.where(is_plain).select("length").distinct().collect())  # at most WINDOW
+    if lengths:
+        runs = rows.select("doc_id", "th", F.lit(0).alias("pos"),
+                           F.explode(plain_hashes(plain_words(F.col("text")), lengths)).alias("hash"))
+        hits = hits.unionByName(found(runs, bench.where(is_plain)))
+    hits = stored(hits, "window-hits")
     enough = F.col("n_windows") >= F.col("item_windows") * LEAST_SHARE
-    pair = ["doc_id", "th", "item_id"]
+    pair = ["doc_id", "th", "item_id", "ih", "kind"]
 
     def summed(h: DataFrame) -> DataFrame:
         return (h.groupBy(*pair).agg(F.countDistinct("at").alias("n_windows"), F.max("windows").alias("item_windows"))
                 .where(enough))
 
-    likely = stored(summed(hits).select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("item_id").alias("i")),
-                    "likely-leaks")
+    likely = stored(summed(hits).select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("item_id").alias("i"),
+                                        F.col("ih").alias("x"), F.col("kind").alias("k")), "likely-leaks")
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))
-    hits = hits.join(likely, same & F.col("item_id").eqNullSafe(F.col("i")), "left_semi")
-    # Slots: the values under the placeholders of document and item.
-    texts = (rows.join(likely.select("d", "t").distinct(), same, "left_semi").dropDuplicates(["doc_id", "th"])
+    this = F.col("item_id").eqNullSafe(F.col("i")) & (F.col("ih") == F.col("x"))
+    hits = hits.join(likely, same & this & (F.col("kind") == F.col("k")), "left_semi")
+    # Slots: the values under the placeholders of document and item (plain windows have none).
+    texts = (rows.join(likely.where(F.col("k") != PLAIN).select("d", "t").distinct(), same, "left_semi").dropDuplicates(["doc_id", "th"])
              .select(F.col("doc_id").alias("d"), F.col("th").alias("t"), template_words(F.col("text")).alias("form"),
                      plain_words(F.col("text")).alias("plain")))
-    items = (benchmark.groupBy(F.col(item_col).alias("i")).agg(F.min(item_text_col).alias("text"))
-             .select("i", plain_words(F.col("text")).alias("item_plain")))
-    pairs = hits.join(texts, same).join(items, F.col("item_id").eqNullSafe(F.col("i")))
+    items = benchmark_items(benchmark, item_col, item_text_col).select(
+        F.col("item_id").alias("i"), F.col("ih").alias("x"), plain_words(F.col("text")).alias("item_plain"))
+    pairs = hits.where(~is_plain).join(texts, same).join(items, this)
     slots = F.filter(F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: F.struct(
         F.get("form", F.col("pos") + k).alias("form"), F.get("item_plain", F.col("at") + k).alias("item"),
         F.get("plain", F.col("pos") + k).alias("doc"))), lambda s: _has_slot(s["form"]))
@@ -134,6 +190,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
               .select(*[F.col(c).alias(f"b_{c}") for c in window]).distinct())
     on = [F.col(c).eqNullSafe(F.col(f"b_{c}")) for c in window]
     good = summed(hits.join(broken, on, "left_anti"))
+    # the best kind and text of an item id
+    share = F.col("n_windows") / F.col("item_windows")
+    good = (good.groupBy("doc_id", "th", "item_id").agg(F.max(F.struct(share.alias("share"), "n_windows", "item_windows")).alias("b"))
+            .select("doc_id", "th", "item_id", "b.n_windows", "b.item_windows"))
     # one result row per document row
     mult = rows.groupBy("doc_id", "th").agg(F.count("*").alias("copies")).where("copies > 1") \
         .select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "copies")

@@ -41,3 +41,19 @@ def test_one_inconsistent_slot_keeps_the_rest(spark, make_docs):
     name = story.replace("while Anna", "while Annna")
     assert year != story != name
     assert flagged(spark, make_docs, [(1, year), (2, name), (3, story)], [(1, story)]) == [(1, 1), (2, 1), (3, 1)]
+
+
+def test_items_of_any_words_are_found(spark, make_docs):
+    sums = "12 + 7 = 19 and 14 + 8 = 22 and 31 + 9 = 40 and 55 + 6 = 61 or 70 + 1 = 71"
+    names = "we met Anna Boris Clara Dmitri Edith Fritz Greta Hanna Igor Jonas Karl Lena Maria Nils Olga Peter"
+    other = ("The second text under the same number is about green apples and how they grow on old trees in the north")
+    items = [(1, sums), (2, names), (3, "What is love"), (4, ITEM), (4, other), (None, ITEM), (None, other), (5, "12 34"),
+             (6, "bread")]
+    docs = [(10, "So it goes. " + sums + " as ever"), (11, sums.replace("12", "13").replace("8", "9").replace("1", "2")),
+            (12, "Yes, " + names + "."), (13, "He asked: what is love? Nobody knew it."), (14, other), (15, ITEM), (16, "12 34"),
+            (17, "Some bread and butter"), (18, "Bread"), (19, "love is what it is")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id or 0, r.n_windows <= r.item_windows)
+                 for r in decontam.contaminated(make_docs(docs), bench).collect())
+    assert got == [(10, 1, True), (12, 2, True), (13, 3, True), (14, 0, True), (14, 4, True), (15, 0, True), (15, 4, True),
+                   (16, 5, True), (18, 6, True)]

@@ -385,8 +385,10 @@ def candidate_groups(matrix: DataFrame, parts: int) -> DataFrame:
         up = lambda x: F.ceil(x * num / den)
         return F.ceil((F.col(n) + F.col(m)) * num / (num + den)) - F.greatest(up(F.col(n)), up(F.col(m))) + 1
 
-    # the least over the sizes that the groups may pair: large against small
-    pairs = pairs.where((F.col("c") >= least("ha", "lb")) | (F.col("c") >= least("la", "hb")))
+    # the least over the sizes that the groups may pair: large against small; by its two roundings the bound
+    # of sizes between the ends can be less by one
+    spare = F.when((F.col("la") < F.col("ha")) | (F.col("lb") < F.col("hb")), 1).otherwise(0)
+    pairs = pairs.where((F.col("c") + spare >= least("ha", "lb")) | (F.col("c") + spare >= least("la", "hb")))
     return pairs.select("ga", "gb")
 
 

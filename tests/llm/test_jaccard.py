@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from annospark.llm import jaccard
@@ -65,3 +66,20 @@ def test_equals_brute_force(make_docs, seed):
 
 def test_empty_table(make_docs):
     assert jaccard.jaccard_components(make_docs([(1, "a")]).limit(0)).count() == 0
+
+
+def test_candidate_bound_over_size_ranges(spark, make_docs):
+    make_docs([])
+    for la in range(1, 40):  # the bound of the ends is at most one above that of the sizes between
+        for ha in range(la, la + 12):
+            for m in range(1, 40):
+                ends = min(jaccard.least_common(ha, m), jaccard.least_common(la, m))
+                assert all(jaccard.least_common(n, m) >= ends - 1 for n in range(la, ha + 1))
+    # a group of sizes 22 to 24 and one of size 21 with two tokens in common, as sets of 23 and 21 may have
+    def row(group, low, high):
+        return (0, *[np.array([v, v], kind).tobytes() if name else np.array([5, 9], kind).tobytes() for name, v, kind in
+                     (("", 0, np.uint64), ("g1", group, np.int64), ("g2", group, np.int64), ("low", low, np.int32),
+                      ("high", high, np.int32))])
+    matrix = spark.createDataFrame([row(1, 22, 24), row(2, 21, 21)],
+                                   "bucket int, token binary, g1 binary, g2 binary, low binary, high binary")
+    assert jaccard.least_common(23, 21) == 2 and jaccard.candidate_groups(matrix, 2).count() == 1

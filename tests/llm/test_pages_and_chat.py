@@ -140,3 +140,25 @@ def test_licences(spark, make_docs):
     assert by[None] == ("CC-BY-NC-4.0", True, None) and by["a/n.txt"][0] == "MIT" and by["q/long.txt"][:2] == ("Apache-2.0", True)
     assert by["z/f3"][1] is False
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_wrapped_headers_and_whole_licences(spark, make_docs):
+    import textwrap
+    make_docs([])
+    by_name = dict(licenses.LICENCE_TEXTS)
+    mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and t.endswith("conditions:"))
+    gpl = next(t for n, t in licenses.TEMPLATES if n == "GPL-3.0" and t.startswith("This program"))
+    bsd = next(t for n, t in licenses.TEMPLATES if n == "BSD-3-Clause" and t.endswith("met:"))
+
+    def header(text, mark, width=60):
+        return "\n".join(["/*", f"{mark}name.c - does a thing", *[mark + x for x in textwrap.wrap(text, width)], mark, mark + "Next.", "*/", "code"])
+    owner = "Copyright (c) 2020 Some Body\n\n"
+    files = [("a/m.c", header(mit, " * ")), ("a/g.py", header(gpl, "# ")), ("a/b.js", header(bsd, "// ", 72)),
+             ("m/LICENSE", "MIT License\n\n" + owner + textwrap.fill(by_name["MIT"].split("(c) ")[1], 78)),
+             ("b/LICENSE", owner + textwrap.fill(by_name["BSD-2-Clause"], 78)),
+             ("n/none.txt", "words\n\n\n" + "\n".join("a line of software and of other things" for _ in range(50))), ("e/x", "")]
+    files += [(f"z/f{k}", f"the and of this to in work under {k} version public general software") for k in range(40)]
+    df = spark.createDataFrame(files, "path string, text string")
+    got = {r.path: (r.license, r.stated) for r in licenses.scan(df).collect()}
+    assert [got[p][0] for p in ("a/m.c", "a/g.py", "a/b.js", "m/LICENSE", "b/LICENSE", "n/none.txt")] == \
+        ["MIT", "GPL-3.0", "BSD-3-Clause", "MIT", "BSD-2-Clause", None]

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annospark.llm import chat, decontam, fingerprint, html_extract, jaccard, licenses, pieces, token_files, toxicity, url_filter
+from annospark.llm import (chat, decontam, fingerprint, html_extract, jaccard, licenses, pieces, spelling, token_files,
+                           toxicity, url_filter)
 from annospark.llm.common import LLM_QUERIES, llm_query, table  # noqa: F401
 
 
@@ -132,3 +133,15 @@ def document_paths(docs: DataFrame) -> DataFrame:
 @llm_query("op1_license_scan")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(document_paths(table(spark, sf_dir, "documents")), keep=("doc_id",))
+
+
+def dropped_letters(runs: DataFrame) -> DataFrame:
+    """The words of (doc_id, word); one in 97, by a hash of document (null: empty) and word, loses a letter."""
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("word")))
+    cut = F.expr("concat(substring(word, 1, cast(h % length(word) AS int)), substring(word, cast(h % length(word) AS int) + 2))")
+    return runs.withColumn("h", h).select(F.when(F.col("h") % 97 == 0, cut).otherwise(F.col("word")).alias("word"))
+
+
+@llm_query("op12_spelling")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(spelling.word_counts(dropped_letters(spelling.word_runs(table(spark, sf_dir, "documents")))))

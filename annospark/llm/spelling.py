@@ -39,8 +39,10 @@ def word_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     Null and empty texts have none; repeated rows count each time.
     """
-    text = F.translate(F.col(text_col).cast("string"), UPPER, LOWER)
-    return docs.select(F.col(id_col).alias("doc_id"), F.explode(F.regexp_extract_all(text, F.lit(RUN), F.lit(0))).alias("word"))
+    runs = F.explode(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(RUN), F.lit(0)))
+    ascii_only = F.octet_length("word") == F.length("word")  # lower() would change letters beyond Z too
+    lower = F.when(ascii_only, F.lower("word")).otherwise(F.translate("word", UPPER, LOWER))
+    return docs.select(F.col(id_col).alias("doc_id"), runs.alias("word")).select("doc_id", lower.alias("word"))
 
 
 def word_counts(words: DataFrame, least_length: int = 5, least_count: int = 3) -> DataFrame:
@@ -81,7 +83,9 @@ def node_pairs(words: DataFrame) -> DataFrame:
 
 def near_words(words: DataFrame) -> DataFrame:
     """(wid, n_near, best) of (wid, word): how many words are near, and the least ``wid`` of those."""
-    held = (node_pairs(words).groupBy("prefix", "suffix").agg(F.collect_list(F.struct("wid", "kind")).alias("all"))
+    conf = words.sparkSession.conf
+    dealt = words.repartition(int(conf.get("spark.sql.shuffle.partitions")), "wid")  # a small file, long work
+    held = (node_pairs(dealt).groupBy("prefix", "suffix").agg(F.collect_list(F.struct("wid", "kind")).alias("all"))
             .where(F.size("all") > 1))
     ids = lambda test: F.transform(F.filter("all", test), lambda m: m["wid"])
     held = held.select("all", F.array_sort(ids(lambda m: m["kind"] != SPLIT)).alias("skips"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annospark.llm import (chat, decontam, fingerprint, html_extract, jaccard, licenses, pieces, spelling, token_files,
-                           toxicity, url_filter)
+                           toxicity, trie, url_filter)
 from annospark.llm.common import LLM_QUERIES, llm_query, table  # noqa: F401
 
 
@@ -145,3 +145,44 @@ def dropped_letters(runs: DataFrame) -> DataFrame:
 @llm_query("op12_spelling")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variant_groups(spelling.word_counts(dropped_letters(spelling.word_runs(table(spark, sf_dir, "documents")))))
+
+
+OP13_SQL = r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(
+    list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ord(x)::UBIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]),
+                             lambda y, z: xor(y >> 1, 3988292384::UBIGINT * (y & 1::UBIGINT)))), 4294967295::UBIGINT) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.pos <= c.h
+  UNION ALL SELECT c.conv_id, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h),
+p AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS d FROM r),
+m AS (SELECT conv_id, d, md5(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY d)) AS k,
+    len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS w FROM p
+  UNION ALL SELECT conv_id, 0, 'root', 0 FROM c),
+l AS (SELECT *, lag(k) OVER (PARTITION BY conv_id ORDER BY d) AS up, lead(k) OVER (PARTITION BY conv_id ORDER BY d) IS NULL AS last FROM m),
+n AS (SELECT k, d, min(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, min(w) AS w,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256 FROM l GROUP BY k, d),
+ch AS (SELECT up AS k, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN ch USING (k)),
+s AS (SELECT a.k, sum(CASE WHEN v.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((v.n_convs - 1) * v.w) AS saved_tokens
+  FROM v JOIN m a ON a.conv_id = v.conv_id AND a.d <= v.d GROUP BY a.k)
+SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+  CAST(s.saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM v JOIN s USING (k) LEFT JOIN n u ON u.k = v.up"""
+
+
+def rebuilt(conversations: DataFrame) -> DataFrame:
+    """Conversation c starts with the first h turns of c - c % 20, h = crc32 of c modulo 4, and goes on with its own."""
+    own = trie.turn_digests(conversations)
+    h = (F.crc32(F.col("conv_id").cast("string")) % 4).cast("int")
+    base = own.select(F.col("conv_id").alias("base"), F.slice("turns", 1, 3).alias("start"))
+    begun = own.withColumn("base", F.col("conv_id") - F.col("conv_id") % 20).join(base, "base", "left").withColumn("h", h)
+    start = F.coalesce(F.slice("start", F.lit(1), F.col("h")), F.slice("turns", 1, 0))
+    return begun.select("conv_id", F.concat(start, F.slice("turns", F.col("h") + 1, F.size("turns"))).alias("turns"))
+
+
+@llm_query("op13_prefix_trie", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(rebuilt(table(spark, sf_dir, "conversations")))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annospark.llm import (chat, decontam, fingerprint, html_extract, jaccard, licenses, pieces, spelling, token_files,
-                           toxicity, trie, url_filter)
+from annospark.llm import (chat, decontam, fingerprint, hamming, html_extract, jaccard, licenses, pieces, spelling,
+                           token_files, toxicity, trie, url_filter)
 from annospark.llm.common import LLM_QUERIES, llm_query, table  # noqa: F401
 
 
@@ -186,3 +186,8 @@ def rebuilt(conversations: DataFrame) -> DataFrame:
 @llm_query("op13_prefix_trie", OP13_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(rebuilt(table(spark, sf_dir, "conversations")))
+
+
+@llm_query("op11_hamming_index")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)

@@ -80,7 +80,7 @@ def test_rebuilt_with_nulls_and_repeats(spark, make_docs):
     for c in [*range(20, 60), 100, 101, 102, 119, -7, -20, -33]:
         for k in range(rnd.randint(1, 5)):
             rows.append((c, k, rnd.choice(["user", None]), rnd.choice([f"text {c % 3} {k}", None, "", f"w{k} " * 5])))
-    rows += [(33, None, "system", "first"), (33, None, "system", "first"), (None, 0, "user", "no id"), (119, 99, "x", "long " * 50000)]
+    rows += [(33, None, "system", "first"), (33, None, "system", "first"), (None, 0, "user", "no id"), (119, 99, "x", "long " * 50000), (142, 0, "user", "its only turn goes")]
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'x' AS path", "1 AS end", "2 AS n", "3 AS h")
     got = nodes(trie.prefix_trie(rebuilt(df)))
     assert got == brute(rebuilt_brute(rows))

@@ -213,8 +213,7 @@ def nearest(rows: DataFrame, queries: F.Column, k: int = 20, id_col: str = "vec_
         return none
     usable = usable.where(F.size("vec") == length["d"])
     vectors = stored(distinct_vectors(usable, k), "vectors")
-    top = F.array_max(F.transform("vec", lambda x: F.abs(x).cast("double")))
-    norm = top * F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + (x / top) * (x / top)))
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     n_rows, n_ids, largest = vectors.agg(F.count("*"), F.sum(F.size("ids")), F.max(norm)).first()
     asking = usable_vectors(named.where(F.col("asks")), "id", "vec").where(F.size("vec") == length["d"])
     askers = stored(asking.join(vectors.select("vec", F.col("vh").alias("qh")), "vec").select(F.col("id").alias("query_id"), "qh"), "askers")

@@ -1,12 +1,11 @@
-"""Level-1 / level-2 models in data-parallel form.
+"""Linear scoring, the graph stacker and resumable folds.
+
+One-vs-rest logistic regression (F7) is in ``logistic.py``, boosted trees (F9)
+in ``boosting.py``.
 
-* One-vs-rest logistic regression (F7) trains a block of terms at a time:
-  rows stay partitioned, the block's weights (dims x terms, bounded by the
-  block size) travel with the task closure, every iteration is one job
-  whose tasks return partial gradients that Spark sums per weight.
 * Linear scoring (F8) is a per-partition GEMM over Arrow batches with the
   weight block shipped to the tasks; only scores above a floor are emitted.
-* Boosted trees (F9) and the stacker (F11) use MLlib estimators (JVM-side).
+* The stacker (F11) uses an MLlib estimator (JVM-side).
 """
 
 from __future__ import annotations
@@ -22,69 +21,6 @@ def _stack(col: pd.Series) -> np.ndarray:
     return np.stack(col.to_numpy()).astype(np.float64)
 
 
-def label_rows(x: DataFrame, labels: DataFrame, terms: list[str], key: str = "entity_id") -> DataFrame:
-    """Attach, per row, the indices of the block terms it carries."""
-    idx = F.create_map(*[v for i, t in enumerate(terms) for v in (F.lit(t), F.lit(i))])
-    lab = labels.filter(F.col("term_id").isin(terms)).select(key, F.element_at(idx, F.col("term_id")).alias("j"))
-    lab = lab.groupBy(key).agg(F.collect_set("j").alias("ys"))
-    return x.join(lab, key, "left").withColumn("ys", F.coalesce("ys", F.array().cast("array<int>")))
-
-
-def ovr_logistic_fit(x: DataFrame, labels: DataFrame, terms: list[str], key: str = "entity_id",
-                     vec: str = "vec", iters: int = 100, lr: float = 0.5, l2: float = 1e-3,
-                     balanced: bool = True, min_pos: int = 2) -> pd.DataFrame:
-    """one-vs-rest L2 logistic regression for one block of terms by
-    full-batch gradient descent (class-balanced weights; terms with fewer
-    than ``min_pos`` positives are skipped).  Returns the fitted block as a
-    small pandas frame ``(term_id, w: list, b)`` — size dims x block."""
-    rows = label_rows(x, labels, terms, key).select(vec, "ys").cache()
-    n = rows.count()
-    pos = labels.filter(F.col("term_id").isin(terms)).select(key, "term_id").distinct() \
-        .groupBy("term_id").count().collect()
-    npos = np.zeros(len(terms))
-    for r in pos:
-        npos[terms.index(r["term_id"])] = r["count"]
-    keep = npos >= min_pos
-    d = len(rows.select(vec).first()[0])
-    T_ = len(terms)
-    wp = np.where(npos > 0, n / (2.0 * np.maximum(npos, 1)), 1.0) if balanced else np.ones(T_)
-    wn = np.where(n - npos > 0, n / (2.0 * np.maximum(n - npos, 1)), 1.0) if balanced else np.ones(T_)
-    W = np.zeros((d, T_))
-    b = np.zeros(T_)
-    schema = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("g", T.DoubleType())])
-    for _ in range(iters):
-        Wc, bc = W.copy(), b.copy()
-
-        def grad(it, Wc=Wc, bc=bc):
-            gW = np.zeros_like(Wc)
-            gb = np.zeros_like(bc)
-            for pdf in it:
-                if pdf.empty:
-                    continue
-                X = _stack(pdf[vec])
-                Y = np.zeros((len(pdf), Wc.shape[1]))
-                for i, ys in enumerate(pdf["ys"]):
-                    if len(ys):
-                        Y[i, np.asarray(ys, dtype=int)] = 1.0
-                Z = np.clip(X @ Wc + bc, -50, 50)
-                P = 1.0 / (1.0 + np.exp(-Z))
-                S = np.where(Y > 0, wp, wn) * (P - Y)
-                gW += X.T @ S
-                gb += S.sum(axis=0)
-            flat = np.concatenate([gW.ravel(), gb])
-            yield pd.DataFrame({"k": np.arange(flat.size, dtype=np.int32), "g": flat})
-        g = rows.mapInPandas(grad, schema).groupBy("k").agg(F.sum("g").alias("g")).toPandas()
-        flat = np.zeros(d * T_ + T_)
-        flat[g["k"].to_numpy()] = g["g"].to_numpy()
-        gW = flat[: d * T_].reshape(d, T_) / n + l2 * W
-        gb = flat[d * T_:] / n
-        W -= lr * gW
-        b -= lr * gb
-    rows.unpersist()
-    out = pd.DataFrame({"term_id": terms, "w": [W[:, j].tolist() for j in range(T_)], "b": b, "fitted": keep})
-    return out[out["fitted"]].drop(columns="fitted")
-
-
 def linear_score(x: DataFrame, model: pd.DataFrame, key: str = "entity_id", vec: str = "vec",
                  floor: float = 0.0, degenerate_logit: float = -10.0) -> DataFrame:
     """F8: ``sigmoid(clip(x . w_t + b_t, +-50))`` for every term of a fitted
@@ -112,26 +48,6 @@ def linear_score(x: DataFrame, model: pd.DataFrame, key: str = "entity_id", vec:
     return x.select(key, vec).mapInPandas(score, schema)
 
 
-def gbdt_ovr_fit_predict(x: DataFrame, labels: DataFrame, terms: list[str], key: str = "entity_id",
-                         vec: str = "vec", max_iter: int = 150, step: float = 0.05, depth: int = 6,
-                         subsample: float = 0.8, seed: int = 42) -> DataFrame:
-    """one MLlib ``GBTClassifier`` per (elite) term; returns in-sample
-    probabilities ``(entity_id, term_id, score)`` clipped to [0, 1]."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    base = x.select(key, array_to_vector(F.col(vec)).alias("features")).cache()
-    out = None
-    for t in terms:
-        pos = labels.filter(F.col("term_id") == t).select(key).distinct().withColumn("label", F.lit(1.0))
-        data = base.join(pos, key, "left").fillna(0.0, subset=["label"])
-        m = GBTClassifier(maxIter=max_iter, stepSize=step, maxDepth=depth, subsamplingRate=subsample,
-                          seed=seed).fit(data)
-        p = m.transform(data).select(key, F.lit(t).alias("term_id"),
-                                     vector_to_array("probability").getItem(1).alias("score"))
-        out = p if out is None else out.unionByName(p)
-    return out.withColumn("score", F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)))
-
-
 def graph_stacker_fit_predict(features: DataFrame, truth: DataFrame, ia: DataFrame, channels: list[str],
                               aspect: str | None = None, max_iter: int = 50, ia_default: float = 1.0) -> DataFrame:
     """F11 (re-aimed as simplified graph convolution): per (entity, term) rows

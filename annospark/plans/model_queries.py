@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from annospark.functions import vectors as V
-from annospark.operators import ensemble, knn, models, ontology as G, selection as SEL
+from annospark.operators import boosting, ensemble, features, knn, logistic, models, ontology as G, selection as SEL
 from annospark.plans import standins as S
 from annospark.plans.knn_queries import knn_sql
 from annospark.plans.label_queries import contract
@@ -58,24 +59,98 @@ def q_linear(spark, d):
     return s.select("entity_id", "term_id", F.round("score", 6).alias("score"))
 
 
-@query("ovr_logistic", "F7 F8")
-def q_ovr(spark, d):
-    terms = _label_terms(spark, d)
-    x = _x(spark, d).withColumn("vec", V.l2_normalise(F.col("vec")))
-    m = models.ovr_logistic_fit(x, _labels(spark, d), terms, iters=30, lr=1.0)
-    s = models.linear_score(x, m, floor=0.0)
-    return s.select("entity_id", "term_id", F.round("score", 6).alias("score"))
+FOLD = "pmod(entity_id, 5)"
+
+
+def _logistic(spark, d, steps):
+    x, terms = _x(spark, d), _label_terms(spark, d)
+    scaler = features.standard_scaler_fit(x, "vec").toPandas()  # one row per dimension
+    m, blocks = logistic.ovr_logistic_fit(x, _labels(spark, d), terms, F.expr(FOLD), steps=steps, scaler=scaler)
+    return logistic.out_of_fold(m, blocks).select("entity_id", "term_id", F.round("score", 6).alias("score"))
 
 
-@query("gbdt_elite", "F9 W4")
+@query("ovr_logistic", "F7 F3")
+def q_ovr(spark, d):
+    """Out-of-fold scores after all steps."""
+    return _logistic(spark, d, 100)
+
+
+# One gradient step from zero weights, written out: class weights, sums over the other folds, scores of the own fold.
+@query("ovr_logistic_first_step", "F7 F3", sql=(
+       "WITH e AS (SELECT vec_id, vec_id % 5 AS fold, label, embedding FROM embeddings), "
+       "v AS (SELECT vec_id, fold, label, unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS raw FROM e), "
+       "sc AS (SELECT pos, avg(raw) AS mu, CASE WHEN stddev_pop(raw) = 0 THEN 1.0 ELSE stddev_pop(raw) END AS sd FROM v GROUP BY pos), "
+       "z AS (SELECT vec_id, fold, label, v.pos, (raw - mu) / sd AS x FROM v JOIN sc ON v.pos = sc.pos), "
+       "fl AS (SELECT DISTINCT fold FROM e), lb AS (SELECT DISTINCT label FROM e), "
+       "k AS (SELECT fl.fold, lb.label, count(*) AS n, count(*) FILTER (WHERE e.label = lb.label) AS np FROM fl, lb, e "
+       "WHERE e.fold <> fl.fold GROUP BY 1, 2), "
+       "cw AS (SELECT fold, label, n, np, n / (2.0 * greatest(np, 1)) AS wp, n / (2.0 * greatest(n - np, 1)) AS wn FROM k), "
+       "g AS (SELECT cw.fold, cw.label, z.pos, -0.5 * sum(CASE WHEN z.label = cw.label THEN -0.5 * wp ELSE 0.5 * wn END * x) / max(n) "
+       "AS w FROM cw JOIN z ON z.fold <> cw.fold GROUP BY 1, 2, 3), "
+       "b AS (SELECT fold, label, -0.5 * (-0.5 * wp * np + 0.5 * wn * (n - np)) / n AS b FROM cw) "
+       "SELECT z.vec_id AS entity_id, 'GO:' || lpad(CAST(g.label AS VARCHAR), 7, '0') AS term_id, "
+       "round(1.0 / (1.0 + exp(-least(greatest(sum(z.x * g.w) + max(b.b), -50.0), 50.0))), 6) AS score "
+       "FROM z JOIN g ON z.fold = g.fold AND z.pos = g.pos JOIN b ON b.fold = g.fold AND b.label = g.label "
+       "JOIN cw ON cw.fold = g.fold AND cw.label = g.label WHERE cw.np >= 2 GROUP BY 1, 2"))
+def q_ovr_step(spark, d):
+    return _logistic(spark, d, 1)
+
+
+def _elite(lab) -> list[str]:
+    """Terms with at least 50 positives: one row per class."""
+    return [r["term_id"] for r in lab.groupBy("term_id").count().where(F.col("count") >= 50).orderBy("term_id").collect()]
+
+
+@query("gbdt_elite", "F9 W1 W4")
 def q_gbdt(spark, d):
-    lab = _labels(spark, d)
-    elite = [r["term_id"] for r in lab.groupBy("term_id").count().filter(F.col("count") >= 50)
-             .orderBy("term_id").collect()]  # one row per class
-    p = models.gbdt_ovr_fit_predict(_x(spark, d), lab, elite, max_iter=5, depth=3)
+    """Out-of-fold scores of all elite terms, divided by each entity's largest."""
+    x, lab = _x(spark, d), _labels(spark, d)
+    elite = _elite(lab)
+    if not elite:
+        return x.limit(0).select("entity_id", F.lit("").alias("term_id"), F.lit(0.0).alias("score"))
+    m, blocks = boosting.boosted_ovr_fit(x, lab, elite, F.expr(FOLD))
+    p = ensemble.row_max_normalise(boosting.out_of_fold(m, blocks))
     return p.select("entity_id", "term_id", F.round("score", 6).alias("score"))
 
 
+# The first split of every fold's and term's first tree, with bins of width 1/32, on all rows and features.
+# (1e-9 is added before rounding, as many sums lie just between two rounded values.)
+@query("gbdt_root_splits", "F9", sql=(
+       "WITH e AS (SELECT vec_id, vec_id % 5 AS fold, label, embedding FROM embeddings), "
+       "v AS (SELECT fold, label, unnest(range(len(embedding))) AS j, CAST(unnest(embedding) AS DOUBLE) AS x FROM e), "
+       "b AS (SELECT fold, label, j, CAST(least(greatest(ceil(x * 32 + 16) - 1, 0), 31) AS INTEGER) AS b FROM v), "
+       "fl AS (SELECT DISTINCT fold FROM e), lb AS (SELECT DISTINCT label FROM e), "
+       "k AS (SELECT fl.fold, lb.label, count(*) AS n, count(*) FILTER (WHERE e.label = lb.label) AS np FROM fl, lb, e "
+       "WHERE e.fold <> fl.fold GROUP BY 1, 2), "
+       "h AS (SELECT k.fold, k.label, j, b, count(*) AS n, count(*) FILTER (WHERE b.label = k.label) AS np FROM k JOIN b ON b.fold <> k.fold "
+       "GROUP BY 1, 2, 3, 4), "
+       "grid AS (SELECT k.*, j, b FROM k, (SELECT DISTINCT j FROM b), (SELECT unnest(range(31)) AS b)), "
+       "l AS (SELECT grid.fold, grid.label, grid.j, grid.b, max(grid.n) AS n, max(grid.np) AS np, coalesce(sum(h.n), 0) AS ln, "
+       "coalesce(sum(h.np), 0) AS lp FROM grid LEFT JOIN h ON h.fold = grid.fold AND h.label = grid.label AND h.j = grid.j AND h.b <= grid.b "
+       "GROUP BY 1, 2, 3, 4), "
+       "s AS (SELECT *, np / n AS p, ln * (np / n) - lp AS gl, (n - ln) * (np / n) - (np - lp) AS gr, ln * (np / n) * (1 - np / n) AS hl, "
+       "(n - ln) * (np / n) * (1 - np / n) AS hr FROM l), "
+       "q AS (SELECT *, gl * gl / (hl + 1) + gr * gr / (hr + 1) - (gl + gr) * (gl + gr) / (hl + hr + 1) AS gain FROM s "
+       "WHERE ln >= 10 AND n - ln >= 10), "
+       "el AS (SELECT label FROM e GROUP BY 1 HAVING count(*) >= 50) "
+       "SELECT CAST(fold AS INTEGER) AS fold, 'GO:' || lpad(CAST(label AS VARCHAR), 7, '0') AS term_id, CAST(j AS INTEGER) AS feature, b AS bin, "
+       "round(gain + 1e-9, 6) AS gain, round(gl + 1e-9, 6) AS left_g, round(hl + 1e-9, 6) AS left_h, CAST(ln AS DOUBLE) AS left_n FROM q "
+       "WHERE gain > 1e-12 AND label IN (SELECT label FROM el) "
+       "QUALIFY row_number() OVER (PARTITION BY fold, label ORDER BY round(gain, 9) DESC, j, b) = 1"))
+def q_gbdt_root(spark, d):
+    x, lab = _x(spark, d), _labels(spark, d)
+    schema = "fold int, term_id string, feature int, bin int, gain double, left_g double, left_h double, left_n double"
+    elite = _elite(lab)
+    if not elite:
+        return spark.createDataFrame([], schema)
+    cuts = np.tile(np.arange(-15, 16) / 32, (len(x.first()["vec"]), 1))
+    p = boosting.BoostParams(trees=1, depth=1, subsample=1.0, columns=1.0)
+    m, _ = boosting.boosted_ovr_fit(x, lab, elite, F.expr(FOLD), p, cuts=cuts)
+    rows = [(r["fold"], elite[r["term"]], r["feature"], r["bin"], *(round(r[c] + 1e-9, 6) for c in ("gain", "left_g", "left_h")), r["left_n"])
+            for r in m.root_splits if r["feature"] >= 0]  # one row per fold and term
+    return spark.createDataFrame(rows, schema)
+
+
 @query("graph_stacker", "F11 F10 G7 G6")
 def q_stacker(spark, d):
     c = contract(spark, d)

@@ -17,6 +17,9 @@ gives no files; repeated rows are written each.
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
 import struct
 import uuid
 import zlib
@@ -36,18 +39,49 @@ WORD_CACHE = 1_000_000
 LEVEL = 3
 
 
+# The splitting rule of a lower-casing tokenizer, and the same rule for words of plain letters
+# (Latin-1, which composition leaves alone), digits and ASCII signs.
+SPLIT_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|[^a-zà-öø-ÿ0-9]+"
+PLAIN_WORD = "[!-~À-ÖØ-öø-ÿ]+"
+STEPS = ["NFC", "Replace", "Lowercase"]
+
+
 class WordEncoder:
     """Encodes with the tokenizers library, one white-space separated word at a time.
 
     For tokenizers that drop white space (no token spans it) this gives the
     same ids as the whole text; the bytes of each word's ids are kept in a
-    bounded table.
+    bounded table.  A plain word that is new is put together from the pieces that
+    the tokenizer's own rule splits it into, where that rule is the known one.
     """
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(spec)
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        told = json.loads(spec)
+        rules = [r.get("pattern", {}).get("Regex") for r in (told.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        steps = [r["type"] for r in (told.get("normalizer") or {}).get("normalizers", [])]
+        self.splits = re.compile(PLAIN_SPLIT).findall if rules[:1] == [SPLIT_RULE] and steps == STEPS else None
+        self.plain = re.compile(PLAIN_WORD).fullmatch
+        self.special = [t["content"] for t in told.get("added_tokens", [])]
+
+    def _add(self, table: dict[str, bytes], new: list[str]) -> None:
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            table[w] = np.array(e.ids, "<u4").tobytes()
+
+    def _add_words(self, new: list[str]) -> None:
+        split = [] if self.splits is None else [w for w in new if self.plain(w) and not any(t in w for t in self.special)]
+        parts = [self.splits(w.lower()) for w in split]
+        if len(self.pieces) >= WORD_CACHE:
+            self.pieces.clear()
+        self._add(self.pieces, list({p for ps in parts for p in ps} - self.pieces.keys()))
+        for w, ps in zip(split, parts):
+            self.known[w] = b"".join([self.pieces[p] for p in ps])
+        whole = set(split)
+        self._add(self.known, [w for w in new if w not in whole])
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -55,12 +89,24 @@ class WordEncoder:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
         if len(self.known) >= WORD_CACHE:
             self.known.clear()
-        new = list({w for ws in split for w in ws} - self.known.keys())
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        new = {w for ws in split for w in ws} - self.known.keys()
+        if new:
+            self._add_words(list(new))
         return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
 
 
+_ENCODERS: dict[bytes, WordEncoder] = {}
+
+
+def encoder_of(spec: str) -> WordEncoder:
+    """One encoder per Python worker, whose tables serve all its tasks."""
+    key = hashlib.sha256(spec.encode()).digest()
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = WordEncoder(spec)
+    return _ENCODERS[key]
+
+
 def encode_frames(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """(range, id, n_tokens, check, frame) per row of (range, id, text)."""
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -70,7 +116,7 @@ def encode_frames(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFram
     def run(batches):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, press = WordEncoder(spec.value), zstandard.ZstdCompressor(level=LEVEL, write_checksum=True)
+        encoder, press = encoder_of(spec.value), zstandard.ZstdCompressor(level=LEVEL, write_checksum=True)
         for batch in slices(batches, 1024):
             plain = [ids + end for ids in encoder.encode_all(batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays(

@@ -59,3 +59,22 @@ def test_counts_by_loop():
             a, b, c = (int(tables[k][data[at + p]]) for k, p in enumerate(places))
             want[a ^ b ^ c] += 1
     assert list(fingerprint.counts(data)) == want
+
+
+def test_words_from_pieces_equal_the_whole_text():
+    import random
+
+    from tokenizers import Tokenizer
+
+    from annospark.llm import token_files
+    from annospark.llm.queries import tokenizer_path
+    with open(tokenizer_path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    encoder, library = token_files.WordEncoder(spec), Tokenizer.from_str(spec)
+    assert encoder.splits is not None
+    rnd = random.Random(2)
+    parts = ["'s", "'S", "'re", "'", "''ll", "don't", "Été", "Àß", "ÿ", "×", "÷", "µ", "ª", "½", "12", "3", "_", "--", ".", "…", "İ", "ǆ",
+             "é", "́", "<|endoftext|>", "<|", "|>", "naïve", "Straße", "ŒUVRE", "日本", "\U0001F600", "\x85", " ", "A", "b", " ", "\n"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))) for _ in range(4000)]
+    for text, ids in zip(texts, encoder.encode_all(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text

@@ -61,9 +61,10 @@ def test_counts_by_loop():
     assert list(fingerprint.counts(data)) == want
 
 
-def test_words_from_pieces_equal_the_whole_text():
+def test_words_one_by_one_equal_the_whole_text():
     import random
 
+    import numpy as np
     from tokenizers import Tokenizer
 
     from annospark.llm import token_files
@@ -71,7 +72,6 @@ def test_words_from_pieces_equal_the_whole_text():
     with open(tokenizer_path("word_bpe_49k.json"), encoding="utf-8") as f:
         spec = f.read()
     encoder, library = token_files.WordEncoder(spec), Tokenizer.from_str(spec)
-    assert encoder.splits is not None
     rnd = random.Random(2)
     parts = ["'s", "'S", "'re", "'", "''ll", "don't", "Été", "Àß", "ÿ", "×", "÷", "µ", "ª", "½", "12", "3", "_", "--", ".", "…", "İ", "ǆ",
              "é", "́", "<|endoftext|>", "<|", "|>", "naïve", "Straße", "ŒUVRE", "日本", "\U0001F600", "\x85", " ", "A", "b", " ", "\n"]

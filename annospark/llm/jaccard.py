@@ -19,9 +19,11 @@ sets' Jaccard similarity is at least 0.75.  Equal sets are one set from here on.
 4. Open.  Only groups that pass are opened: query and members of fitting size
    are compared exactly, on the words themselves.
 
-The order of tokens puts those last that are frequent in some stretch of the
-input; a bitmap of fixed size tells which.  The order only affects the work:
-any order gives the same links.
+The order of tokens is by how many sets they are in, rare ones first: tokens that
+several sets of a stretch share are counted there and over all stretches, and a
+table of bounded size gives the level (twice the binary logarithm) by token hash.
+So the prefixes of a family of similar sets hold what its members do not share.
+The order only affects the work: any order gives the same links.
 
 Components are found by joins on the set links.  Nothing that grows with the
 documents comes to the driver.
@@ -41,10 +43,10 @@ from annospark.llm.common import slices, stored
 
 WORDS, SIMILARITY = 5, (75, 100)
 KEYS = 4                  # least-hash keys for the groups
-CHUNK = 1_000_000         # tokens looked at together for frequent ones
+CHUNK = 4_000_000         # tokens looked at together for shared ones
 ENTRIES = 250_000         # matrix entries a task packs at once
-FREQUENT = 5              # occurrences (in different sets) in a chunk
-BITMAP_BITS = 23          # frequent tokens are marked in 2 ** 23 bits (1 MB), sent to all tasks
+FREQUENT = 3              # occurrences (in different sets) in a chunk
+LEVEL_BITS = (22, 26)     # least and most bits of the level table's size; two levels a byte, 32 MB at most
 BROADCAST_ROWS = 400_000  # keys (24 bytes each) are broadcast up to here, joined by a shuffle beyond
 WORD_CACHE = 150_000
 PROBES = 32               # members of a large group tried before all of them
@@ -130,7 +132,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def document_sets(rows: DataFrame) -> DataFrame:
     """Per row (doc_id, th, n, sid, keys): set size, set id and least-hash keys; and rows (token, times)
-    of tokens that are frequent in a chunk."""
+    of tokens that several sets of a chunk share."""
     schema = "doc_id long, th long, n long, sid binary, keys array<long>, token long, times long"
     names = ["doc_id", "th", "n", "sid", "keys", "token", "times"]
 
@@ -171,13 +173,39 @@ def document_sets(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def frequent_bitmap(found: DataFrame) -> bytes:
-    """2 ** BITMAP_BITS bits; at most that many positions come to the driver."""
-    mask = (1 << BITMAP_BITS) - 1
-    at = found.where(F.col("token").isNotNull()).select(F.col("token").bitwiseAND(F.lit(mask)).cast("int").alias("p")).distinct()
-    bits = np.zeros(1 << BITMAP_BITS, bool)
-    bits[at.toPandas()["p"].to_numpy(np.int64)] = True
-    return np.packbits(bits).tobytes()
+def frequency_levels(found: DataFrame) -> np.ndarray:
+    """Levels 0 to 15 by the low bits of the token hash, two in a byte.
+
+    The table has about eight places for every shared token, within the bounds of
+    LEVEL_BITS; it comes to the driver in slices that the tasks have packed.
+    """
+    shared = stored(found.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("times").alias("times")), "shared-tokens")
+    low, high = LEVEL_BITS
+    bits = min(high, max(low, (8 * max(1, shared.count())).bit_length()))
+    place = F.col("token").bitwiseAND(F.lit((1 << bits) - 1))
+    level = F.least(F.lit(15), F.floor(2 * F.log2("times"))).cast("int")
+    slice_bits = 16
+    by_slice = (shared.select(place.alias("p"), level.alias("level")).groupBy("p").agg(F.max("level").alias("level"))
+                .select(F.shiftright("p", slice_bits).cast("int").alias("slice"), F.col("p").bitwiseAND(F.lit((1 << slice_bits) - 1)).cast("int").alias("at"),
+                        "level"))
+
+    def pack(t: pa.Table) -> pa.Table:
+        levels = np.zeros(1 << slice_bits, np.uint8)
+        levels[np.asarray(t.column("at"))] = np.asarray(t.column("level"))
+        return pa.table({"slice": t.column("slice").slice(0, 1), "packed": pa.array([(levels[::2] << 4 | levels[1::2]).tobytes()], pa.binary())})
+
+    table = np.zeros(1 << (bits - 1), np.uint8)
+    half = 1 << (slice_bits - 1)
+    for r in by_slice.groupBy("slice").applyInArrow(pack, "slice int, packed binary").toLocalIterator():
+        table[r["slice"] * half:(r["slice"] + 1) * half] = np.frombuffer(r["packed"], np.uint8)
+    return table
+
+
+def rare_first(t: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Sorted tokens in the order of their levels, then of their hashes."""
+    place = (t & np.uint64(2 * len(table) - 1)).astype(np.int64)
+    pair = table[place >> 1]
+    return t[np.argsort(np.where(place & 1, pair & 15, pair >> 4), kind="stable")]
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -255,18 +283,17 @@ def leader_pairs(sets: DataFrame) -> DataFrame:
             .select(F.col("sid").alias("a"), F.col("leader.sid").alias("b")).distinct())
 
 
-def matrix_rows(rows: DataFrame, sets: DataFrame, groups: DataFrame, bitmap: bytes, buckets: int) -> DataFrame:
+def matrix_rows(rows: DataFrame, sets: DataFrame, groups: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
     """(bucket, token, g1, g2, low, high): packed columns of matrix entries (token, group, set sizes)."""
     mine = sets.join(groups.withColumnRenamed("label", "gid"), "sid").select(
         F.col("doc_id").alias("pid"), F.col("th").alias("pth"), "gid").distinct()
     src = rows.join(_small(stored(mine, "members")),
                     F.col("doc_id").eqNullSafe(F.col("pid")) & (F.col("th") == F.col("pth")), "left").select("text", "gid")
-    sent = rows.sparkSession.sparkContext.broadcast(bitmap)
+    sent = rows.sparkSession.sparkContext.broadcast(levels)
     schema = "bucket int, token binary, g1 binary, g2 binary, low binary, high binary"
 
     def run(batches):
-        late = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
-        mask = np.uint64((1 << BITMAP_BITS) - 1)
+        table = sent.value
         parts: list[tuple] = []
         held = 0
 
@@ -297,8 +324,7 @@ def matrix_rows(rows: DataFrame, sets: DataFrame, groups: DataFrame, bitmap: byt
                 n = len(t)
                 if gid is None:
                     gid = xxhash.xxh3_128_digest(t.tobytes())
-                is_late = late[(t & mask).astype(np.int64)]
-                t = np.concatenate([t[~is_late], t[is_late]])[:n - least_overlap(n) + 1]
+                t = rare_first(t, table)[:n - least_overlap(n) + 1]
                 g = np.frombuffer(gid, np.int64)
                 parts.append((t, g[0], g[1], n))
                 held += len(t)
@@ -426,7 +452,7 @@ def set_links(rows: DataFrame, found: DataFrame) -> DataFrame:
     groups = components(first)
     total = sets.agg(F.sum("n")).first()[0] or 0
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / 3_000_000))
-    entries = matrix_rows(rows, sets, groups, frequent_bitmap(found), 4 * parts)
+    entries = matrix_rows(rows, sets, groups, frequency_levels(found), 4 * parts)
     pairs = stored(candidate_groups(entries, parts), "candidate-groups")
     sizes = groups.groupBy("label").agg(F.count("*").alias("members"))
     sized = (pairs.join(sizes.select(F.col("label").alias("ga"), F.col("members").alias("ma")), "ga", "left")

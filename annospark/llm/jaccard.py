@@ -11,9 +11,9 @@ sets' Jaccard similarity is at least 0.75.  Equal sets are one set from here on.
 2. Matrix.  For each group the union of its members' tokens.  The rows kept are
    those of the members' prefixes: a set of n tokens can only link to one that
    shares at least one of its first n - ceil(0.75 n) + 1 tokens in any fixed
-   order.  Groups that share rows are candidates, with sizes that can link and
-   as many common rows as two linked sets of such sizes must have at least
-   (see :func:`least_common`).
+   order.  A row also has the largest size of a set that can link if this is the
+   first token that the two share (see :func:`largest_partner`).  Groups that share
+   a row at which each is small enough for the other are candidates.
 3. Bound.  Each member of the smaller group is a query to the larger one: it
    can only link if at least 0.75 of its tokens are in the larger group's union.
 4. Open.  Only groups that pass are opened: query and members of fitting size
@@ -45,7 +45,7 @@ WORDS, SIMILARITY = 5, (75, 100)
 KEYS = 4                  # least-hash keys for the groups
 CHUNK = 4_000_000         # tokens looked at together for shared ones
 ENTRIES = 250_000         # matrix entries a task packs at once
-FREQUENT = 3              # occurrences (in different sets) in a chunk
+FREQUENT = 2              # occurrences (in different sets) in a chunk
 LEVEL_BITS = (22, 26)     # least and most bits of the level table's size; two levels a byte, 32 MB at most
 BROADCAST_ROWS = 400_000  # keys (24 bytes each) are broadcast up to here, joined by a shuffle beyond
 WORD_CACHE = 150_000
@@ -112,16 +112,14 @@ def least_overlap(n: int) -> int:
     return -(-SIMILARITY[0] * n // SIMILARITY[1])
 
 
-def least_common(n: int, m: int) -> int:
-    """Prefix tokens that two linked sets of sizes n and m have in common at least.
+def largest_partner(n: int, at: np.ndarray) -> np.ndarray:
+    """The most tokens of a set that may link to one of n tokens if their first common token is number ``at`` of it.
 
-    Linked sets share o >= 75 (n + m) / 175 tokens.  Up to the end of the
-    prefix that ends first in the order, each common token is in both prefixes;
-    behind it that set has ceil(0.75 size) - 1 tokens left.
+    Then n - at tokens can be common at most, and linked sets of sizes n and m share
+    75 (n + m) / 175 of them at least.
     """
     num, den = SIMILARITY
-    overlap = -(-num * (n + m) // (num + den))
-    return overlap - max(least_overlap(n), least_overlap(m)) + 1
+    return ((num + den) * (n - at) - num * n) // num
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -284,13 +282,13 @@ def leader_pairs(sets: DataFrame) -> DataFrame:
 
 
 def matrix_rows(rows: DataFrame, sets: DataFrame, groups: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
-    """(bucket, token, g1, g2, low, high): packed columns of matrix entries (token, group, set sizes)."""
+    """(bucket, token, g1, g2, size, most): packed columns of matrix entries (token, group, set size, largest partner)."""
     mine = sets.join(groups.withColumnRenamed("label", "gid"), "sid").select(
         F.col("doc_id").alias("pid"), F.col("th").alias("pth"), "gid").distinct()
     src = rows.join(_small(stored(mine, "members")),
                     F.col("doc_id").eqNullSafe(F.col("pid")) & (F.col("th") == F.col("pth")), "left").select("text", "gid")
     sent = rows.sparkSession.sparkContext.broadcast(levels)
-    schema = "bucket int, token binary, g1 binary, g2 binary, low binary, high binary"
+    schema = "bucket int, token binary, g1 binary, g2 binary, size binary, most binary"
 
     def run(batches):
         table = sent.value
@@ -302,19 +300,20 @@ def matrix_rows(rows: DataFrame, sets: DataFrame, groups: DataFrame, levels: np.
             if not parts:
                 return
             t = np.concatenate([p[0] for p in parts])
-            size = [len(p[0]) for p in parts]
-            g1, g2, n = (np.repeat(np.array([p[k] for p in parts], np.int64), size) for k in (1, 2, 3))
+            length = [len(p[0]) for p in parts]
+            g1, g2, n = (np.repeat(np.array([p[k] for p in parts], np.int64), length) for k in (1, 2, 3))
+            most = np.concatenate([p[4] for p in parts])
             parts.clear()
             held = 0
-            t, g1, g2, low, high = merged(t, g1, g2, n, n)
+            t, g1, g2, size, most = merged(t, g1, g2, n, most)
             bucket = (t % np.uint64(buckets)).astype(np.int32)
             order = np.lexsort((t, g2, g1, bucket))  # by group: long runs of equal ids
-            t, g1, g2, low, high, bucket = (v[order] for v in (t, g1, g2, low, high, bucket))
+            t, g1, g2, size, most, bucket = (v[order] for v in (t, g1, g2, size, most, bucket))
             cut = np.flatnonzero(np.diff(bucket)) + 1
             first = np.concatenate([[0], cut])
-            cols = [[c.tobytes() for c in np.split(v, cut)] for v in (t, g1, g2, low.astype(np.int32), high.astype(np.int32))]
+            cols = [[c.tobytes() for c in np.split(v, cut)] for v in (t, g1, g2, size.astype(np.int32), most.astype(np.int32))]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), *[pa.array(c, pa.binary()) for c in cols]],
-                                             names=["bucket", "token", "g1", "g2", "low", "high"])
+                                             names=["bucket", "token", "g1", "g2", "size", "most"])
 
         for batch in slices(batches):
             for text, gid in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -326,7 +325,7 @@ def matrix_rows(rows: DataFrame, sets: DataFrame, groups: DataFrame, levels: np.
                     gid = xxhash.xxh3_128_digest(t.tobytes())
                 t = rare_first(t, table)[:n - least_overlap(n) + 1]
                 g = np.frombuffer(gid, np.int64)
-                parts.append((t, g[0], g[1], n))
+                parts.append((t, g[0], g[1], n, largest_partner(n, np.arange(len(t)))))
                 held += len(t)
                 if held >= ENTRIES:
                     yield from flush()
@@ -335,30 +334,18 @@ def matrix_rows(rows: DataFrame, sets: DataFrame, groups: DataFrame, levels: np.
     return src.mapInArrow(run, schema)
 
 
-def merged(t, g1, g2, low, high):
-    """Entries with the same token and group as one, with the range of their sizes."""
+def merged(t, g1, g2, size, most):
+    """Entries with the same token and group as one, with the least size and the largest partner."""
     order = np.lexsort((g2, g1, t))
-    t, g1, g2, low, high = (v[order] for v in (t, g1, g2, low, high))
+    t, g1, g2, size, most = (v[order] for v in (t, g1, g2, size, most))
     if not len(t):
-        return t, g1, g2, low, high
+        return t, g1, g2, size, most
     first = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1])]))
-    return t[first], g1[first], g2[first], np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
-
-
-def summed_pairs(p: np.ndarray) -> np.ndarray:
-    """Rows (a1, a2, b1, b2, common, low a, high a, low b, high b) with one row per pair of groups."""
-    p = p[np.lexsort((p[:, 3], p[:, 2], p[:, 1], p[:, 0]))]
-    first = np.flatnonzero(np.concatenate([[True], (p[1:, :4] != p[:-1, :4]).any(axis=1)]))
-    out = p[first].copy()
-    for k, f in ((4, np.add), (5, np.minimum), (6, np.maximum), (7, np.minimum), (8, np.maximum)):
-        out[:, k] = f.reduceat(p[:, k], first)
-    return out
+    return t[first], g1[first], g2[first], np.minimum.reduceat(size, first), np.maximum.reduceat(most, first)
 
 
 def candidate_groups(matrix: DataFrame, parts: int) -> DataFrame:
-    """(ga, gb), ga < gb: groups whose common matrix rows and sizes allow a link between them."""
-    num, den = SIMILARITY
-
+    """(ga, gb), ga < gb: groups with a common matrix row at which a link between them may begin."""
     def run(batches):
         cols: list[list[np.ndarray]] = [[], [], [], [], []]
         for batch in batches:
@@ -366,25 +353,23 @@ def candidate_groups(matrix: DataFrame, parts: int) -> DataFrame:
                 cols[k].extend(np.frombuffer(v, kind) for v in batch.column(k + 1).to_pylist())
         if not cols[0]:
             return
-        t, g1, g2, low, high = merged(*[np.concatenate(c) for c in cols])
-        low, high = low.astype(np.int64), high.astype(np.int64)
+        t, g1, g2, size, most = merged(*[np.concatenate(c) for c in cols])
         start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        size = np.diff(np.concatenate([start, [len(t)]]))
+        count = np.diff(np.concatenate([start, [len(t)]]))
         out: list[np.ndarray] = []
 
         def emit(i: np.ndarray, j: np.ndarray):
-            fits = (low[i] * num <= high[j] * den) & (low[j] * num <= high[i] * den)
+            fits = (size[i] <= most[j]) & (size[j] <= most[i])
             i, j = i[fits], j[fits]  # within a token the groups ascend, so i is always the lesser group
             if len(i):
-                out.append(summed_pairs(np.stack([g1[i], g2[i], g1[j], g2[j], np.ones(len(i), np.int64),
-                                                  low[i], high[i], low[j], high[j]], axis=1)))
+                out.append(np.unique(np.stack([g1[i], g2[i], g1[j], g2[j]], axis=1), axis=0))
             if len(out) > 16:
-                out[:] = [summed_pairs(np.concatenate(out))]
+                out[:] = [np.unique(np.concatenate(out), axis=0)]
 
-        two = start[size == 2]
+        two = start[count == 2]
         emit(two, two + 1)
         pending_i, pending_j, held = [], [], 0
-        for s, n in zip(start[size > 2], size[size > 2]):
+        for s, n in zip(start[count > 2], count[count > 2]):
             for k in range(n - 1):  # a row against the later ones of its token, so memory stays flat
                 pending_i.append(np.full(n - 1 - k, s + k))
                 pending_j.append(np.arange(s + k + 1, s + n))
@@ -394,28 +379,13 @@ def candidate_groups(matrix: DataFrame, parts: int) -> DataFrame:
                     pending_i, pending_j, held = [], [], 0
         if held:
             emit(np.concatenate(pending_i), np.concatenate(pending_j))
-        pairs = summed_pairs(np.concatenate(out)) if out else np.empty((0, 9), np.int64)
+        pairs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 4), np.int64)
         for k in range(0, len(pairs), 100_000):
             p = pairs[k:k + 100_000]
             ids = [pa.array([v.tobytes() for v in np.ascontiguousarray(p[:, c:c + 2])], pa.binary()) for c in (0, 2)]
-            yield pa.RecordBatch.from_arrays([*ids, *[pa.array(p[:, c]) for c in range(4, 9)]],
-                                             names=["ga", "gb", "c", "la", "ha", "lb", "hb"])
-
-    found = matrix.repartition(parts, "bucket").mapInArrow(
-        run, "ga binary, gb binary, c long, la long, ha long, lb long, hb long")
-    pairs = found.groupBy("ga", "gb").agg(F.sum("c").alias("c"), F.min("la").alias("la"), F.max("ha").alias("ha"),
-                                          F.min("lb").alias("lb"), F.max("hb").alias("hb"))
-
-    def least(n: str, m: str):
-        """:func:`least_common` as a column."""
-        up = lambda x: F.ceil(x * num / den)
-        return F.ceil((F.col(n) + F.col(m)) * num / (num + den)) - F.greatest(up(F.col(n)), up(F.col(m))) + 1
-
-    # the least over the sizes that the groups may pair: large against small; by its two roundings the bound
-    # of sizes between the ends can be less by one
-    spare = F.when((F.col("la") < F.col("ha")) | (F.col("lb") < F.col("hb")), 1).otherwise(0)
-    pairs = pairs.where((F.col("c") + spare >= least("ha", "lb")) | (F.col("c") + spare >= least("la", "hb")))
-    return pairs.select("ga", "gb")
+            yield pa.RecordBatch.from_arrays(ids, names=["ga", "gb"])
+
+    return matrix.repartition(parts, "bucket").mapInArrow(run, "ga binary, gb binary").distinct()
 
 
 def token_rows(texts: DataFrame, *keep: str) -> DataFrame:

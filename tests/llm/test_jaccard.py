@@ -27,18 +27,26 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-def test_least_common_is_a_bound():
+def test_links_begin_where_both_are_small_enough():
     rnd = random.Random(5)
     for _ in range(4000):
-        n, m, o = rnd.randint(1, 60), rnd.randint(1, 60), 0
+        n, m = rnd.randint(1, 60), rnd.randint(1, 60)
         o = rnd.randint(0, min(n, m))
-        if 100 * o < 75 * (n + m - o):
-            continue
         universe = list(range(n + m - o))
         rnd.shuffle(universe)
         a, b = sorted(universe[:n]), sorted(universe[n - o:])
-        cut = lambda x: set(x[:len(x) - jaccard.least_overlap(len(x)) + 1])
-        assert len(cut(a) & cut(b)) >= max(1, jaccard.least_common(n, m))
+        if 100 * o >= 75 * (n + m - o) and o:
+            first = min(set(a) & set(b))
+            i, j = a.index(first), b.index(first)
+            assert i <= n - jaccard.least_overlap(n) and j <= m - jaccard.least_overlap(m)
+            assert m <= jaccard.largest_partner(n, np.array(i)) and n <= jaccard.largest_partner(m, np.array(j))
+
+
+def test_rare_tokens_come_first():
+    table = np.zeros(8, np.uint8)  # 16 places
+    table[1] = 0x30                # place 2: level 3
+    t = np.array([2, 3, 18, 19], np.uint64)
+    assert jaccard.rare_first(t, table).tolist() == [3, 19, 2, 18]
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -66,20 +74,3 @@ def test_equals_brute_force(make_docs, seed):
 
 def test_empty_table(make_docs):
     assert jaccard.jaccard_components(make_docs([(1, "a")]).limit(0)).count() == 0
-
-
-def test_candidate_bound_over_size_ranges(spark, make_docs):
-    make_docs([])
-    for la in range(1, 40):  # the bound of the ends is at most one above that of the sizes between
-        for ha in range(la, la + 12):
-            for m in range(1, 40):
-                ends = min(jaccard.least_common(ha, m), jaccard.least_common(la, m))
-                assert all(jaccard.least_common(n, m) >= ends - 1 for n in range(la, ha + 1))
-    # a group of sizes 22 to 24 and one of size 21 with two tokens in common, as sets of 23 and 21 may have
-    def row(group, low, high):
-        return (0, *[np.array([v, v], kind).tobytes() if name else np.array([5, 9], kind).tobytes() for name, v, kind in
-                     (("", 0, np.uint64), ("g1", group, np.int64), ("g2", group, np.int64), ("low", low, np.int32),
-                      ("high", high, np.int32))])
-    matrix = spark.createDataFrame([row(1, 22, 24), row(2, 21, 21)],
-                                   "bucket int, token binary, g1 binary, g2 binary, low binary, high binary")
-    assert jaccard.least_common(23, 21) == 2 and jaccard.candidate_groups(matrix, 2).count() == 1

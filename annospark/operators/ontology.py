@@ -1,10 +1,11 @@
 """Ontology graph operators.
 
-The closure is computed once with a semi-naive, path-doubling loop (each
-round joins only the newly found pairs with the known pairs and anti-joins
-what is already known), each round appended to a closure table in the
-shared checkpoint folder, which also cuts the lineage.  Every
-propagation afterwards is a single join against the closure followed by a
+The closure is computed once and written to the shared checkpoint folder.  Up to
+a checked number of edges, the edges go to every task, which climbs from its
+terms to all their ancestors at once: one job, however deep the ontology is.
+Beyond that, a semi-naive, path-doubling loop of joins finds it (each round joins
+only the newly found pairs with the known pairs and anti-joins what is known).
+Every propagation afterwards is a single join against the closure followed by a
 ``groupBy(entity, ancestor)`` aggregate — no per-level relaxation sweeps.
 """
 
@@ -12,8 +13,12 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from annospark.session import bounded_broadcast, ensure_checkpoint_dir
 
@@ -23,15 +28,101 @@ from annospark.session import bounded_broadcast, ensure_checkpoint_dir
 # below this bound (~120 MB), otherwise the joins shuffle (and AQE may still
 # switch to a broadcast from runtime sizes).
 CLOSURE_BROADCAST_ROWS = 3_000_000
+# Edges sent to every task (48k terms have some 90k): at most two numbers each, 16 MB.
+CLIMB_EDGES = 1_000_000
+CLIMB_TERMS = 1024  # terms that a task climbs from at a time
 
 
-def ancestor_closure(edges: DataFrame, nodes: DataFrame | None = None,
-                     max_rounds: int = 200) -> DataFrame:
+def ancestor_closure(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 200,
+                     climb_edges: int = CLIMB_EDGES) -> DataFrame:
     """G1: reflexive transitive closure ``(term_id, ancestor)`` of ``child -> parent`` edges.
 
     Reflexive pairs cover every edge endpoint and every ``nodes.term_id``.
-    Self loops add nothing to them; a longer cycle raises ``ValueError``.
+    Self loops add nothing to them; a longer cycle raises ``ValueError``.  Up to
+    ``climb_edges`` distinct edges are sent to the tasks; more are joined.
     """
+    base = edges.select("child", "parent").where(F.col("child") != F.col("parent")).distinct()
+    few = base.limit(climb_edges + 1).toArrow()  # the bound, and one to tell that it is passed
+    if few.num_rows > climb_edges:
+        return _joined_closure(edges, nodes, max_rounds)
+    ids = edges.select(F.explode(F.array("child", "parent")).alias("term_id"))
+    if nodes is not None:
+        ids = ids.unionByName(nodes.select("term_id"))
+    return _climbed_closure(few, ids.where(F.col("term_id").isNotNull()).distinct())
+
+
+class Climb:
+    """The edges as arrays: terms are numbered, a term's parents lie together."""
+
+    def __init__(self, edges: pa.Table):
+        ends = pa.chunked_array([*edges.column("child").chunks, *edges.column("parent").chunks], edges.schema.field("child").type)
+        self.terms = ends.unique()
+        number = lambda c: np.asarray(pa.compute.index_in(edges.column(c), self.terms), np.int64)
+        child, parent = number("child"), number("parent")
+        order = np.argsort(child, kind="stable")
+        self.parents = parent[order]
+        self.starts = np.searchsorted(child[order], np.arange(len(self.terms) + 1))
+
+    def above(self, rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, parent) for every parent of the terms that the rows are at."""
+        low, size = self.starts[at], self.starts[at + 1] - self.starts[at]
+        place = np.repeat(low - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        return np.repeat(rows, size), self.parents[place]
+
+    def cycle(self) -> int | None:
+        """A term on a cycle: one that is left when terms without children are taken off again and again."""
+        below = np.bincount(self.parents, minlength=len(self.terms))
+        left, bare = np.ones(len(self.terms), bool), np.flatnonzero(below == 0)
+        while len(bare):
+            left[bare] = False
+            _, up = self.above(bare, bare)
+            np.subtract.at(below, up, 1)
+            bare = np.unique(up[(below[up] == 0) & left[up]])
+        return int(np.flatnonzero(left)[0]) if left.any() else None
+
+    def ancestors(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, ancestor or self) of the terms ``at``, each once."""
+        n = len(self.terms)
+        seen = new = np.arange(len(at)) * n + at
+        while len(new):
+            rows, up = self.above(new // n, new % n)
+            new = np.setdiff1d(rows * n + up, seen)
+            seen = np.union1d(seen, new)
+        return seen // n, seen % n
+
+
+def _climbed_closure(edges: pa.Table, ids: DataFrame) -> DataFrame:
+    spark = ids.sparkSession
+    climb = Climb(edges) if edges.num_rows else None
+    if climb is not None and (on := climb.cycle()) is not None:
+        raise ValueError(f"the ontology has a cycle through {climb.terms[on].as_py()}")
+    sent = spark.sparkContext.broadcast(climb)
+    kind = ids.schema["term_id"].dataType
+
+    def run(batches):
+        known = sent.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, CLIMB_TERMS):
+                terms = batch.column(0).slice(start, CLIMB_TERMS)
+                if known is None:
+                    yield pa.RecordBatch.from_arrays([terms, terms], names=["term_id", "ancestor"])
+                    continue
+                number = pa.compute.index_in(terms, known.terms)
+                alone = terms.filter(pa.compute.is_null(number))  # terms without edges
+                yield pa.RecordBatch.from_arrays([alone, alone], names=["term_id", "ancestor"])
+                terms = terms.filter(pa.compute.is_valid(number))
+                rows, above = known.ancestors(np.asarray(number.drop_null(), np.int64))
+                yield pa.RecordBatch.from_arrays([terms.take(pa.array(rows)), known.terms.take(pa.array(above)).cast(terms.type)],
+                                                 names=["term_id", "ancestor"])
+
+    schema = T.StructType([T.StructField("term_id", kind), T.StructField("ancestor", kind)])
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/closure-{uuid.uuid4().hex}"
+    ids.repartition(spark.sparkContext.defaultParallelism, "term_id").mapInArrow(run, schema).write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _joined_closure(edges: DataFrame, nodes: DataFrame | None, max_rounds: int) -> DataFrame:
+    """The closure by joins alone, for more edges than a task should hold."""
     spark = edges.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/closure-{uuid.uuid4().hex}"
     # The closure is a table in the shared checkpoint folder, one partition

@@ -51,16 +51,23 @@ def cells(scores: DataFrame, truth: DataFrame, terms: DataFrame | None = None,
     return c
 
 
-def _thr_col(thresholds: dict[str, float] | float) -> Column:
-    if isinstance(thresholds, dict):
-        for v in thresholds.values():
-            if v <= 0:
-                raise ValueError("thresholds must be > 0 with sparse scores")
-        m = F.create_map(*[x for k, v in thresholds.items() for x in (F.lit(k), F.lit(float(v)))])
-        return F.coalesce(F.element_at(m, F.col("aspect")), F.lit(thresholds.get("ALL")))
-    if thresholds <= 0:
+def threshold_of(thresholds: dict[str, float] | float, aspects: tuple[str, ...] = ()) -> Column:
+    """The threshold of a row's aspect: its own, else that of ``ALL``.  A row whose aspect has neither raises, as do
+    ``aspects`` without one right away, so that no prediction vanishes unseen."""
+    values = thresholds if isinstance(thresholds, dict) else {"ALL": thresholds}
+    if any(v <= 0 for v in values.values()):
         raise ValueError("thresholds must be > 0 with sparse scores")
-    return F.lit(float(thresholds))
+    if missing := [a for a in aspects if a not in values and "ALL" not in values]:
+        raise ValueError(f"no threshold for {', '.join(missing)}")
+    if not isinstance(thresholds, dict):
+        return F.lit(float(thresholds))
+    m = F.create_map(*[x for k, v in thresholds.items() for x in (F.lit(k), F.lit(float(v)))])
+    none = F.lit(float(thresholds["ALL"])) if "ALL" in thresholds else F.raise_error(
+        F.concat(F.lit("no threshold for aspect "), F.coalesce("aspect", F.lit("NULL")))).cast("double")
+    return F.coalesce(F.element_at(m, F.col("aspect")), none)
+
+
+_thr_col = threshold_of
 
 
 def _prf(tp: Column, pred: Column, true: Column):

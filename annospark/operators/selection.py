@@ -1,9 +1,9 @@
 """Model / hyper-parameter selection.
 
-Every candidate (a k, a weight vector, a model subset) is evaluated in one
-pass: rows fan out to the candidates through a generate over a literal array
-whose length is the number of candidates (a parameter), then the usual
-sparse metric aggregates run grouped by candidate.
+Every candidate is evaluated in one pass: rows fan out to the candidate k or
+model subsets through a generate over a literal array whose length is the number
+of candidates (a parameter), then the usual sparse metric aggregates run grouped
+by candidate; weight vectors need no fan-out (see :func:`grid_search_weights`).
 """
 
 from __future__ import annotations
@@ -75,26 +75,44 @@ def tune_k(neigh: DataFrame, labels: DataFrame, ks: list[int], thresholds: dict[
     return res.withColumn("is_best", F.row_number().over(w) == 1)
 
 
+FIELD, FIELDS = 20, 3  # bits of a count (up to a million terms of an entity and aspect), counts in a number
+
+
 def grid_search_weights(scores: DataFrame, truth: DataFrame, terms: DataFrame, models: list[str], steps: int,
-                        thr: float, n_entities: int, top: int = 5) -> DataFrame:
+                        thr: float | dict[str, float], n_entities: int, top: int = 5,
+                        aspects: tuple[str, ...] = ("BP", "MF", "CC")) -> DataFrame:
     """Every simplex weight vector over ``models`` (``steps`` per axis);
-    fused score ``sum(w_m * s_m)`` in model order, per-entity F1 at ``thr``,
-    mean over the aspects; the ``top`` best vectors (ties -> grid order)."""
+    fused score ``sum(w_m * s_m)`` in model order, per-entity F1 at ``thr`` (one
+    number, or one for each aspect), mean over the aspects; the ``top`` best
+    vectors (ties -> grid order).
+
+    A cell stays one row: bit fields say which vectors reach the threshold there,
+    the truth is joined before, and summing the fields counts for all vectors, in
+    one row per entity and aspect, before the shuffle."""
     grid = simplex_grid(len(models), steps)
     wide = scores.groupBy(*KEY).pivot("model", models).agg(F.first("score")).fillna(0.0, subset=models)
-    wide = wide.join(terms.select("term_id", "aspect"), "term_id")
-    arr = F.array(*[F.struct(F.lit(i).alias("combo"), *[F.lit(float(w)).alias(f"w{j}") for j, w in enumerate(c)])
-                    for i, c in enumerate(grid)])
-    x = wide.select(*KEY, "aspect", *models, F.explode(arr).alias("c"))
-    fused = None
-    for j, m in enumerate(models):
-        term = F.col(f"c.w{j}") * F.col(m)
-        fused = term if fused is None else fused + term
-    pred = x.filter(fused >= thr).select(F.col("c.combo").alias("combo"), *KEY, "aspect")
-    res = _per_entity_f1(pred, truth, ["combo"], n_entities).filter(F.col("aspect") == "ALL")
-    combos = wide.sparkSession.createDataFrame(
-        [(i, *c) for i, c in enumerate(grid)], "combo int, " + ", ".join(f"w_{m} double" for m in models))
-    full = combos.join(res.select("combo", "f1"), "combo", "left").fillna(0.0, subset=["f1"])
+    wide = wide.join(terms.select("term_id", "aspect").where(F.col("aspect").isin(*aspects)), "term_id")
+    t = truth.select("entity_id", "term_id", "aspect").distinct()
+    limit = M.threshold_of(thr, aspects)
+    fused = [sum((F.lit(float(w)) * F.col(m) for w, m in zip(c[1:], models[1:])), F.lit(float(c[0])) * F.col(models[0])) for c in grid]
+    hits = [sum((F.when(f >= limit, F.lit(1 << (FIELD * k))).otherwise(F.lit(0)) for k, f in enumerate(fused[low:low + FIELDS])),
+                F.lit(0).cast("long")) for low in range(0, len(grid), FIELDS)]
+    # weights sum to 1, so a fused score is not above the largest score (1e-9: rounded weights)
+    x = wide.where(F.greatest(*models) * (1 + 1e-5) >= limit - 1e-9) if len(models) > 1 else wide
+    x = x.join(t.withColumn("y", F.lit(1)), ["entity_id", "term_id", "aspect"], "left").select(
+        "entity_id", "aspect", F.coalesce("y", F.lit(0)).alias("y"), *[h.alias(f"h{i}") for i, h in enumerate(hits)])
+    packed = x.groupBy("entity_id", "aspect").agg(*[F.sum(f"h{i}").alias(f"p{i}") for i in range(len(hits))],
+                                                  *[F.sum(F.col("y") * F.col(f"h{i}")).alias(f"t{i}") for i in range(len(hits))])
+    field = lambda c, name: F.shiftright(f"{name}{c // FIELDS}", FIELD * (c % FIELDS)).bitwiseAND(F.lit((1 << FIELD) - 1))
+    true_n = t.groupBy("entity_id", "aspect").agg(F.count("*").alias("true"))
+    each = packed.join(true_n, ["entity_id", "aspect"])
+    by_aspect = each.groupBy("aspect").agg(*[F.sum(2 * field(c, "t") / (field(c, "p") + F.col("true"))).alias(f"f{c}")
+                                             for c in range(len(grid))])
+    all_f1 = by_aspect.agg(*[(F.coalesce(F.sum(f"f{c}"), F.lit(0.0)) / float(n_entities) / float(len(aspects))).alias(f"f{c}")
+                             for c in range(len(grid))])
+    rows = F.array(*[F.struct(F.lit(c).alias("combo"), *[F.lit(float(w)).alias(f"w_{m}") for w, m in zip(v, models)], F.col(f"f{c}").alias("f1"))
+                     for c, v in enumerate(grid)])
+    full = all_f1.select(F.inline(rows))  # one row a weight vector
     w = Window.orderBy(F.round("f1", 12).desc(), F.col("combo"))
     return full.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 

@@ -237,7 +237,7 @@ def q_tune_k(spark, d):
 WEIGHT_GRID = SEL.simplex_grid(3, 11)
 
 
-@query("grid_search_weights", "E15 A20", sql=S.with_("scores", "truth", "terms", extra=(
+GRID_WEIGHTS_SQL = (S.with_("scores", "truth", "terms", extra=(
        "w AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {a!r}::DOUBLE, {b!r}::DOUBLE, {c!r}::DOUBLE)"
                                                  for i, (a, b, c) in enumerate(WEIGHT_GRID)) +
        ") t(combo, w_m1, w_m2, w_m3)), "
@@ -245,7 +245,7 @@ WEIGHT_GRID = SEL.simplex_grid(3, 11)
        "coalesce(max(score) FILTER (WHERE model = 'm2'), 0.0) AS m2, coalesce(max(score) FILTER (WHERE model = 'm3'), "
        "0.0) AS m3 FROM scores s JOIN terms tm ON s.term_id = tm.term_id GROUP BY 1, 2, 3), "
        "pred AS (SELECT w.combo, wide.entity_id, wide.term_id, wide.aspect FROM wide, w WHERE w.w_m1 * wide.m1 + "
-       "w.w_m2 * wide.m2 + w.w_m3 * wide.m3 >= 0.5)")) +
+       "w.w_m2 * wide.m2 + w.w_m3 * wide.m3 >= {thr})")) +
        PF1_SQL.replace("SELECT DISTINCT vec_id AS entity_id, ('GO:' || lpad(CAST(label AS VARCHAR), 7, '0')) AS "
                        "term_id, (CASE WHEN label % 3 = 0 THEN 'BP' WHEN label % 3 = 1 THEN 'MF' ELSE 'CC' END) AS "
                        "aspect FROM embeddings", "SELECT DISTINCT entity_id, term_id, aspect FROM truth")
@@ -254,12 +254,27 @@ WEIGHT_GRID = SEL.simplex_grid(3, 11)
        ", full_ AS (SELECT w.*, coalesce(res.f1, 0.0) AS f1 FROM w LEFT JOIN (SELECT * FROM res WHERE aspect = 'ALL') "
        "res ON w.combo = res.combo) SELECT CAST(combo AS INTEGER) AS combo, w_m1, w_m2, w_m3, round(f1, 6) AS f1, "
        "CAST(row_number() OVER (ORDER BY round(f1, 12) DESC, combo) AS INTEGER) AS rank FROM full_ QUALIFY rank <= 5")
-def q_grid_weights(spark, d):
+# Thresholds by aspect, as in J10.
+WEIGHT_THRESHOLDS = {"BP": 0.4, "MF": 0.4, "CC": 0.3}
+
+
+def _grid_weights(spark, d, thr):
     n = S.entities(spark, d).count()
-    r = SEL.grid_search_weights(S.scores(spark, d), S.truth(spark, d), S.terms(spark, d), MODELS, 11, 0.5, n)
+    r = SEL.grid_search_weights(S.scores(spark, d), S.truth(spark, d), S.terms(spark, d), MODELS, 11, thr, n)
     return r.select("combo", "w_m1", "w_m2", "w_m3", F.round("f1", 6).alias("f1"), "rank")
 
 
+@query("grid_search_weights", "E15 A20", sql=GRID_WEIGHTS_SQL.replace("{thr}", "0.5"))
+def q_grid_weights(spark, d):
+    return _grid_weights(spark, d, 0.5)
+
+
+@query("grid_search_weights_by_aspect", "E15 A20", sql=GRID_WEIGHTS_SQL.replace("{thr}", "CASE wide.aspect " + " ".join(
+       f"WHEN '{a}' THEN {t!r}" for a, t in WEIGHT_THRESHOLDS.items()) + " END"))
+def q_grid_weights_aspect(spark, d):
+    return _grid_weights(spark, d, WEIGHT_THRESHOLDS)
+
+
 @query("sweep_k_thresholds", "E16 J8 J9 E6", sql=knn_sql(max(SWEEP_KS)) + (
        ", ks AS (SELECT * FROM (VALUES " + ", ".join(f"({k})" for k in SWEEP_KS) + ") t(k)), "
        "gr AS (SELECT unnest([" + ", ".join(f"{g!r}::DOUBLE" for g in SWEEP_GRID) + "]) AS thr), "

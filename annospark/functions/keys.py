@@ -93,11 +93,13 @@ def evidence_filter(rows: DataFrame, only_iea: bool = False, exclude_experimenta
 
 def aspect_threshold(scores: DataFrame, thresholds: DataFrame, default: float | None = None) -> DataFrame:
     """Keep ``score >= thr[aspect]``, else ``thr['ALL']``, else ``default``.
-    ``thresholds`` is a few-row ``(aspect, thr)`` parameter table."""
+    ``thresholds`` is a few-row ``(aspect, thr)`` parameter table.  A row whose
+    aspect has none of the three raises."""
     t = F.broadcast(thresholds.select("aspect", F.col("thr").alias("_thr")))
     all_thr = thresholds.filter(F.col("aspect") == "ALL").select(F.max("thr")).scalar()
     j = scores.join(t, "aspect", "left")
-    thr = F.coalesce(F.col("_thr"), all_thr, F.lit(default))
+    none = F.raise_error(F.concat(F.lit("no threshold for aspect "), F.coalesce("aspect", F.lit("NULL")))).cast("double")
+    thr = F.coalesce(F.col("_thr"), all_thr, none if default is None else F.lit(default))
     return j.filter(F.col("score") >= thr).drop("_thr")
 
 

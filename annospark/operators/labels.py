@@ -225,10 +225,16 @@ def holdout_split(entities: DataFrame, frac: float, seed: int, id_col: str = "en
 
 
 # ---------------------------------------------------------------- joins
-def join_ia(terms: DataFrame, ia: DataFrame, default: float) -> DataFrame:
-    """Left join of IA weights; a term without weight gets ``default`` (required)."""
-    return terms.join(ia.select("term_id", F.col("ia").alias("_ia")), "term_id", "left") \
+def join_ia(terms: DataFrame, ia: DataFrame, default: float, uniform: bool = False) -> DataFrame:
+    """Left join of IA weights; a term without weight gets ``default`` (required).
+    With ``uniform`` all terms weigh 1 where the weights sum to nothing, which would
+    make every weighted metric 0."""
+    j = terms.join(ia.select("term_id", F.col("ia").alias("_ia")), "term_id", "left") \
         .withColumn("ia", F.coalesce(F.col("_ia"), F.lit(float(default)))).drop("_ia")
+    if uniform:
+        total = j.agg(F.coalesce(F.sum("ia"), F.lit(0.0)).alias("s")).scalar()
+        j = j.withColumn("ia", F.when(total > 0, F.col("ia")).otherwise(F.lit(1.0)))
+    return j
 
 
 def attach_aspect(ann: DataFrame, terms: DataFrame, unknown: str = "UNK") -> DataFrame:
@@ -262,8 +268,9 @@ def align_taxonomy(entities: DataFrame, taxa: DataFrame, fill: int = 0) -> DataF
 
 
 def align_text(entities: DataFrame, corpus: DataFrame, raw_col: str, norm_col: str) -> DataFrame:
-    """Text by raw key, else by normalised key, else ''."""
-    c = corpus.select(F.col("key"), F.col("text"))
+    """Text by raw key, else by normalised key, else ''.  Of several texts under
+    a key the first in code-point order counts, so an entity stays one row."""
+    c = corpus.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("text").alias("text"))
     r = entities.join(c.select(F.col("key").alias(raw_col), F.col("text").alias("_t1")), raw_col, "left")
     r = r.join(c.select(F.col("key").alias(norm_col), F.col("text").alias("_t2")), norm_col, "left")
     return r.withColumn("text", F.coalesce("_t1", "_t2", F.lit(""))).drop("_t1", "_t2")

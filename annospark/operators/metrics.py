@@ -82,13 +82,15 @@ def ia_f1_pooled(c: DataFrame, thresholds: dict[str, float] | float, strict: boo
     ((aspect), ())), with weighted tp / pred / true and term counts."""
     thr = _thr_col(thresholds)
     pred = (F.col("score") > thr) if strict else (F.col("score") >= thr)
-    x = c.select("aspect", "term_id", "ia", "y", pred.alias("pred"))
+    hit, true = pred, F.col("y") == 1
+    # per term first (partial sums before the shuffle), so that terms are counted on one row each and cells never expand
+    x = c.groupBy("aspect", "term_id").agg(
+        F.sum(F.when(hit & true, F.col("ia")).otherwise(0.0)).alias("tp"), F.sum(F.when(hit, F.col("ia")).otherwise(0.0)).alias("p"),
+        F.sum(F.when(true, F.col("ia")).otherwise(0.0)).alias("t"), F.max(hit).alias("pred"), F.max(true).alias("true"))
     g = x.rollup("aspect").agg(
-        F.sum(F.when(F.col("pred") & (F.col("y") == 1), F.col("ia")).otherwise(0.0)).alias("w_tp"),
-        F.sum(F.when(F.col("pred"), F.col("ia")).otherwise(0.0)).alias("w_pred"),
-        F.sum(F.when(F.col("y") == 1, F.col("ia")).otherwise(0.0)).alias("w_true"),
+        F.sum("tp").alias("w_tp"), F.sum("p").alias("w_pred"), F.sum("t").alias("w_true"),
         F.countDistinct(F.when(F.col("pred"), F.col("term_id"))).alias("terms_pred"),
-        F.countDistinct(F.when(F.col("y") == 1, F.col("term_id"))).alias("terms_true"))
+        F.countDistinct(F.when(F.col("true"), F.col("term_id"))).alias("terms_true"))
     p, r, f = _prf(F.col("w_tp"), F.col("w_pred"), F.col("w_true"))
     return g.select(F.coalesce("aspect", F.lit("ALL")).alias("aspect"), p.alias("precision"),
                     r.alias("recall"), f.alias("f1"), "w_tp", "w_pred", "w_true", "terms_pred", "terms_true")
@@ -417,6 +419,13 @@ def ablation_leave_one_out(scores: DataFrame, truth: DataFrame, terms: DataFrame
                       delta.alias("delta"), label.alias("label"))
 
 
+def best_threshold_by_fold(c: DataFrame, folds: DataFrame, grid: list[float]) -> DataFrame:
+    """E21, best mode: per CV fold and aspect (and ``ALL``) the grid threshold of the
+    best pooled IA-F1 (ties -> lowest) with that F1; all folds in one pass."""
+    x = c.join(folds.select("entity_id", "fold"), "entity_id")
+    return best_threshold(threshold_curve(x, grid, by=["fold"]), by=["fold"])
+
+
 def metrics_by_fold(c: DataFrame, folds: DataFrame, thr: float) -> DataFrame:
     """Pooled IA-F1 and micro F1 per CV fold at a fixed threshold."""
     x = c.join(folds.select("entity_id", "fold"), "entity_id")

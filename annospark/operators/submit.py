@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annospark.operators import ensemble
+
 # Submission rules — at most 1500 terms per entity, at most 5
 # free-text rows per entity, at most 3000 characters of text over all rows of an entity (descriptions cut at 2900 -> 2897 + "..."),
 # scores clamped to [0.001, 1].
@@ -35,10 +37,14 @@ def top_n_per_entity(scores: DataFrame, n: int = MAX_TERMS, key: Column | None =
 
 
 def top_n_by_expected_value(scores: DataFrame, ia: DataFrame, n: int = MAX_TERMS,
-                            min_conf: float | None = 0.05, ia_default: float = 0.0) -> DataFrame:
+                            min_conf: float | None = 0.05, ia_default: float = 0.0, row_max: bool = False) -> DataFrame:
     """Rank by ``score * ia`` (optionally only ``score >= min_conf``), keep
-    ``score > 0`` and clamp the emitted score to [0.001, 1]."""
-    s = scores.filter(~F.isnan("score")).join(ia.select("term_id", F.col("ia").alias("_ia")), "term_id", "left") \
+    ``score > 0`` and clamp the emitted score to [0.001, 1].  With ``row_max``
+    scores are first divided by their entity's largest (the normalised variant)."""
+    scores = scores.filter(~F.isnan("score"))
+    if row_max:
+        scores = ensemble.row_max_normalise(scores)
+    s = scores.join(ia.select("term_id", F.col("ia").alias("_ia")), "term_id", "left") \
         .withColumn("_ia", F.coalesce("_ia", F.lit(float(ia_default))))
     if min_conf is not None:
         s = s.filter(F.col("score") >= min_conf)

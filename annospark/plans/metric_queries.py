@@ -334,3 +334,18 @@ def q_by_fold(spark, d):
     folds = S.entities(spark, d).select("entity_id", (F.col("entity_id") % 5).cast("int").alias("fold"))
     r = M.metrics_by_fold(_cells(spark, d), folds, 0.3)
     return r.select("fold", *_r("ia_f1", "micro_f1"))
+
+
+@query("best_threshold_by_fold", "E21 E7", sql=cells_sql() + (
+       ", x AS (SELECT CAST(entity_id % 5 AS INTEGER) AS fold, * FROM cells WHERE entity_id IN (SELECT o_orderkey FROM orders)), "
+       "ba AS (SELECT fold, aspect, score, y, ia FROM x UNION ALL SELECT fold, 'ALL', score, y, ia FROM x), "
+       "gr AS (SELECT unnest([" + ", ".join(f"{t!r}::DOUBLE" for t in GRID) + "]) AS thr), "
+       "cur AS (SELECT fold, aspect, thr, sum(CASE WHEN score >= thr AND y = 1 THEN ia ELSE 0.0 END) AS w_tp, "
+       "sum(CASE WHEN score >= thr THEN ia ELSE 0.0 END) AS w_pred, sum(CASE WHEN y = 1 THEN ia ELSE 0.0 END) AS w_true "
+       "FROM ba, gr GROUP BY 1, 2, 3), f AS (SELECT fold, aspect, thr, " + _F1 + " AS f1 FROM cur) "
+       "SELECT fold, aspect, thr AS best_thr, round(f1, 6) AS best_f1 FROM f QUALIFY row_number() OVER (PARTITION BY fold, aspect "
+       "ORDER BY round(f1, 12) DESC, thr) = 1"))
+def q_best_by_fold(spark, d):
+    folds = S.entities(spark, d).select("entity_id", (F.col("entity_id") % 5).cast("int").alias("fold"))
+    r = M.best_threshold_by_fold(_cells(spark, d), folds, GRID)
+    return r.select("fold", "aspect", "best_thr", F.round("best_f1", 6).alias("best_f1"))

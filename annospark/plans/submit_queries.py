@@ -54,6 +54,17 @@ def q_topev(spark, d):
     return t.select("entity_id", "term_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("top_n_expected_value_row_max", "W6 W1 J1", sql=S.with_("scores", "ia", extra=ENS) +
+       "SELECT entity_id, term_id, round(least(greatest(score, 0.001), 1.0), 6) AS score, CAST(rank AS INTEGER) "
+       "AS rank FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ev DESC, term_id) AS rank FROM "
+       "(SELECT e.entity_id, e.term_id, e.score, e.score * coalesce(ia.ia, 0.0) AS ev FROM (SELECT entity_id, term_id, score / "
+       "(CASE WHEN max(score) OVER (PARTITION BY entity_id) = 0 THEN 1.0 ELSE max(score) OVER (PARTITION BY entity_id) END) AS score "
+       f"FROM ens) e LEFT JOIN ia ON e.term_id = ia.term_id WHERE e.score >= 0.05 AND e.score > 0)) WHERE rank <= {TOP_N}")
+def q_topev_row_max(spark, d):
+    t = U.top_n_by_expected_value(_ens(spark, d), S.ia(spark, d), TOP_N, min_conf=0.05, row_max=True)
+    return t.select("entity_id", "term_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("aspect_threshold", "P8 A19", sql=S.with_("scores", "terms", "thr", extra=ENS) +
        "SELECT e.entity_id, e.term_id, tm.aspect, round(e.score, 6) AS score FROM ens e JOIN terms tm "
        "ON e.term_id = tm.term_id LEFT JOIN thr ON tm.aspect = thr.aspect WHERE e.score >= coalesce(thr.thr, "

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annospark.functions.keys import evidence_filter
+from annospark.operators.metrics import threshold_of
 from annospark.session import cut_lineage
 
 
@@ -56,10 +57,8 @@ def running_evaluation_counters(spark: SparkSession, scores_dir: str, schema: st
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(scores_dir)
     t = cut_lineage(truth.select("entity_id", "term_id").distinct()).withColumn("y", F.lit(1))
     asp = cut_lineage(terms.select("term_id", "aspect"))
-    thr_map = F.create_map(*[x for k, v in thresholds.items() for x in (F.lit(k), F.lit(float(v)))])
     x = s.join(asp, "term_id", "left").withColumn("aspect", F.coalesce("aspect", F.lit("UNK")))
-    x = x.filter(F.col("score") >= F.coalesce(F.element_at(thr_map, F.col("aspect")),
-                                              F.lit(thresholds.get("ALL"))))
+    x = x.filter(F.col("score") >= threshold_of(thresholds))
     x = x.join(t, ["entity_id", "term_id"], "left")
     counters = x.groupBy("term_id").agg(F.count("*").alias("pred"), F.count("y").alias("tp"))
 

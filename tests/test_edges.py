@@ -126,3 +126,31 @@ def test_knn_ties_give_k_rows_of_a_block(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vec)], "vec_id long, embedding array<double>")
     rows = knn.knn_join(df, df, 3, block_rows=4, query_rows=6).where("query_id = 20").orderBy("rank").collect()
     assert [r["base_id"] for r in rows] == [5, 6, 7]
+
+
+def test_missing_thresholds_raise(spark):
+    from annospark.functions import keys
+    from annospark.operators import metrics
+    s = spark.createDataFrame([("e", "t", "BP", 0.9), ("e", "u", "CC", 0.2)], "entity_id string, term_id string, aspect string, score double")
+    thr = spark.createDataFrame([("BP", 0.5)], "aspect string, thr double")
+    assert keys.aspect_threshold(s, thr, default=0.1).count() == 2
+    with pytest.raises(Exception, match="no threshold for aspect CC"):
+        keys.aspect_threshold(s, thr).collect()
+    with pytest.raises(Exception, match="no threshold for aspect CC"):
+        s.where(F.col("score") >= metrics.threshold_of({"BP": 0.5})).collect()
+    assert s.where(F.col("score") >= metrics.threshold_of({"BP": 0.5, "ALL": 0.1})).count() == 2
+    with pytest.raises(ValueError, match="no threshold for CC"):
+        metrics.threshold_of({"BP": 0.5}, ("BP", "CC"))
+
+
+def test_uniform_weights_and_repeated_corpus_keys(spark):
+    from annospark.operators import labels
+    t = spark.createDataFrame([("a",), ("b",)], "term_id string")
+    zero = spark.createDataFrame([("a", 0.0)], "term_id string, ia double")
+    assert {r.ia for r in labels.join_ia(t, zero, 0.0).collect()} == {0.0}
+    assert {r.ia for r in labels.join_ia(t, zero, 0.0, uniform=True).collect()} == {1.0}
+    some = spark.createDataFrame([("a", 2.0)], "term_id string, ia double")
+    assert sorted(r.ia for r in labels.join_ia(t, some, 0.0, uniform=True).collect()) == [0.0, 2.0]
+    e = spark.createDataFrame([("x", "X"), ("y", "Y")], "raw string, norm string")
+    c = spark.createDataFrame([("x", "two"), ("x", "one"), (None, "none"), ("Y", "why")], "key string, text string")
+    assert sorted((r.raw, r.text) for r in labels.align_text(e, c, "raw", "norm").collect()) == [("x", "one"), ("y", "why")]

@@ -415,6 +415,25 @@ def opened(queries: DataFrame, members: DataFrame, rows: DataFrame, sets: DataFr
     return common.join(size, "q").where(F.col("c") * den >= F.col("n") * num).select("q", "gid")
 
 
+def prefix_rows(texts: DataFrame, levels: np.ndarray) -> DataFrame:
+    """(sid, token, size, most) of (sid, text): the rows that a set has in the matrix, see :func:`largest_partner`."""
+    sent = texts.sparkSession.sparkContext.broadcast(levels)
+
+    def run(batches):
+        for batch in slices(batches, 256):
+            ts = [tokens(t) for t in batch.column(1).to_pylist()]
+            kept = [rare_first(t, sent.value)[:len(t) - least_overlap(len(t)) + 1] for t in ts]
+            size = [len(k) for k in kept]
+            join = lambda parts: np.concatenate(parts) if parts else np.empty(0, np.int64)
+            most = [largest_partner(len(t), np.arange(len(k))) for t, k in zip(ts, kept)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(np.repeat(np.arange(len(ts)), size))), pa.array(join(kept).view(np.int64)),
+                 pa.array(np.repeat(np.array([len(t) for t in ts], np.int64), size)), pa.array(join(most).astype(np.int64))],
+                names=["sid", "token", "size", "most"])
+
+    return texts.select("sid", "text").mapInArrow(run, "sid binary, token long, size long, most long")
+
+
 def set_links(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Links (a, b) between sets that connect all that the exact join connects."""
     sets = found.where(F.col("sid").isNotNull() & (F.col("n") > 0)).select("doc_id", "th", "n", "sid", "keys")
@@ -422,7 +441,8 @@ def set_links(rows: DataFrame, found: DataFrame) -> DataFrame:
     groups = components(first)
     total = sets.agg(F.sum("n")).first()[0] or 0
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / 3_000_000))
-    entries = matrix_rows(rows, sets, groups, frequency_levels(found), 4 * parts)
+    levels = frequency_levels(found)
+    entries = matrix_rows(rows, sets, groups, levels, 4 * parts)
     pairs = stored(candidate_groups(entries, parts), "candidate-groups")
     sizes = groups.groupBy("label").agg(F.count("*").alias("members"))
     sized = (pairs.join(sizes.select(F.col("label").alias("ga"), F.col("members").alias("ma")), "ga", "left")
@@ -459,7 +479,14 @@ def set_links(rows: DataFrame, found: DataFrame) -> DataFrame:
     near = verified(against(into, small.unionByName(probe)), rows, sets)
     done = near.join(members.select(F.col("sid").alias("b"), "gid"), "b").select(F.col("a").alias("q"), "gid").distinct()
     rest = into.where(F.col("size") > PROBES).join(done, ["q", "gid"], "left_anti")
-    far = verified(against(rest, big.select("gid", "sid")), rows, sets)
+    # the others meet those members with which they share a row at which a link may begin
+    rest = stored(rest.select("q", "gid"), "rest")
+    some = stored(big.select("gid", "sid").join(rest.select("gid").distinct(), "gid", "left_semi"), "rest-members")
+    texts = texts_of(rows, sets, rest.select(F.col("q").alias("sid")).union(some.select("sid")).distinct())
+    prefixes = stored(prefix_rows(texts, levels), "prefixes")
+    asked = rest.join(prefixes.select(F.col("sid").alias("q"), "token", F.col("size").alias("qn"), F.col("most").alias("qm")), "q")
+    met = asked.join(some.join(prefixes, "sid"), ["gid", "token"]).where((F.col("size") <= F.col("qm")) & (F.col("qn") <= F.col("most")))
+    far = verified(met.select(F.col("q").alias("a"), F.col("sid").alias("b")), rows, sets)
     return links.unionByName(near).unionByName(far)
 
 

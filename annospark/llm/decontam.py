@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annospark.llm.common import let, stored
+from annospark.llm.common import free_name, let, stored
 
 WINDOW, LEAST_SHARE, LEAST_LITERAL = 5, 0.5, 2
 WITH_NAMES, OTHER_CASE, PLAIN = 0, 1, 2  # kinds of windows: names replaced, names kept, plain words
@@ -202,8 +202,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that no benchmark item contaminates, with all their columns."""
+    """The rows of ``docs`` that no benchmark item contaminates, with all their columns (of any name).
+
+    Null and empty texts stay; repeated rows stay or go together; an empty table
+    gives an empty table, an empty benchmark leaves every row.
+    """
+    bad_id, bad_th = free_name(docs.columns, "__bad_id"), free_name(docs.columns, "__bad_th")
     bad = contaminated(docs, benchmark, id_col, text_col).select(
-        F.col("doc_id").alias("__bad_id"), F.col("th").alias("__bad_th")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("__bad_id"))
-                     & (F.xxhash64(docs[text_col]) == F.col("__bad_th")), "left_anti")
+        F.col("doc_id").alias(bad_id), F.col("th").alias(bad_th)).distinct()
+    return docs.join(bad, docs[id_col].eqNullSafe(F.col(bad_id))
+                     & (F.xxhash64(docs[text_col]) == F.col(bad_th)), "left_anti")

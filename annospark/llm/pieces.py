@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from annospark.llm.common import slices
+from annospark.llm.common import free_name, slices
 
 SPACE = "▁"
 UNIT_CACHE = 250_000   # units kept per worker; the table is emptied when it is full
@@ -253,7 +253,7 @@ def encode_documents(docs: DataFrame, model_path: str, outputs: tuple[str, ...]
     spark = docs.sparkSession
     with open(model_path, "rb") as f:
         proto = spark.sparkContext.broadcast(f.read())
-    src = docs.select(*[docs[c] for c in keep], docs[text_col].cast("string").alias("__text"))
+    src = docs.select(*[docs[c] for c in keep], docs[text_col].cast("string").alias(free_name([*keep, *outputs], "__text")))
     schema = T.StructType([src.schema[i] for i in range(len(keep))]
                           + [T.StructField(o, OUTPUTS[o]) for o in outputs])
     n_keep = len(keep)

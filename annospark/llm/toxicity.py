@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from annospark.llm.common import slices
+from annospark.llm.common import free_name, slices
 
 # Letters that look like Latin ones, and digits and signs that stand for letters.
 HOMOGLYPHS = {
@@ -145,11 +145,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """
     from annospark.llm.common import stored
 
-    ids = docs.select(F.col(id_col).alias("__id")).where(F.col(id_col).isNotNull()).distinct()
-    known = labels.select(F.col(id_col).alias("__id"), label_col).where(F.col(label_col).isin(0, 1))
-    chosen = ids.join(known, "__id").orderBy(F.xxhash64(F.col("__id").cast("string")), "__id").limit(max_rows)
+    key = free_name([*docs.columns, label_col], "__id")
+    ids = docs.select(F.col(id_col).alias(key)).where(F.col(key).isNotNull()).distinct()
+    known = labels.select(F.col(id_col).alias(key), label_col).where(F.col(label_col).isin(0, 1))
+    chosen = ids.join(known, key).orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(max_rows)
     chosen = stored(chosen, "toxic-ids")
-    return docs.join(F.broadcast(chosen), docs[id_col] == chosen["__id"]).drop("__id")
+    return docs.join(F.broadcast(chosen), docs[id_col] == chosen[key]).drop(key)
 
 
 def training_rows(labelled: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int) -> DataFrame:
@@ -186,6 +187,7 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     An entry is a word or stem in at least ``min_share`` (and ``min_rows``) of
     the toxic sample rows whose smoothed log ratio of row shares, toxic against
     other, reaches ``min_weight`` or, in small samples, all that the sample can show.
+    Without both labels, or without an entry, the lexicon is empty and calls no text toxic.
     """
     from annospark.llm.common import stored
 
@@ -225,6 +227,8 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             best = max(longer, key=lambda g: (strong[g][0], len(g), g))
         entries[best] = strong[best][1]
     lexicon = Lexicon(entries)
+    if not entries:
+        return lexicon  # without evidence there is no curve to fit: every text scores as one without matches
 
     matcher_of = lexicon.matcher
 
@@ -285,8 +289,11 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 100
 
 def score_documents(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",),
                     out: str = "score") -> DataFrame:
-    """``keep`` columns and ``out``: the toxicity score (0 to 1) of every whole text."""
-    src = docs.select(*[docs[c] for c in keep], docs[text_col].cast("string").alias("__text"))
+    """``keep`` columns (of any name) and ``out``: the toxicity score (0 to 1) of every whole text.
+
+    A null text scores as an empty one; one row for every row; an empty table gives an empty table.
+    """
+    src = docs.select(*[docs[c] for c in keep], docs[text_col].cast("string").alias(free_name([*keep, out], "__text")))
     n = len(keep)
     schema = T.StructType([src.schema[i] for i in range(n)] + [T.StructField(out, T.DoubleType())])
 

@@ -54,8 +54,14 @@ def count_above_threshold(scores: DataFrame, thr: float) -> DataFrame:
 
 
 def prediction_diversity(pred: DataFrame, n_entities: int | Column) -> DataFrame:
-    """Distinct predicted term sets / entities and distinct terms per aspect."""
-    sets = pred.groupBy("entity_id").agg(F.array_sort(F.collect_set("term_id")).alias("ts"))
+    """Distinct predicted term sets / entities and distinct terms per aspect.
+
+    A set is known by its size and two 64-bit hashes of its distinct terms, xor-ed in any order and partly before
+    the shuffle, so no entity's terms are gathered (two of n sets fall together with a chance of n^2 / 2^129).
+    """
+    terms = pred.select("entity_id", "term_id").distinct()
+    hashes = [F.when(F.col("term_id").isNotNull(), F.xxhash64(F.lit(seed), "term_id")) for seed in (0, 1)]
+    sets = terms.groupBy("entity_id").agg(F.struct(F.count("term_id"), *map(F.bit_xor, hashes)).alias("ts"))
     n = n_entities if isinstance(n_entities, Column) else F.lit(float(n_entities))
     d = sets.agg((F.countDistinct("ts") / n).alias("set_diversity"))
     per = pred.groupBy("aspect").agg(F.countDistinct("term_id").alias("terms"))

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annospark.operators.ensemble import ordered_sum
+from annospark.operators.ontology import CLOSURE_BROADCAST_ROWS
+from annospark.session import bounded_broadcast
 
 KEY = ["entity_id", "term_id"]
 
@@ -292,12 +294,20 @@ def fmax_official(c: DataFrame, grid: list[float] | None = None,
     h = x.groupBy("aspect", "entity_id", "b").agg(
         F.sum("ia").alias("wp"), F.sum(F.when(F.col("y") == 1, F.col("ia")).otherwise(0.0)).alias("wt"),
         F.max("y").alias("yt"))
+    d = _fmax_steps(h).groupBy("aspect", "g").agg(F.sum("p").alias("dp"), F.sum("n").alias("dn"), F.sum("r").alias("dr"))
+    best = _fmax_best(d, grid).select("aspect", F.col("best_thr").alias("thr"), F.col("best_f1").alias("fmax"))
+    return _with_mean_of_aspects(best, aspects, cols=("fmax",), keep=("thr",)).select("aspect", "thr", "fmax")
+
+
+def _fmax_steps(h: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(aspect, g, p, n, r)`` with ``keep``: what an entity adds to the sums at grid position ``g`` (-1 counts it),
+    from the ``(aspect, entity_id, b, wp, wt, yt)`` sums of its score buckets; entities without truth add nothing."""
     # one entity holds at most len(grid) + 1 bucket rows, so these windows are
     # small; all ordered quantities share one descending-bucket window
     e = Window.partitionBy("aspect", "entity_id")
     ed = e.orderBy(F.col("b").desc())
     run = ed.rowsBetween(Window.unboundedPreceding, 0)
-    hb = h.select("aspect", "entity_id", "b", F.sum("wp").over(run).alias("s_pred"),
+    hb = h.select("aspect", "entity_id", "b", *keep, F.sum("wp").over(run).alias("s_pred"),
                   F.sum("wt").over(run).alias("s_tp"), F.coalesce(F.lead("b").over(ed), F.lit(0)).alias("lo"),
                   F.sum("wt").over(e).alias("w_true"), F.max("yt").over(e).alias("has_truth"),
                   (F.row_number().over(ed) == 1).alias("first"))
@@ -317,22 +327,82 @@ def fmax_official(c: DataFrame, grid: list[float] | None = None,
                  F.when(live, -n).otherwise(F.lit(0)).cast("long").alias("n"),
                  F.when(live, -r).otherwise(z).alias("r")),
         F.struct(F.lit(-1).alias("g"), z.alias("p"), F.col("first").cast("long").alias("n"), z.alias("r")))
-    d = hb.select("aspect", F.inline(items)).groupBy("aspect", "g").agg(
-        F.sum("p").alias("dp"), F.sum("n").alias("dn"), F.sum("r").alias("dr"))
-    # everything below works on the tiny (aspect, grid position) table
-    n_ent = d.filter(F.col("g") == -1).select("aspect", F.col("dn").alias("n_true"))
-    gi = n_ent.select("aspect", "n_true", F.posexplode(F.array(*[F.lit(float(t)) for t in grid])).alias("g", "thr"))
-    cur = gi.join(d.filter(F.col("g") >= 0), ["aspect", "g"], "left") \
+    return hb.select("aspect", *keep, F.inline(items))
+
+
+def _fmax_best(d: DataFrame, grid: list[float], by: tuple[str, ...] = ()) -> DataFrame:
+    """The best threshold and F of each ``by`` and aspect, from the tiny table of differences ``(aspect, g, dp, dn, dr)``."""
+    key = [*by, "aspect"]
+    n_ent = d.filter(F.col("g") == -1).select(*key, F.col("dn").alias("n_true"))
+    gi = n_ent.select(*key, "n_true", F.posexplode(F.array(*[F.lit(float(t)) for t in grid])).alias("g", "thr"))
+    cur = gi.join(d.filter(F.col("g") >= 0), [*key, "g"], "left") \
         .fillna(0.0, subset=["dp", "dr"]).fillna(0, subset=["dn"])
-    runs = Window.partitionBy("aspect").orderBy("g").rowsBetween(Window.unboundedPreceding, 0)
-    cur = cur.select("aspect", "thr", "n_true", F.sum("dp").over(runs).alias("sum_p"),
+    runs = Window.partitionBy(*key).orderBy("g").rowsBetween(Window.unboundedPreceding, 0)
+    cur = cur.select(*key, "thr", "n_true", F.sum("dp").over(runs).alias("sum_p"),
                      F.sum("dn").over(runs).alias("n_pred"), F.sum("dr").over(runs).alias("sum_r"))
     pp = F.when(F.col("n_pred") > 0, F.col("sum_p") / F.col("n_pred")).otherwise(0.0)
     rr = F.col("sum_r") / F.col("n_true")
-    f = F.when(pp + rr > 0, 2 * pp * rr / (pp + rr)).otherwise(0.0)
-    cur = cur.select("aspect", "thr", pp.alias("precision"), rr.alias("recall"), f.alias("f1"))
-    best = best_threshold(cur).select("aspect", F.col("best_thr").alias("thr"), F.col("best_f1").alias("fmax"))
-    return _with_mean_of_aspects(best, aspects, cols=("fmax",), keep=("thr",)).select("aspect", "thr", "fmax")
+    f = F.when((F.col("n_true") > 0) & (pp + rr > 0), 2 * pp * rr / (pp + rr)).otherwise(0.0)
+    return best_threshold(cur.select(*key, "thr", f.alias("f1")), list(by))
+
+
+def prior_knowledge(prior: DataFrame, aspects: tuple[str, ...] = ("BP", "MF", "CC")) -> DataFrame:
+    """``(entity_id, known)``: bit i of ``known`` says that the entity had an annotation in aspect i beforehand."""
+    bit = F.create_map(*[F.lit(x) for i, a in enumerate(aspects) for x in (a, 1 << i)])
+    return prior.filter(F.col("aspect").isin(*aspects)).groupBy("entity_id").agg(
+        F.bit_or(F.element_at(bit, F.col("aspect"))).alias("known"))
+
+
+# Targets of an aspect by what was known of the entity: nothing; something, but not in
+# this aspect; every aspect.  Others (this aspect but not every one) are not evaluated.
+KNOWLEDGE = ("no", "limited", "partial")
+
+
+def fmax_by_knowledge(scores: DataFrame, truth: DataFrame, terms: DataFrame, ia: DataFrame, closure: DataFrame,
+                      known: DataFrame, grid: list[float] | None = None, aspects: tuple[str, ...] = ("BP", "MF", "CC"),
+                      ia_default: float = 0.0) -> DataFrame:
+    """E10 in full: Fmax (:func:`fmax_official`) of propagated predictions by knowledge group.
+
+    Output ``(knowledge, aspect, thr, fmax)``: a row for each group and aspect, each group's mean over the aspects
+    (``ALL``) and the mean of the groups (``ALL``, ``ALL``); a group without targets in an aspect has fmax 0 there.
+
+    The maximum of a term's descendants' scores clears as many thresholds as the best of them, so only the number
+    of thresholds cleared is propagated: predictions and truth go up the ``closure`` together and meet in one
+    aggregate of small integers (terms outside it are excluded).  ``known`` is :func:`prior_knowledge`; an entity's
+    groups are bits, summed side by side in one sweep of differences.
+    """
+    grid = grid or linspace(0.01, 1.0, 100)
+    targets = truth.select("entity_id").distinct()
+    found = scores.join(targets, "entity_id", "left_semi").select(*KEY, grid_bucket(F.col("score"), grid).alias("b"),
+                                                                 F.lit(0).alias("y")).filter(F.col("b") > 0)
+    rows = found.unionByName(truth.select(*KEY, F.lit(0).alias("b"), F.lit(1).alias("y")))
+    up = bounded_broadcast(closure.select("term_id", "ancestor"), CLOSURE_BROADCAST_ROWS)
+    c = rows.join(up, "term_id").groupBy("entity_id", F.col("ancestor").alias("term_id")).agg(
+        F.max("b").alias("b"), F.max("y").alias("y"))
+    c = c.join(terms.select("term_id", "aspect").filter(F.col("aspect").isin(*aspects)), "term_id") \
+        .join(ia.select("term_id", "ia"), "term_id", "left").withColumn("ia", F.coalesce("ia", F.lit(float(ia_default))))
+    h = c.groupBy("aspect", "entity_id", "b").agg(
+        F.sum("ia").alias("wp"), F.sum(F.when(F.col("y") == 1, F.col("ia")).otherwise(0.0)).alias("wt"), F.max("y").alias("yt"))
+    bit = F.element_at(F.create_map(*[F.lit(x) for i, a in enumerate(aspects) for x in (a, 1 << i)]), F.col("aspect"))
+    has = F.coalesce("known", F.lit(0))
+    group = (F.when(has == 0, 1).when(has.bitwiseAND(bit) == 0, 2).when(has == (1 << len(aspects)) - 1, 4).otherwise(0))
+    h = h.join(known.select("entity_id", "known"), "entity_id", "left").withColumn("groups", group).filter("groups > 0")
+    steps = _fmax_steps(h, keep=("groups",))
+    inside = [F.col("groups").bitwiseAND(1 << i) != 0 for i in range(len(KNOWLEDGE))]
+    sums = [F.sum(F.when(w, F.col(v)).otherwise(F.lit(0))).alias(f"{v}{i}") for i, w in enumerate(inside) for v in ("p", "n", "r")]
+    wide = steps.groupBy("aspect", "g").agg(*sums)
+    d = wide.select("aspect", "g", F.inline(F.array(*[
+        F.struct(F.lit(name).alias("knowledge"), F.col(f"p{i}").alias("dp"), F.col(f"n{i}").alias("dn"), F.col(f"r{i}").alias("dr"))
+        for i, name in enumerate(KNOWLEDGE)])))
+    best = _fmax_best(d, grid, ("knowledge",))
+    every = c.sparkSession.createDataFrame([(k, a) for k in KNOWLEDGE for a in aspects], "knowledge string, aspect string")
+    full = every.join(best, ["knowledge", "aspect"], "left").select("knowledge", "aspect", F.col("best_thr").alias("thr"),
+                                                                   F.coalesce("best_f1", F.lit(0.0)).alias("fmax"))
+    # few rows: the means of a rollup over groups and aspects (all cells of the grid are there)
+    g = full.rollup("knowledge", "aspect").agg(F.avg("fmax").alias("fmax"), F.first("thr").alias("thr"),
+                                               F.grouping("aspect").alias("mean"))
+    return g.select(F.coalesce("knowledge", F.lit("ALL")).alias("knowledge"), F.coalesce("aspect", F.lit("ALL")).alias("aspect"),
+                    F.when((F.col("mean") == 0) & (F.col("fmax") > 0), F.col("thr")).alias("thr"), "fmax")
 
 
 def ia_weighted_bce(c: DataFrame, n_entities: int, ia_terms: DataFrame, eps: float = 1e-7) -> DataFrame:

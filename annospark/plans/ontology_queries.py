@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from annospark.functions import keys
-from annospark.operators import ensemble, ontology as G
+from annospark.operators import ensemble, metrics as M, ontology as G
 from annospark.plans import standins as S
 from annospark.plans.label_queries import CONTRACT_SQL, contract
+from annospark.plans.metric_queries import FMAX_GRID, _grid_sql
 from annospark.plans.registry import query
 
 PRIOR_WEIGHT = 0.15
@@ -147,6 +148,42 @@ def q_violations(spark, d):
     return v1.unionByName(v2)
 
 
+@query("fmax_by_knowledge", "E10 G1 G3", sql=_rec("edges", "scores", "truth", "terms", "ia", extra=FULL_CL + ",\n"
+       "u AS (SELECT entity_id, term_id, list_reduce(list_sort(list(score)), lambda a, b: a + b) / 3.0 AS score, 0 AS y "
+       "FROM scores GROUP BY 1, 2 UNION ALL SELECT entity_id, term_id, 0.0, 1 FROM truth),\n"
+       "c0 AS (SELECT u.entity_id, cl.ancestor AS term_id, max(score) AS score, max(y) AS y FROM u JOIN cl ON u.term_id = "
+       "cl.term_id WHERE u.entity_id IN (SELECT entity_id FROM truth) GROUP BY 1, 2),\n"
+       "c AS (SELECT t.aspect, c0.entity_id, score, sum(coalesce(ia.ia, 0.0)) AS w, sum(CASE WHEN y = 1 THEN "
+       "coalesce(ia.ia, 0.0) ELSE 0.0 END) AS wy, max(y) AS y FROM c0 JOIN terms t ON c0.term_id = t.term_id "
+       "LEFT JOIN ia ON c0.term_id = ia.term_id GROUP BY 1, 2, 3),\n"
+       "kn AS (SELECT l_orderkey AS entity_id, max(CASE WHEN l_partkey % 3 = 0 THEN 1 ELSE 0 END) AS bp, max(CASE WHEN "
+       "l_partkey % 3 = 1 THEN 1 ELSE 0 END) AS mf, max(CASE WHEN l_partkey % 3 = 2 THEN 1 ELSE 0 END) AS cc "
+       "FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1),\n"
+       "te AS (SELECT c.aspect, c.entity_id, CASE WHEN max(bp) IS NULL THEN 'no' WHEN max(CASE c.aspect WHEN 'BP' THEN bp "
+       "WHEN 'MF' THEN mf ELSE cc END) = 0 THEN 'limited' WHEN max(bp + mf + cc) = 3 THEN 'partial' END AS knowledge "
+       "FROM c LEFT JOIN kn ON c.entity_id = kn.entity_id GROUP BY 1, 2 HAVING max(c.y) = 1),\n"
+       "e AS (SELECT te.knowledge, c.aspect, c.entity_id, thr, sum(CASE WHEN score >= thr THEN w ELSE 0.0 END) AS wp, "
+       "sum(CASE WHEN score >= thr THEN wy ELSE 0.0 END) AS wtp, sum(wy) AS wt FROM c JOIN te ON c.aspect = te.aspect AND "
+       f"c.entity_id = te.entity_id, (SELECT unnest({_grid_sql(FMAX_GRID)}) AS thr) WHERE te.knowledge IS NOT NULL "
+       "GROUP BY 1, 2, 3, 4),\n"
+       "cur AS (SELECT knowledge, aspect, thr, coalesce(avg(CASE WHEN wp > 0 THEN wtp / wp END), 0.0) AS p, "
+       "avg(CASE WHEN wt > 0 THEN wtp / wt ELSE 0.0 END) AS r FROM e GROUP BY 1, 2, 3),\n"
+       "ff AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f FROM cur),\n"
+       "b AS (SELECT *, row_number() OVER (PARTITION BY knowledge, aspect ORDER BY round(f, 12) DESC, thr) AS rn FROM ff),\n"
+       "full_ AS (SELECT k.knowledge, a.aspect, CASE WHEN f > 0 THEN thr END AS thr, coalesce(f, 0.0) AS fmax FROM (VALUES "
+       "('no'), ('limited'), ('partial')) k(knowledge) CROSS JOIN (VALUES ('BP'), ('MF'), ('CC')) a(aspect) LEFT JOIN b ON "
+       "b.knowledge = k.knowledge AND b.aspect = a.aspect AND rn = 1) ") +
+       "SELECT knowledge, aspect, thr, round(fmax, 6) AS fmax FROM full_ UNION ALL SELECT knowledge, 'ALL', NULL, "
+       "round(avg(fmax), 6) FROM full_ GROUP BY 1 UNION ALL SELECT 'ALL', 'ALL', NULL, round(avg(fmax), 6) FROM full_")
+def q_fmax_knowledge(spark, d):
+    s = ensemble.ensemble_mean(S.scores(spark, d), n_models=3)
+    prior = S.table(spark, d, "lineitem").filter(F.col("l_returnflag") == "A").select(
+        F.col("l_orderkey").alias("entity_id"), S.aspect_col(F.col("l_partkey")).alias("aspect"))
+    r = M.fmax_by_knowledge(s, S.truth(spark, d), S.terms(spark, d), S.ia(spark, d), G.ancestor_closure(S.edges(spark, d)),
+                            M.prior_knowledge(prior), FMAX_GRID)
+    return r.select("knowledge", "aspect", "thr", F.round("fmax", 6).alias("fmax"))
+
+
 @query("inject_prior", "G9 G2 A19", sql=_rec("edges", "ext", "ann", "ck", "scores",
        extra=CONTRACT_SQL + ",\n" + FULL_CL + ",\n"
        "pr AS (SELECT DISTINCT x.entity_id, cl.ancestor AS term_id, 1.0 AS prior FROM ext x JOIN cl "

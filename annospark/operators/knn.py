@@ -6,12 +6,14 @@ one Arrow-batched pandas task that runs a numpy GEMM and keeps only the
 per-query top-k of that base block; a ``row_number() <= k`` window (which
 Spark plans as a partial + final WindowGroupLimit) merges the block
 winners.  No task ever holds more than one block of each side and no
-all-pairs relation is emitted.
+all-pairs relation is emitted.  ``pruned_knn_join`` gives the same rows and
+leaves out the clusters of base rows that an angle bound rules out.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -19,6 +21,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from annospark.session import cut_lineage
+
 NEG = -np.inf
 
 
@@ -156,3 +160,131 @@ def baseline_vote(neigh: DataFrame, labels: DataFrame, label_entity: str = "enti
 def max_neighbour_similarity(neigh: DataFrame) -> DataFrame:
     """Per-query maximum similarity."""
     return neigh.groupBy("query_id").agg(F.max("sim").alias("max_sim"))
+
+
+# ------------------------------------------------------------------ pruned
+
+MAX_PIVOTS = 4096  # vectors and cluster sizes that go to every task and through the driver
+
+
+@dataclass
+class Clusters:
+    """Pivots, and for each the widest angle of a base row to it, its base rows and its base blocks."""
+
+    pivots: np.ndarray
+    radius: np.ndarray
+    rows: np.ndarray
+    blocks: np.ndarray
+
+
+def _units(vectors: pd.Series) -> np.ndarray:
+    v = np.stack(vectors.to_numpy()).astype(np.float64)
+    return v / np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
+
+
+def _nearest_pivot(df: DataFrame, vec_col: str, pivots: np.ndarray) -> DataFrame:
+    """Add the nearest pivot ``home`` and the angle to it.  A zero vector is at a right angle to all."""
+    sent = df.sparkSession.sparkContext.broadcast(pivots)
+    schema = T.StructType([*df.schema.fields, T.StructField("home", T.IntegerType()), T.StructField("angle", T.DoubleType())])
+
+    def run(frames):
+        for pdf in frames:
+            if len(pdf):
+                sims = _units(pdf[vec_col]) @ sent.value.T
+                home = sims.argmax(axis=1)
+                yield pdf.assign(home=home.astype(np.int32),
+                                 angle=np.arccos(np.clip(sims[np.arange(len(home)), home], -1.0, 1.0)))
+    return df.mapInPandas(run, schema)
+
+
+def _opened_clusters(asked: DataFrame, clusters: Clusters) -> DataFrame:
+    """``(qid, home, qb, cluster)``: the clusters besides its home that may hold one of a query's k nearest.
+
+    The angle from a query to a row of a cluster is at least the angle to its pivot less its radius; a cluster
+    is left out only if that exceeds the angle of the k-th neighbour found at home (none found: pi)."""
+    sent = asked.sparkSession.sparkContext.broadcast(clusters)
+
+    def run(frames):
+        known = sent.value
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            angle = np.arccos(np.clip(_units(pdf["qvec"]) @ known.pivots.T, -1.0, 1.0))
+            limit = np.arccos(np.clip(pdf["kth"].fillna(-1.0).to_numpy(), -1.0, 1.0))
+            may = (angle - known.radius[None, :] <= limit[:, None] + 1e-6) & (known.rows > 0)[None, :]
+            may[np.arange(len(pdf)), pdf["home"].to_numpy()] = False
+            row, cluster = np.nonzero(may)
+            yield pd.DataFrame({"qid": pdf["qid"].to_numpy()[row], "home": pdf["home"].to_numpy()[row],
+                                "qb": pdf["qb"].to_numpy()[row], "cluster": cluster.astype(np.int32)})
+    schema = T.StructType([asked.schema["qid"], T.StructField("home", T.IntegerType()),
+                           T.StructField("qb", T.IntegerType()), T.StructField("cluster", T.IntegerType())])
+    return asked.select("qid", "qvec", "kth", "home", "qb").mapInPandas(run, schema)
+
+
+def pruned_knn_join(query: DataFrame, base: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding",
+                    fold_col: str | None = None, exclude_self: bool = True, block_rows: int = 4096,
+                    query_rows: int = 16384, n_pivots: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """:func:`knn_join` (J8) without the clusters that cannot hold a neighbour; exact as well.
+
+    Returns the neighbours and ``opened``, the distinct (query id, cluster) pairs met in the second pass.
+    Rows without a vector take no part.
+
+    ``n_pivots`` base rows (one per ``block_rows``, at most ``MAX_PIVOTS``; the first in hash order of the id) are
+    pivots, and every base row belongs to the nearest one.  A query first meets the cluster of its own nearest
+    pivot; the k-th similarity found there bounds, by the triangle inequality of angles, which other clusters it has
+    to meet.  Clusters are cut into blocks of about ``block_rows`` rows by a hash of the id and the queries of a
+    home into blocks of ``query_rows``, so no cluster, however large, is one task.  A base block is shipped to those
+    query blocks alone in which some query opens its cluster, and there meets only those queries.
+    Work follows the data: vectors in clusters open few; vectors spread evenly over many dimensions open nearly all.
+    """
+    id_type = query.schema[id_col].dataType
+    pick = [F.col(vec_col).isNotNull()]
+    base, query = base.filter(*pick), query.filter(*pick)
+    if n_pivots is None:
+        n_pivots = min(MAX_PIVOTS, max(1, math.ceil(base.count() / block_rows)))
+    first = base.orderBy(F.xxhash64(id_col), id_col).limit(n_pivots).select(F.col(vec_col).alias("v")).toPandas()  # the bound
+    schema = T.StructType([T.StructField("query_id", id_type), T.StructField("base_id", id_type),
+                           T.StructField("sim", T.DoubleType())])
+    if first.empty:
+        spark = query.sparkSession
+        return (spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())])),
+                spark.createDataFrame([], T.StructType([T.StructField("qid", id_type), T.StructField("cluster", T.IntegerType())])))
+    pivots = _units(first["v"])
+    fold = [F.col(fold_col)] if fold_col else []
+    b = cut_lineage(_nearest_pivot(base.select(F.col(id_col).alias("bid"), F.col(vec_col).alias("bvec"),
+                                               *[f.alias("bfold") for f in fold]), "bvec", pivots))
+    q = cut_lineage(_nearest_pivot(query.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("qvec"),
+                                                *[f.alias("qfold") for f in fold]), "qvec", pivots).drop("angle"))
+    sizes = b.groupBy("home").agg(F.max("angle").alias("r"), F.count("*").alias("n")).collect()  # a row per pivot
+    asked = dict(q.groupBy("home").count().collect())
+    radius, rows = np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
+    for row in sizes:
+        radius[row["home"]], rows[row["home"]] = row["r"], row["n"]
+    clusters = Clusters(pivots, radius, rows, np.maximum(1, -(-rows // block_rows)))
+    parts = query.sparkSession.createDataFrame(
+        [(c, int(clusters.blocks[c]), max(1, -(-asked.get(c, 0) // query_rows))) for c in range(len(pivots))],
+        "home int, n_blocks int, n_asked int")  # a row per pivot
+    parts = F.broadcast(parts)
+    b = b.join(parts.select("home", "n_blocks"), "home").withColumn("block", F.pmod(F.xxhash64("bid"), "n_blocks").cast("int")) \
+        .drop("angle", "n_blocks").withColumnRenamed("home", "cluster")
+    q = q.join(parts.select("home", "n_asked"), "home").withColumn("qb", F.pmod(F.xxhash64("qid"), "n_asked").cast("int")).drop("n_asked")
+    of_cluster = parts.select(F.col("home").alias("cluster"), F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"))
+    meet, near = ["home", "qb", "cluster", "block"], _block_topk(k, fold_col is not None, exclude_self)
+
+    def met(pairs: DataFrame, queries: DataFrame) -> DataFrame:
+        """The k best of every block, for the ``(home, qb, cluster)`` pairs of query blocks and clusters."""
+        pairs = pairs.select(*[F.col(c).alias(c) for c in ("home", "qb", "cluster")])  # columns apart from the queries'
+        return queries.join(of_cluster, "cluster").groupBy(*meet).cogroup(b.join(pairs, "cluster").groupBy(*meet)) \
+            .applyInPandas(near, schema)
+
+    def best(found: DataFrame) -> DataFrame:
+        w = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), F.col("base_id"))
+        return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+    own = q.withColumn("cluster", F.col("home"))
+    at_home = cut_lineage(best(met(own.select("home", "qb", "cluster").distinct(), own)))
+    kth = at_home.filter(F.col("rank") == k).select(F.col("query_id").alias("qid"), F.col("sim").alias("kth"))
+    opened = cut_lineage(_opened_clusters(q.join(kth, "qid", "left"), clusters).distinct())
+    pairs = opened.select("home", "qb", "cluster").distinct()
+    away = met(pairs, q.join(opened.select("qid", "cluster"), "qid"))
+    return best(at_home.drop("rank").unionByName(away)), opened.select("qid", "cluster")

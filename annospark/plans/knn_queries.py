@@ -37,6 +37,14 @@ def q_knn_topk(spark, d):
     return n.select("query_id", "base_id", F.round("sim", 6).alias("sim"), "rank")
 
 
+@query("knn_topk_pruned", "J8 F1", sql=knn_sql(K) +
+       "SELECT query_id, base_id, round(sim, 6) AS sim, CAST(rank AS INTEGER) AS rank FROM knn")
+def q_knn_pruned(spark, d):
+    v = S.vectors(spark, d)
+    n, _ = knn.pruned_knn_join(v, v, K, id_col="vec_id", vec_col="embedding", fold_col="fold", block_rows=512)
+    return n.select("query_id", "base_id", F.round("sim", 6).alias("sim"), "rank")
+
+
 @query("knn_label_transfer", "J8 J9", sql=knn_sql(K) +
        "SELECT k.query_id, l.term_id, round(sum(k.sim) / max(den.denom), 6) AS score "
        "FROM knn k JOIN (SELECT DISTINCT entity_id, term_id FROM veclab) l ON k.base_id = l.entity_id "

@@ -8,6 +8,8 @@ from annospark.functions import keys
 from annospark.operators import labels as L, text as X
 from annospark.plans import standins as S
 from annospark.plans.registry import query
+from annospark.plans.source_queries import scratch
+from annospark.sources import articles
 
 MAX_FEATURES = 1000
 WS_SQL = "[ \\t\\n\\x0B\\f\\r]"
@@ -130,6 +132,39 @@ def q_pubmed(spark, d):
     return X.parse_pubmed_xml(b.select(xml.alias("xml")))
 
 
+def _article_files(spark, d) -> str:
+    """Files of many articles made from ``benchmark``; every fifth has an element that is not closed."""
+    b = S.table(spark, d, "benchmark")
+    body = _xml_escape(keys.sanitise_control_chars(F.col("text")))
+    xml = F.concat(F.lit("<PubmedArticle Status=\"x\">\n<MedlineCitation><PMID>"), F.col("item_id").cast("string"),
+                   F.lit("</PMID><Article><ArticleTitle>Item "), F.col("item_id").cast("string"),
+                   F.lit("</ArticleTitle><Abstract><AbstractText>"), body, F.lit(" </AbstractText>"),
+                   F.when(F.col("item_id") % 5 == 3, "").otherwise("</Abstract>"),
+                   F.lit("</Article></MedlineCitation></PubmedArticle>"))
+    path = scratch(spark, "articles")
+    b.select(xml.alias("value")).repartition(3, "value").write.text(path)
+    return path
+
+
+_ARTICLE_SQL = (
+    "WITH t AS (SELECT item_id, replace(replace(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', ' ', 'g'), "
+    "chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS body FROM benchmark) ")
+
+
+@query("article_files", "X1 P4", sql=_ARTICLE_SQL +
+       "SELECT CAST(item_id AS VARCHAR) AS pmid, 'Item ' || CAST(item_id AS VARCHAR) AS title, regexp_replace(body, '^" +
+       WS_SQL + "+|" + WS_SQL + "+$', '', 'g') AS abstract FROM t WHERE item_id % 5 <> 3")
+def q_article_files(spark, d):
+    return articles.read_article_files(spark, _article_files(spark, d))[0]
+
+
+@query("article_files_malformed", "X1", sql=
+       "SELECT count(*) AS records, count(*) FILTER (WHERE item_id % 5 = 3) AS malformed FROM benchmark")
+def q_article_files_malformed(spark, d):
+    return articles.read_xml_records(spark, _article_files(spark, d), "PubmedArticle").agg(
+        F.count("*").alias("records"), F.count_if("malformed").alias("malformed"))
+
+
 @query("align_text", "J5 P1", sql=(
        "WITH r AS (" + S.SQL["raw"] + "), c AS (SELECT CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id AS VARCHAR) ELSE "
        "'sp|' || CAST(doc_id AS VARCHAR) || '|NAME' END AS key, text FROM documents), "

@@ -41,6 +41,23 @@ def q_stream_ingest(spark, d):
     return r.select("entity_id", "term_id", "score")
 
 
+@query("stream_ingest_train_wins", "T1 G2", sql=_rec("edges", "ext", "ann", "ck",
+       extra=CONTRACT_SQL + ",\n" + FULL_CL) +
+       "SELECT DISTINCT CAST(x.entity_id AS VARCHAR) AS entity_id, cl.ancestor AS term_id, 1.0 AS score FROM ext x "
+       "JOIN cl ON x.term_id = cl.term_id WHERE x.evidence = 'IEA' AND cl.ancestor IN (SELECT term_id FROM contract) "
+       "AND NOT EXISTS (SELECT 1 FROM ann a WHERE a.entity_id = x.entity_id AND a.term_id = cl.ancestor)")
+def q_stream_ingest_train(spark, d):
+    """Every line comes twice, in files of their own; pairs that training data hold are left out."""
+    src, out = scratch(spark, "gaf-stream"), scratch(spark, "t1-train-out")
+    ext = S.external(spark, d)
+    tables.write_gaf(ext.unionByName(ext).repartition(FILES), src)
+    text = F.col("entity_id").cast("string").alias("entity_id")
+    r = jobs.incremental_external_ingest(
+        spark, src, S.entities(spark, d).select(text), G.ancestor_closure(S.edges(spark, d)), contract(spark, d), out,
+        out + "-ckpt", train=S.annotations(spark, d).select(text, "term_id"))
+    return r.select("entity_id", "term_id", "score")
+
+
 _T2_SQL = cells_sql() + (
     ", x AS (SELECT *, score >= coalesce(CASE aspect WHEN 'BP' THEN 0.2 WHEN 'MF' THEN 0.4 WHEN 'CC' THEN 0.4 "
     "END, 0.3) AS pred FROM cells), g AS (SELECT coalesce(aspect, 'ALL') AS aspect, "

@@ -7,8 +7,11 @@ run continuously or, as here, with ``availableNow`` to drain what exists.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from annospark.functions.keys import evidence_filter
 from annospark.operators.metrics import threshold_of
@@ -24,13 +27,31 @@ def _gaf_stream(spark: SparkSession, source_dir: str, files_per_batch: int) -> D
         F.col("p").getItem(6).alias("evidence"))
 
 
+@contextmanager
+def disk_state(spark: SparkSession):
+    """Streams started inside keep their state on the executors' disks, not on their heaps."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def incremental_external_ingest(spark: SparkSession, source_dir: str, entities: DataFrame, closure: DataFrame,
                                 contract: DataFrame, out_dir: str, checkpoint: str,
-                                files_per_batch: int = 1) -> DataFrame:
+                                files_per_batch: int = 1, train: DataFrame | None = None) -> DataFrame:
     """GAF lines as they arrive -> IEA only -> known entities (stream-static
     semi join) -> lift to contract ancestors (static closure join) ->
     globally distinct (entity, term) via streaming dedup state -> append to
-    a Parquet table.  Returns the table read back."""
+    a Parquet table.  Returns the table read back.
+
+    Pairs of ``train`` (``entity_id, term_id``) are left out: what training data
+    say stays as it is.  A replayed or late file adds no pair twice: every pair
+    written is remembered, one key for each row of the result, in RocksDB on the
+    executors' disks with snapshots in ``checkpoint``; nothing expires, since a
+    late file may repeat the oldest pair."""
     # static sides are materialised in the checkpoint folder: the stream plan
     # then only references stored tables (no batch-only expressions upstream)
     ents = cut_lineage(entities.select("entity_id").distinct())
@@ -40,10 +61,13 @@ def incremental_external_ingest(spark: SparkSession, source_dir: str, entities:
     rows = rows.join(ents, "entity_id", "left_semi")
     up = rows.join(cl, "term_id").select("entity_id", F.col("ancestor").alias("term_id"))
     up = up.join(con, "term_id", "left_semi")
-    q = (up.dropDuplicates(["entity_id", "term_id"]).withColumn("score", F.lit(1.0))
-         .writeStream.format("parquet").option("checkpointLocation", checkpoint)
-         .outputMode("append").trigger(availableNow=True).start(out_dir))
-    q.awaitTermination()
+    if train is not None:
+        up = up.join(cut_lineage(train.select("entity_id", "term_id").distinct()), ["entity_id", "term_id"], "left_anti")
+    with disk_state(spark):
+        q = (up.dropDuplicates(["entity_id", "term_id"]).withColumn("score", F.lit(1.0))
+             .writeStream.format("parquet").option("checkpointLocation", checkpoint)
+             .outputMode("append").trigger(availableNow=True).start(out_dir))
+        q.awaitTermination()
     return spark.read.parquet(out_dir)
 
 
@@ -86,15 +110,28 @@ def running_evaluation_counters(spark: SparkSession, scores_dir: str, schema: st
 
 def running_evidence_histogram(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str,
                                files_per_batch: int = 1) -> DataFrame:
-    """Rows per evidence code over a stream of GAF files (update-style
-    running counts; each micro-batch rewrites the small result table)."""
+    """Rows per evidence code over a stream of GAF files, in update mode: a
+    micro-batch writes only the codes whose running counts it changed
+    (:func:`update_sink`).  An empty source gives an empty table."""
     rows = _gaf_stream(spark, source_dir, files_per_batch)
     counts = rows.groupBy("evidence").agg(F.count("*").alias("rows"))
+    q = (counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+         .foreachBatch(update_sink(out_dir)).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return latest_updates(spark, out_dir, counts.schema, ["evidence"])
 
-    def sink(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out_dir)
 
-    q = (counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
-         .foreachBatch(sink).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out_dir)
+def update_sink(out_dir: str):
+    """A ``foreachBatch`` sink that applies every batch once: a batch owns the folder of its epoch, so one that is
+    delivered again, after a failure or not, writes the same rows over its own."""
+    def sink(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/epoch={epoch}")
+    return sink
+
+
+def latest_updates(spark: SparkSession, out_dir: str, schema: T.StructType, key: list[str]) -> DataFrame:
+    """The table that the batches of :func:`update_sink` have left: each key's row of the last epoch."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/epoch=-1")  # never no files
+    values = [c for c in schema.names if c not in key]
+    t = spark.read.schema(T.StructType([*schema.fields, T.StructField("epoch", T.LongType())])).parquet(out_dir)
+    return t.groupBy(*key).agg(F.max_by(F.struct(*values), "epoch").alias("v")).select(*key, "v.*")

@@ -7,10 +7,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from annospark.functions import vectors as V
-from annospark.operators import boosting, ensemble, features, knn, logistic, models, ontology as G, selection as SEL
+from annospark.operators import boosting, ensemble, features, graph_stacker as GS, knn, logistic, models, ontology as G, selection as SEL
 from annospark.plans import standins as S
 from annospark.plans.knn_queries import knn_sql
-from annospark.plans.label_queries import contract
+from annospark.plans.label_queries import CONTRACT_SQL, contract
 from annospark.plans.metric_queries import GRID, MODELS
 from annospark.plans.registry import query
 from annospark.plans.source_queries import scratch
@@ -163,6 +163,42 @@ def q_stacker(spark, d):
     return p.select("entity_id", "term_id", F.round("score", 6).alias("score"))
 
 
+def _stacker_inputs(spark, d):
+    c = contract(spark, d)
+    terms = S.terms(spark, d).join(c.select("term_id"), "term_id", "left_semi")
+    wide = ensemble.stack_features(S.scores(spark, d).join(c.select("term_id"), "term_id", "left_semi"), MODELS)
+    adj = G.normalised_adjacency(GS.edges_within_aspects(S.edges(spark, d), terms), c)
+    return wide, terms, adj
+
+
+@query("graph_stacker_out_of_fold", "F11 F10 G6 G7 A22")
+def q_stacker_oof(spark, d):
+    wide, terms, adj = _stacker_inputs(spark, d)
+    p = GS.graph_stacker(wide, MODELS, S.truth(spark, d), S.ia(spark, d), terms, adj, F.pmod(F.col("entity_id"), F.lit(5)))
+    return p.select("entity_id", "term_id", F.round("score", 6).alias("score"))
+
+
+@query("graph_stacker_channels", "F11 F10 G6 G7", sql=S.with_("scores", "terms", "edges", "ann", "ck", extra=CONTRACT_SQL + (
+       ", ct AS (SELECT t.term_id, t.aspect FROM terms t WHERE t.term_id IN (SELECT term_id FROM contract)), "
+       "ie AS (SELECT e.child, e.parent FROM edges e JOIN ct a ON e.child = a.term_id JOIN ct b ON e.parent = b.term_id "
+       "AND a.aspect = b.aspect), "
+       "aj AS (SELECT child AS i, parent AS j FROM ie UNION SELECT parent, child FROM ie UNION SELECT term_id, term_id FROM ct), "
+       "dg AS (SELECT i, count(*) AS n FROM aj GROUP BY 1), "
+       "w1 AS (SELECT aj.i, aj.j, 1.0 / sqrt(x.n * y.n) AS w FROM aj JOIN dg x ON aj.i = x.i JOIN dg y ON aj.j = y.i), "
+       "s AS (SELECT * FROM scores WHERE term_id IN (SELECT term_id FROM contract)), "
+       "h0 AS (SELECT entity_id, term_id, model, score FROM s), "
+       "h1 AS (SELECT entity_id, w1.i AS term_id, model, sum(w * score) AS score FROM h0 JOIN w1 ON term_id = j GROUP BY 1, 2, 3), "
+       "h2 AS (SELECT entity_id, w1.i AS term_id, model, sum(w * score) AS score FROM h1 JOIN w1 ON term_id = j GROUP BY 1, 2, 3), "
+       "h AS (SELECT 0 AS hop, * FROM h0 UNION ALL SELECT 1, * FROM h1 UNION ALL SELECT 2, * FROM h2) ")) + "SELECT entity_id, term_id, " +
+       ", ".join(f"round(sum(CASE WHEN hop = {k} AND model = '{m}' THEN score ELSE 0.0 END), 6) AS {m}_hop{k}"
+                 for k in range(3) for m in MODELS) + " FROM h GROUP BY 1, 2")
+def q_stacker_channels(spark, d):
+    wide, _, adj = _stacker_inputs(spark, d)
+    x = GS.smoothed_channels(wide, MODELS, adj, 2)
+    names = [f"{m}_hop{k}" for k in range(3) for m in MODELS]
+    return x.select("entity_id", "term_id", *[F.round(F.col("x")[i], 6).alias(n) for i, n in enumerate(names)])
+
+
 @query("resume_by_fold", "F12 A21 J8 J9 W11", sql=knn_sql(10) +
        "SELECT k.query_id, l.term_id, round(sum(k.sim) / max(den.denom), 6) AS score "
        "FROM knn k JOIN (SELECT DISTINCT entity_id, term_id FROM veclab) l ON k.base_id = l.entity_id "

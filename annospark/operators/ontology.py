@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from annospark.session import bounded_broadcast, ensure_checkpoint_dir
+from annospark.session import bounded_broadcast, cut_lineage, ensure_checkpoint_dir
 
 # Closure pairs and adjacency rows of an ontology are small next to the
 # annotation data (48k terms give ~1-2M closure pairs of two short ids,
@@ -165,6 +165,35 @@ def _joined_closure(edges: DataFrame, nodes: DataFrame | None, max_rounds: int)
     return table().select(F.col("child").alias("term_id"), F.col("parent").alias("ancestor"))
 
 
+def maintained_closure(closure: DataFrame, edges: DataFrame, inserted: DataFrame, deleted: DataFrame,
+                       climb_edges: int = CLIMB_EDGES) -> DataFrame:
+    """G1 after a batch of edits: the closure of ``edges`` (the edges after the edits) from the ``closure`` before them.
+
+    A term's ancestors can change only if it lies below the child of an edited
+    edge, by the old closure, or is an end of an inserted one; the others keep
+    their rows.  Inserting what is there and deleting what is not change
+    nothing.  Terms stay (with themselves) when their last edge goes, also
+    terms that ``edges`` does not name; a cycle raises ``ValueError``.
+    Work grows with the terms below the edits, but for one scan of the closure.
+    """
+    below = inserted.select(F.col("child").alias("ancestor")).unionByName(deleted.select(F.col("child").alias("ancestor"))).distinct()
+    hit = closure.join(below, "ancestor", "left_semi").select("term_id") \
+        .unionByName(inserted.select(F.explode(F.array("child", "parent")).alias("term_id"))) \
+        .where(F.col("term_id").isNotNull()).distinct()
+    hit = cut_lineage(hit)
+    few = edges.select("child", "parent").where(F.col("child") != F.col("parent")).distinct().limit(climb_edges + 1).toArrow()
+    if few.num_rows > climb_edges:
+        # the edges above the terms that are hit: the ends of edges from them up, whose closure is known where nothing changed
+        fresh = _joined_closure(edges.join(hit.withColumnRenamed("term_id", "child"), "child", "left_semi"), hit, 200)
+        up = closure.join(hit, "term_id", "left_anti")
+        beyond = fresh.join(up.select(F.col("term_id").alias("a"), F.col("ancestor").alias("beyond")), F.col("ancestor") == F.col("a"))
+        new = fresh.unionByName(beyond.select("term_id", F.col("beyond").alias("ancestor"))).distinct() \
+            .join(hit, "term_id", "left_semi")
+    else:
+        new = _climbed_closure(few, hit)
+    return closure.join(hit, "term_id", "left_anti").select("term_id", "ancestor").unionByName(new.select("term_id", "ancestor"))
+
+
 def induced_edges(edges: DataFrame, terms: DataFrame) -> DataFrame:
     """Edges whose child and parent are both in ``terms`` (a gap blocks paths)."""
     t = terms.select("term_id").distinct()

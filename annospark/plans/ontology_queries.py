@@ -55,6 +55,23 @@ def q_closure(spark, d):
     return G.ancestor_closure(S.edges(spark, d), nodes=S.terms(spark, d))
 
 
+@query("maintained_closure", "G1", sql=_rec("edges", extra=
+       "e2 AS (SELECT * FROM edges WHERE CAST(substr(child, 4) AS BIGINT) % 40 <> 7 UNION SELECT " + S._term("p_partkey") +
+       ", " + S._term("p_partkey // 5") + " FROM part WHERE p_partkey % 60 = 11 AND p_partkey > 20),\n"
+       "anc(child, ancestor) AS (SELECT child, parent FROM e2 UNION SELECT a.child, e2.parent FROM anc a JOIN e2 ON a.ancestor = "
+       "e2.child)") + "SELECT child AS term_id, ancestor FROM anc UNION SELECT child, child FROM edges UNION SELECT parent, parent "
+       "FROM edges UNION SELECT child, child FROM e2 UNION SELECT parent, parent FROM e2")
+def q_maintained(spark, d):
+    """Edges of every 40th child go, every 60th term gets a further parent."""
+    e = S.edges(spark, d)
+    gone = e.filter(F.substring("child", 4, 7).cast("long") % 40 == 7)
+    key = F.col("p_partkey")
+    new = S.table(spark, d, "part").filter((key % 60 == 11) & (key > 20)).select(
+        S.term_col(key).alias("child"), S.term_col(F.floor(key / 5)).alias("parent"))
+    after = e.join(gone, ["child", "parent"], "left_anti").unionByName(new).distinct()
+    return G.maintained_closure(G.ancestor_closure(e), after, new, gone)
+
+
 @query("propagate_annotations", "G2 G1 P7 U2", sql=_rec("edges", "ext", "ann", "ck",
        extra=CONTRACT_SQL + ",\n" + FULL_CL) +
        "SELECT DISTINCT x.entity_id, cl.ancestor AS term_id, 1.0 AS score FROM ext x JOIN cl "

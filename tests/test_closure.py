@@ -47,3 +47,22 @@ def test_cycles_and_empty_tables(spark, climb_edges):
     assert G.ancestor_closure(none, climb_edges=climb_edges).count() == 0
     one = spark.createDataFrame([("t",)], "term_id string")
     assert [tuple(r) for r in G.ancestor_closure(none, one, climb_edges=climb_edges).collect()] == [("t", "t")]
+
+
+def test_closure_after_edits(spark):
+    rnd = random.Random(5)
+    old = {(f"t{k}", f"t{rnd.randrange(k)}") for k in range(1, 40) for _ in range(2)}
+    frame = lambda e: spark.createDataFrame(sorted(e), "child string, parent string")
+    closure = G.ancestor_closure(frame(old)).checkpoint()
+    gone = set(rnd.sample(sorted(old), 6)) | {("t3", "nothing")}
+    new = {("t30", "t2"), ("n1", "t12"), ("n1", "n2"), ("n2", "t9"), ("t38", "n1")}
+    after = (old - gone) | new
+    terms = spark.createDataFrame([(t,) for t in sorted({x for e in old | new for x in e})], "term_id string")
+    want = {tuple(r) for r in G.ancestor_closure(frame(after), nodes=terms).collect()}
+    for bound in (1000, 3):  # the edges in every task, and by joins
+        got = G.maintained_closure(closure, frame(after), frame(new), frame(gone), climb_edges=bound).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+    same = G.maintained_closure(closure, frame(old), frame(old).where("false"), frame(old).where("false"))
+    assert sorted(same.collect()) == sorted(closure.collect())
+    with pytest.raises(ValueError):
+        G.maintained_closure(closure, frame(old | {("t0", "t39")}), frame({("t0", "t39")}), frame(old).where("false")).collect()

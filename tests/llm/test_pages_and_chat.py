@@ -162,3 +162,84 @@ def test_wrapped_headers_and_whole_licences(spark, make_docs):
     got = {r.path: (r.license, r.stated) for r in licenses.scan(df).collect()}
     assert [got[p][0] for p in ("a/m.c", "a/g.py", "a/b.js", "m/LICENSE", "b/LICENSE", "n/none.txt")] == \
         ["MIT", "GPL-3.0", "BSD-3-Clause", "MIT", "BSD-2-Clause", None]
+
+
+def test_kinds_inside_articles():
+    page = ("<body><article><header><h1>Title</h1></header><div class='post-header'><h2>Sub</h2></div><p class='notice-board'>Board</p>"
+            "<p>Text</p><div class='cookie-banner'>c</div><div id='comment-17'>r</div><footer>f</footer></article>"
+            "<div class='site-header'>h</div><header>h</header></body>")
+    assert [t for _, t, kind in html_extract.read_page(page)[0] if not kind] == ["Title", "Sub", "Board", "Text"]
+
+
+def _tree_by_loops(pages):
+    """Texts of one host's pages by the style tree, with plain loops."""
+    E = html_extract
+    read = [E.read_page(p) for p in pages]
+    seen, trees = set(), []
+    for blocks, children in read:
+        blocks = [(s, t) for s, t, kind in blocks if kind != E.NEVER]
+        if tuple(t for _, t in blocks) not in seen:
+            seen.add(tuple(t for _, t in blocks))
+            trees.append((blocks, children))
+    styles = {a for blocks, _ in trees for s, _ in blocks for a in E.above(s) or [s]}
+    under = lambda s, top: s == top or s.startswith(top + "/")
+    has = {s: [k for k, (blocks, _) in enumerate(trees) if any(under(b, s) for b, _ in blocks)] for s in styles}
+    entropy = lambda ns, n: -sum(c / sum(ns) * math.log(c / sum(ns)) for c in ns) / math.log(max(n, 2))
+    value, weight = {}, {}
+    for s in styles:
+        n, texts, looks = len(has[s]), {}, {}
+        for k in has[s]:
+            blocks, children = trees[k]
+            look = (tuple(children.get(s, [])), sum(len(t.split()) for b, t in blocks if b == s).bit_length())
+            looks[look] = looks.get(look, 0) + 1
+            for t in {t for b, t in blocks if b == s}:
+                texts[t] = texts.get(t, 0) + 1
+        spread = lambda c: math.log(c) / math.log(max(n, 2))
+        content = 1 - sum(c * spread(c) for c in texts.values()) / sum(texts.values()) if texts else None
+        if texts:
+            value[s] = 1 - (1 - entropy(looks.values(), n) / 2) * (1 - content)
+        weight[s] = sum(len(t.split()) * c * (1 - spread(c)) for t, c in texts.items())
+    branch = {s: sum(w for t, w in weight.items() if under(t, s)) for s in styles}
+    whole = sum(weight.values())
+    elements = {s: sum(len(trees[k][1].get(s, [])) for k in has[s]) / len(has[s]) for s in styles}
+    enough = lambda s: len(has[s]) >= E.LEAST_PAGES
+    mains = [s for s in styles if enough(s) and elements[s] < 1.05 and branch[s] > whole / 2 and weight[s] < branch[s] / 2]
+    inner = max(mains, key=len, default=None)
+    parents = {m.rsplit("/", 1)[0] for m in mains}
+    own = {s for s in value if enough(s) and value[s] < E.LEAST_IMPORTANCE}
+    all_low = {s for s in own if all(value[t] < E.LEAST_IMPORTANCE for t in value if under(t, s))}
+    beside = {s for s in styles if enough(s) and branch[s] < whole * E.LEAST_SHARE and s.rsplit("/", 1)[0] in parents
+              and s.rsplit("/", 1)[1].split(".")[0] not in ("h1", "h2", "h3", "h4", "h5", "h6")}
+    out = []
+    for blocks, _ in read:
+        blocks = [(s, t) for s, t, kind in blocks if not kind]
+        gone = all_low | (beside if inner and any(under(s, inner) for s, _ in blocks) else set())
+        out.append("\n\n".join(t for s, t in blocks if s not in own and not any(under(s, g) for g in gone)))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_style_tree_equals_loops(make_docs, seed):
+    import random
+
+    r = random.Random(seed)
+    words = [f"w{k}" for k in range(60)]
+    say = lambda low, high: " ".join(r.choice(words) for _ in range(r.randint(low, high)))
+
+    def page(k):
+        menu = "".join(f"<li><a href=/{k}>{say(1, 1)}</a></li>" for _ in range(r.randint(3, 5)))
+        body = "".join(f"<p>{say(10, 80)}</p>" for _ in range(r.randint(1, 6)))
+        title, lead, low = f"<h1>{say(3, 6)}</h1>", "<p>By the same desk</p>", "<div class=z2>All rights</div>"
+        own = f"<div class=z3><h1>{say(2, 4)}</h1>{lead}{body}{low}</div>" if k % 9 else f"<section>{body}</section>"
+        return f"<body><ul class=z1>{menu}</ul><div class=z4>{say(4, 9)}</div>{title}{own}<div class=z5><p>{say(3, 6)}</p></div></body>"
+    pages = [page(k) for k in range(40)]
+    pages += pages[:3] * 5
+    got = html_extract.extract_main_text(make_docs([(k, "http://h.org/a", p) for k, p in enumerate(pages)],
+                                                   "page_id long, url string, html string")).collect()
+    want = _tree_by_loops(pages)
+    assert {x.page_id: x.text for x in got} == dict(enumerate(want))
+    # menus, adverts and footers of texts of their own are gone without any list, the articles whole
+    for p, text in zip(pages, want):
+        if "z3" in p:
+            kept = [t for s, t, _ in html_extract.read_page(p)[0] if "h1" in s or "/div.z3/p" in s]
+            assert text == "\n\n".join(t for t in kept if t != "By the same desk") or text == "\n\n".join(kept)

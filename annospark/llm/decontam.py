@@ -1,13 +1,15 @@
 """Benchmark decontamination by template windows, with DataFrame functions only.
 
-Texts are brought to a template form: numbers, units after a number, and names
-(words with a capital first letter inside a sentence, not all in capitals) become typed placeholders; the rest is
+Texts are brought to a template form: numbers (also in words), units after a number, and names
+(words with a capital first letter inside a sentence, not all in capitals, and the same words where they begin a
+sentence of that text) become typed placeholders; the rest is
 lower-cased and stripped of punctuation.  Windows of five template words are
 hashed and joined with those of the benchmark items (with and without names
 replaced, so a leak in another case matches too).  Of an item's windows that a
 document holds, those count whose slots are consistent: along one alignment,
-each replaced value of the item always meets the same value in the document, or
-all values of the window are the item's own.
+each replaced value of the item always meets the same value in the document
+(also outside the windows held, where the literal words beside it are the
+item's), or all values of the window are the item's own.
 That catches questions asked again with other numbers or names.  A document is
 contaminated by an item if at least half of the item's windows count.  Windows
 with fewer than two literal words are no evidence, so they are left out of both
@@ -23,7 +25,7 @@ benchmark flags nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annospark.llm.common import free_name, let, stored
@@ -37,8 +39,15 @@ UNITS = ("kg g mg lb lbs oz km m cm mm mi ft yd inch inches mile miles meter met
          "minute minutes min second seconds sec day days week weeks month months year years dollar dollars euro euros "
          "cent cents usd eur percent litre litres liter liters ml l kb mb gb tb mph kmh volt volts watt watts degrees").split()
 
-_NAME_RE = r"(?<=[\p{L}\p{N},;'’)] )\p{Lu}\p{Ll}[\p{L}\p{M}'’-]*"
-_UNIT_RE = r"(?i)(\d(?:[\d.,]*\d)?)( ?)(?:" + "|".join(UNITS) + r")(?![\p{L}\p{N}])"
+_CAPITALISED = r"\p{Lu}\p{Ll}[\p{L}\p{M}'’-]*"
+_NAME_RE = rf"(?<=[\p{{L}}\p{{N}},;'’)] ){_CAPITALISED}"
+_SENTENCE_RE = rf"(?<=[^\p{{L}}\p{{N}},;'’){NAME}] |[\n\r\t])"
+_FIRST_RE = rf"^([\"“(]*)({_CAPITALISED})"
+# Numbers in words ("one" is more often no number).
+NUMBER_WORDS = ("two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen "
+                "eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million").split()
+_SPELT_RE = r"(?i)(?<![\p{L}\p{N}'’])(?:" + "|".join(NUMBER_WORDS) + r")(?![\p{L}\p{N}'’])"  # word by word
+_UNIT_RE = rf"(?i)(\d(?:[\d.,]*\d)?|{NUMBER})( ?)(?:" + "|".join(UNITS) + r")(?![\p{L}\p{N}])"
 _NUMBER_RE = r"\d+(?:[.,:/]\d+)*"
 
 
@@ -46,11 +55,23 @@ def template_words(text: Column, names: bool = True) -> Column:
     """Template words of the text, in step with :func:`plain_words`."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), "[-]", "")
     if names:
-        t = F.regexp_replace(t, _NAME_RE, NAME)
+        t = let(t, _names_typed)
+    t = F.regexp_replace(t, _SPELT_RE, NUMBER)
     t = F.regexp_replace(F.regexp_replace(t, _UNIT_RE, f"{NUMBER}$2{UNIT}"), _NUMBER_RE, NUMBER)
     return _words(t)
 
 
+def _names_typed(t: Column) -> Column:
+    inside = F.regexp_replace(t, _NAME_RE, NAME)
+
+    def first(names: Column) -> Column:
+        typed = F.transform(F.split(inside, _SENTENCE_RE), lambda s: F.when(
+            F.array_contains(names, F.regexp_extract(s, _FIRST_RE, 2)), F.regexp_replace(s, _FIRST_RE, f"$1{NAME}")).otherwise(s))
+        return F.when(F.size(names) > 0, F.array_join(typed, "")).otherwise(inside)
+
+    return let(F.array_distinct(F.regexp_extract_all(t, F.lit(_NAME_RE), F.lit(0))), first)
+
+
 def plain_words(text: Column) -> Column:
     return _words(F.regexp_replace(F.coalesce(text, F.lit("")), "[-]", ""))
 
@@ -174,7 +195,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
              .select(F.col("doc_id").alias("d"), F.col("th").alias("t"), template_words(F.col("text")).alias("form"),
                      plain_words(F.col("text")).alias("plain")))
     items = benchmark_items(benchmark, item_col, item_text_col).select(
-        F.col("item_id").alias("i"), F.col("ih").alias("x"), plain_words(F.col("text")).alias("item_plain"))
+        F.col("item_id").alias("i"), F.col("ih").alias("x"), plain_words(F.col("text")).alias("item_plain"),
+        template_words(F.col("text")).alias("item_form"))
     pairs = hits.where(~is_plain).join(texts, same).join(items, this)
     slots = F.filter(F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: F.struct(
         F.get("form", F.col("pos") + k).alias("form"), F.get("item_plain", F.col("at") + k).alias("item"),
@@ -183,10 +205,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     slots = (pairs.select(*pair, "pos", "at", slots.alias("slots"))
              .select(*pair, "pos", "at", own.alias("own"), F.explode("slots").alias("s"))
              .select(*pair, "pos", "at", "own", "s.*", (F.col("pos") - F.col("at")).alias("line")))
-    met = Window.partitionBy(*pair, "line", "form", "item")  # at most an item's windows and slots
-    window = [*pair, "pos", "at"]
-    broken = (slots.withColumns({"least": F.min("doc").over(met), "most": F.max("doc").over(met)})
-              .where(F.col("least") != F.col("most")).where(~F.col("own"))
+    window, value = [*pair, "pos", "at"], [*pair, "line", "item"]
+
+    def beside(p: Column) -> Column:
+        """The literal words before and after the item's word ``p`` are there in the document too, at least one."""
+        sides = F.array(*[F.struct(F.get("item_form", p + k).alias("item"), F.get("form", F.col("line") + p + k).alias("doc"))
+                          for k in (-1, 1)])
+        return let(F.filter(sides, lambda w: w["item"].isNotNull() & ~_has_slot(w["item"])),
+                   lambda ws: (F.size(ws) > 0) & F.forall(ws, lambda w: w["item"].eqNullSafe(w["doc"])))
+
+    places = F.filter(F.sequence(F.lit(0), F.size("item_form") - 1), lambda p: _has_slot(F.get("item_form", p))
+                      & F.get("plain", F.col("line") + p).isNotNull() & beside(p))
+    lines = (pairs.select(*pair, (F.col("pos") - F.col("at")).alias("line")).distinct().join(texts, same).join(items, this)
+             .where(F.size("item_form") == F.size("item_plain")).where(F.size("form") == F.size("plain"))
+             .select(*pair, "line", "item_plain", "plain", F.explode(places).alias("p"))
+             .select(*pair, "line", F.get("item_plain", F.col("p")).alias("item"), F.get("plain", F.col("line") + F.col("p")).alias("doc")))
+    # sums of an item's slots and windows, at most, in each group
+    unlike = (slots.select(*value, "doc").unionByName(lines).groupBy(*value).agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
+              .where(F.col("least") != F.col("most")).select(*[F.col(c).alias(f"v_{c}") for c in value]))
+    broken = (slots.where(~F.col("own")).join(unlike, [F.col(c).eqNullSafe(F.col(f"v_{c}")) for c in value], "left_semi")
               .select(*[F.col(c).alias(f"b_{c}") for c in window]).distinct())
     on = [F.col(c).eqNullSafe(F.col(f"b_{c}")) for c in window]
     good = summed(hits.join(broken, on, "left_anti"))

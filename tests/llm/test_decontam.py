@@ -57,3 +57,70 @@ def test_items_of_any_words_are_found(spark, make_docs):
                  for r in decontam.contaminated(make_docs(docs), bench).collect())
     assert got == [(10, 1, True), (12, 2, True), (13, 3, True), (14, 0, True), (14, 4, True), (15, 0, True), (15, 4, True),
                    (16, 5, True), (18, 6, True)]
+
+
+def test_names_at_sentence_starts_and_spelt_numbers(spark, make_docs):
+    item = "Anna has 5 apples. Anna gives 3 apples to Tom. How many apples does Anna have left?"
+    again = "Zoe has 7 apples. Zoe gives 2 apples to Bob. How many apples does Zoe have left?"
+    unlike = "Anna has 5 apples. Bob gives 3 apples to Tom. How many apples does Zoe have left?"
+    spelt = "A tram drives at eighty km an hour along the coast. How far does it drive in four hours without a stop?"
+    digits = spelt.replace("eighty", "95").replace("four", "6")
+    story = "Rain fell. Nobody has apples in the north and how many trees there are is not known to us"
+    docs = [(1, again), (2, unlike), (3, item), (4, item.lower()), (5, digits), (6, spelt.replace("eighty", "ninety-five")),
+            (7, story), (8, "It began so. " + again)]
+    got = flagged(spark, make_docs, docs, [(1, item), (2, spelt)])
+    assert got == [(1, 1), (3, 1), (4, 1), (5, 2), (6, 2), (8, 1)]
+
+
+def _flagged_by_loops(spark, docs, items):
+    """Windows counted with plain loops over the template and plain words that Spark gives."""
+    from pyspark.sql import functions as F
+
+    def words(rows):
+        df = spark.createDataFrame(rows, "id long, text string")
+        return {r.id: (r.form, r.kept, r.plain) for r in df.select(
+            "id", decontam.template_words(F.col("text")).alias("form"),
+            decontam.template_words(F.col("text"), False).alias("kept"), decontam.plain_words(F.col("text")).alias("plain")).collect()}
+    slot = lambda w: any(c in w for c in (decontam.NUMBER, decontam.NAME, decontam.UNIT))
+    n, out = decontam.WINDOW, set()
+    texts, asked = words(docs), words(items)
+    for i, (form, _, plain) in asked.items():
+        usable = [at for at in range(len(form) - n + 1) if sum(not slot(w) for w in form[at:at + n]) >= 2]
+        for d, (dform, _, dplain) in texts.items():
+            met, windows = {}, []
+            for at in usable:
+                for pos in range(len(dform) - n + 1):
+                    if dform[pos:pos + n] in (form[at:at + n], asked[i][1][at:at + n]):
+                        line = pos - at
+                        windows.append((at, line, [plain[at + k] for k in range(n) if slot(dform[pos + k])],
+                                        [dplain[pos + k] for k in range(n) if slot(dform[pos + k])]))
+                        for a, b in zip(*windows[-1][2:]):
+                            met.setdefault((line, a), set()).add(b)
+                        for p in range(len(form)):
+                            sides = [q for q in (p - 1, p + 1) if 0 <= q < len(form) and not slot(form[q])]
+                            if slot(form[p]) and 0 <= line + p < len(dform) and sides and all(
+                                    0 <= line + q < len(dform) and form[q] == dform[line + q] for q in sides):
+                                met.setdefault((line, plain[p]), set()).add(dplain[line + p])
+            good = {at for at, line, a, b in windows if a == b or all(len(met[line, v]) == 1 for v in a)}
+            if len(good) >= len(usable) / 2:
+                out.add((d, i))
+    return sorted(out)
+
+
+def test_equals_loops(spark, make_docs):
+    import random
+
+    r = random.Random(3)
+    names, verbs = ["Anna", "Bob", "Zoe", "Tom"], ["gives", "takes", "sells", "finds"]
+
+    def say(who, n):
+        return " ".join(f"{who()} {r.choice(verbs)} {n()} green apples to {who()} at the market." for _ in range(3))
+    any_name, any_number = (lambda: r.choice(names)), (lambda: r.choice(["3", "40", "seven", "12"]))
+    items = [(k, say(any_name, any_number) + f" How many are left for {any_name()} on day {k}?") for k in range(4)]
+    docs = [(100 + k, "Some words. " * (k % 3) + say(any_name, any_number) + f" How many are left for {any_name()} on day {k}?")
+            for k in range(12)]
+    docs += [(200 + k, t.replace("Anna", "Clara").replace("40", "41")) for k, t in items] + [(300 + k, t) for k, t in items]
+    make_docs([])
+    got = flagged(spark, make_docs, docs, items)
+    want = _flagged_by_loops(spark, docs, items)
+    assert got == want and 0 < len(want) < len(docs) * len(items)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annospark.functions import stats
+from annospark.session import cut_lineage
 
 
 def evidence_histogram(rows: DataFrame, evidence: str = "evidence") -> DataFrame:
@@ -71,16 +72,21 @@ def prediction_diversity(pred: DataFrame, n_entities: int | Column) -> DataFrame
 def rank_correlation(cells: DataFrame, a: str = "y", b: str = "score") -> DataFrame:
     """Spearman correlation (average ranks for ties) of two columns.
 
-    Ranks come from value histograms numbered with ``group_positions``; no
-    global sort of the cells is needed."""
+    The cells are counted once by the pair of values; ranks come from the
+    histograms of each value numbered with ``group_positions``, and joins and
+    sums take one row per distinct pair, so a frequent value (0.0) is no hot key."""
+    joint = cut_lineage(cells.groupBy(F.col(a).cast("double").alias(a), F.col(b).cast("double").alias(b)).agg(F.count("*").alias("n")))
+
     def avg_rank(col: str) -> DataFrame:
-        h = cells.groupBy(F.col(col).cast("double").alias("v")).agg(F.count("*").alias("c"))
+        h = joint.groupBy(F.col(col).alias("v")).agg(F.sum("n").alias("c"))
         h = h.withColumn("_g", F.lit(0))
         h = stats.group_positions(h, ["_g"], ["v"], out="start", weight="c").drop("_g")
         return h.select(F.col("v").alias(col), (F.col("start") + (F.col("c") + 1) / 2.0).alias(f"r_{col}"))
-    x = cells.select(F.col(a).cast("double").alias(a), F.col(b).cast("double").alias(b))
-    x = x.join(avg_rank(a), a).join(avg_rank(b), b)
-    return x.agg(F.corr(f"r_{a}", f"r_{b}").alias("spearman"))
+    x = joint.join(avg_rank(a), a).join(avg_rank(b), b)
+    total = joint.agg(F.sum("n")).scalar()  # the mean rank is (total + 1) / 2
+    da, db = (F.col(f"r_{c}") - (total + 1) / 2.0 for c in (a, b))
+    s = x.agg(F.sum(F.col("n") * da * db).alias("ab"), F.sum(F.col("n") * da * da).alias("aa"), F.sum(F.col("n") * db * db).alias("bb"))
+    return s.select(F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.col("ab") / F.sqrt(F.col("aa")) / F.sqrt(F.col("bb"))).alias("spearman"))
 
 
 def null_aware_term_stats(wide: DataFrame, value: str) -> DataFrame:

@@ -79,13 +79,22 @@ def sparsity_profile(labels: DataFrame, n_rows: int | None = None, n_cols: int |
     return out
 
 
+def density_by_aspect(labels: DataFrame, entities: DataFrame) -> DataFrame:
+    """A7 per aspect: terms, distinct labels (``nnz``) and the share of filled cells of entities x terms.  Each label is
+    counted once by term first, so nothing is counted distinct under a hot aspect."""
+    per = labels.select("aspect", "term_id", "entity_id").distinct().groupBy("aspect", "term_id").agg(F.count("*").alias("n"))
+    n_entities = entities.select("entity_id").distinct().agg(F.count("*")).scalar()
+    return per.groupBy("aspect").agg(F.count("*").alias("n_terms"), F.sum("n").alias("nnz")).select(
+        "aspect", "n_terms", "nnz", (F.col("nnz") / (F.col("n_terms") * n_entities)).alias("density"))
+
+
 # ---------------------------------------------------------------- top-k / contracts
 def global_top_k(counts: DataFrame, k: int, n: str = "n") -> DataFrame:
     """The k most frequent terms (count desc, term asc)."""
     return counts.orderBy(F.col(n).desc(), F.col("term_id")).limit(k)
 
 
-def top_k_per_aspect(counts: DataFrame, k_by_aspect: dict[str, int]) -> DataFrame:
+def top_k_per_aspect(counts: DataFrame, k_by_aspect: dict[str, int | None]) -> DataFrame:
     """Label contract.  Per aspect the k most frequent terms (count desc,
     term asc), blocks concatenated in the dict's order with contiguous
     ``col_idx``; a term in several blocks keeps its first position.
@@ -93,14 +102,18 @@ def top_k_per_aspect(counts: DataFrame, k_by_aspect: dict[str, int]) -> DataFram
     The input is the per-term count table (one row per ontology term, tens of
     thousands of rows whatever the annotation volume).  The rank filter uses
     the literal maximum k, so Spark keeps only the top rows per aspect in each
-    map task (WindowGroupLimit) before the per-aspect window."""
+    map task (WindowGroupLimit) before the per-aspect window.  ``None`` for k
+    keeps all terms of the aspect."""
     order = F.create_map(*[x for i, a in enumerate(k_by_aspect) for x in (F.lit(a), F.lit(i))])
-    ks = F.create_map(*[x for a, k in k_by_aspect.items() for x in (F.lit(a), F.lit(int(k)))])
-    max_k = max(int(k) for k in k_by_aspect.values())
+    limits = {a: int(k) for a, k in k_by_aspect.items() if k is not None}
     c = counts.filter(F.col("aspect").isin(list(k_by_aspect)))
     w = Window.partitionBy("aspect").orderBy(F.col("n").desc(), F.col("term_id"))
-    c = c.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= max_k) \
-        .filter(F.col("rn") <= F.element_at(ks, F.col("aspect")))
+    c = c.withColumn("rn", F.row_number().over(w))
+    if limits:
+        if len(limits) == len(k_by_aspect):
+            c = c.filter(F.col("rn") <= max(limits.values()))
+        ks = F.create_map(*[x for a, k in limits.items() for x in (F.lit(a), F.lit(k))])
+        c = c.filter(F.coalesce(F.col("rn") <= F.element_at(ks, F.col("aspect")), F.lit(True)))
     c = c.withColumn("blk", F.element_at(order, F.col("aspect")))
     # a term kept by several aspects stays in its first block only
     first = Window.partitionBy("term_id").orderBy("blk", "rn")
@@ -118,7 +131,7 @@ def elite_contract(counts: DataFrame, contract: DataFrame, noise_floor: int,
     """Terms with ``n >= noise_floor`` inside the contract, ordered per aspect
     (count desc, term asc) and blocks in ``aspect_order``, contiguous ``col_idx``."""
     c = counts.filter(F.col("n") >= noise_floor).join(contract.select("term_id"), "term_id", "left_semi")
-    return top_k_per_aspect(c, {a: 2 ** 31 - 1 for a in aspect_order})
+    return top_k_per_aspect(c, dict.fromkeys(aspect_order))
 
 
 def coverage_by_rank(counts: DataFrame, ia: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
@@ -291,6 +304,28 @@ def key_overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
                  F.count_if(F.col("_l").isNull()).alias("only_right"))
 
 
+def key_overlap_report(left: DataFrame, right: DataFrame, key: str, clean, samples: int = 5) -> DataFrame:
+    """J7 in full: one row for the keys as they are (``raw``) and one for the keys made clean by ``clean`` (column ->
+    column): distinct keys of each side, matched keys, their share of the left keys, and the first ``samples`` keys that
+    only one side has, joined by commas.  Null keys count on neither side."""
+    def forms(df: DataFrame, side: str) -> DataFrame:
+        k = F.col(key).cast("string")
+        both = F.array(*[F.struct(F.lit(form).alias("form"), c.alias("k")) for form, c in (("raw", k), ("clean", clean(k)))])
+        return df.select(F.inline(both)).where("k IS NOT NULL").select(
+            "form", "k", F.lit(side == "left").alias("l"), F.lit(side == "right").alias("r"))
+
+    keys = forms(left, "left").unionByName(forms(right, "right")).groupBy("form", "k").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    first = Window.partitionBy("form", "l", "r").orderBy("k")
+    shown = (keys.where(~(F.col("l") & F.col("r"))).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= samples)
+             .groupBy("form").agg(*[F.array_join(F.array_sort(F.collect_list(F.when(F.col(c), F.col("k")))), ",").alias(f"sample_only_{name}")
+                                    for c, name in (("l", "left"), ("r", "right"))]))
+    n = keys.groupBy("form").agg(F.count_if("l").alias("n_left"), F.count_if("r").alias("n_right"),
+                                 F.count_if(F.col("l") & F.col("r")).alias("matched"))
+    return n.join(shown, "form", "left").select(
+        "form", "n_left", "n_right", "matched", F.when(F.col("n_left") > 0, F.col("matched") / F.col("n_left")).alias("matched_share"),
+        *[F.coalesce(c, F.lit("")).alias(c) for c in ("sample_only_left", "sample_only_right")])
+
+
 def truth_vs_prediction(truth: DataFrame, pred: DataFrame) -> DataFrame:
     """Full outer alignment; status tp / fp / fn per (entity, term)."""
     t = truth.select("entity_id", "term_id").distinct().withColumn("_t", F.lit(1))
@@ -305,14 +340,12 @@ def frequency_baseline(entities: DataFrame, ann: DataFrame, top_n: int) -> DataF
     """Every entity gets the top-N terms with ``prob = count / total rows``.
 
     The output is entities x N by definition.  The N-row list is bounded by
-    the ``top_n`` parameter; it is shipped to every task as one literal array
-    column (a generate, not a join)."""
+    the ``top_n`` parameter; it is one array, a scalar subquery that every task
+    expands (a generate, not a join)."""
     probs = term_probabilities(ann).withColumnRenamed("prob", "n")
-    top = global_top_k(probs, top_n).collect()  # at most top_n rows
-    arr = F.array(*[F.struct(F.lit(r["term_id"]).alias("term_id"), F.lit(float(r["n"])).alias("prob"))
-                    for r in top])
+    top = global_top_k(probs, top_n).agg(F.collect_list(F.struct("term_id", F.col("n").alias("prob"))).alias("top")).scalar()
     e = entities.select("entity_id").distinct()
-    return e.select("entity_id", F.inline(arr))
+    return e.select("entity_id", F.explode(top).alias("t")).select("entity_id", "t.term_id", "t.prob")
 
 
 def order_check(a: DataFrame, b: DataFrame, key: str = "id") -> DataFrame:

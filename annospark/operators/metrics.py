@@ -40,6 +40,11 @@ def cells(scores: DataFrame, truth: DataFrame, terms: DataFrame | None = None,
     t = truth.select(*KEY).distinct().withColumn("y", F.lit(1))
     c = s.join(t, KEY, "full_outer").select(
         *KEY, F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("y", F.lit(0)).alias("y"))
+    return _with_terms(c, terms, ia, ia_default, unknown_aspect)
+
+
+def _with_terms(c: DataFrame, terms: DataFrame | None, ia: DataFrame | None, ia_default: float,
+                unknown_aspect: str = "UNK") -> DataFrame:
     if terms is not None:
         c = c.join(terms.select("term_id", F.col("aspect").alias("_a")), "term_id", "left") \
             .withColumn("aspect", F.coalesce("_a", F.lit(unknown_aspect))).drop("_a")
@@ -53,6 +58,27 @@ def cells(scores: DataFrame, truth: DataFrame, terms: DataFrame | None = None,
     return c
 
 
+def subset_cells(scores: DataFrame, truth: DataFrame, terms: DataFrame | None, ia: DataFrame | None,
+                 subsets: dict[str, list[str]], ia_default: float = 0.0, model: str = "model") -> DataFrame:
+    """Cells of the mean ensemble of every named model subset, with a column ``subset``.
+
+    The values of a cell's models (one per model) stay in one row through the joins with truth, terms and weights; the
+    subsets part only afterwards, without a shuffle.  A subset has a cell where one of its models has a score or the
+    truth has the pair."""
+    wide = scores.groupBy(*KEY).agg(F.collect_list(F.struct(F.col(model).alias("model"), "score")).alias("score"))
+    t = truth.select(*KEY).distinct().withColumn("y", F.lit(1))
+    c = wide.join(t, KEY, "full_outer").select(*KEY, "score", F.coalesce("y", F.lit(0)).alias("y"))
+    c = _with_terms(c, terms, ia, ia_default)
+
+    def mean(names: list[str]) -> Column:  # in ascending order, so a recomputed cell is the same
+        own = F.transform(F.filter("score", lambda m: m["model"].isin(names)), lambda m: m["score"])
+        return F.when(F.size(own) > 0, F.aggregate(F.array_sort(own), F.lit(0.0), lambda a, x: a + x) / float(len(names)))
+
+    each = F.array(*[F.struct(F.lit(name).alias("subset"), mean(names).alias("score")) for name, names in subsets.items()])
+    c = c.select(*KEY, "y", "aspect", "ia", F.explode(each).alias("s")).where(F.col("s.score").isNotNull() | (F.col("y") == 1))
+    return c.select("s.subset", *KEY, F.coalesce("s.score", F.lit(0.0)).alias("score"), "y", "ia", "aspect")
+
+
 def threshold_of(thresholds: dict[str, float] | float, aspects: tuple[str, ...] = ()) -> Column:
     """The threshold of a row's aspect: its own, else that of ``ALL``.  A row whose aspect has neither raises, as do
     ``aspects`` without one right away, so that no prediction vanishes unseen."""
@@ -79,22 +105,26 @@ def _prf(tp: Column, pred: Column, true: Column):
     return p, r, f
 
 
-def ia_f1_pooled(c: DataFrame, thresholds: dict[str, float] | float, strict: bool = False) -> DataFrame:
+def ia_f1_pooled(c: DataFrame, thresholds: dict[str, float] | float, strict: bool = False,
+                 by: list[str] | None = None) -> DataFrame:
     """Pooled IA-weighted P / R / F1 per aspect and ``ALL`` (GROUPING SETS
-    ((aspect), ())), with weighted tp / pred / true and term counts."""
+    ((aspect), ())), with weighted tp / pred / true and term counts; for each value of the ``by`` columns."""
+    by = by or []
     thr = _thr_col(thresholds)
     pred = (F.col("score") > thr) if strict else (F.col("score") >= thr)
     hit, true = pred, F.col("y") == 1
     # per term first (partial sums before the shuffle), so that terms are counted on one row each and cells never expand
-    x = c.groupBy("aspect", "term_id").agg(
+    x = c.groupBy(*by, "aspect", "term_id").agg(
         F.sum(F.when(hit & true, F.col("ia")).otherwise(0.0)).alias("tp"), F.sum(F.when(hit, F.col("ia")).otherwise(0.0)).alias("p"),
         F.sum(F.when(true, F.col("ia")).otherwise(0.0)).alias("t"), F.max(hit).alias("pred"), F.max(true).alias("true"))
-    g = x.rollup("aspect").agg(
+    both = F.explode(F.array("aspect", F.lit("ALL")))  # one row a term by now
+    g = x.rollup("aspect") if not by else x.withColumn("aspect", both).groupBy(*by, "aspect")
+    g = g.agg(
         F.sum("tp").alias("w_tp"), F.sum("p").alias("w_pred"), F.sum("t").alias("w_true"),
         F.countDistinct(F.when(F.col("pred"), F.col("term_id"))).alias("terms_pred"),
         F.countDistinct(F.when(F.col("true"), F.col("term_id"))).alias("terms_true"))
     p, r, f = _prf(F.col("w_tp"), F.col("w_pred"), F.col("w_true"))
-    return g.select(F.coalesce("aspect", F.lit("ALL")).alias("aspect"), p.alias("precision"),
+    return g.select(*by, F.coalesce("aspect", F.lit("ALL")).alias("aspect"), p.alias("precision"),
                     r.alias("recall"), f.alias("f1"), "w_tp", "w_pred", "w_true", "terms_pred", "terms_true")
 
 
@@ -161,16 +191,11 @@ def calibrate_aspect_thresholds(c: DataFrame, grid: list[float] | None = None,
 def threshold_probe(c: DataFrame, triples: list[tuple[float, float, float]],
                     aspects: tuple[str, str, str] = ("BP", "MF", "CC")) -> DataFrame:
     """Pooled IA-F1 over the three aspects at each listed per-aspect
-    threshold triple; counts are additive over aspects, so each aspect is
-    evaluated only at its own distinct thresholds."""
-    per = {a: sorted({t[i] for t in triples}) for i, a in enumerate(aspects)}
-    parts = []
-    for a, grid in per.items():
-        cur = threshold_curve(c.filter(F.col("aspect") == a), grid, include_all=False)
-        parts.append(cur.select("aspect", "thr", "w_tp", "w_pred", "w_true"))
-    cur = parts[0]
-    for p in parts[1:]:
-        cur = cur.unionByName(p)
+    threshold triple; counts are additive over aspects, so one curve per aspect
+    at all distinct thresholds, from one pass over the cells, serves every triple."""
+    grid = sorted({float(x) for t in triples for x in t})
+    cur = threshold_curve(c.filter(F.col("aspect").isin(*aspects)), grid, include_all=False) \
+        .select("aspect", "thr", "w_tp", "w_pred", "w_true")
     spark = c.sparkSession
     rows = [(i, a, float(t[j])) for i, t in enumerate(triples) for j, a in enumerate(aspects)]
     tri = spark.createDataFrame(rows, "probe int, aspect string, thr double")
@@ -462,6 +487,22 @@ def subset_scores(scores: DataFrame, subsets: dict[str, list[str]], model: str =
         (ordered_sum("score") / F.first("s.n")).alias("score"))
 
 
+def best_by_subset(scores: DataFrame, truth: DataFrame, terms: DataFrame, ia: DataFrame, subsets: dict[str, list[str]],
+                   grid: list[float], ia_default: float = 0.0) -> DataFrame:
+    """(subset, best_thr, best_f1): best pooled IA-F1 over all aspects of every model subset, in one pass over the
+    cells.  E13 with one subset for each model."""
+    c = subset_cells(scores, truth, terms, ia, subsets, ia_default).withColumn("aspect", F.lit("ALL"))
+    return best_threshold(threshold_curve(c, grid, by=["subset"], include_all=False), by=["subset"]) \
+        .select("subset", "best_thr", "best_f1")
+
+
+def compare_subsets(scores: DataFrame, truth: DataFrame, terms: DataFrame, ia: DataFrame, subsets: dict[str, list[str]],
+                    thresholds: dict[str, float] | float, ia_default: float = 0.0) -> DataFrame:
+    """E19 in one pass: tidy (model, aspect, metric, value) of the pooled IA precision, recall and F1 of every subset."""
+    c = subset_cells(scores, truth, terms, ia, subsets, ia_default).withColumnRenamed("subset", "model")
+    return ia_f1_pooled(c, thresholds, by=["model"]).unpivot(["model", "aspect"], ["precision", "recall", "f1"], "metric", "value")
+
+
 def ablation_leave_one_out(scores: DataFrame, truth: DataFrame, terms: DataFrame, ia: DataFrame,
                            models: list[str], grid: list[float] | None = None,
                            ia_default: float = 0.0) -> DataFrame:
@@ -471,17 +512,9 @@ def ablation_leave_one_out(scores: DataFrame, truth: DataFrame, terms: DataFrame
     grid = grid or CALIBRATION_GRID
     subsets = {"ALL_MODELS": list(models)}
     subsets.update({f"-{m}": [x for x in models if x != m] for m in models})
-    ss = subset_scores(scores, subsets)
-    t = truth.select(*KEY).distinct()
-    parts = []
-    for name in subsets:
-        c = cells(ss.filter(F.col("subset") == name), t, terms, ia, ia_default)
-        parts.append(best_threshold(threshold_curve(c, grid)).filter(F.col("aspect") == "ALL")
-                     .select(F.lit(name).alias("subset"), "best_thr", "best_f1"))
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    full = res.filter(F.col("subset") == "ALL_MODELS").select(F.max("best_f1")).scalar()
+    res = best_by_subset(scores, truth, terms, ia, subsets, grid, ia_default)
+    # one row per subset by now
+    full = F.max(F.when(F.col("subset") == "ALL_MODELS", F.col("best_f1"))).over(Window.partitionBy(F.lit(0)))
     delta = F.col("best_f1") - full
     label = F.when(F.col("subset") == "ALL_MODELS", F.lit("full")) \
         .when(delta < -0.001, F.lit("MVP")).when(delta > 0.001, F.lit("confuser")).otherwise(F.lit("neutral"))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from annospark.functions.keys import accession
 from annospark.session import bounded_broadcast, cut_lineage, ensure_checkpoint_dir
 
 # Closure pairs and adjacency rows of an ontology are small next to the
@@ -212,6 +213,20 @@ def propagate_annotations(rows: DataFrame, closure: DataFrame, contract: DataFra
     return up.withColumn("score", F.lit(float(score)))
 
 
+def propagate_resolved(rows: DataFrame, universe: DataFrame, closure: DataFrame, contract: DataFrame,
+                       policy: str = "lenient", score: float = 1.0) -> DataFrame:
+    """G2 with resolution: ``rows`` (raw_id, term_id) and ``universe`` (entity_id, split) meet by their accession under
+    ``policy``; a row goes to the entity's original id, and an accession that is both a training and a test entity is a
+    training one.  Of several original ids under one accession the smallest counts.  Rows of no known entity are left
+    out.  Result: distinct (entity_id, split, term_id) with a constant score."""
+    first = F.min(F.struct(F.when(F.col("split") == "train", 0).otherwise(1).alias("rank"), "entity_id", "split"))
+    known = universe.groupBy(accession(F.col("entity_id"), policy).alias("_key")).agg(first.alias("u"))
+    known = known.where(F.col("_key").isNotNull()).select("_key", "u.entity_id", "u.split")
+    pairs = rows.select(accession(F.col("raw_id"), policy).alias("_key"), "term_id").distinct()
+    found = pairs.join(known, "_key").select(F.struct("entity_id", "split").alias("entity_id"), "term_id")
+    return propagate_annotations(found, closure, contract, score).select("entity_id.entity_id", "entity_id.split", "term_id", "score")
+
+
 def contract_closure(edges: DataFrame, contract: DataFrame) -> DataFrame:
     """Closure of the subgraph that the contract induces, for G3-G5: built once
     for a graph and passed to each of them."""

@@ -127,6 +127,23 @@ def text_coverage(entities: DataFrame, corpus: DataFrame, key: str) -> DataFrame
                  F.avg(F.coalesce(F.col("non_empty"), F.lit(False)).cast("double")).alias("non_empty"))
 
 
+def text_coverage_by_source(entities: DataFrame, corpora: dict[str, DataFrame], key: str) -> DataFrame:
+    """A27 for several corpora of ``(key, text)``: per source, and for ``any`` of them, the share of entities with a row and
+    with a non-empty text.  All corpora are grouped by key in one pass."""
+    rows = None
+    for name, df in corpora.items():
+        x = df.select(key, F.lit(name).alias("source"), (F.length(F.trim(F.coalesce("text", F.lit("")))) > 0).alias("filled"))
+        rows = x if rows is None else rows.unionByName(x)
+    of = {name: F.col("source") == name for name in corpora} | {"any": F.lit(True)}
+    flags = rows.groupBy(key).agg(*[F.max(F.when(cond, F.lit(True))).alias(f"row_{i}") for i, cond in enumerate(of.values())],
+                                  *[F.max(F.when(cond, F.col("filled"))).alias(f"text_{i}") for i, cond in enumerate(of.values())])
+    j = entities.select(key).distinct().join(flags, key, "left")
+    share = lambda c: F.avg(F.coalesce(F.col(c), F.lit(False)).cast("double"))
+    one = j.agg(F.array(*[F.struct(F.lit(name).alias("source"), share(f"row_{i}").alias("with_text"),
+                                   share(f"text_{i}").alias("non_empty")) for i, name in enumerate(of)]).alias("rows"))
+    return one.select(F.inline("rows"))
+
+
 _EDGE_WS = "^[ \\t\\n\\r\\f\\x0B]+|[ \\t\\n\\r\\f\\x0B]+$"
 _PIECE_END = "\uE000\uF8FE\uE000"  # private-use characters: marks the end of each abstract piece
 

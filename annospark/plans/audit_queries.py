@@ -252,3 +252,22 @@ def q_null_rate(spark, d):
     wide = S.scores(spark, d).groupBy("entity_id", "term_id").pivot("model", ["m1", "m2", "m3"]).agg(F.first("score"))
     r = A.null_aware_term_stats(wide, "m2")
     return r.select("term_id", F.round("mean", 6).alias("mean"), F.round("null_rate", 6).alias("null_rate"))
+
+
+@query("seed_average", "A22", sql=S.with_("scores") +
+       "SELECT entity_id, term_id, round(list_reduce(list_sort(list(score)), lambda a, b: a + b) / count(DISTINCT model), 6) AS score "
+       "FROM scores GROUP BY 1, 2")
+def q_seed_average(spark, d):
+    """The models stand for seeds; a seed without a value for a pair does not count."""
+    r = ensemble.seed_average_oof(S.scores(spark, d).withColumnRenamed("model", "seed"))
+    return r.select("entity_id", "term_id", F.round("score", 6).alias("score"))
+
+
+@query("standardised_features", "F3", sql=S.with_("vec", extra=(
+       "e AS (SELECT vec_id, CAST(unnest(range(len(v))) AS INTEGER) AS pos, unnest(v) AS value FROM vec), "
+       "f AS (SELECT pos, avg(value) AS mean, CASE WHEN stddev_pop(value) = 0 THEN 1.0 ELSE stddev_pop(value) END AS scale FROM e GROUP BY 1)")) +
+       "SELECT vec_id, e.pos, round((value - mean) / scale, 5) AS value FROM e JOIN f ON e.pos = f.pos")
+def q_standardised(spark, d):
+    v = S.table(spark, d, "embeddings")
+    r = FE.standard_scaler_transform(v, "vec_id", "embedding", FE.standard_scaler_fit(v, "embedding"))
+    return r.select("vec_id", "pos", F.round("value", 5).alias("value"))

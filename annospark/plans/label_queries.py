@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from annospark.functions import stats
+from annospark.functions import keys, stats
 from annospark.operators import labels as L
 from annospark.plans import standins as S
 from annospark.plans.registry import query
@@ -358,3 +358,61 @@ def q_ordered_dedup(spark, d):
 @query("dedup_pairs", "U6", sql=S.with_("ann") + "SELECT DISTINCT entity_id, term_id FROM ann")
 def q_dedup(spark, d):
     return S.annotations(spark, d).select("entity_id", "term_id").dropDuplicates()
+
+
+_CLEAN = "CASE WHEN contains({k}, '|') THEN string_split({k}, '|')[2] ELSE {k} END"
+
+
+@query("key_overlap_report", "J7 P1", sql=S.with_("raw", extra=(
+       "a AS (SELECT raw_id AS k FROM raw), b AS (SELECT CAST(l_orderkey AS VARCHAR) AS k FROM lineitem WHERE l_returnflag = 'R'), "
+       f"f AS (SELECT 'raw' AS form, k, true AS l FROM a UNION ALL SELECT 'clean', {_CLEAN.format(k='k')}, true FROM a "
+       f"UNION ALL SELECT 'raw', k, false FROM b UNION ALL SELECT 'clean', {_CLEAN.format(k='k')}, false FROM b), "
+       "g AS (SELECT form, k, bool_or(l) AS l, bool_or(NOT l) AS r FROM f WHERE k IS NOT NULL GROUP BY 1, 2), "
+       "s AS (SELECT *, row_number() OVER (PARTITION BY form, l, r ORDER BY k) AS rank FROM g)")) +
+       "SELECT form, count(*) FILTER (WHERE l) AS n_left, count(*) FILTER (WHERE r) AS n_right, count(*) FILTER (WHERE l AND r) "
+       "AS matched, round(count(*) FILTER (WHERE l AND r) / count(*) FILTER (WHERE l), 6) AS matched_share, "
+       "coalesce(string_agg(k, ',' ORDER BY k) FILTER (WHERE l AND NOT r AND rank <= 5), '') AS sample_only_left, "
+       "coalesce(string_agg(k, ',' ORDER BY k) FILTER (WHERE r AND NOT l AND rank <= 5), '') AS sample_only_right FROM s GROUP BY form")
+def q_key_report(spark, d):
+    a = S.raw_ids(spark, d).select(F.col("raw_id").alias("k"))
+    b = S.table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").cast("string").alias("k"))
+    r = L.key_overlap_report(a, b, "k", lambda k: keys.accession(k, "split"))
+    return r.withColumn("matched_share", F.round("matched_share", 6))
+
+
+@query("universe_check_alt", "J19 P18", sql=S.with_("ann", "ia", "terms", extra=(
+       "t AS (SELECT DISTINCT term_id FROM ann), obo AS (SELECT term_id FROM terms WHERE namespace <> 'cellular_component'), "
+       "alt AS (SELECT term_id AS alt_id FROM terms WHERE namespace = 'cellular_component' AND CAST(substr(term_id, 4) AS BIGINT) % 2 = 0)")) +
+       "SELECT (SELECT count(*) FROM t WHERE term_id NOT IN (SELECT term_id FROM ia)) AS missing_ia, "
+       "(SELECT count(*) FROM t WHERE term_id NOT IN (SELECT term_id FROM obo)) AS missing_obo, "
+       "(SELECT count(*) FROM t WHERE term_id NOT IN (SELECT term_id FROM obo) AND term_id IN (SELECT alt_id FROM alt)) AS alt_resolvable")
+def q_universe_alt(spark, d):
+    """Half of the terms of one namespace are alternative ids here."""
+    obo, alt = _obo_and_alt(spark, d)
+    return L.universe_check(S.annotations(spark, d), S.ia(spark, d), obo, alt)
+
+
+def _obo_and_alt(spark, d):
+    t = S.terms(spark, d)
+    number = F.substring("term_id", 4, 7).cast("long")
+    cc = F.col("namespace") == "cellular_component"
+    return t.where(~cc), t.where(cc & (number % 2 == 0)).select(F.col("term_id").alias("alt_id"), S.term_col(F.floor(number / 2)).alias("term_id"))
+
+
+@query("resolve_alt_ids", "P18", sql=S.with_("ann", "terms", extra=(
+       "obo AS (SELECT term_id FROM terms WHERE namespace <> 'cellular_component'), "
+       "alt AS (SELECT term_id AS alt_id, 'GO:' || lpad(CAST(CAST(substr(term_id, 4) AS BIGINT) // 2 AS VARCHAR), 7, '0') AS main "
+       "FROM terms WHERE namespace = 'cellular_component' AND CAST(substr(term_id, 4) AS BIGINT) % 2 = 0)")) +
+       "SELECT entity_id, a.term_id, coalesce(main, a.term_id) AS resolved, main IS NOT NULL AS was_alt FROM ann a "
+       "LEFT JOIN alt ON a.term_id = alt_id AND a.term_id NOT IN (SELECT term_id FROM obo)")
+def q_resolve_alt(spark, d):
+    obo, alt = _obo_and_alt(spark, d)
+    return keys.resolve_alt_ids(S.annotations(spark, d).select("entity_id", "term_id"), alt, obo)
+
+
+@query("density_by_aspect", "A7", sql=S.with_("ann", "ents", extra="l AS (SELECT DISTINCT aspect, term_id, entity_id FROM ann)") +
+       "SELECT aspect, count(DISTINCT term_id) AS n_terms, count(*) AS nnz, round(count(*) / (count(DISTINCT term_id) * "
+       "(SELECT count(DISTINCT entity_id) FROM ents)), 6) AS density FROM l GROUP BY 1")
+def q_density(spark, d):
+    r = L.density_by_aspect(S.annotations(spark, d), S.entities(spark, d))
+    return r.withColumn("density", F.round("density", 6))

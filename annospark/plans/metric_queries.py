@@ -275,11 +275,6 @@ def q_posw(spark, d):
     return r.select("term_id", F.round("pos_weight", 6).alias("pos_weight"))
 
 
-def _model_cells(spark, d, m):
-    s = S.scores(spark, d).filter(F.col("model") == m)
-    return _cells(spark, d, scores=s)
-
-
 @query("comparison_report", "E19 E1", sql=model_cells_sql() + (
        ", x AS (SELECT *, score >= coalesce(CASE aspect WHEN 'BP' THEN 0.2 WHEN 'MF' THEN 0.4 WHEN 'CC' THEN 0.4 "
        "END, 0.3) AS pred FROM mcells), g AS (SELECT model, coalesce(aspect, 'ALL') AS aspect, "
@@ -289,8 +284,7 @@ def _model_cells(spark, d, m):
        "SELECT model, aspect, 'precision' AS metric, precision AS value FROM m UNION ALL SELECT model, aspect, "
        "'recall', recall FROM m UNION ALL SELECT model, aspect, 'f1', f1 FROM m")
 def q_report(spark, d):
-    res = {m: M.ia_f1_pooled(_model_cells(spark, d, m), THR) for m in MODELS}
-    r = M.comparison_report(res, ["precision", "recall", "f1"])
+    r = M.compare_subsets(S.scores(spark, d), S.truth(spark, d), S.terms(spark, d), S.ia(spark, d), {m: [m] for m in MODELS}, THR)
     return r.select("model", "aspect", "metric", F.round("value", 6).alias("value"))
 
 
@@ -298,12 +292,8 @@ def q_report(spark, d):
        grid=_grid_sql(GRID), f1=_F1) + "SELECT model, best_thr, round(best_f1, 6) AS best_f1, CASE WHEN best_f1 > "
        "0.05 THEN 'aligned' ELSE 'broken' END AS verdict FROM best")
 def q_individual(spark, d):
-    parts = [M.best_threshold(M.threshold_curve(_model_cells(spark, d, m), GRID)).filter(F.col("aspect") == "ALL")
-             .select(F.lit(m).alias("model"), "best_thr", "best_f1") for m in MODELS]
-    r = parts[0]
-    for p in parts[1:]:
-        r = r.unionByName(p)
-    return r.select("model", "best_thr", F.round("best_f1", 6).alias("best_f1"),
+    r = M.best_by_subset(S.scores(spark, d), S.truth(spark, d), S.terms(spark, d), S.ia(spark, d), {m: [m] for m in MODELS}, GRID)
+    return r.select(F.col("subset").alias("model"), "best_thr", F.round("best_f1", 6).alias("best_f1"),
                     M.alignment_verdict(F.col("best_f1")).alias("verdict"))
 
 

@@ -215,3 +215,25 @@ def q_inject(spark, d):
     s = ensemble.inject_prior(_ens_contract_scores(spark, d), pr.withColumnRenamed("score", "prior"),
                               PRIOR_WEIGHT)
     return s.select("entity_id", "term_id", F.round("score", 6).alias("score"))
+
+
+def _lenient(raw: str) -> str:
+    p = f"string_split(trim({raw}), '|')"
+    return f"(CASE WHEN (len({p}) >= 2 AND {p}[1] IN ('sp', 'tr')) OR len({p}) >= 3 THEN {p}[2] ELSE trim({raw}) END)"
+
+
+@query("propagate_resolved", "G2 P1 P7 U2", sql=_rec("edges", "ext", "ann", "ck", "raw", extra=CONTRACT_SQL + ",\n" + FULL_CL + (
+       ",\nuni AS (SELECT raw_id AS entity_id, 'train' AS split FROM raw WHERE entity_id % 3 <> 0 UNION ALL "
+       "SELECT CAST(entity_id AS VARCHAR), 'test' FROM raw WHERE entity_id % 2 = 0), "
+       f"known AS (SELECT {_lenient('entity_id')} AS k, entity_id, split, row_number() OVER (PARTITION BY {_lenient('entity_id')} "
+       "ORDER BY CASE split WHEN 'train' THEN 0 ELSE 1 END, entity_id) AS rn FROM uni), "
+       f"x AS (SELECT DISTINCT {_lenient('raw_id')} AS k, term_id FROM ext JOIN raw ON ext.entity_id = raw.entity_id WHERE evidence = 'IEA')")) +
+       "SELECT DISTINCT known.entity_id, split, cl.ancestor AS term_id, 1.0 AS score FROM x JOIN known ON x.k = known.k AND rn = 1 "
+       "JOIN cl ON x.term_id = cl.term_id WHERE cl.ancestor IN (SELECT term_id FROM contract)")
+def q_propagate_resolved(spark, d):
+    """Evidence under raw ids; entities with two kinds of original ids, some in both splits."""
+    raw = S.raw_ids(spark, d)
+    rows = keys.evidence_filter(S.external(spark, d), only_iea=True).join(raw, "entity_id").select("raw_id", "term_id")
+    universe = raw.where("entity_id % 3 <> 0").select(F.col("raw_id").alias("entity_id"), F.lit("train").alias("split")).unionByName(
+        raw.where("entity_id % 2 = 0").select(F.col("entity_id").cast("string").alias("entity_id"), F.lit("test").alias("split")))
+    return G.propagate_resolved(rows, universe, G.ancestor_closure(S.edges(spark, d)), contract(spark, d))

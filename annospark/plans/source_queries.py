@@ -208,3 +208,14 @@ def q_stage(spark, d):
     # a rerun finds the completed stage and returns it instead of writing its
     # (here deliberately empty) input: the result must equal the first run
     return tables.write_stage(S.annotations(spark, d).limit(0).groupBy("term_id").agg(F.count("*").alias("n")), path)
+
+
+@query("text_corpus_roundtrip", "S11", sql=(
+       f"SELECT CAST(doc_id AS VARCHAR) AS key, md5({SEQ_SQL}) AS text_md5 FROM documents WHERE {SEQ_SQL} <> ''"))
+def q_text_corpus(spark, d):
+    """Whole texts as tab-separated values and back; rows without text are dropped by the reader."""
+    doc = S.table(spark, d, "documents")
+    path = scratch(spark, "corpus")
+    doc.select(F.col("doc_id").alias("id"), F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")).alias("body")) \
+        .write.csv(path, sep="\t", header=True)
+    return tables.read_text_corpus(spark, path, "id", "body").select("key", F.md5("text").alias("text_md5"))

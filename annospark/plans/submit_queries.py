@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from annospark.functions import keys
 from annospark.operators import ensemble, submit as U
 from annospark.plans import standins as S
 from annospark.plans.registry import query
+from annospark.session import ensure_checkpoint_dir
+from annospark.sources.tables import read_submission
 
 TOP_N = 5
 WEIGHTS = {"m1": 0.5, "m2": 0.3, "m3": 0.4}
@@ -144,3 +148,14 @@ def q_validate(spark, d):
 def q_sub_stats(spark, d):
     r = U.submission_stats(U.top_n_per_entity(_ens(spark, d), TOP_N))
     return r.select("rows", "entities", "terms", F.round("per_entity", 6).alias("per_entity"))
+
+
+@query("submission_roundtrip", "S12 S14", sql=S.with_("scores", "terms", extra=ENS + ", " + TOPN_SQL + ", " +
+       DESC_SQL) + LINES_SQL + ", p AS (SELECT string_split(line, '\t') AS parts FROM lines) "
+       "SELECT parts[1] AS entity, CAST(len(parts) AS INTEGER) AS n_cols, count(*) AS n FROM p GROUP BY 1, 2")
+def q_submission_roundtrip(spark, d):
+    """Lines written as text files and read back with all their fields."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/submission-{uuid.uuid4().hex}"
+    _lines(spark, d).select(F.col("line").alias("value")).write.text(path)
+    r = read_submission(spark, path)
+    return r.groupBy(F.get("parts", F.lit(0)).alias("entity"), "n_cols").agg(F.count("*").alias("n"))

@@ -181,3 +181,22 @@ def q_align_text(spark, d):
     corpus = doc.select(key.alias("key"), "text")
     a = L.align_text(r, corpus, "raw_id", "acc")
     return a.select("entity_id", F.md5("text").alias("text_md5"))
+
+
+@query("text_coverage_by_source", "A27", sql=(
+       "WITH a AS (SELECT doc_id AS k, bool_or(length(trim(coalesce(text, ''))) > 0) AS f FROM documents GROUP BY 1), "
+       "b AS (SELECT conv_id AS k, bool_or(length(trim(coalesce(text, ''))) > 0) AS f FROM conversations GROUP BY 1), "
+       "j AS (SELECT e.k, a.f AS fa, b.f AS fb FROM (SELECT DISTINCT o_orderkey AS k FROM orders) e LEFT JOIN a ON e.k = a.k "
+       "LEFT JOIN b ON e.k = b.k) "
+       "SELECT 'curated' AS source, round(avg(CASE WHEN fa IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS with_text, "
+       "round(avg(CASE WHEN coalesce(fa, false) THEN 1.0 ELSE 0.0 END), 6) AS non_empty FROM j UNION ALL "
+       "SELECT 'abstracts', round(avg(CASE WHEN fb IS NOT NULL THEN 1.0 ELSE 0.0 END), 6), "
+       "round(avg(CASE WHEN coalesce(fb, false) THEN 1.0 ELSE 0.0 END), 6) FROM j UNION ALL "
+       "SELECT 'any', round(avg(CASE WHEN fa IS NOT NULL OR fb IS NOT NULL THEN 1.0 ELSE 0.0 END), 6), "
+       "round(avg(CASE WHEN coalesce(fa, false) OR coalesce(fb, false) THEN 1.0 ELSE 0.0 END), 6) FROM j"))
+def q_text_cov_sources(spark, d):
+    ents = S.entities(spark, d).select(F.col("entity_id").alias("k"))
+    r = X.text_coverage_by_source(ents, {
+        "curated": S.table(spark, d, "documents").select(F.col("doc_id").alias("k"), "text"),
+        "abstracts": S.table(spark, d, "conversations").select(F.col("conv_id").alias("k"), "text")}, "k")
+    return r.select("source", F.round("with_text", 6).alias("with_text"), F.round("non_empty", 6).alias("non_empty"))

@@ -40,13 +40,17 @@ UNITS = ("kg g mg lb lbs oz km m cm mm mi ft yd inch inches mile miles meter met
          "cent cents usd eur percent litre litres liter liters ml l kb mb gb tb mph kmh volt volts watt watts degrees").split()
 
 _CAPITALISED = r"\p{Lu}\p{Ll}[\p{L}\p{M}'’-]*"
-_NAME_RE = rf"(?<=[\p{{L}}\p{{N}},;'’)] ){_CAPITALISED}"
-_SENTENCE_RE = rf"(?<=[^\p{{L}}\p{{N}},;'’){NAME}] |[\n\r\t])"
+_NAME_RE = rf"(?=\p{{Lu}})(?<=[\p{{L}}\p{{N}},;'’)] ){_CAPITALISED}"
+_SENTENCE_RE = rf"(?=[\"“(]*\p{{Lu}})(?<=[^\p{{L}}\p{{N}},;'’){NAME}] |[\n\r\t])"
 _FIRST_RE = rf"^([\"“(]*)({_CAPITALISED})"
 # Numbers in words ("one" is more often no number).
 NUMBER_WORDS = ("two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen "
                 "eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million").split()
-_SPELT_RE = r"(?i)(?<![\p{L}\p{N}'’])(?:" + "|".join(NUMBER_WORDS) + r")(?![\p{L}\p{N}'’])"  # word by word
+# word by word; the first two letters are looked at before the rest
+_SPELT_RE = "(?:" + "|".join(
+    f"[{c}{c.upper()}](?=[{''.join(sorted({x for w in ws for x in w[1] + w[1].upper()}))}])(?<![\\p{{L}}\\p{{N}}'’].)"
+    f"(?i:{'|'.join(w[1:] for w in ws)})"
+    for c, ws in ((c, [w for w in NUMBER_WORDS if w[0] == c]) for c in sorted({w[0] for w in NUMBER_WORDS}))) + r")(?![\p{L}\p{N}'’])"
 _UNIT_RE = rf"(?i)(\d(?:[\d.,]*\d)?|{NUMBER})( ?)(?:" + "|".join(UNITS) + r")(?![\p{L}\p{N}])"
 _NUMBER_RE = r"\d+(?:[.,:/]\d+)*"
 

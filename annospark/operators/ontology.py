@@ -3,8 +3,11 @@
 The closure is computed once and written to the shared checkpoint folder.  Up to
 a checked number of edges, the edges go to every task, which climbs from its
 terms to all their ancestors at once: one job, however deep the ontology is.
-Beyond that, a semi-naive, path-doubling loop of joins finds it (each round joins
-only the newly found pairs with the known pairs and anti-joins what is known).
+Beyond that, the closure is found in waves from the roots: a term is closed once
+all its parents are, and takes the union of their ancestors, so every edge carries
+its parent's ancestors once.  An ontology of more than ``WAVES`` levels falls back
+on a semi-naive, path-doubling loop of joins (each round joins only the newly found
+pairs with the known pairs and anti-joins what is known).
 Every propagation afterwards is a single join against the closure followed by a
 ``groupBy(entity, ancestor)`` aggregate — no per-level relaxation sweeps.
 """
@@ -32,6 +35,10 @@ CLOSURE_BROADCAST_ROWS = 3_000_000
 # Edges sent to every task (48k terms have some 90k): at most two numbers each, 16 MB.
 CLIMB_EDGES = 1_000_000
 CLIMB_TERMS = 1024  # terms that a task climbs from at a time
+# Levels closed one after the other (GO has some 20); deeper graphs double their paths instead.
+WAVES = 32
+# A wave with fewer ancestors is sent to the edges (some 24 MB), a larger one is shuffled.
+WAVE_BROADCAST = 1_000_000
 
 
 def ancestor_closure(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 200,
@@ -44,12 +51,58 @@ def ancestor_closure(edges: DataFrame, nodes: DataFrame | None = None, max_round
     """
     base = edges.select("child", "parent").where(F.col("child") != F.col("parent")).distinct()
     few = base.limit(climb_edges + 1).toArrow()  # the bound, and one to tell that it is passed
-    if few.num_rows > climb_edges:
-        return _joined_closure(edges, nodes, max_rounds)
     ids = edges.select(F.explode(F.array("child", "parent")).alias("term_id"))
     if nodes is not None:
         ids = ids.unionByName(nodes.select("term_id"))
-    return _climbed_closure(few, ids.where(F.col("term_id").isNotNull()).distinct())
+    ids = ids.where(F.col("term_id").isNotNull()).distinct()
+    if few.num_rows > climb_edges:
+        roots = ids.join(base.select(F.col("child").alias("term_id")), "term_id", "left_anti") \
+            .select("term_id", F.array("term_id").alias("above"))
+        closed = _closed_in_waves(base, roots)
+        return _joined_closure(edges, nodes, max_rounds) if closed is None else _pairs(closed)
+    return _climbed_closure(few, ids)
+
+
+def _pairs(closed: DataFrame) -> DataFrame:
+    return closed.select("term_id", F.explode("above").alias("ancestor"))
+
+
+def _closed_in_waves(edges: DataFrame, starts: DataFrame, waves: int = WAVES) -> DataFrame | None:
+    """``(term_id, above)``: every term and its ancestors with itself, by waves up from ``starts``, terms whose ``above``
+    is known.  ``edges`` are distinct and without loops; no start is a child.  A cycle raises ``ValueError``; None after
+    ``waves`` waves.
+
+    A wave's table in the checkpoint folder holds the terms with a closed parent: those that have met all their parents
+    are closed by it, the others wait in the next wave with what they have got.  A term that is closed goes down each of
+    its edges once, so the work grows with the closure (times the parents of a term).
+    """
+    spark = edges.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/closure-{uuid.uuid4().hex}"
+    parents = edges.groupBy("child").agg(F.count("*").alias("parents"))
+    edges.join(parents, "child").write.parquet(f"{path}-edges")
+    down = spark.read.parquet(f"{path}-edges")
+    starts.select("term_id", "above", F.lit(0).cast("long").alias("parents"), F.lit(0).cast("long").alias("met")).write.parquet(f"{path}/wave=0")
+    schema = spark.read.parquet(f"{path}/wave=0").schema
+    closed, waiting = F.col("met") == F.col("parents"), F.col("met") < F.col("parents")
+    for k in range(waves + 1):
+        last = spark.read.schema(schema).parquet(f"{path}/wave={k}")
+        found, size = last.agg(F.count_if(closed), F.sum(F.when(closed, F.size("above")))).first()
+        if not found:
+            break
+        if k == waves:
+            return None
+        ready = last.where(closed).select(F.col("term_id").alias("parent"), "above")
+        ready = F.broadcast(ready) if size <= WAVE_BROADCAST else ready.hint("merge")
+        got = down.join(ready, "parent").select(F.col("child").alias("term_id"), "above", "parents", F.lit(1).cast("long").alias("met"))
+        got.unionByName(last.where(waiting)).groupBy("term_id").agg(
+            F.flatten(F.collect_list("above")).alias("above"), F.max("parents").alias("parents"), F.sum("met").alias("met")) \
+            .select("term_id", F.array_distinct(F.concat("above", F.array("term_id"))).alias("above"), "parents", "met") \
+            .write.parquet(f"{path}/wave={k + 1}")
+    done = spark.read.schema(T.StructType([*schema.fields, T.StructField("wave", T.IntegerType())])).parquet(path).where(closed)
+    left = edges.join(done.select(F.col("term_id").alias("child")), "child", "left_anti")
+    if not left.isEmpty():  # on a cycle, or below one
+        _joined_closure(left, None, 200)
+    return done.select("term_id", "above")
 
 
 class Climb:
@@ -182,17 +235,27 @@ def maintained_closure(closure: DataFrame, edges: DataFrame, inserted: DataFrame
         .unionByName(inserted.select(F.explode(F.array("child", "parent")).alias("term_id"))) \
         .where(F.col("term_id").isNotNull()).distinct()
     hit = cut_lineage(hit)
-    few = edges.select("child", "parent").where(F.col("child") != F.col("parent")).distinct().limit(climb_edges + 1).toArrow()
+    base = edges.select("child", "parent").where(F.col("child") != F.col("parent")).distinct()
+    few = base.limit(climb_edges + 1).toArrow()
+    kept = closure.join(hit, "term_id", "left_anti").select("term_id", "ancestor")
     if few.num_rows > climb_edges:
-        # the edges above the terms that are hit: the ends of edges from them up, whose closure is known where nothing changed
-        fresh = _joined_closure(edges.join(hit.withColumnRenamed("term_id", "child"), "child", "left_semi"), hit, 200)
-        up = closure.join(hit, "term_id", "left_anti")
-        beyond = fresh.join(up.select(F.col("term_id").alias("a"), F.col("ancestor").alias("beyond")), F.col("ancestor") == F.col("a"))
-        new = fresh.unionByName(beyond.select("term_id", F.col("beyond").alias("ancestor"))).distinct() \
-            .join(hit, "term_id", "left_semi")
+        # the edges above the terms that are hit: up to terms whose closure is known, since nothing changed there
+        todo = base.join(hit.withColumnRenamed("term_id", "child"), "child", "left_semi")
+        starts = todo.select(F.col("parent").alias("term_id")).unionByName(hit).distinct() \
+            .join(todo.select(F.col("child").alias("term_id")), "term_id", "left_anti")
+        known = kept.join(starts, "term_id", "left_semi").groupBy("term_id").agg(F.collect_set("ancestor").alias("known"))
+        closed = _closed_in_waves(todo, starts.join(known, "term_id", "left").select(
+            "term_id", F.coalesce("known", F.array("term_id")).alias("above")))
+        if closed is not None:
+            new = _pairs(closed.join(hit, "term_id", "left_semi"))
+        else:
+            fresh = _joined_closure(todo, hit, 200)
+            beyond = fresh.join(kept.select(F.col("term_id").alias("a"), F.col("ancestor").alias("beyond")), F.col("ancestor") == F.col("a"))
+            new = fresh.unionByName(beyond.select("term_id", F.col("beyond").alias("ancestor"))).distinct() \
+                .join(hit, "term_id", "left_semi")
     else:
         new = _climbed_closure(few, hit)
-    return closure.join(hit, "term_id", "left_anti").select("term_id", "ancestor").unionByName(new.select("term_id", "ancestor"))
+    return kept.unionByName(new.select("term_id", "ancestor"))
 
 
 def induced_edges(edges: DataFrame, terms: DataFrame) -> DataFrame:
@@ -206,13 +269,19 @@ def propagate_annotations(rows: DataFrame, closure: DataFrame, contract: DataFra
                           score: float = 1.0) -> DataFrame:
     """Every annotated term lifts to all its ancestors (full graph) that are
     in the contract; distinct ``(entity_id, term_id)`` with a constant score."""
-    c = bounded_broadcast(closure, CLOSURE_BROADCAST_ROWS)
+    c = bounded_broadcast(cut_lineage(closure_into(closure, contract)), CLOSURE_BROADCAST_ROWS)
     up = rows.select("entity_id", "term_id").distinct().join(c, "term_id") \
-        .select("entity_id", F.col("ancestor").alias("term_id"))
-    up = up.join(contract.select("term_id"), "term_id", "left_semi").distinct()
+        .select("entity_id", F.col("ancestor").alias("term_id")).distinct()
     return up.withColumn("score", F.lit(float(score)))
 
 
+def closure_into(closure: DataFrame, contract: DataFrame) -> DataFrame:
+    """The pairs of the closure whose ancestor is in the contract: a few hundred to thousand terms, so that a large
+    closure is cut to them in place, before any row meets it."""
+    con = bounded_broadcast(cut_lineage(contract.select("term_id").distinct().withColumnRenamed("term_id", "ancestor")), CLIMB_EDGES)
+    return closure.join(con, "ancestor", "left_semi").select("term_id", "ancestor")
+
+
 def propagate_resolved(rows: DataFrame, universe: DataFrame, closure: DataFrame, contract: DataFrame,
                        policy: str = "lenient", score: float = 1.0) -> DataFrame:
     """G2 with resolution: ``rows`` (raw_id, term_id) and ``universe`` (entity_id, split) meet by their accession under

@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 from annospark.functions.keys import evidence_filter
 from annospark.operators.metrics import threshold_of
-from annospark.session import cut_lineage
+from annospark.operators.ontology import CLOSURE_BROADCAST_ROWS, closure_into
+from annospark.session import bounded_broadcast, cut_lineage
 
 
 def _gaf_stream(spark: SparkSession, source_dir: str, files_per_batch: int) -> DataFrame:
@@ -55,12 +56,10 @@ def incremental_external_ingest(spark: SparkSession, source_dir: str, entities:
     # static sides are materialised in the checkpoint folder: the stream plan
     # then only references stored tables (no batch-only expressions upstream)
     ents = cut_lineage(entities.select("entity_id").distinct())
-    cl = cut_lineage(closure.select("term_id", "ancestor"))
-    con = cut_lineage(contract.select("term_id").distinct())
+    cl = bounded_broadcast(cut_lineage(closure_into(closure, contract)), CLOSURE_BROADCAST_ROWS)
     rows = evidence_filter(_gaf_stream(spark, source_dir, files_per_batch), only_iea=True)
     rows = rows.join(ents, "entity_id", "left_semi")
     up = rows.join(cl, "term_id").select("entity_id", F.col("ancestor").alias("term_id"))
-    up = up.join(con, "term_id", "left_semi")
     if train is not None:
         up = up.join(cut_lineage(train.select("entity_id", "term_id").distinct()), ["entity_id", "term_id"], "left_anti")
     with disk_state(spark):

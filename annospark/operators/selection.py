@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annospark.operators import metrics as M
+from annospark.operators.ensemble import model_columns
 
 KEY = ["entity_id", "term_id"]
 
@@ -90,7 +91,7 @@ def grid_search_weights(scores: DataFrame, truth: DataFrame, terms: DataFrame, m
     the truth is joined before, and summing the fields counts for all vectors, in
     one row per entity and aspect, before the shuffle."""
     grid = simplex_grid(len(models), steps)
-    wide = scores.groupBy(*KEY).pivot("model", models).agg(F.first("score")).fillna(0.0, subset=models)
+    wide = model_columns(scores, models).fillna(0.0, subset=models)
     wide = wide.join(terms.select("term_id", "aspect").where(F.col("aspect").isin(*aspects)), "term_id")
     t = truth.select("entity_id", "term_id", "aspect").distinct()
     limit = M.threshold_of(thr, aspects)

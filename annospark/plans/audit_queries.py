@@ -249,7 +249,7 @@ def q_stack(spark, d):
        "null_rate FROM (SELECT entity_id, term_id, max(score) FILTER (WHERE model = 'm2') AS m2 FROM scores GROUP BY "
        "1, 2) GROUP BY 1")
 def q_null_rate(spark, d):
-    wide = S.scores(spark, d).groupBy("entity_id", "term_id").pivot("model", ["m1", "m2", "m3"]).agg(F.first("score"))
+    wide = ensemble.model_columns(S.scores(spark, d), ["m1", "m2", "m3"])
     r = A.null_aware_term_stats(wide, "m2")
     return r.select("term_id", F.round("mean", 6).alias("mean"), F.round("null_rate", 6).alias("null_rate"))
 

@@ -99,16 +99,13 @@ def truth(spark, d) -> DataFrame:
 
 def scores(spark, d) -> DataFrame:
     """Three sparse models over (order, part) pairs; zero scores are absent."""
-    li = table(spark, d, "lineitem")
-    key = [F.col("l_orderkey").alias("entity_id"), F.col("l_partkey").alias("pk")]
-    m1 = li.groupBy(*key).agg((F.max("l_quantity") / 50.0).alias("score")) \
-        .withColumn("model", F.lit("m1"))
-    m2 = li.filter(F.col("l_linestatus") == "O").groupBy(*key) \
-        .agg((1.0 - (F.min("l_discount") + 0.0)).alias("score")).withColumn("model", F.lit("m2"))
-    m3 = li.filter(F.col("l_returnflag").isin("A", "R")).groupBy(*key) \
-        .agg(F.least(F.max("l_tax") * 10.0 + 0.0, F.lit(1.0)).alias("score")) \
-        .withColumn("model", F.lit("m3"))
-    s = m1.unionByName(m2).unionByName(m3).filter(F.col("score") > 0)
+    rated = F.col("l_returnflag").isin("A", "R")
+    pairs = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("entity_id"), F.col("l_partkey").alias("pk")).agg(
+        (F.max("l_quantity") / 50.0).alias("m1"),
+        (1.0 - (F.min(F.when(F.col("l_linestatus") == "O", F.col("l_discount"))) + 0.0)).alias("m2"),
+        F.when(F.max(rated), F.least(F.max(F.when(rated, F.col("l_tax"))) * 10.0 + 0.0, F.lit(1.0))).alias("m3"))
+    each = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("score")) for m in ("m1", "m2", "m3")])
+    s = pairs.select("entity_id", "pk", F.inline(each)).filter(F.col("score") > 0)
     return s.select("entity_id", term_col(F.col("pk")).alias("term_id"),
                     aspect_col(F.col("pk")).alias("aspect"), "model", "score")
 

@@ -70,8 +70,9 @@ def tfidf(docs: DataFrame, id_col: str, text_col: str, max_features: int, ngram_
     d = spread(d)  # tokenising is CPU-heavy: use every core even for a few input splits
     folded = d.select("doc", strip_accents(F.lower("t")).alias("s"))
     # tokens materialised once per document: the n-gram lambdas then index a
-    # column instead of re-running the tokenizer per position
-    tok = folded.select("doc", tokens(F.col("s")).alias("toks"))
+    # column instead of re-running the tokenizer per position.  A document's rows are brought together as
+    # tokens: its n-grams, several times the text, are then counted and weighed without another shuffle
+    tok = folded.select("doc", tokens(F.col("s")).alias("toks")).repartition("doc")
     toks = tok.select("doc", F.explode(ngrams(F.col("toks"), ngram_max)).alias("term"))
     tf = toks.groupBy("doc", "term").agg(F.count("*").alias("tf"))
     stat = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))

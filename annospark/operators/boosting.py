@@ -8,6 +8,11 @@ where the best split of each node is chosen, and only those splits (the model) c
 to the driver.  All terms and all folds share every pass, so the number of jobs is
 trees x depth however many terms there are.
 
+Where the bins of all rows are few (``WHOLE`` bytes), the passes would be nearly all
+overhead: the bins are broadcast instead, like a small table of a join, and the
+models are dealt over the tasks, each of which grows ``KEPT_TREES`` trees of its
+models in a job.  Both ways choose by the same sums, block by block.
+
 The model of fold f learns from the other folds; fold f is its validation set,
 whose loss comes with the first pass of the next tree.  A fold whose mean loss has
 not improved for ``patience`` trees stops, and its best number of trees counts.
@@ -19,6 +24,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections import namedtuple
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,6 +38,8 @@ from annospark.session import ensure_checkpoint_dir
 FEATURES = 256         # features whose histograms go together
 CELLS = 4_000_000      # entities x terms x folds of a block
 KEPT_TREES = 10        # trees applied on the fly before margins are written again
+WHOLE = 16_000_000     # bins (a byte each) that are broadcast; the rows are passed over by level beyond
+MODELS_A_TASK = 16     # at most, where models are dealt over tasks
 
 
 @dataclass(frozen=True)
@@ -189,6 +197,17 @@ def block_arrays(row: dict, models: int, features: int) -> tuple[np.ndarray, ...
             np.frombuffer(row["margins"], np.float64).reshape(models, n))
 
 
+def node_sums(bins: np.ndarray, local: np.ndarray, width: int, g: np.ndarray, h: np.ndarray, p: BoostParams) -> np.ndarray:
+    """(3, nodes x features x bins): sums of gradient, curvature and count of rows whose nodes are ``local`` of ``width``."""
+    d = bins.shape[1]
+    at = ((local[:, None] * d + np.arange(d)) * p.bins + bins).ravel()
+    return np.stack([np.bincount(at, weights=None if v is None else np.repeat(v, d), minlength=width * d * p.bins) for v in (g, h, None)])
+
+
+def loss_sum(prob: np.ndarray, y: np.ndarray) -> float:
+    return -np.log(np.clip(np.where(y > 0, prob, 1 - prob), 1e-15, None)).sum()
+
+
 def gradient_sums(state: DataFrame, work: Work, models: int) -> DataFrame:
     """(fold, term, part, block, sums): sums of gradient, curvature and count by (node, feature, bin) of a group of
     features; part -1 has the sum and count of the validation loss."""
@@ -215,8 +234,7 @@ def gradient_sums(state: DataFrame, work: Work, models: int) -> DataFrame:
                         prob, y = sigmoid(margins[k * w.terms + j]), ys[j].astype(np.float64)
                         if w.level <= 0:
                             held = folds == fold
-                            q = np.clip(np.where(y[held] > 0, prob[held], 1 - prob[held]), 1e-15, None)
-                            add(j, -1, [-np.log(q).sum(), held.sum()])
+                            add(j, -1, [loss_sum(prob[held], y[held]), held.sum()])
                         alive = w.alive.get((fold, j))
                         if alive is None:
                             continue
@@ -226,12 +244,7 @@ def gradient_sums(state: DataFrame, work: Work, models: int) -> DataFrame:
                         rows = np.flatnonzero((folds != fold) & sampled & (local >= 0))
                         g, h = prob[rows] - y[rows], prob[rows] * (1 - prob[rows])
                         for part, low in enumerate(range(0, w.features, FEATURES)):
-                            some = bins[rows, low:low + FEATURES]
-                            d = some.shape[1]
-                            at = ((local[rows][:, None] * d + np.arange(d)) * p.bins + some).ravel()
-                            sums = [np.bincount(at, weights=None if v is None else np.repeat(v, d), minlength=width * d * p.bins)
-                                    for v in (g, h, None)]
-                            add(j, part, np.stack(sums))
+                            add(j, part, node_sums(bins[rows, low:low + FEATURES], local[rows], len(alive), g, h, p))
                     yield pa.RecordBatch.from_arrays(
                         [*(pa.array(out[c], pa.int32()) for c in ("fold", "term", "part", "block")), pa.array(out["sums"], pa.binary())],
                         names=list(out))
@@ -244,6 +257,25 @@ SPLIT_SCHEMA = ("fold int, term int, node int, gain double, feature int, bin int
                 "left_n double, g double, h double, n double")
 
 
+def node_splits(total: np.ndarray, nodes: np.ndarray, names: np.ndarray, usable: np.ndarray, p: BoostParams) -> list[tuple]:
+    """(node, gain, feature, bin, left sums, sums) of every node from its sums (3, nodes, features, bins) of the features ``names``."""
+    left = np.cumsum(total, axis=3)[..., :-1]
+    whole = total.sum(axis=3)
+    right = whole[..., None] - left
+    score = lambda s: s[0] ** 2 / (s[1] + p.l2)
+    gain = score(left) + score(right) - score(whole)[..., None]
+    ok = (left[2] >= p.least_rows) & (right[2] >= p.least_rows)
+    ok[:, ~usable] = False
+    flat = np.where(ok, gain, -np.inf).reshape(len(nodes), -1)
+    rows = []
+    for i, at in enumerate(flat.argmax(axis=1)):
+        j, b = divmod(int(at), p.bins - 1)
+        found = flat[i, at] > 1e-12
+        rows.append((int(nodes[i]), float(flat[i, at]) if found else 0.0, int(names[j]) if found else -1, b if found else 0,
+                     *(float(left[c, i, j, b]) if found else 0.0 for c in range(3)), *(float(whole[c, i, 0]) for c in range(3))))
+    return rows
+
+
 def best_splits(sums: DataFrame, work: Work) -> DataFrame:
     """The best split of every node within a group of features (feature -1: none); node -1 has the validation loss."""
     p, features, alive = work.params, work.features, work.alive
@@ -258,21 +290,8 @@ def best_splits(sums: DataFrame, work: Work) -> DataFrame:
         else:
             low, nodes = part * FEATURES, alive[fold, term]
             d, width = min(FEATURES, features - low), len(nodes)
-            total = total.reshape(3, width, d, p.bins)
-            left = np.cumsum(total, axis=3)[..., :-1]
-            whole = total.sum(axis=3)
-            right = whole[..., None] - left
-            score = lambda s: s[0] ** 2 / (s[1] + p.l2)
-            gain = score(left) + score(right) - score(whole)[..., None]
-            ok = (left[2] >= p.least_rows) & (right[2] >= p.least_rows)
-            ok[:, ~np.isin(np.arange(low, low + d), usable)] = False
-            flat = np.where(ok, gain, -np.inf).reshape(width, -1)
-            rows = []
-            for i, at in enumerate(flat.argmax(axis=1)):
-                j, b = divmod(int(at), p.bins - 1)
-                found = flat[i, at] > 1e-12
-                rows.append((fold, term, int(nodes[i]), float(flat[i, at]) if found else 0.0, low + j if found else -1, b if found else 0,
-                             *(float(left[c, i, j, b]) if found else 0.0 for c in range(3)), *(float(whole[c, i, 0]) for c in range(3))))
+            held = np.isin(np.arange(low, low + d), usable)
+            rows = [(fold, term, *split) for split in node_splits(total.reshape(3, width, d, p.bins), nodes, np.arange(low, low + d), held, p)]
         kinds = [pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), *[pa.float64()] * 6]
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in SPLIT_SCHEMA.split(", ")])
 
@@ -325,6 +344,9 @@ def boosted_ovr_fit(x: DataFrame, labels: DataFrame, terms: list[str], fold: F.C
     model = BoostedModel(terms, folds, cuts, np.log(share / (1 - share)), p, best={f: 0 for f in folds}, losses={f: [] for f in folds})
     n, models = len(terms), len(folds) * len(terms)
     state = written(row_blocks(x, labels, terms, fold, cuts, model.start, key, vec))
+    if models and sum(sizes.values()) * len(cuts) <= WHOLE:
+        grow_models(model, state, sizes)
+        return model, state
     fresh: list[Tree] = []
     learning = list(folds)
     for r in range(p.trees + 1):
@@ -341,7 +363,7 @@ def boosted_ovr_fit(x: DataFrame, labels: DataFrame, terms: list[str], fold: F.C
                 learning = [f for f in learning if len(model.losses[f]) - 1 - model.best[f] < p.patience]
             if r == p.trees or not learning:
                 break
-            alive = grow(tree, splits[(splits.node >= 0) & splits.fold.isin(learning)], folds, n, level, p)
+            alive = grow(tree, best_of(splits[(splits.node >= 0) & splits.fold.isin(learning)]).itertuples(), folds, n, level, p)
             if r == 0 and level == 0:
                 model.root_splits = best_of(splits[splits.node >= 0]).to_dict("records")
             if not alive:
@@ -355,6 +377,113 @@ def boosted_ovr_fit(x: DataFrame, labels: DataFrame, terms: list[str], fold: F.C
     return model, state
 
 
+SPLIT = namedtuple("Split", [c.split()[0] for c in SPLIT_SCHEMA.split(", ")])
+
+
+def grown_alone(blocks: list[tuple[np.ndarray, ...]], fold: int, term: int, tree: int, p: BoostParams) -> tuple[Tree, tuple]:
+    """A tree of one model from its blocks' (bins, y, probabilities, rows to learn from), and its first split."""
+    grown, alive, root = Tree.empty(1, p.depth), np.zeros(1, np.int64), None
+    names = kept_columns(blocks[0][0].shape[1], tree, p)
+    parts = [(bins[rows], bins[np.ix_(rows, names)], prob[rows] - y[rows], prob[rows] * (1 - prob[rows])) for bins, y, prob, rows in blocks]
+    for level in range(p.depth):
+        place = np.full((1 << (p.depth + 1)) + 1, -1)
+        place[alive + (1 << level) - 1] = np.arange(len(alive))
+        total = np.zeros((3, len(alive) * len(names) * p.bins))
+        for bins, some, g, h in parts:
+            local = place[grown.nodes(bins, level)[0]]
+            here = local >= 0
+            total += node_sums(some[here], local[here], len(alive), g[here], h[here], p)
+        found = [SPLIT(fold, 0, *s) for s in node_splits(total.reshape(3, len(alive), len(names), p.bins), alive, names,
+                                                         np.ones(len(names), bool), p)]
+        root = found[0]._replace(term=term) if level == 0 else root
+        alive = grow(grown, found, [fold], 1, level, p).get((fold, 0))
+        if alive is None:
+            break
+    return grown, root
+
+
+def grow_models(model: BoostedModel, state: DataFrame, sizes: dict[int, int]) -> None:
+    """The trees of all models, ``KEPT_TREES`` a job: a task holds the bins of all rows (at most ``WHOLE``) and grows its models.
+
+    A row has a model's labels and margins, block after block; they go on from job to job in the shared folder."""
+    p, folds, n, features, spark = model.params, model.folds, len(model.terms), len(model.cuts), state.sparkSession
+    models = len(folds) * n
+    rows = F.array_sort(F.collect_list(F.struct("block", "hash", "fold", "bins"))).alias("blocks")
+    blocks = F.broadcast(written(state.agg(rows)))  # at most WHOLE bins, twelve bytes a row beside them
+    parts = min(models, max(spark.sparkContext.defaultParallelism, -(-models // MODELS_A_TASK)))
+
+    def dealt(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                ys = np.frombuffer(row["ys"], np.uint8).reshape(n, -1)
+                margins = np.frombuffer(row["margins"], np.float64).reshape(models, -1)
+                for m in range(models):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([m], pa.int32()), pa.array([row["block"]], pa.int32()), pa.array([ys[m % n].tobytes()], pa.binary()),
+                         pa.array([margins[m].tobytes()], pa.binary())], names=["model", "block", "y", "margins"])
+
+    own = state.select("block", "ys", "margins").mapInArrow(dealt, "model int, block int, y binary, margins binary")
+    own = own.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("block", "y", "margins"))).alias("own")) \
+        .select("model", F.transform("own", lambda b: b["y"]).alias("ys"), F.transform("own", lambda b: b["margins"]).alias("margins"))
+    own = written(own)
+    kinds = pa.schema([("model", pa.int32()), ("ys", pa.list_(pa.binary())), ("margins", pa.list_(pa.binary())), ("trees", pa.list_(pa.binary())),
+                       ("losses", pa.list_(pa.float64())), ("root", pa.list_(pa.float64()))])
+    schema = ("model int, ys array<binary>, margins array<binary>, trees array<binary>, losses array<double>, root array<double>")
+
+    def job(first: int, last: int):
+        def run(batches):
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    row = batch.slice(k, 1).to_pylist()[0]
+                    fold, term = folds[row["model"] // n], row["model"] % n
+                    given = [(np.frombuffer(b["hash"], np.int64), np.frombuffer(b["fold"], np.int32),
+                              np.frombuffer(b["bins"], np.uint8).reshape(-1, features), np.frombuffer(y, np.uint8).astype(np.float64))
+                             for b, y in zip(row["blocks"], row["ys"])]
+                    margins = [np.frombuffer(m, np.float64) for m in row["margins"]]
+                    trees, losses, root = [], [], None
+                    for r in range(first, last + (last == p.trees)):
+                        prob = [sigmoid(m) for m in margins]
+                        losses.append(sum(loss_sum(q[f == fold], y[f == fold]) for q, (_, f, _, y) in zip(prob, given)))
+                        if r == last:
+                            break
+                        tree, split = grown_alone([(bins, y, q, np.flatnonzero((f != fold) & kept_rows(h, r, p)))
+                                                   for q, (h, f, bins, y) in zip(prob, given)], fold, term, r, p)
+                        root = split if r == 0 else root
+                        margins = [m + tree.values(bins, p.depth)[0] for m, (_, _, bins, _) in zip(margins, given)]
+                        trees += [v.tobytes() for v in (tree.feature, tree.bin, tree.value)]
+                    out = {"model": row["model"], "ys": row["ys"], "margins": [m.tobytes() for m in margins], "trees": trees,
+                           "losses": losses, "root": [float(v) for v in root or ()]}
+                    yield pa.RecordBatch.from_pylist([out], schema=kinds)
+        return run
+
+    learning, inner, all_ = list(folds), (1 << p.depth) - 1, (1 << (p.depth + 1)) - 1
+    for first in range(0, max(1, p.trees), KEPT_TREES):
+        last = min(p.trees, first + KEPT_TREES)
+        alone = F.col("model").isin([folds.index(f) * n + j for f in learning for j in range(n)])
+        own = written(own.where(alone).repartition(parts, "model").select("model", "ys", "margins").crossJoin(blocks)
+                      .mapInArrow(job(first, last), schema))
+        grown = own.select("model", "trees", "losses", "root").orderBy("model").toPandas()  # the model, which the driver holds
+        if not first:
+            model.root_splits = [SPLIT(*(int(v) if c in ("fold", "term", "node", "feature", "bin") else v for c, v in zip(SPLIT._fields, r)))._asdict()
+                                 for r in grown["root"] if len(r)]
+        for r in range(first, last + (last == p.trees)):
+            for f in learning:
+                k = folds.index(f)
+                of = grown[(grown["model"] >= k * n) & (grown["model"] < (k + 1) * n)]
+                model.losses[f].append(float(sum(v[r - first] for v in of["losses"])) / max(1.0, float(n * sizes[f])))
+                model.best[f] = int(np.argmin(model.losses[f]))
+            learning = [f for f in learning if len(model.losses[f]) - 1 - model.best[f] < p.patience]
+            if r == p.trees or not learning:
+                return
+            tree = Tree.empty(models, p.depth)
+            for m, flat in zip(grown["model"], grown["trees"]):
+                if folds[m // n] in learning:
+                    f, b, v = flat[3 * (r - first):3 * (r - first) + 3]
+                    tree.feature[m], tree.bin[m] = np.frombuffer(f, np.int32).reshape(inner), np.frombuffer(b, np.uint8).reshape(inner)
+                    tree.value[m] = np.frombuffer(v, np.float64).reshape(all_)
+            model.trees.append(tree)
+
+
 def best_of(splits):
     """One row a node: the largest gain, then the least feature, of its feature groups."""
     order = splits.assign(none=splits.feature < 0).sort_values(["fold", "term", "node", "none", "gain", "feature"],
@@ -363,11 +492,11 @@ def best_of(splits):
 
 
 def grow(tree: Tree, splits, folds: list[int], terms: int, level: int, p: BoostParams) -> dict[tuple[int, int], np.ndarray]:
-    """Put the splits of a level into the tree, with the values of the nodes that end; returns the nodes below that
+    """Put the splits of a level (one a node) into the tree, with the values of the nodes that end; returns the nodes below that
     have rows enough to be split."""
     value = lambda g, h: -p.rate * g / (h + p.l2)
     first, alive = (1 << level) - 1, {}
-    for s in best_of(splits).itertuples():
+    for s in splits:
         m, node = folds.index(s.fold) * terms + s.term, first + s.node
         if s.feature < 0:
             tree.value[m, node] = value(s.g, s.h)

@@ -86,6 +86,31 @@ def test_trees_learn_stop_early_and_do_not_depend_on_blocks(data, monkeypatch):
     assert max(abs(other[k] - got[k]) for k in got) < 1e-9
 
 
+def test_few_bins_give_the_trees_of_the_passes_in_few_jobs(data, spark, monkeypatch):
+    _, _, df, lab = data
+    p = boosting.BoostParams(trees=12, depth=3, patience=5, rate=0.3)
+    terms = ["a", "b", "noise"]
+    monkeypatch.setattr(boosting, "CELLS", 12 * 70)  # several blocks
+
+    def fit(group):
+        spark.sparkContext.setJobGroup(group, group)
+        m, blocks = boosting.boosted_ovr_fit(df, lab, terms, F.expr(FOLD), p)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return m, {(r.entity_id, r.term_id): r.score for r in boosting.out_of_fold(m, blocks).collect()}, jobs
+
+    dealt, got, jobs = fit("dealt")
+    monkeypatch.setattr(boosting, "WHOLE", 0)
+    passed, want, passes = fit("passed")
+    assert dealt.best == passed.best and len(dealt.trees) == len(passed.trees)
+    assert all((a.feature == b.feature).all() and (a.bin == b.bin).all() for a, b in zip(dealt.trees, passed.trees))
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-9
+    assert all(abs(u - v) < 1e-9 for f in dealt.losses for u, v in zip(dealt.losses[f], passed.losses[f]))
+    first = [{(r["fold"], r["term"]): (r["feature"], r["bin"], r["left_n"], r["n"]) for r in m.root_splits} for m in (dealt, passed)]
+    assert first[0] == first[1]
+    assert 2 * jobs < passes
+
+
 def test_logistic_equals_a_plain_loop(data, monkeypatch):
     x, ys, df, lab = data
     monkeypatch.setattr(logistic, "CELLS", 9 * 70)

@@ -102,20 +102,43 @@ def knn_join(query: DataFrame, base: DataFrame, k: int, id_col: str = "vec_id",
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def knn_join_without_folds(query: DataFrame, base: DataFrame, k: int, folds: list[int], fold_col: str = "fold", id_col: str = "vec_id",
+                           vec_col: str = "embedding", exclude_self: bool = True, block_rows: int = 4096, query_rows: int = 16384) -> DataFrame:
+    """``(without, query_id, base_id, sim, rank)``: for every fold the k nearest base rows of the other folds.
+
+    The vectors meet once, whatever the number of folds: the k nearest outside a fold are among the k nearest of every
+    other fold.  Base rows without a fold take no part.
+    """
+    f = F.col(fold_col).cast("int")
+    base = base.filter(f.isNotNull())
+    own = sorted(r["f"] for r in base.select(f.alias("f")).distinct().collect())  # a row per fold
+    best = None
+    for o in own:
+        n = knn_join(query, base.filter(f == o), k, id_col, vec_col, None, exclude_self, block_rows, query_rows).withColumn("of", F.lit(o))
+        best = n if best is None else best.unionByName(n)
+    if best is None:
+        best = knn_join(query, base, k, id_col, vec_col, None, exclude_self, block_rows, query_rows).withColumn("of", F.lit(0))
+    others = F.filter(F.array(*[F.lit(o) for o in folds]), lambda o: o != F.col("of"))
+    each = best.select("query_id", "base_id", "sim", F.explode(others).alias("without"))
+    w = Window.partitionBy("without", "query_id").orderBy(F.col("sim").desc(), F.col("base_id"))
+    return each.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def neighbour_label_transfer(neigh: DataFrame, labels: DataFrame, label_entity: str = "entity_id",
                              term_col: str = "term_id", ia: DataFrame | None = None,
                              clip_sims: bool = False, denom_floor: float | None = None,
-                             denom_eps: float = 0.0) -> DataFrame:
+                             denom_eps: float = 0.0, by: list[str] | None = None) -> DataFrame:
     """Similarity-weighted vote (J9; J12 with ``ia``).
 
     ``score(q, t) = sum(sim * [neighbour has t] [* ia_t]) / denom(q)`` with
     ``denom(q) = sum of sim over all k neighbours`` (+ ``denom_eps``), or
     ``max(denom, denom_floor)`` when a floor is given.  Output
-    ``(query_id, term_id, score)``; terms no neighbour carries are absent.
+    ``(query_id, term_id, score)``, for each value of the ``by`` columns; terms no neighbour carries are absent.
     """
+    of = [*(by or []), "query_id"]
     sim = F.least(F.greatest(F.col("sim"), F.lit(0.0)), F.lit(1.0)) if clip_sims else F.col("sim")
-    n = neigh.select("query_id", "base_id", sim.alias("sim"))
-    n = n.withColumn("denom", F.sum("sim").over(Window.partitionBy("query_id")) + F.lit(denom_eps))
+    n = neigh.select(*of, "base_id", sim.alias("sim"))
+    n = n.withColumn("denom", F.sum("sim").over(Window.partitionBy(*of)) + F.lit(denom_eps))
     if denom_floor is not None:
         n = n.withColumn("denom", F.greatest(F.col("denom"), F.lit(denom_floor)))
     lab = labels.select(F.col(label_entity).alias("base_id"), F.col(term_col).alias("term_id")).distinct()
@@ -124,7 +147,7 @@ def neighbour_label_transfer(neigh: DataFrame, labels: DataFrame, label_entity:
     if ia is not None:
         j = j.join(ia.select("term_id", "ia"), "term_id", "left")
         w = w * F.coalesce(F.col("ia"), F.lit(0.0))
-    out = j.groupBy("query_id", "term_id").agg((F.sum(w) / F.first("denom")).alias("score"))
+    out = j.groupBy(*of, "term_id").agg((F.sum(w) / F.first("denom")).alias("score"))
     return out
 
 
@@ -164,6 +187,8 @@ def max_neighbour_similarity(neigh: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ pruned
 
+PLACE_ROWS = 8192      # base rows of a block in the second pass
+BROADCAST_PAIRS = 1_000_000  # (query block, base block) pairs
 MAX_PIVOTS = 4096  # vectors and cluster sizes that go to every task and through the driver
 
 
@@ -174,7 +199,8 @@ class Clusters:
     pivots: np.ndarray
     radius: np.ndarray
     rows: np.ndarray
-    blocks: np.ndarray
+    place: np.ndarray   # first of its places (blocks of base rows, of one large or several small clusters)
+    places: np.ndarray  # their number
 
 
 def _units(vectors: pd.Series) -> np.ndarray:
@@ -197,8 +223,34 @@ def _nearest_pivot(df: DataFrame, vec_col: str, pivots: np.ndarray) -> DataFrame
     return df.mapInPandas(run, schema)
 
 
+def _packed(rows: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """First block and number of blocks of every cluster: large ones are cut, small neighbours in the order share one."""
+    first, count = np.zeros(len(rows), np.int64), np.maximum(1, -(-rows // block_rows))
+    block, held = 0, 0
+    for c, n in enumerate(rows):
+        if held and held + n > block_rows:
+            block, held = block + 1, 0
+        first[c] = block
+        held += n
+        if count[c] > 1:
+            block, held = block + int(count[c]), 0
+    return first, count
+
+
+def _chained(pivots: np.ndarray) -> np.ndarray:
+    """The pivots in an order in which each follows the nearest one before it, so that neighbours share blocks."""
+    left, order = np.ones(len(pivots), bool), [0]
+    left[0] = False
+    while left.any():
+        sims = np.where(left, pivots @ pivots[order[-1]], NEG)
+        order.append(int(sims.argmax()))
+        left[order[-1]] = False
+    return pivots[order]
+
+
 def _opened_clusters(asked: DataFrame, clusters: Clusters) -> DataFrame:
-    """``(qid, home, qb, cluster)``: the clusters besides its home that may hold one of a query's k nearest.
+    """``asked`` with ``clusters``, those besides its home that may hold one of a query's k nearest, and ``places``, their
+    blocks and those of its home.
 
     The angle from a query to a row of a cluster is at least the angle to its pivot less its radius; a cluster
     is left out only if that exceeds the angle of the k-th neighbour found at home (none found: pi)."""
@@ -212,13 +264,15 @@ def _opened_clusters(asked: DataFrame, clusters: Clusters) -> DataFrame:
             angle = np.arccos(np.clip(_units(pdf["qvec"]) @ known.pivots.T, -1.0, 1.0))
             limit = np.arccos(np.clip(pdf["kth"].fillna(-1.0).to_numpy(), -1.0, 1.0))
             may = (angle - known.radius[None, :] <= limit[:, None] + 1e-6) & (known.rows > 0)[None, :]
-            may[np.arange(len(pdf)), pdf["home"].to_numpy()] = False
-            row, cluster = np.nonzero(may)
-            yield pd.DataFrame({"qid": pdf["qid"].to_numpy()[row], "home": pdf["home"].to_numpy()[row],
-                                "qb": pdf["qb"].to_numpy()[row], "cluster": cluster.astype(np.int32)})
-    schema = T.StructType([asked.schema["qid"], T.StructField("home", T.IntegerType()),
-                           T.StructField("qb", T.IntegerType()), T.StructField("cluster", T.IntegerType())])
-    return asked.select("qid", "qvec", "kth", "home", "qb").mapInPandas(run, schema)
+            home = pdf["home"].to_numpy()
+            may[np.arange(len(pdf)), home] = False
+            away = [np.flatnonzero(m).astype(np.int32) for m in may]
+            may[np.arange(len(pdf)), home] = known.rows[home] > 0
+            at = [np.unique(np.concatenate([np.arange(known.place[c], known.place[c] + known.places[c], dtype=np.int32)
+                                            for c in np.flatnonzero(m)] or [np.zeros(0, np.int32)])) for m in may]
+            yield pdf.assign(clusters=away, places=at)
+    ints = T.ArrayType(T.IntegerType())
+    return asked.mapInPandas(run, T.StructType([*asked.schema.fields, T.StructField("clusters", ints), T.StructField("places", ints)]))
 
 
 def pruned_knn_join(query: DataFrame, base: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding",
@@ -232,10 +286,12 @@ def pruned_knn_join(query: DataFrame, base: DataFrame, k: int, id_col: str = "ve
     ``n_pivots`` base rows (one per ``block_rows``, at most ``MAX_PIVOTS``; the first in hash order of the id) are
     pivots, and every base row belongs to the nearest one.  A query first meets the cluster of its own nearest
     pivot; the k-th similarity found there bounds, by the triangle inequality of angles, which other clusters it has
-    to meet.  Clusters are cut into blocks of about ``block_rows`` rows by a hash of the id and the queries of a
-    home into blocks of ``query_rows``, so no cluster, however large, is one task.  A base block is shipped to those
-    query blocks alone in which some query opens its cluster, and there meets only those queries.
-    Work follows the data: vectors in clusters open few; vectors spread evenly over many dimensions open nearly all.
+    to meet.  Large clusters are cut by a hash of the id into blocks of about ``PLACE_ROWS`` rows (``block_rows``
+    in the first pass) and the queries of a home into blocks of ``query_rows``, so no cluster, however large, is one
+    task; small clusters, and the queries of homes, that follow each other in a chain of near pivots share a block.
+    A base block is shipped to those query blocks alone in which some query opens one of its clusters, and there meets
+    only those queries.  Work follows the data: vectors in clusters open few; vectors spread evenly over many
+    dimensions open nearly all, and then as much is shipped as by :func:`knn_join` with blocks of these sizes.
     """
     id_type = query.schema[id_col].dataType
     pick = [F.col(vec_col).isNotNull()]
@@ -249,7 +305,7 @@ def pruned_knn_join(query: DataFrame, base: DataFrame, k: int, id_col: str = "ve
         spark = query.sparkSession
         return (spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())])),
                 spark.createDataFrame([], T.StructType([T.StructField("qid", id_type), T.StructField("cluster", T.IntegerType())])))
-    pivots = _units(first["v"])
+    pivots = _chained(_units(first["v"]))
     fold = [F.col(fold_col)] if fold_col else []
     b = cut_lineage(_nearest_pivot(base.select(F.col(id_col).alias("bid"), F.col(vec_col).alias("bvec"),
                                                *[f.alias("bfold") for f in fold]), "bvec", pivots))
@@ -260,31 +316,32 @@ def pruned_knn_join(query: DataFrame, base: DataFrame, k: int, id_col: str = "ve
     radius, rows = np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
     for row in sizes:
         radius[row["home"]], rows[row["home"]] = row["r"], row["n"]
-    clusters = Clusters(pivots, radius, rows, np.maximum(1, -(-rows // block_rows)))
+    clusters = Clusters(pivots, radius, rows, *_packed(rows, max(block_rows, PLACE_ROWS)))
+    blocks = np.maximum(1, -(-rows // block_rows))
+    first_asked, n_asked = _packed(np.array([asked.get(c, 0) for c in range(len(pivots))]), query_rows)
     parts = query.sparkSession.createDataFrame(
-        [(c, int(clusters.blocks[c]), max(1, -(-asked.get(c, 0) // query_rows))) for c in range(len(pivots))],
-        "home int, n_blocks int, n_asked int")  # a row per pivot
+        [(c, *(int(v[c]) for v in (blocks, clusters.place, clusters.places, first_asked, n_asked))) for c in range(len(pivots))],
+        "home int, n_blocks int, place int, n_places int, asked int, n_asked int")  # a row per pivot
     parts = F.broadcast(parts)
-    b = b.join(parts.select("home", "n_blocks"), "home").withColumn("block", F.pmod(F.xxhash64("bid"), "n_blocks").cast("int")) \
-        .drop("angle", "n_blocks").withColumnRenamed("home", "cluster")
-    q = q.join(parts.select("home", "n_asked"), "home").withColumn("qb", F.pmod(F.xxhash64("qid"), "n_asked").cast("int")).drop("n_asked")
+    hashed = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+    b = b.join(parts.select("home", "n_blocks", "place", "n_places"), "home").withColumn("block", hashed("bid", "n_blocks")) \
+        .withColumn("place", F.col("place") + hashed("bid", "n_places")).drop("angle", "n_blocks", "n_places").withColumnRenamed("home", "cluster")
+    q = q.join(parts.select("home", "asked", "n_asked"), "home").withColumn("qb", F.col("asked") + hashed("qid", "n_asked")).drop("asked", "n_asked")
     of_cluster = parts.select(F.col("home").alias("cluster"), F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"))
-    meet, near = ["home", "qb", "cluster", "block"], _block_topk(k, fold_col is not None, exclude_self)
-
-    def met(pairs: DataFrame, queries: DataFrame) -> DataFrame:
-        """The k best of every block, for the ``(home, qb, cluster)`` pairs of query blocks and clusters."""
-        pairs = pairs.select(*[F.col(c).alias(c) for c in ("home", "qb", "cluster")])  # columns apart from the queries'
-        return queries.join(of_cluster, "cluster").groupBy(*meet).cogroup(b.join(pairs, "cluster").groupBy(*meet)) \
-            .applyInPandas(near, schema)
+    near = _block_topk(k, fold_col is not None, exclude_self)
 
     def best(found: DataFrame) -> DataFrame:
         w = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), F.col("base_id"))
         return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
-    own = q.withColumn("cluster", F.col("home"))
-    at_home = cut_lineage(best(met(own.select("home", "qb", "cluster").distinct(), own)))
-    kth = at_home.filter(F.col("rank") == k).select(F.col("query_id").alias("qid"), F.col("sim").alias("kth"))
-    opened = cut_lineage(_opened_clusters(q.join(kth, "qid", "left"), clusters).distinct())
-    pairs = opened.select("home", "qb", "cluster").distinct()
-    away = met(pairs, q.join(opened.select("qid", "cluster"), "qid"))
-    return best(at_home.drop("rank").unionByName(away)), opened.select("qid", "cluster")
+    own, meet = q.withColumn("cluster", F.col("home")), ["cluster", "qb", "block"]
+    apart = lambda df, *cols: df.select(*[F.col(c).alias(c) for c in cols]).distinct()  # noqa: E731  (columns apart from the queries')
+    blocks_of = apart(own, "cluster", "qb")
+    at_home = best(own.join(of_cluster, "cluster").groupBy(*meet).cogroup(b.join(blocks_of, "cluster").groupBy(*meet)).applyInPandas(near, schema))
+    kth = at_home.filter(F.col("rank") == k).groupBy(F.col("query_id").alias("qid")).agg(F.max("sim").alias("kth"))
+    opened = cut_lineage(_opened_clusters(q.join(kth, "qid", "left"), clusters))
+    asks = opened.drop("clusters", "kth", "home").withColumn("place", F.explode("places")).drop("places")
+    shipped = apart(asks, "qb", "place")
+    met = asks.groupBy("qb", "place").cogroup(b.join(F.broadcast(shipped) if shipped.count() <= BROADCAST_PAIRS else shipped, "place")
+                                              .groupBy("qb", "place")).applyInPandas(near, schema)
+    return best(met), opened.select("qid", F.explode("clusters").alias("cluster")).distinct()

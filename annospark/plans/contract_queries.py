@@ -215,10 +215,7 @@ def _fold_sql() -> str:
 def q_fold_average(spark, d):
     v = S.vectors(spark, d)
     lab = S.vector_labels(spark, d)
-    parts = None
-    for f in range(5):
-        n = knn.knn_join(v, v.filter(F.col("fold") != f), 10, exclude_self=True)
-        s = knn.neighbour_label_transfer(n, lab).withColumn("fold", F.lit(f))
-        parts = s if parts is None else parts.unionByName(s)
-    avg = ensemble.fold_average(parts.withColumnRenamed("query_id", "entity_id"), n_folds=5)
+    n = knn.knn_join_without_folds(v, v, 10, list(range(5)))
+    s = knn.neighbour_label_transfer(n, lab, by=["without"])
+    avg = ensemble.fold_average(s.withColumnRenamed("query_id", "entity_id"), n_folds=5)
     return avg.select("entity_id", "term_id", F.round("score", 6).alias("score"))

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from annospark.session import cut_lineage
+
 
 def _stack(col: pd.Series) -> np.ndarray:
     return np.stack(col.to_numpy()).astype(np.float64)
@@ -61,6 +63,8 @@ def graph_stacker_fit_predict(features: DataFrame, truth: DataFrame, ia: DataFra
     d = f.join(t, ["entity_id", "term_id"], "left").fillna(0.0, subset=["label"])
     d = d.join(ia.select("term_id", F.col("ia").alias("weight")), "term_id", "left") \
         .fillna(float(ia_default), subset=["weight"])
+    # the rows are made once, for the fit and for the scores
+    d = cut_lineage(d.select("entity_id", "term_id", *channels, "label", "weight"))
     d = VectorAssembler(inputCols=channels, outputCol="features").transform(d)
     m = LogisticRegression(maxIter=max_iter, weightCol="weight", regParam=1e-4).fit(d)
     return m.transform(d).select("entity_id", "term_id",

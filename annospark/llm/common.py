@@ -22,6 +22,7 @@ from annospark.plans.registry import Query
 from annospark.session import ensure_checkpoint_dir, ship_package
 
 LLM_QUERIES: dict[str, Query] = {}
+BATCH_ROWS = 1000
 
 
 def llm_query(name: str, sql: str | None = None):
@@ -37,8 +38,14 @@ def llm_query(name: str, sql: str | None = None):
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ship the package to the Python workers and make sure that a checkpoint folder is set."""
+    """Ship the package to the Python workers and make sure that a checkpoint folder is set.
+
+    An Arrow batch has at most ``BATCH_ROWS`` rows: a batch lies whole in the JVM and in the worker, and
+    Spark's 10,000 texts of a few kilobytes cost every task some ten megabytes several times over."""
     ship_package(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
     ensure_checkpoint_dir(spark)
 
 

@@ -41,7 +41,7 @@ HOMOGLYPHS = {
     "ı": "i", "ɡ": "g", "ɑ": "a", "ℓ": "l",
 }
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l"}
-FOLD_CACHE = 150_000
+FOLD_CACHE = 40_000  # some ten megabytes, which a worker keeps for as long as it lives
 STEMS = (4, 5, 6, 7)  # lengths of word stems that may become entries
 
 _FULLWIDTH = {0xFF01 + k: chr(0x21 + k) for k in range(94)}

@@ -50,3 +50,27 @@ def test_labelled_sample_is_the_first_ids_in_hash_order(make_docs):
     few = {r.doc_id for r in toxicity.labelled_sample(docs, labels, max_rows=5).collect()}
     assert len(few) == 5 and few == {r.doc_id for r in toxicity.labelled_sample(docs, labels, max_rows=5).collect()}
     assert toxicity.labelled_sample(docs.limit(0), labels).count() == 0
+
+
+def test_a_task_holds_few_texts_at_once(spark):
+    """A batch lies whole in a worker: with large ones, texts and caches took an executor beyond its memory."""
+    from annospark.llm.common import BATCH_ROWS, prepare
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given, want in (("10000", str(BATCH_ROWS)), ("0", str(BATCH_ROWS)), ("64", "64")):  # 0: no bound
+            spark.conf.set(name, given)
+            prepare(spark)
+            assert spark.conf.get(name) == want
+        spark.conf.set(name, "10000")
+        prepare(spark)
+        sizes = spark.range(0, 5000, 1, 1).mapInArrow(lambda bs: bs, "id long").count()
+        most = spark.range(0, 5000, 1, 1).mapInPandas(
+            lambda frames: (f.assign(id=len(f)).head(1) for f in frames), "id long").agg({"id": "max"}).first()[0]
+        assert sizes == 5000 and most <= BATCH_ROWS
+    finally:
+        spark.conf.set(name, before)
+    for k in range(toxicity.FOLD_CACHE + 10):
+        toxicity.fold(f"w{k}x")
+    assert len(toxicity._FOLDED) <= toxicity.FOLD_CACHE <= 50_000

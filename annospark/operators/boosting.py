@@ -464,7 +464,7 @@ def grow_models(model: BoostedModel, state: DataFrame, sizes: dict[int, int]) ->
                       .mapInArrow(job(first, last), schema))
         grown = own.select("model", "trees", "losses", "root").orderBy("model").toPandas()  # the model, which the driver holds
         if not first:
-            model.root_splits = [SPLIT(*(int(v) if c in ("fold", "term", "node", "feature", "bin") else v for c, v in zip(SPLIT._fields, r)))._asdict()
+            model.root_splits = [SPLIT(*(int(v) if c in ("fold", "term", "node", "feature", "bin") else float(v) for c, v in zip(SPLIT._fields, r)))._asdict()
                                  for r in grown["root"] if len(r)]
         for r in range(first, last + (last == p.trees)):
             for f in learning:

@@ -5,9 +5,10 @@ ASCII white space, A-Z lower-cased; fewer than five words: the whole sequence as
 one shingle; no words: no set and no link).  Two documents link when their
 sets' Jaccard similarity is at least 0.75.  Equal sets are one set from here on.
 
-1. Groups.  Sets that share a least shingle hash (of four orders) meet a leader,
-   the one with most company; those that an exact comparison links to it are
-   joined, and connected sets form a group.  All others are groups of one.
+1. Groups.  Sets that share a least shingle hash (of four orders) meet two leaders,
+   the one with most company and that of a small part of them (a leader that is far
+   from its whole family groups nobody); those that an exact comparison links to one
+   are joined, and connected sets form a group.  All others are groups of one.
 2. Matrix.  For each group the union of its members' tokens.  The rows kept are
    those of the members' prefixes: a set of n tokens can only link to one that
    shares at least one of its first n - ceil(0.75 n) + 1 tokens in any fixed
@@ -25,6 +26,10 @@ table of bounded size gives the level (twice the binary logarithm) by token hash
 So the prefixes of a family of similar sets hold what its members do not share.
 The order only affects the work: any order gives the same links.
 
+Pairs meet by sketch before their texts are fetched: the parities of a set's tokens by
+hash place.  Places where two sketches differ hold tokens of one set only, so
+too many of them rule a link out (see :func:`may_link`); no link is lost.
+
 Components are found by joins on the set links.  Nothing that grows with the
 documents comes to the driver.
 """
@@ -50,6 +55,8 @@ LEVEL_BITS = (22, 26)     # least and most bits of the level table's size; two l
 BROADCAST_ROWS = 400_000  # keys (24 bytes each) are broadcast up to here, joined by a shuffle beyond
 WORD_CACHE = 150_000
 PROBES = 32               # members of a large group tried before all of them
+PART = 8                  # sets of a least-hash bucket that share a second leader, about
+SKETCH_BITS = (6, 15)     # least and most bits of the number of places of a sketch
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _A = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
@@ -122,6 +129,30 @@ def largest_partner(n: int, at: np.ndarray) -> np.ndarray:
     return ((num + den) * (n - at) - num * n) // num
 
 
+def sketch(t: np.ndarray) -> bytes:
+    """Parities of the tokens by their low bits; at least two places a token, within SKETCH_BITS."""
+    low, high = SKETCH_BITS
+    places = 1 << min(high, max(low, (2 * len(t) - 1).bit_length()))
+    at = (t & np.uint64(places - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=places) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(s: bytes, size: int) -> bytes:
+    """The sketch of the same set with fewer places."""
+    return np.bitwise_xor.reduce(np.frombuffer(s, np.uint8).reshape(-1, size), axis=0).tobytes() if len(s) > size else s
+
+
+def may_link(n: int, s: bytes, m: int, t: bytes) -> bool:
+    """Whether sets of n and m tokens with these sketches can link: linked ones have (n + m) / 7 tokens
+    at most that only one of them holds."""
+    num, den = SIMILARITY
+    if den * min(n, m) < num * max(n, m):
+        return False
+    size = min(len(s), len(t))
+    apart = int.from_bytes(folded(s, size)) ^ int.from_bytes(folded(t, size))
+    return (num + den) * apart.bit_count() <= (den - num) * (n + m)
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, th, text): th tells rows of one id apart."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"),
@@ -129,10 +160,10 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def document_sets(rows: DataFrame) -> DataFrame:
-    """Per row (doc_id, th, n, sid, keys): set size, set id and least-hash keys; and rows (token, times)
+    """Per row (doc_id, th, n, sid, keys, sketch): set size, set id, least-hash keys and sketch; and rows (token, times)
     of tokens that several sets of a chunk share."""
-    schema = "doc_id long, th long, n long, sid binary, keys array<long>, token long, times long"
-    names = ["doc_id", "th", "n", "sid", "keys", "token", "times"]
+    schema = "doc_id long, th long, n long, sid binary, keys array<long>, sketch binary, token long, times long"
+    names = ["doc_id", "th", "n", "sid", "keys", "sketch", "token", "times"]
 
     def run(batches):
         held: dict[bytes, np.ndarray] = {}
@@ -146,17 +177,18 @@ def document_sets(rows: DataFrame) -> DataFrame:
             held.clear()
             size = 0
             t, c = t[c >= FREQUENT], c[c >= FREQUENT]
-            nulls = [pa.nulls(len(t), k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))]
+            nulls = [pa.nulls(len(t), k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())]
             yield pa.RecordBatch.from_arrays([*nulls, pa.array(t.view(np.int64)), pa.array(c.astype(np.int64))], names=names)
 
         for batch in slices(batches):
-            ns, sids, keys = [], [], []
+            ns, sids, keys, sketches = [], [], [], []
             for text in batch.column(2).to_pylist():
                 t = tokens(text)
                 ns.append(len(t))
                 sid = xxhash.xxh3_128_digest(t.tobytes())
                 sids.append(sid)
                 keys.append([int((t * a).min().view(np.int64)) for a in _A[:KEYS]] if len(t) else [])
+                sketches.append(sketch(t))
                 if len(t) and sid not in held:
                     held[sid] = t
                     size += len(t)
@@ -165,7 +197,8 @@ def document_sets(rows: DataFrame) -> DataFrame:
             m = len(ns)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(sids, pa.binary()),
-                 pa.array(keys, pa.list_(pa.int64())), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names=names)
+                 pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.nulls(m, pa.int64()),
+                 pa.nulls(m, pa.int64())], names=names)
         yield from frequent()
 
     return rows.mapInArrow(run, schema)
@@ -213,12 +246,34 @@ def _small(df: DataFrame) -> DataFrame:
 
 def texts_of(rows: DataFrame, sets: DataFrame, sids: DataFrame) -> DataFrame:
     """(sid, text) of one document of each set in ``sids``."""
-    place = (sets.join(sids, "sid").groupBy("sid")
-             .agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th")).alias("p"))
-             .select("sid", F.col("p.doc_id").alias("pid"), F.col("p.th").alias("pth")))
+    place = (sets.join(sids, "sid").groupBy("sid", "doc_id", "th").agg(F.count("*").alias("copies")).groupBy("sid")
+             .agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th", "copies")).alias("p"))
+             .select("sid", F.col("p.doc_id").alias("pid"), F.col("p.th").alias("pth"), F.col("p.copies").alias("copies")))
     place = stored(place, "places")
-    found = rows.join(_small(place), F.col("doc_id").eqNullSafe(F.col("pid")) & (F.col("th") == F.col("pth")))
-    return found.select("sid", "text").dropDuplicates(["sid"])
+
+    def texts(some: DataFrame) -> DataFrame:
+        return rows.join(_small(some), F.col("doc_id").eqNullSafe(F.col("pid")) & (F.col("th") == F.col("pth"))).select("sid", "text")
+
+    repeated = place.where("copies > 1")  # rows with the same id and text; the texts of the others need no shuffle
+    if repeated.isEmpty():
+        return texts(place)
+    return texts(place.where("copies = 1")).unionByName(texts(repeated).dropDuplicates(["sid"]))
+
+
+def near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets whose sizes and sketches allow a link."""
+    sids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    one = stored(sets.select("sid", "n", "sketch").join(_small(stored(sids, "asked-sets")), "sid")
+                 .groupBy("sid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
+    both = (pairs.join(one.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
+            .join(one.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b"))
+
+    def run(batches):
+        for batch in slices(batches):
+            keep = [may_link(*r) for r in zip(*(batch.column(k).to_pylist() for k in range(2, 6)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a binary, b binary")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -226,6 +281,7 @@ def verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
     pairs = stored(pairs.select("a", "b").distinct(), "pairs")
     if pairs.isEmpty():
         return pairs
+    pairs = stored(near(pairs, sets), "near-pairs")
     texts = stored(texts_of(rows, sets, pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()), "texts")
     both = (pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("ta")), "a")
             .join(texts.select(F.col("sid").alias("b"), F.col("text").alias("tb")), "b"))
@@ -266,19 +322,24 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def leader_pairs(sets: DataFrame) -> DataFrame:
-    """(a, b): each set and the leaders of its least-hash buckets; linear in the number of sets."""
+    """(a, b): each set and the leaders of its least-hash buckets and of its parts of them; linear in the number of sets."""
     one = sets.groupBy("sid").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
     at = stored(one.select("sid", "n", F.posexplode("keys").alias("k", "key")), "least-hashes")
     company = at.groupBy("k", "key").agg(F.count("*").alias("c")).where("c > 1")
     shared = stored(at.join(company, ["k", "key"]), "shared-hashes")
     support = shared.groupBy("sid").agg(F.sum("c").alias("support"))
     shared = shared.join(support, "sid")
-    leader = shared.groupBy("k", "key").agg(F.max_by(F.struct("sid", "n"), F.struct("support", "sid")).alias("leader"))
+    shared = shared.withColumn("part", F.pmod(F.xxhash64("sid", "k"), F.ceil(F.col("c") / PART)))
     num, den = SIMILARITY
-    return (shared.join(leader, ["k", "key"])
-            .where((F.col("sid") != F.col("leader.sid")) & (F.col("n") * den >= F.col("leader.n") * num)
-                   & (F.col("leader.n") * den >= F.col("n") * num))
-            .select(F.col("sid").alias("a"), F.col("leader.sid").alias("b")).distinct())
+
+    def led(*bucket: str) -> DataFrame:
+        leader = shared.groupBy(*bucket).agg(F.max_by(F.struct("sid", "n"), F.struct("support", "sid")).alias("leader"))
+        return (shared.join(leader, list(bucket))
+                .where((F.col("sid") != F.col("leader.sid")) & (F.col("n") * den >= F.col("leader.n") * num)
+                       & (F.col("leader.n") * den >= F.col("n") * num))
+                .select(F.col("sid").alias("a"), F.col("leader.sid").alias("b")))
+
+    return led("k", "key").unionByName(led("k", "key", "part")).distinct()
 
 
 def matrix_rows(rows: DataFrame, sets: DataFrame, groups: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
@@ -311,7 +372,8 @@ def matrix_rows(rows: DataFrame, sets: DataFrame, groups: DataFrame, levels: np.
             t, g1, g2, size, most, bucket = (v[order] for v in (t, g1, g2, size, most, bucket))
             cut = np.flatnonzero(np.diff(bucket)) + 1
             first = np.concatenate([[0], cut])
-            cols = [[c.tobytes() for c in np.split(v, cut)] for v in (t, g1, g2, size.astype(np.int32), most.astype(np.int32))]
+            cols = [[c.tobytes() for c in np.split(v, cut)] for v in (t, g1, g2)]
+            cols += [[planes(c) for c in np.split(v.astype(np.int32), cut)] for v in (size, most)]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), *[pa.array(c, pa.binary()) for c in cols]],
                                              names=["bucket", "token", "g1", "g2", "size", "most"])
 
@@ -334,6 +396,15 @@ def matrix_rows(rows: DataFrame, sets: DataFrame, groups: DataFrame, levels: np.
     return src.mapInArrow(run, schema)
 
 
+def planes(v: np.ndarray) -> bytes:
+    """32-bit numbers by byte, all first bytes first: the high ones are nearly all zero, so the shuffle packs them away."""
+    return np.ascontiguousarray(v.view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+
+
 def merged(t, g1, g2, size, most):
     """Entries with the same token and group as one, with the least size and the largest partner."""
     order = np.lexsort((g2, g1, t))
@@ -349,8 +420,10 @@ def candidate_groups(matrix: DataFrame, parts: int) -> DataFrame:
     def run(batches):
         cols: list[list[np.ndarray]] = [[], [], [], [], []]
         for batch in batches:
-            for k, kind in enumerate((np.uint64, np.int64, np.int64, np.int32, np.int32)):
+            for k, kind in enumerate((np.uint64, np.int64, np.int64)):
                 cols[k].extend(np.frombuffer(v, kind) for v in batch.column(k + 1).to_pylist())
+            for k in (3, 4):
+                cols[k].extend(map(from_planes, batch.column(k + 1).to_pylist()))
         if not cols[0]:
             return
         t, g1, g2, size, most = merged(*[np.concatenate(c) for c in cols])
@@ -436,7 +509,7 @@ def prefix_rows(texts: DataFrame, levels: np.ndarray) -> DataFrame:
 
 def set_links(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Links (a, b) between sets that connect all that the exact join connects."""
-    sets = found.where(F.col("sid").isNotNull() & (F.col("n") > 0)).select("doc_id", "th", "n", "sid", "keys")
+    sets = found.where(F.col("sid").isNotNull() & (F.col("n") > 0)).select("doc_id", "th", "n", "sid", "keys", "sketch")
     first = verified(leader_pairs(sets), rows, sets)
     groups = components(first)
     total = sets.agg(F.sum("n")).first()[0] or 0
@@ -476,8 +549,8 @@ def set_links(rows: DataFrame, found: DataFrame) -> DataFrame:
     probe = big.withColumn("slot", F.pmod(F.xxhash64("sid"), F.lit(PROBES))).groupBy("gid", "slot") \
         .agg(F.min("sid").alias("sid")).select("gid", "sid")
     small = members.join(into.where(F.col("size") <= PROBES).select("gid").distinct(), "gid", "left_semi").select("gid", "sid")
-    near = verified(against(into, small.unionByName(probe)), rows, sets)
-    done = near.join(members.select(F.col("sid").alias("b"), "gid"), "b").select(F.col("a").alias("q"), "gid").distinct()
+    probed = verified(against(into, small.unionByName(probe)), rows, sets)
+    done = probed.join(members.select(F.col("sid").alias("b"), "gid"), "b").select(F.col("a").alias("q"), "gid").distinct()
     rest = into.where(F.col("size") > PROBES).join(done, ["q", "gid"], "left_anti")
     # the others meet those members with which they share a row at which a link may begin
     rest = stored(rest.select("q", "gid"), "rest")
@@ -487,7 +560,7 @@ def set_links(rows: DataFrame, found: DataFrame) -> DataFrame:
     asked = rest.join(prefixes.select(F.col("sid").alias("q"), "token", F.col("size").alias("qn"), F.col("most").alias("qm")), "q")
     met = asked.join(some.join(prefixes, "sid"), ["gid", "token"]).where((F.col("size") <= F.col("qm")) & (F.col("qn") <= F.col("most")))
     far = verified(met.select(F.col("q").alias("a"), F.col("sid").alias("b")), rows, sets)
-    return links.unionByName(near).unionByName(far)
+    return links.unionByName(probed).unionByName(far)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -42,6 +42,65 @@ def test_links_begin_where_both_are_small_enough():
             assert m <= jaccard.largest_partner(n, np.array(i)) and n <= jaccard.largest_partner(m, np.array(j))
 
 
+def test_sketches_lose_no_link_and_stop_far_pairs():
+    rnd = np.random.default_rng(3)
+    stopped = 0
+    for _ in range(2000):
+        n, m = (int(x) for x in rnd.integers(1, 400, 2))
+        if rnd.random() < 0.7:
+            m = max(1, int(n * rnd.uniform(0.7, 1.4)))
+        o = int(rnd.integers(0, min(n, m) + 1)) if rnd.random() < 0.4 else max(0, min(n, m) - int(rnd.integers(0, 1 + n // 8)))
+        t = rnd.integers(0, 1 << 63, n + m - o, dtype=np.uint64)
+        a, b = t[:n], t[n - o:]
+        near = jaccard.may_link(n, jaccard.sketch(a), m, jaccard.sketch(b))
+        if 100 * o >= 75 * (n + m - o):
+            assert near
+        elif 100 * o < 50 * (n + m - o):
+            stopped += not near
+    assert stopped > 300
+    assert jaccard.folded(jaccard.sketch(t), 8) == np.packbits(
+        (np.bincount((t & np.uint64(63)).astype(int), minlength=64) & 1).astype(np.uint8)).tobytes()
+    v = np.array([0, 1, 300, 70_000], np.int32)
+    assert jaccard.from_planes(jaccard.planes(v)).tolist() == v.tolist()
+
+
+def test_far_pairs_fetch_no_texts_and_families_are_grouped(make_docs, monkeypatch):
+    """Texts of pairs that cannot link are not fetched; a family whose leader is far from it is grouped all the same."""
+    rnd = random.Random(8)
+    base = [f"b{k}" for k in range(120)]
+
+    def member(changes):
+        ws = list(base)
+        for at in rnd.sample(range(120), changes):
+            ws[at] = f"x{rnd.random()}"
+        return " ".join(ws)
+
+    docs = make_docs([(k, member(1)) for k in range(40)] + [(100 + k, member(12)) for k in range(4)] + [(k, None) for k in (7, 7)])
+    rows = jaccard._keyed(docs, "doc_id", "text")
+    sets = jaccard.stored(jaccard.document_sets(rows), "t").where("n > 0").select("doc_id", "th", "n", "sid", "keys", "sketch")
+    pairs = jaccard.stored(sets.select(jaccard.F.col("sid").alias("a")).crossJoin(sets.select(jaccard.F.col("sid").alias("b")))
+                           .where("a < b"), "p")
+    links = {tuple(r) for r in jaccard.verified(pairs, rows, sets).collect()}
+    near = {tuple(r) for r in jaccard.near(pairs, sets).collect()}
+    assert links <= near and len(near) < pairs.count()
+    fetched = []
+    monkeypatch.setattr(jaccard, "texts_of", lambda r, s, sids, real=jaccard.texts_of: fetched.append(sids.count()) or real(r, s, sids))
+    far = pairs.join(rows.sparkSession.createDataFrame([*near], "a binary, b binary"), ["a", "b"], "left_anti")
+    assert jaccard.verified(far, rows, sets).count() == 0 and fetched == [0]
+    # all sets share all four least hashes, and the set with most company is the far one
+    one = sets.withColumn("keys", jaccard.F.expr("array(1L, 2L, 3L, 4L)"))
+    leaders = jaccard.leader_pairs(one).collect()
+    assert len({bytes(r["b"]) for r in leaders}) > 4 and len(leaders) < 44 * 8
+
+
+def test_texts_of_repeated_rows_come_once(make_docs):
+    docs = make_docs([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "q r s t u v"), (None, "q r s t u v"), (3, "k l m n o p")])
+    rows = jaccard._keyed(docs, "doc_id", "text")
+    sets = jaccard.stored(jaccard.document_sets(rows), "t").where("n > 0").select("doc_id", "th", "n", "sid", "keys", "sketch")
+    got = sorted(r["text"] for r in jaccard.texts_of(rows, sets, sets.select("sid").distinct()).collect())
+    assert got == ["a b c d e f", "k l m n o p", "q r s t u v"]
+
+
 def test_rare_tokens_come_first():
     table = np.zeros(8, np.uint8)  # 16 places
     table[1] = 0x30                # place 2: level 3

@@ -25,7 +25,7 @@ benchmark flags nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annospark.llm.common import free_name, let, stored
@@ -175,11 +175,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 .select("doc_id", "th", "pos", "item_id", "ih", "kind", "at", "windows"))
 
     at = rows.select("doc_id", "th", window_hashes(template_words(F.col("text"))).alias("hs"))
-    hits = found(at.select("doc_id", "th", F.posexplode("hs").alias("pos", "hash")), bench.where(~is_plain))
+    # outer: for a plain explode Spark first filters by the size of the array, for which it makes all of it a second time
+    hits = found(at.select("doc_id", "th", F.posexplode_outer("hs").alias("pos", "hash")), bench.where(~is_plain))
     lengths = sorted(r["length"] for r in bench.where(is_plain).select("length").distinct().collect())  # at most WINDOW
     if lengths:
         runs = rows.select("doc_id", "th", F.lit(0).alias("pos"),
-                           F.explode(plain_hashes(plain_words(F.col("text")), lengths)).alias("hash"))
+                           F.explode_outer(plain_hashes(plain_words(F.col("text")), lengths)).alias("hash"))
         hits = hits.unionByName(found(runs, bench.where(is_plain)))
     hits = stored(hits, "window-hits")
     enough = F.col("n_windows") >= F.col("item_windows") * LEAST_SHARE
@@ -195,35 +196,44 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     this = F.col("item_id").eqNullSafe(F.col("i")) & (F.col("ih") == F.col("x"))
     hits = hits.join(likely, same & this & (F.col("kind") == F.col("k")), "left_semi")
     # Slots: the values under the placeholders of document and item (plain windows have none).
+    # Document and item meet once: a hit takes its window's slots along, the first hit of a line also the item's other
+    # places; texts are shuffled as strings, words joined by a blank.
     texts = (rows.join(likely.where(F.col("k") != PLAIN).select("d", "t").distinct(), same, "left_semi").dropDuplicates(["doc_id", "th"])
-             .select(F.col("doc_id").alias("d"), F.col("th").alias("t"), template_words(F.col("text")).alias("form"),
-                     plain_words(F.col("text")).alias("plain")))
+             .select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.array_join(template_words(F.col("text")), " ").alias("form"),
+                     F.array_join(plain_words(F.col("text")), " ").alias("plain")))
     items = benchmark_items(benchmark, item_col, item_text_col).select(
         F.col("item_id").alias("i"), F.col("ih").alias("x"), plain_words(F.col("text")).alias("item_plain"),
         template_words(F.col("text")).alias("item_form"))
-    pairs = hits.where(~is_plain).join(texts, same).join(items, this)
-    slots = F.filter(F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: F.struct(
-        F.get("form", F.col("pos") + k).alias("form"), F.get("item_plain", F.col("at") + k).alias("item"),
-        F.get("plain", F.col("pos") + k).alias("doc"))), lambda s: _has_slot(s["form"]))
-    own = F.forall("slots", lambda s: s["item"].eqNullSafe(s["doc"]))
-    slots = (pairs.select(*pair, "pos", "at", slots.alias("slots"))
-             .select(*pair, "pos", "at", own.alias("own"), F.explode("slots").alias("s"))
-             .select(*pair, "pos", "at", "own", "s.*", (F.col("pos") - F.col("at")).alias("line")))
     window, value = [*pair, "pos", "at"], [*pair, "line", "item"]
+    on_line = Window.partitionBy(*pair, "line").orderBy("pos")
+    pairs = (hits.where(~is_plain).withColumn("line", F.col("pos") - F.col("at")).withColumn("nth", F.row_number().over(on_line))
+             .join(texts, same).join(items, this))
+
+    def slots_of(doc: Column) -> Column:
+        return F.filter(F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: F.struct(
+            F.get(doc["form"], F.col("pos") + k).alias("form"), F.get("item_plain", F.col("at") + k).alias("item"),
+            F.get(doc["plain"], F.col("pos") + k).alias("doc"))), lambda s: _has_slot(s["form"]))
 
-    def beside(p: Column) -> Column:
+    def beside(doc: Column, p: Column) -> Column:
         """The literal words before and after the item's word ``p`` are there in the document too, at least one."""
-        sides = F.array(*[F.struct(F.get("item_form", p + k).alias("item"), F.get("form", F.col("line") + p + k).alias("doc"))
+        sides = F.array(*[F.struct(F.get("item_form", p + k).alias("item"), F.get(doc["form"], F.col("line") + p + k).alias("doc"))
                           for k in (-1, 1)])
         return let(F.filter(sides, lambda w: w["item"].isNotNull() & ~_has_slot(w["item"])),
                    lambda ws: (F.size(ws) > 0) & F.forall(ws, lambda w: w["item"].eqNullSafe(w["doc"])))
 
-    places = F.filter(F.sequence(F.lit(0), F.size("item_form") - 1), lambda p: _has_slot(F.get("item_form", p))
-                      & F.get("plain", F.col("line") + p).isNotNull() & beside(p))
-    lines = (pairs.select(*pair, (F.col("pos") - F.col("at")).alias("line")).distinct().join(texts, same).join(items, this)
-             .where(F.size("item_form") == F.size("item_plain")).where(F.size("form") == F.size("plain"))
-             .select(*pair, "line", "item_plain", "plain", F.explode(places).alias("p"))
-             .select(*pair, "line", F.get("item_plain", F.col("p")).alias("item"), F.get("plain", F.col("line") + F.col("p")).alias("doc")))
+    def values_of(doc: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.size("item_form") - 1), lambda p: _has_slot(F.get("item_form", p))
+                          & F.get(doc["plain"], F.col("line") + p).isNotNull() & beside(doc, p))
+        whole = (F.col("nth") == 1) & (F.size("item_form") == F.size("item_plain")) & (F.size(doc["form"]) == F.size(doc["plain"]))
+        return F.when(whole, F.transform(places, lambda p: F.struct(
+            F.get("item_plain", p).alias("item"), F.get(doc["plain"], F.col("line") + p).alias("doc"))))
+
+    doc = F.struct(F.split("form", " ").alias("form"), F.split("plain", " ").alias("plain"))
+    met = let(doc, lambda w: F.struct(slots_of(w).alias("slots"), values_of(w).alias("values")))
+    met = stored(pairs.select(*window, "line", met.alias("m")).select(*window, "line", "m.*"), "met-windows")
+    own = F.forall("slots", lambda s: s["item"].eqNullSafe(s["doc"]))
+    slots = met.select(*window, "line", own.alias("own"), F.explode("slots").alias("s")).select(*window, "line", "own", "s.*")
+    lines = met.select(*pair, "line", F.explode("values").alias("v")).select(*pair, "line", "v.*")
     # sums of an item's slots and windows, at most, in each group
     unlike = (slots.select(*value, "doc").unionByName(lines).groupBy(*value).agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
               .where(F.col("least") != F.col("most")).select(*[F.col(c).alias(f"v_{c}") for c in value]))

@@ -124,3 +124,18 @@ def test_equals_loops(spark, make_docs):
     got = flagged(spark, make_docs, docs, items)
     want = _flagged_by_loops(spark, docs, items)
     assert got == want and 0 < len(want) < len(docs) * len(items)
+
+
+def test_templates_are_made_once_and_texts_meet_items_once(spark, make_docs, monkeypatch):
+    plans = {}
+
+    def stored(df, name, real=decontam.stored):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(decontam, "stored", stored)
+    again = ITEM.replace("9", "11").replace("120", "85").replace("Boston", "Denver").replace("Anna", "Maria")
+    assert flagged(spark, make_docs, [(1, "Before it. " + again), (2, "no such words"), (None, again)], [(1, ITEM), (2, "two words")]) == [(1, 1)]
+    spelt = decontam._SPELT_RE[:40]
+    assert plans["window-hits"].count(spelt) == 1  # a filter by the size of the windows made the template again
+    assert "met-windows" in plans

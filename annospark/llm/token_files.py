@@ -21,6 +21,8 @@ import hashlib
 import struct
 import uuid
 import zlib
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -56,10 +58,13 @@ class WordEncoder:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
         if len(self.known) >= WORD_CACHE:
             self.known.clear()
-        new = list({w for ws in split for w in ws} - self.known.keys())
+        # one look into the table for each word; a difference with its keys would go through all of it for each batch
+        found = [list(map(self.known.get, ws)) for ws in split]
+        new = list(set().union(*(compress(ws, map(is_, ids, repeat(None))) for ws, ids in zip(split, found))))
         for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
+            self.known[w] = struct.pack(f"<{len(ids := e.ids)}I", *ids)
+        return [b"".join([self.known[w] if i is None else i for w, i in zip(ws, ids)] if None in ids else ids)
+                for ws, ids in zip(split, found)]
 
 
 _ENCODERS: dict[bytes, WordEncoder] = {}

@@ -9,6 +9,7 @@ import zstandard
 from tokenizers import Tokenizer
 
 from annospark.llm import fingerprint, token_files
+from annospark.llm.queries import tokenizer_path
 
 ROWS = [(5, "Hello world, it's 42!"), (2, None), (9, "naïve café\ttab\r\nline  "), (3, ""), (7, "x" * 3000),
         (8, "Σίσυφος ΣΑΣ <|endoftext|> ok"), (6, "the same"), (4, "the same")]
@@ -78,3 +79,23 @@ def test_words_one_by_one_equal_the_whole_text():
     texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))) for _ in range(4000)]
     for text, ids in zip(texts, encoder.encode_all(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_a_batch_does_not_go_through_the_whole_word_table():
+    class Counted(dict):
+        walks = 0
+
+        def keys(self):
+            Counted.walks += 1
+            return super().keys()
+
+        def __iter__(self):
+            Counted.walks += 1
+            return super().__iter__()
+
+    with open(tokenizer_path("word_bpe_49k.json"), encoding="utf-8") as f:
+        encoder = token_files.WordEncoder(f.read())
+    encoder.known = Counted()
+    first = encoder.encode_all(["some words", "more  words", "", None])
+    assert encoder.encode_all(["more  words", "other words", "some words"])[::2] == [first[1], first[0]] and first[2:] == [b"", b""]
+    assert Counted.walks == 0

@@ -21,11 +21,11 @@ import hashlib
 import struct
 import uuid
 import zlib
-from itertools import compress, repeat
-from operator import is_
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -36,6 +36,7 @@ from annospark.llm.common import open_fs, ranged, scratch_path, slices
 # Fixed values of the zstandard seekable format.
 INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC, CHECKSUM_FLAG = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 WORD_CACHE = 1_000_000
+WORDS_AT_ONCE = 200
 LEVEL = 3
 
 
@@ -43,28 +44,56 @@ class WordEncoder:
     """Encodes with the tokenizers library, one white-space separated word at a time.
 
     For tokenizers that drop white space (no token spans it) this gives the
-    same ids as the whole text; the bytes of each word's ids are kept in a
-    bounded table.
+    same ids as the whole text; the ids of the words met are kept in a bounded
+    table, one word after the other in ``pool``.
     """
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(spec)
-        self.known: dict[str, bytes] = {}
-
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        self.known: dict[str, int] = {}  # the word's number
+        self.pool, self.used = np.empty(1 << 16, np.uint32), 0
+        self.start, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)  # by number
+
+    def learn(self, new: list[str]) -> None:
+        """Add the ids of distinct words that are not in the table; they are numbered in their order."""
+        # as the parts of split texts: each is encoded alone, without a result object of its own
+        parts = [new[k:k + WORDS_AT_ONCE] for k in range(0, len(new), WORDS_AT_ONCE)]
+        for words, e in zip(parts, self.tokenizer.encode_batch(parts, is_pretokenized=True, add_special_tokens=False)):
+            ids, first = np.array(e.ids, np.uint32), len(self.known)
+            length = np.bincount(np.array(e.word_ids, np.int64), minlength=len(words))
+            self.pool = _grown(self.pool, self.used + len(ids))
+            self.start, self.length = (_grown(v, first + len(words)) for v in (self.start, self.length))
+            self.pool[self.used:self.used + len(ids)] = ids
+            self.length[first:first + len(words)] = length
+            self.start[first:first + len(words)] = self.used + np.cumsum(length) - length
+            self.used += len(ids)
+            self.known.update(zip(words, range(first, first + len(words))))
+
+    def encode_all(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        # only blank, tab and line ends: all of them are white space to any tokenizer
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if len(self.known) >= WORD_CACHE:
             self.known.clear()
-        # one look into the table for each word; a difference with its keys would go through all of it for each batch
-        found = [list(map(self.known.get, ws)) for ws in split]
-        new = list(set().union(*(compress(ws, map(is_, ids, repeat(None))) for ws, ids in zip(split, found))))
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[w] = struct.pack(f"<{len(ids := e.ids)}I", *ids)
-        return [b"".join([self.known[w] if i is None else i for w, i in zip(ws, ids)] if None in ids else ids)
-                for ws, ids in zip(split, found)]
+            self.used = 0
+        split = pc.ascii_split_whitespace(texts)  # blank, tab and line ends: all of them are white space to any tokenizer
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        number = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(number < 0)
+        number[new] = np.arange(len(self.known), len(self.known) + len(new))
+        self.learn([distinct[k] for k in new.tolist()])
+        number = number[words.indices.to_numpy()]
+        length = self.length[number]
+        last = np.concatenate([[0], np.cumsum(length)])
+        ids = self.pool[np.repeat(self.start[number] - last[:-1], length) + np.arange(last[-1])].astype("<u4", copy=False).tobytes()
+        cut = last[np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(split), 0).to_numpy())])] * 4
+        return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+
+
+def _grown(v: np.ndarray, n: int) -> np.ndarray:
+    """The same array with room for at least ``n`` entries."""
+    return v if n <= len(v) else np.concatenate([v, np.empty(max(n, 2 * len(v)) - len(v), v.dtype)])
 
 
 _ENCODERS: dict[bytes, WordEncoder] = {}
@@ -90,7 +119,7 @@ def encode_frames(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFram
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder, press = encoder_of(spec.value), zstandard.ZstdCompressor(level=LEVEL, write_checksum=True)
         for batch in slices(batches, 1024):
-            plain = [ids + end for ids in encoder.encode_all(batch.column(2).to_pylist())]
+            plain = [ids + end for ids in encoder.encode_all(batch.column(2))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([len(p) // 4 for p in plain], pa.int64()),
                  pa.array([xxhash.xxh64_intdigest(p) & 0xFFFFFFFF for p in plain], pa.int64()),

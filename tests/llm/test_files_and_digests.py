@@ -99,3 +99,26 @@ def test_a_batch_does_not_go_through_the_whole_word_table():
     first = encoder.encode_all(["some words", "more  words", "", None])
     assert encoder.encode_all(["more  words", "other words", "some words"])[::2] == [first[1], first[0]] and first[2:] == [b"", b""]
     assert Counted.walks == 0
+
+
+def test_a_repeated_word_is_looked_up_once_for_a_batch():
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            Counted.asked += 1
+            return super().get(*a)
+
+    with open(tokenizer_path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    encoder, library = token_files.WordEncoder(spec), Tokenizer.from_str(spec)
+    encoder.known = Counted()
+    texts = ["It's a word. " * 300, "a word.\x0bIt's\x0c\u0085<|endoftext|>", None, " another word,\r\n" * 300, ""]
+    for _ in range(2):
+        Counted.asked = 0
+        for text, ids in zip(texts, encoder.encode_all(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids, text
+        assert Counted.asked < 10

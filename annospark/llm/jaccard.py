@@ -56,6 +56,7 @@ BROADCAST_ROWS = 400_000  # keys (24 bytes each) are broadcast up to here, joine
 WORD_CACHE = 150_000
 PROBES = 32               # members of a large group tried before all of them
 PART = 8                  # sets of a least-hash bucket that share a second leader, about
+TOKEN_BYTES, GROUP_BYTES = 5, 6  # of a matrix entry
 SKETCH_BITS = (6, 15)     # least and most bits of the number of places of a sketch
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -342,14 +343,18 @@ def leader_pairs(sets: DataFrame) -> DataFrame:
     return led("k", "key").unionByName(led("k", "key", "part")).distinct()
 
 
-def matrix_rows(rows: DataFrame, sets: DataFrame, groups: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
-    """(bucket, token, g1, g2, size, most): packed columns of matrix entries (token, group, set size, largest partner)."""
+def matrix_rows(rows: DataFrame, sets: DataFrame, groups: DataFrame, levels: np.ndarray, buckets: int,
+                width: int = GROUP_BYTES) -> DataFrame:
+    """(bucket, token, g, size, most): packed columns of matrix entries (token, group, set size, largest partner).
+
+    A token is shipped as the low TOKEN_BYTES of its quotient by the number of buckets and a group as the first ``width``
+    bytes of its id: a chance meeting of either may add candidates and loses none."""
     mine = sets.join(groups.withColumnRenamed("label", "gid"), "sid").select(
         F.col("doc_id").alias("pid"), F.col("th").alias("pth"), "gid").distinct()
     src = rows.join(_small(stored(mine, "members")),
                     F.col("doc_id").eqNullSafe(F.col("pid")) & (F.col("th") == F.col("pth")), "left").select("text", "gid")
     sent = rows.sparkSession.sparkContext.broadcast(levels)
-    schema = "bucket int, token binary, g1 binary, g2 binary, size binary, most binary"
+    schema = "bucket int, token binary, g binary, size binary, most binary"
 
     def run(batches):
         table = sent.value
@@ -362,20 +367,20 @@ def matrix_rows(rows: DataFrame, sets: DataFrame, groups: DataFrame, levels: np.
                 return
             t = np.concatenate([p[0] for p in parts])
             length = [len(p[0]) for p in parts]
-            g1, g2, n = (np.repeat(np.array([p[k] for p in parts], np.int64), length) for k in (1, 2, 3))
-            most = np.concatenate([p[4] for p in parts])
+            g, n = (np.repeat(np.array([p[k] for p in parts], np.int64), length) for k in (1, 2))
+            most = np.concatenate([p[3] for p in parts])
             parts.clear()
             held = 0
-            t, g1, g2, size, most = merged(t, g1, g2, n, most)
+            t, g, size, most = merged(t, g, n, most)
             bucket = (t % np.uint64(buckets)).astype(np.int32)
-            order = np.lexsort((t, g2, g1, bucket))  # by group: long runs of equal ids
-            t, g1, g2, size, most, bucket = (v[order] for v in (t, g1, g2, size, most, bucket))
+            order = np.lexsort((t, g, bucket))  # by group: runs of equal ids
+            t, g, size, most, bucket = (v[order] for v in (t // np.uint64(buckets), g, size, most, bucket))
             cut = np.flatnonzero(np.diff(bucket)) + 1
             first = np.concatenate([[0], cut])
-            cols = [[c.tobytes() for c in np.split(v, cut)] for v in (t, g1, g2)]
-            cols += [[planes(c) for c in np.split(v.astype(np.int32), cut)] for v in (size, most)]
+            cols = [[planes(c, w) for c in np.split(v, cut)]
+                    for v, w in ((t, TOKEN_BYTES), (g, width), (size.astype(np.int32), 4), (most.astype(np.int32), 4))]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), *[pa.array(c, pa.binary()) for c in cols]],
-                                             names=["bucket", "token", "g1", "g2", "size", "most"])
+                                             names=["bucket", "token", "g", "size", "most"])
 
         for batch in slices(batches):
             for text, gid in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -386,8 +391,7 @@ def matrix_rows(rows: DataFrame, sets: DataFrame, groups: DataFrame, levels: np.
                 if gid is None:
                     gid = xxhash.xxh3_128_digest(t.tobytes())
                 t = rare_first(t, table)[:n - least_overlap(n) + 1]
-                g = np.frombuffer(gid, np.int64)
-                parts.append((t, g[0], g[1], n, largest_partner(n, np.arange(len(t)))))
+                parts.append((t, int.from_bytes(gid[:width]), n, largest_partner(n, np.arange(len(t)))))
                 held += len(t)
                 if held >= ENTRIES:
                     yield from flush()
@@ -396,37 +400,49 @@ def matrix_rows(rows: DataFrame, sets: DataFrame, groups: DataFrame, levels: np.
     return src.mapInArrow(run, schema)
 
 
-def planes(v: np.ndarray) -> bytes:
-    """32-bit numbers by byte, all first bytes first: the high ones are nearly all zero, so the shuffle packs them away."""
-    return np.ascontiguousarray(v.view(np.uint8).reshape(-1, 4).T).tobytes()
+def short_ids(g: np.ndarray, width: int) -> list[bytes]:
+    """The first ``width`` bytes of group ids, back from numbers."""
+    return [v.tobytes() for v in g.astype(">i8").view(np.uint8).reshape(-1, 8)[:, 8 - width:]]
+
+
+def planes(v: np.ndarray, width: int = 4) -> bytes:
+    """The low ``width`` bytes of numbers, all first bytes first: the high ones of sizes are nearly all zero, so the shuffle
+    packs them away."""
+    return np.ascontiguousarray(v.view(np.uint8).reshape(len(v), -1)[:, :width].T).tobytes()
 
 
-def from_planes(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+def from_planes(b: bytes, width: int = 4) -> np.ndarray:
+    """32-bit numbers, 64-bit ones if they are wider."""
+    v = np.zeros((len(b) // width, 4 if width <= 4 else 8), np.uint8)
+    v[:, :width] = np.frombuffer(b, np.uint8).reshape(width, -1).T
+    return v.view(np.int32 if width <= 4 else np.int64).ravel()
 
 
-def merged(t, g1, g2, size, most):
+def merged(t, g, size, most):
     """Entries with the same token and group as one, with the least size and the largest partner."""
-    order = np.lexsort((g2, g1, t))
-    t, g1, g2, size, most = (v[order] for v in (t, g1, g2, size, most))
+    order = np.lexsort((g, t))
+    t, g, size, most = (v[order] for v in (t, g, size, most))
     if not len(t):
-        return t, g1, g2, size, most
-    first = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1])]))
-    return t[first], g1[first], g2[first], np.minimum.reduceat(size, first), np.maximum.reduceat(most, first)
+        return t, g, size, most
+    first = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (g[1:] != g[:-1])]))
+    return t[first], g[first], np.minimum.reduceat(size, first), np.maximum.reduceat(most, first)
 
 
-def candidate_groups(matrix: DataFrame, parts: int) -> DataFrame:
-    """(ga, gb), ga < gb: groups with a common matrix row at which a link between them may begin."""
+def candidate_groups(matrix: DataFrame, sizes: DataFrame, parts: int, buckets: int, width: int = GROUP_BYTES) -> DataFrame:
+    """(ga, gb, ma, mb), each pair once: groups with a common matrix row at which a link between them may begin, and how
+    many members they have, from the sizes (gid, members) of all groups.
+
+    Groups with the same short id are one in the matrix: they are candidates of each other, and all of them of its partners."""
     def run(batches):
-        cols: list[list[np.ndarray]] = [[], [], [], [], []]
+        cols: list[list[np.ndarray]] = [[], [], [], []]
         for batch in batches:
-            for k, kind in enumerate((np.uint64, np.int64, np.int64)):
-                cols[k].extend(np.frombuffer(v, kind) for v in batch.column(k + 1).to_pylist())
-            for k in (3, 4):
-                cols[k].extend(map(from_planes, batch.column(k + 1).to_pylist()))
+            cols[0].extend(from_planes(v, TOKEN_BYTES) * buckets + b
+                           for b, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            for k, w in enumerate((width, 4, 4), 1):
+                cols[k].extend(from_planes(v, w) for v in batch.column(k + 1).to_pylist())
         if not cols[0]:
             return
-        t, g1, g2, size, most = merged(*[np.concatenate(c) for c in cols])
+        t, g, size, most = merged(*[np.concatenate(c) for c in cols])
         start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
         count = np.diff(np.concatenate([start, [len(t)]]))
         out: list[np.ndarray] = []
@@ -435,7 +451,7 @@ def candidate_groups(matrix: DataFrame, parts: int) -> DataFrame:
             fits = (size[i] <= most[j]) & (size[j] <= most[i])
             i, j = i[fits], j[fits]  # within a token the groups ascend, so i is always the lesser group
             if len(i):
-                out.append(np.unique(np.stack([g1[i], g2[i], g1[j], g2[j]], axis=1), axis=0))
+                out.append(np.unique(np.stack([g[i], g[j]], axis=1).astype(np.int64), axis=0))
             if len(out) > 16:
                 out[:] = [np.unique(np.concatenate(out), axis=0)]
 
@@ -452,13 +468,20 @@ def candidate_groups(matrix: DataFrame, parts: int) -> DataFrame:
                     pending_i, pending_j, held = [], [], 0
         if held:
             emit(np.concatenate(pending_i), np.concatenate(pending_j))
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 4), np.int64)
+        pairs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
         for k in range(0, len(pairs), 100_000):
             p = pairs[k:k + 100_000]
-            ids = [pa.array([v.tobytes() for v in np.ascontiguousarray(p[:, c:c + 2])], pa.binary()) for c in (0, 2)]
-            yield pa.RecordBatch.from_arrays(ids, names=["ga", "gb"])
-
-    return matrix.repartition(parts, "bucket").mapInArrow(run, "ga binary, gb binary").distinct()
+            ids = [pa.array(short_ids(p[:, c], width), pa.binary()) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays(ids, names=["sa", "sb"])
+
+    met = matrix.repartition(parts, "bucket").mapInArrow(run, "sa binary, sb binary").distinct()
+    ids = stored(sizes.select("gid", "members", F.substring("gid", 1, width).alias("short")), "short-ids")
+    a, b = (ids.select(F.col("short").alias(f"s{c}"), F.col("gid").alias(f"g{c}"), F.col("members").alias(f"m{c}")) for c in "ab")
+    pairs = met.join(a, "sa").join(b, "sb").select("ga", "gb", "ma", "mb")
+    same = ids.groupBy("short").agg(F.count("*").alias("c")).where("c > 1").select(F.col("short").alias("sa"))
+    if same.count() == 0:
+        return pairs
+    return pairs.unionByName(a.join(same, "sa").join(b, F.col("sa") == F.col("sb")).where("ga < gb").select("ga", "gb", "ma", "mb"))
 
 
 def token_rows(texts: DataFrame, *keep: str) -> DataFrame:
@@ -516,12 +539,9 @@ def set_links(rows: DataFrame, found: DataFrame) -> DataFrame:
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / 3_000_000))
     levels = frequency_levels(found)
     entries = matrix_rows(rows, sets, groups, levels, 4 * parts)
-    pairs = stored(candidate_groups(entries, parts), "candidate-groups")
-    sizes = groups.groupBy("label").agg(F.count("*").alias("members"))
-    sized = (pairs.join(sizes.select(F.col("label").alias("ga"), F.col("members").alias("ma")), "ga", "left")
-             .join(sizes.select(F.col("label").alias("gb"), F.col("members").alias("mb")), "gb", "left"))
-    sized = stored(sized.select("ga", "gb", F.coalesce("ma", F.lit(1)).alias("ma"), F.coalesce("mb", F.lit(1)).alias("mb")),
-                   "sized-groups")
+    sizes = (sets.select("sid").distinct().join(groups, "sid", "left").groupBy(F.coalesce("label", "sid").alias("gid"))
+             .agg(F.count("*").alias("members")))
+    sized = stored(candidate_groups(entries, sizes, parts, 4 * parts), "sized-groups")
     # groups of one: the union is the set itself, so bound and comparison are the same
     direct = verified(sized.where("ma = 1 AND mb = 1").select(F.col("ga").alias("a"), F.col("gb").alias("b")), rows, sets)
     links = first.unionByName(direct)

@@ -101,6 +101,33 @@ def test_texts_of_repeated_rows_come_once(make_docs):
     assert got == ["a b c d e f", "k l m n o p", "q r s t u v"]
 
 
+def test_matrix_entries_are_short_and_lose_no_pair(make_docs):
+    """11 bytes of token and group an entry; groups with the same short id are told apart again, and are candidates."""
+    rnd = random.Random(4)
+    F, vocabulary = jaccard.F, [f"w{k}" for k in range(40)]
+    texts = [" ".join(rnd.choice(vocabulary) for _ in range(rnd.choice((3, 12, 40)))) for _ in range(500)]
+    texts += [t + " more" for t in texts[::3]]
+    docs = make_docs(list(enumerate(texts)))
+    rows = jaccard._keyed(docs, "doc_id", "text")
+    sets = jaccard.stored(jaccard.document_sets(rows), "t").where("n > 0").select("doc_id", "th", "n", "sid", "keys", "sketch")
+    groups = rows.sparkSession.createDataFrame([], "sid binary, label binary")
+    gids = sets.select(F.col("sid").alias("gid")).distinct()
+    found = {}
+    for width in (1, jaccard.GROUP_BYTES):
+        matrix = jaccard.stored(jaccard.matrix_rows(rows, sets, groups, np.zeros(8, np.uint8), 6, width), "m")
+        pairs = [tuple(map(bytes, r[:2])) for r in jaccard.candidate_groups(
+            matrix, gids.withColumn("members", F.lit(1)), 3, 6, width).collect()]
+        assert len(pairs) == len({frozenset(p) for p in pairs}) and all(a != b for a, b in pairs)
+        found[width] = {frozenset(p) for p in pairs}
+    size = matrix.agg(F.sum(F.length("token") + F.length("g")), F.sum(F.length("size"))).first()
+    assert size[0] == 11 * size[1] // 4
+    linked = {frozenset((bytes(r["a"]), bytes(r["b"]))) for r in jaccard.verified(
+        gids.select(F.col("gid").alias("a")).crossJoin(gids.select(F.col("gid").alias("b"))).where("a < b"), rows, sets).collect()}
+    ids = [bytes(r["gid"]) for r in gids.collect()]
+    alike = {frozenset((a, b)) for a in ids for b in ids if a < b and a[0] == b[0]}
+    assert len(linked) > 50 and linked <= found[6] <= found[1] and alike <= found[1]
+
+
 def test_rare_tokens_come_first():
     table = np.zeros(8, np.uint8)  # 16 places
     table[1] = 0x30                # place 2: level 3

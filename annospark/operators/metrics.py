@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annospark.operators.ensemble import ordered_sum
-from annospark.operators.ontology import CLOSURE_BROADCAST_ROWS
+from annospark.operators.ontology import CLOSURE_BROADCAST_ROWS, ancestor_sums
 from annospark.session import bounded_broadcast, cut_lineage
 
 KEY = ["entity_id", "term_id"]
@@ -408,22 +408,20 @@ def fmax_by_knowledge(scores: DataFrame, truth: DataFrame, terms: DataFrame, ia:
     (``ALL``) and the mean of the groups (``ALL``, ``ALL``); a group without targets in an aspect has fmax 0 there.
 
     The maximum of a term's descendants' scores clears as many thresholds as the best of them, so only the number
-    of thresholds cleared is propagated: predictions and truth go up the ``closure`` together and meet in one
-    aggregate of small integers (terms outside it are excluded).  ``known`` is :func:`prior_knowledge`; an entity's
-    groups are bits, summed side by side in one sweep of differences.
+    of thresholds cleared is propagated: predictions and truth go up the ``closure`` together, and an entity's ancestors
+    meet where its rows are, by :func:`ontology.ancestor_sums` (terms outside it are excluded).  ``known`` is
+    :func:`prior_knowledge`; an entity's groups are bits, summed side by side in one sweep of differences.
     """
     grid = grid or linspace(0.01, 1.0, 100)
     targets = truth.select("entity_id").distinct()
     found = scores.join(targets, "entity_id", "left_semi").select(*KEY, grid_bucket(F.col("score"), grid).alias("b"),
                                                                  F.lit(0).alias("y")).filter(F.col("b") > 0)
-    rows = found.unionByName(truth.select(*KEY, F.lit(0).alias("b"), F.lit(1).alias("y")))
-    up = bounded_broadcast(closure.select("term_id", "ancestor"), CLOSURE_BROADCAST_ROWS)
-    c = rows.join(up, "term_id").groupBy("entity_id", F.col("ancestor").alias("term_id")).agg(
-        F.max("b").alias("b"), F.max("y").alias("y"))
-    c = c.join(terms.select("term_id", "aspect").filter(F.col("aspect").isin(*aspects)), "term_id") \
-        .join(ia.select("term_id", "ia"), "term_id", "left").withColumn("ia", F.coalesce("ia", F.lit(float(ia_default))))
-    h = c.groupBy("aspect", "entity_id", "b").agg(
-        F.sum("ia").alias("wp"), F.sum(F.when(F.col("y") == 1, F.col("ia")).otherwise(0.0)).alias("wt"), F.max("y").alias("yt"))
+    rows = found.unionByName(truth.select(*KEY, F.lit(0).alias("b"), F.lit(1).alias("y"))) \
+        .groupBy(*KEY).agg(F.max("b").alias("b"), F.max("y").alias("y"))
+    # a term counts once for each of its rows in both tables
+    weights = terms.select("term_id", "aspect").filter(F.col("aspect").isin(*aspects)).join(ia.select("term_id", "ia"), "term_id", "left") \
+        .groupBy("term_id", "aspect").agg(F.sum(F.coalesce("ia", F.lit(float(ia_default)))).alias("weight"))
+    h = ancestor_sums(rows, closure, weights, len(grid) + 1)
     bit = F.element_at(F.create_map(*[F.lit(x) for i, a in enumerate(aspects) for x in (a, 1 << i)]), F.col("aspect"))
     has = F.coalesce("known", F.lit(0))
     group = (F.when(has == 0, 1).when(has.bitwiseAND(bit) == 0, 2).when(has == (1 << len(aspects)) - 1, 4).otherwise(0))
@@ -431,12 +429,12 @@ def fmax_by_knowledge(scores: DataFrame, truth: DataFrame, terms: DataFrame, ia:
     steps = _fmax_steps(h, keep=("groups",))
     inside = [F.col("groups").bitwiseAND(1 << i) != 0 for i in range(len(KNOWLEDGE))]
     sums = [F.sum(F.when(w, F.col(v)).otherwise(F.lit(0))).alias(f"{v}{i}") for i, w in enumerate(inside) for v in ("p", "n", "r")]
-    wide = steps.groupBy("aspect", "g").agg(*sums)
+    wide = cut_lineage(steps.groupBy("aspect", "g").agg(*sums))  # a row for each aspect and threshold, read twice below
     d = wide.select("aspect", "g", F.inline(F.array(*[
         F.struct(F.lit(name).alias("knowledge"), F.col(f"p{i}").alias("dp"), F.col(f"n{i}").alias("dn"), F.col(f"r{i}").alias("dr"))
         for i, name in enumerate(KNOWLEDGE)])))
     best = _fmax_best(d, grid, ("knowledge",))
-    every = c.sparkSession.createDataFrame([(k, a) for k in KNOWLEDGE for a in aspects], "knowledge string, aspect string")
+    every = scores.sparkSession.createDataFrame([(k, a) for k in KNOWLEDGE for a in aspects], "knowledge string, aspect string")
     full = every.join(best, ["knowledge", "aspect"], "left").select("knowledge", "aspect", F.col("best_thr").alias("thr"),
                                                                    F.coalesce("best_f1", F.lit(0.0)).alias("fmax"))
     # few rows: the means of a rollup over groups and aspects (all cells of the grid are there)

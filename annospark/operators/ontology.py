@@ -9,7 +9,9 @@ its parent's ancestors once.  An ontology of more than ``WAVES`` levels falls ba
 on a semi-naive, path-doubling loop of joins (each round joins only the newly found
 pairs with the known pairs and anti-joins what is known).
 Every propagation afterwards is a single join against the closure followed by a
-``groupBy(entity, ancestor)`` aggregate — no per-level relaxation sweeps.
+``groupBy(entity, ancestor)`` aggregate — no per-level relaxation sweeps.  Where only sums
+over an entity's ancestors are asked for, a row travels to its entity with all its ancestors
+packed into some bytes (:func:`ancestor_sums`), so that no row is shuffled for each of them.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ CLOSURE_BROADCAST_ROWS = 3_000_000
 # Edges sent to every task (48k terms have some 90k): at most two numbers each, 16 MB.
 CLIMB_EDGES = 1_000_000
 CLIMB_TERMS = 1024  # terms that a task climbs from at a time
+PIECE = 2_000_000  # bytes of packed ancestors that are unpacked at a time
 # Levels closed one after the other (GO has some 20); deeper graphs double their paths instead.
 WAVES = 32
 # A wave with fewer ancestors is sent to the edges (some 24 MB), a larger one is shuffled.
@@ -312,6 +315,137 @@ def max_propagate(scores: DataFrame, closure: DataFrame) -> DataFrame:
     return up.groupBy("entity_id", F.col("ancestor").alias("term_id")).agg(F.max("score").alias("score"))
 
 
+def numbered_columns(closure: DataFrame, weights: DataFrame) -> DataFrame:
+    """``(ancestor, aspect, weight, number)``: the ancestors of the closure that have a row in ``weights`` (term_id, aspect,
+    weight), numbered from 0, those of the most terms first, so that most numbers of a term are small."""
+    terms = closure.where(F.col("ancestor").isNotNull()).groupBy("ancestor").agg(F.count("*").alias("terms"))
+    found = terms.join(weights.withColumnRenamed("term_id", "ancestor"), "ancestor")
+    found = cut_lineage(found.orderBy(F.col("terms").desc(), "ancestor", "aspect"))
+    # the id of a row holds its partition and its place there: places go on from partition to partition
+    part, place = F.shiftright("id", 33), F.col("id").bitwiseAND((1 << 33) - 1)
+    found = found.withColumn("id", F.monotonically_increasing_id())
+    sizes = {r["part"]: r["n"] for r in found.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    before = {p: sum(n for q, n in sizes.items() if q < p) for p in sizes} or {0: 0}
+    offset = F.element_at(F.create_map(*[F.lit(v) for p, n in before.items() for v in (p, n)]), part)
+    return found.select("ancestor", "aspect", "weight", (offset + place).cast("long").alias("number"))
+
+
+def packed(rows: np.ndarray, numbers: np.ndarray, n: int) -> pa.Array:
+    """The distinct numbers of each of ``n`` rows as bytes: ascending, each as its distance from the one before, seven bits
+    a byte, the last byte of a number below 128."""
+    order = np.lexsort((numbers, rows))
+    rows, numbers = rows[order], numbers[order]
+    first = np.concatenate([[True], rows[1:] != rows[:-1]])[:len(rows)]
+    kept = first | np.concatenate([[True], numbers[1:] != numbers[:-1]])[:len(rows)]
+    rows, numbers, first = rows[kept], numbers[kept], first[kept]
+    gaps = np.where(first, numbers, numbers - np.concatenate([[0], numbers[:-1]])[:len(numbers)])
+    size = 1 + sum((gaps >> 7 * k > 0).astype(np.int64) for k in range(1, 9))
+    ends = np.cumsum(size)
+    left = np.repeat(ends, size) - 1 - np.arange(size.sum())  # bytes of the number that follow
+    place = np.repeat(size, size) - 1 - left
+    data = ((np.repeat(gaps, size) >> 7 * place & 127) | np.where(left > 0, 128, 0)).astype(np.uint8)
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, weights=size, minlength=n))]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number) of a column of :func:`packed` bytes; no row is empty."""
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[column.offset:column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]]
+    ends = np.flatnonzero(data < 128)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    place = np.arange(len(data)) - np.repeat(starts, ends - starts + 1)
+    total = np.cumsum(np.add.reduceat((data & 127).astype(np.int64) << 7 * place, starts))
+    per_row = np.diff(np.searchsorted(ends, offsets - offsets[0]))
+    begin = np.cumsum(per_row) - per_row
+    return np.repeat(np.arange(len(column)), per_row), total - np.repeat(np.concatenate([[0], total])[begin], per_row)
+
+
+def ancestor_sums(rows: DataFrame, closure: DataFrame, weights: DataFrame, levels: int) -> DataFrame:
+    """G3 with its sums: ``(aspect, entity_id, b, wp, wt, yt)`` over the ancestors of each entity's terms.
+
+    ``rows`` are ``(entity_id, term_id, b, y)`` with ``b`` from 0 to ``levels`` - 1 and ``y`` 0 or 1; an ancestor takes the
+    largest ``b`` and the largest ``y`` of the entity's terms below it.  ``wp`` sums the ``weights`` (term_id, aspect, weight)
+    of an entity's ancestors with that ``b``, ``wt`` those of them with ``y`` = 1, ``yt`` is their largest ``y``.
+
+    The closure's ancestors are numbered and gathered by term, some bytes each (terms keep about one byte a near number).
+    A row takes those of its term along to its entity, and the rows of an entity meet in one task, which unpacks some
+    thousand rows at a time: what is shuffled grows with the rows and these bytes, never with a row for each ancestor.
+    Aspects and weights by number (nine bytes a term) are sent to every task.
+    """
+    spark = rows.sparkSession
+    columns = numbered_columns(closure, weights)
+    known = columns.select("number", "aspect", "weight").toArrow()
+    aspects = sorted(pa.compute.unique(known.column("aspect")).to_pylist())
+    number = np.asarray(known.column("number"), np.int64)
+    width, kinds = len(number), max(1, len(aspects))
+    aspect, weight = np.zeros(width, np.int8), np.zeros(width)
+    aspect[number] = np.asarray(pa.compute.index_in(known.column("aspect"), pa.array(aspects, pa.string())), np.int8)
+    weight[number] = np.asarray(known.column("weight"), np.float64)
+    sent = spark.sparkContext.broadcast((aspect, weight))
+    del known
+
+    def pack(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            of = np.repeat(np.arange(len(lists)), np.asarray(pa.compute.list_value_length(lists)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed(of, np.asarray(lists.flatten(), np.int64), len(lists))],
+                                             names=["term_id", "above"])
+
+    up = closure.join(bounded_broadcast(columns.select("ancestor", "number"), CLOSURE_BROADCAST_ROWS), "ancestor") \
+        .groupBy("term_id").agg(F.collect_list("number").alias("above"))
+    up = up.mapInArrow(pack, T.StructType([closure.schema["term_id"], T.StructField("above", T.BinaryType())]))
+    if width <= CLIMB_TERMS:  # the terms of a small ontology go to the rows
+        up = F.broadcast(up)
+
+    def sums(part: pa.Table):
+        entity = part.column("entity_id").combine_chunks().dictionary_encode(null_encoding="encode")
+        e, b, y = np.asarray(entity.indices, np.int64), np.asarray(part.column("b"), np.int64), np.asarray(part.column("y"), np.int64)
+        of, at = unpacked(part.column("above").combine_chunks())
+        cell = np.sort((((e * width)[of] + at) * levels + b[of]) * 2 + y[of])  # by entity, ancestor, level, truth
+        same = cell // (2 * levels)
+        first = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]]))
+        last = np.concatenate([first[1:], [len(cell)]]) - 1
+        true, best, column = np.bitwise_or.reduceat(cell & 1, first), (cell[last] >> 1) % levels, same[first] % width
+        of_aspect, of_weight = sent.value
+        group, w = (same[first] // width * kinds + of_aspect[column]) * levels + best, of_weight[column]
+        n = np.bincount(group)
+        wp, wt, yt = (np.bincount(group, weights=v) for v in (w, w * true, true))
+        at = np.flatnonzero(n)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(aspects, pa.string()).take(pa.array(at // levels % kinds)), entity.dictionary.take(pa.array(at // (levels * kinds))),
+             pa.array((at % levels).astype(np.int32)), pa.array(wp[at]), pa.array(wt[at]), pa.array((yt[at] > 0).astype(np.int32))],
+            names=["aspect", "entity_id", "b", "wp", "wt", "yt"])
+
+    def meet(batches):
+        held = None  # the rows of the last entity, which may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            *pieces, held = whole_entities(held)
+            yield from map(sums, pieces)
+        if held is not None:
+            yield sums(held)
+
+    met = rows.join(up, "term_id").select("entity_id", "b", "y", "above").repartition("entity_id").sortWithinPartitions("entity_id")
+    double, whole = T.DoubleType(), T.IntegerType()
+    return met.mapInArrow(meet, T.StructType([T.StructField(c, k) for c, k in (
+        ("aspect", T.StringType()), ("entity_id", rows.schema["entity_id"].dataType), ("b", whole), ("wp", double), ("wt", double), ("yt", whole))]))
+
+
+def whole_entities(table: pa.Table) -> list[pa.Table]:
+    """The table, sorted by entity, cut between entities into pieces of some ``PIECE`` packed bytes; the last has the last entity alone."""
+    codes = np.asarray(table.column("entity_id").combine_chunks().dictionary_encode(null_encoding="encode").indices)
+    starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    size = np.cumsum(np.asarray(pa.compute.binary_length(table.column("above"))))
+    piece = np.concatenate([[0], size[starts[1:] - 1]]) // PIECE  # of the entity's first byte
+    cuts = np.unique(np.concatenate([starts[np.flatnonzero(np.diff(piece, prepend=-1))], starts[-1:], [table.num_rows]]))
+    return [table.slice(low, high - low) for low, high in zip(cuts[:-1], cuts[1:])]
+
+
 def min_propagate(scores: DataFrame, closure: DataFrame) -> DataFrame:
     """``child = min(child, parents)`` to the fixpoint on the subgraph of a
     :func:`contract_closure`, i.e. the minimum over all contract

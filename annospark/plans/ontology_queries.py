@@ -193,7 +193,7 @@ def q_violations(spark, d):
        "SELECT knowledge, aspect, thr, round(fmax, 6) AS fmax FROM full_ UNION ALL SELECT knowledge, 'ALL', NULL, "
        "round(avg(fmax), 6) FROM full_ GROUP BY 1 UNION ALL SELECT 'ALL', 'ALL', NULL, round(avg(fmax), 6) FROM full_")
 def q_fmax_knowledge(spark, d):
-    s = ensemble.ensemble_mean(S.scores(spark, d), n_models=3)
+    s = ensemble.ensemble_mean(S.scores(spark, d, by_entity=True), n_models=3)
     prior = S.table(spark, d, "lineitem").filter(F.col("l_returnflag") == "A").select(
         F.col("l_orderkey").alias("entity_id"), S.aspect_col(F.col("l_partkey")).alias("aspect"))
     r = M.fmax_by_knowledge(s, S.truth(spark, d), S.terms(spark, d), S.ia(spark, d), G.ancestor_closure(S.edges(spark, d)),
